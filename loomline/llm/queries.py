@@ -95,7 +95,7 @@ WITH raw AS (
   SELECT n, head, line, any_value(toks) AS toks, min(doc_id) AS lo, max(doc_id) AS hi, count(*) AS c FROM keyed GROUP BY n, head, line
 ), seeds AS (
   SELECT n, head, line AS seed, toks AS seed_toks FROM (
-    SELECT *, row_number() OVER (PARTITION BY n, head ORDER BY c DESC, line) AS r FROM distinct_lines) WHERE r = 1
+    SELECT *, row_number() OVER (PARTITION BY n, head ORDER BY c DESC, md5(line)) AS r FROM distinct_lines) WHERE r = 1
 ), assigned AS (
   SELECT d.n, d.head, d.line, d.lo, d.hi,
     CASE WHEN len(list_filter(range(1, d.n + 1), lambda i: d.toks[i] = s.seed_toks[i])) >= 0.8 * d.n THEN s.seed ELSE d.line END AS template
