@@ -71,7 +71,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
     hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = sized.withColumn("_turn", hashed).withColumn("_b", F.conv(F.substring("_turn", 1, 3), 16, 10).cast("int"))
+    # texts are read once; all that follows works on sizes
+    sized = materialise(sized.withColumn("_turn", hashed), "mix-sizes").withColumn("_b", F.conv(F.substring("_turn", 1, 3), 16, 10).cast("int"))
     goals = targets(sized, share, epochs)
 
     sums = sized.groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
