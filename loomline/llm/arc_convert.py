@@ -47,6 +47,8 @@ V2_FIELDS = "URL IP-address Archive-date Content-type Result-code Checksum Locat
 WARC_VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Compression level of a record: fast, since pages compress well at any level.
+LEVEL = 3
 #: A whole gzip member without content.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 
@@ -247,10 +249,10 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = True
     for batch in batches:
-        out = [gzip.compress(warcinfo(), 6, mtime=0)] if first else []
+        out = [gzip.compress(warcinfo(), LEVEL, mtime=0)] if first else []
         first = False
         for i, arc, again, of in zip(*(batch.column(c).to_pylist() for c in ("source_id", "arc", "again", "first_id")), strict=True):
-            out += [gzip.compress(warc_record(r, i, of, bool(again)), 6, mtime=0) for r in _records(arc)]
+            out += [gzip.compress(warc_record(r, i, of, bool(again)), LEVEL, mtime=0) for r in _records(arc)]
         yield pa.record_batch([pa.array(out, pa.binary())], names=["member"])
 
 
