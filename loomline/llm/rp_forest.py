@@ -6,11 +6,19 @@ random directions, at the median of a bounded sample of classes; classes within
 class is then routed through every tree, the leaves compare their members by
 exact cosine in double precision, and the links found are united.
 
+A median split would part a large group of different vectors that all link, so
+such groups are taken out first.  A sampled class within the threshold of
+``DENSE`` leaves' worth of the sample is a centre; classes within the threshold
+of a centre belong to the nearest one's cell.  By the triangle inequality all that
+a cell's class links with lies within twice the centre's angle, and each of these
+classes goes to the cell too, so links of cell classes are found exactly.  Cells
+are cut into chunks, and each pair of chunks is a task.  The trees see the rest.
+
 A pair may meet in several leaves.  Each class carries the numbers of all its
 leaves, and a pair counts only in the smallest leaf that both are in, so links are
 counted without sending pairs anywhere: a leaf gives each member its number of
 new links and a spanning forest of them.  Nothing is capped; a leaf of any size is
-compared in blocks.
+compared in blocks.  A pair of two cells counts in the smaller one.
 
 The sample is bounded (``MAX_SAMPLE``) while every class is indexed, and trees
 grow until a leaf would hold about ``LEAF`` of all classes, or ``LEAST_SAMPLE``
@@ -48,6 +56,12 @@ LEAST_SAMPLE = 16
 SPILL = 0.08
 #: Members compared at a time.
 BLOCK = 1024
+#: Leaves' worth of the sample within the threshold of a class that make it a cell's centre.
+DENSE = 2
+#: Sampled classes that are tried as centres, at most.
+PROBES = 8192
+#: Members in a chunk of a cell, about, and their bytes at most.
+CHUNK, CHUNK_BYTES = 16_384, 1 << 26
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,16 +143,65 @@ def grow(x: np.ndarray, leaf: float, rng: np.random.Generator, spill: float = SP
     return Tree(np.array(directions).reshape(-1, x.shape[1]), np.array(low), np.array(high), np.array(children, dtype=np.int64).reshape(-1, 2), leaves)
 
 
-def _route(trees: list[Tree]):
+@dataclass
+class Cells:
+    """Centres, the cosine of their cells, that of all that may link with a cell, and each cell's number of chunks."""
+
+    centres: np.ndarray
+    threshold: float
+    reach: float
+    chunks: np.ndarray
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's cell (-1 if it has none), and whether it goes to each cell: its own, and those in reach that count its links."""
+        if not len(self.centres):
+            return np.full(len(x), -1), np.zeros((len(x), 0), bool)
+        at = x @ self.centres.T
+        own = np.where(at.max(axis=1) >= self.threshold, at.argmax(axis=1), -1)
+        cell = np.arange(len(self.centres))
+        return own, (at >= self.reach) & ((own < 0)[:, None] | (own[:, None] >= cell)) | (own[:, None] == cell)
+
+
+def dense_cells(x: np.ndarray, leaf: float, share: float, threshold: float, rng: np.random.Generator) -> Cells:
+    """Cells of the sample ``x``, a ``share`` of all classes, until no probe has ``DENSE`` leaves' worth of the rest near it."""
+    fast = x.astype(np.float32)
+    probes = np.sort(rng.permutation(len(x))[:PROBES])
+    rest, centres = np.ones(len(x), bool), []
+
+    def near(rows: np.ndarray) -> np.ndarray:
+        return sum(((fast[probes] @ fast[rows[a : a + BLOCK]].T >= threshold).sum(axis=1) for a in range(0, len(rows), BLOCK)), np.zeros(len(probes), int))
+
+    counts = near(np.arange(len(x)))
+    while len(probes) and counts.max() >= max(2, DENSE * leaf):
+        centre = probes[counts.argmax()]
+        inside = np.flatnonzero(rest & (x @ x[centre] >= threshold))
+        if not len(inside):
+            break
+        rest[inside] = False
+        counts -= near(inside)
+        centres.append(centre)
+    # cos(2a) = 2 cos(a)^2 - 1; from a right angle on, everything is in reach
+    cells = Cells(x[centres], threshold, 2 * threshold**2 - 1 - 1e-6 if threshold > 0 else -2.0, np.ones(len(centres), int))
+    sizes = cells.home(x)[1].sum(axis=0) / share
+    cells.chunks = np.maximum(1, np.ceil(sizes / max(BLOCK, min(CHUNK, CHUNK_BYTES // (8 * x.shape[1]))))).astype(int)
+    return cells
+
+
+def _route(trees: list[Tree], cells: Cells):
+    """Leaf n of the forest is n, and the chunks a and b of a cell, in which ``leaves`` holds a row's own cell and chunk, are a number below 0."""
+    offsets = np.concatenate([[0], np.cumsum(cells.chunks**2)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vecs, offset, rows, leaves = batch.column("vec"), 0, [], []
+            vecs, offset, rows, leaves = batch.column("vec"), 0, [np.zeros(0, int)], [np.zeros(0, int)]
             x = unit(vecs.to_pylist())
-            for tree in trees:
-                row, leaf = tree.route(x)
-                rows.append(row)
+            own, goes = cells.home(x)
+            loose = np.flatnonzero(own < 0)
+            for tree in trees if len(loose) else ():
+                row, leaf = tree.route(x[loose])
+                rows.append(loose[row])
                 leaves.append(leaf + offset)
                 offset += tree.leaves
             row, leaf = np.concatenate(rows), np.concatenate(leaves)
@@ -146,12 +209,25 @@ def _route(trees: list[Tree]):
             row, leaf = row[order], leaf[order]
             first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(x)))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(first), pa.array(leaf.astype(np.int32))).take(pa.array(row))
-            cols = [pa.array(leaf.astype(np.int32)), batch.column("rep").take(pa.array(row)), batch.column("size").take(pa.array(row)), vecs.take(pa.array(row)), lists]
-            yield pa.record_batch(cols, names=["leaf", "rep", "size", "vec", "leaves"])
+            yield _members(batch, row, leaf, lists)
+            spread = batch.column("spread").to_numpy()
+            for cell in np.flatnonzero(goes.any(axis=0)):
+                k = cells.chunks[cell]
+                row = np.repeat(np.flatnonzero(goes[:, cell]), k)
+                mine, other = spread[row] % k, np.tile(np.arange(k), len(row) // k)
+                pair = offsets[cell] + np.minimum(mine, other) * k + np.maximum(mine, other)
+                first = np.arange(0, 2 * len(row) + 1, 2, dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(first), pa.array(np.stack([own[row], mine], axis=1).ravel().astype(np.int32)))
+                yield _members(batch, row, -1 - pair, lists)
 
     return run
 
 
+def _members(batch: pa.RecordBatch, row: np.ndarray, leaf: np.ndarray, lists: pa.ListArray) -> pa.RecordBatch:
+    cols = [pa.array(leaf.astype(np.int32)), *(batch.column(c).take(pa.array(row)) for c in ("rep", "size", "vec")), lists]
+    return pa.record_batch(cols, names=["leaf", "rep", "size", "vec", "leaves"])
+
+
 def compare(leaf: int, x: np.ndarray, leaves: list[list[int]], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i < j) with a cosine of ``threshold`` or more that meet in no smaller leaf."""
     earlier = [[n for n in mine if n < leaf] for mine in leaves]
@@ -174,10 +250,53 @@ def compare(leaf: int, x: np.ndarray, leaves: list[list[int]], threshold: float)
     return np.concatenate(lefts), np.concatenate(rights)
 
 
-def _compare(threshold: float):
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label``, the smallest member of each component, with the links (i, j) added."""
+    while len(i := i[part := label[i] != label[j]]):
+        j = j[part]
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while not np.array_equal(further := label[label], label):
+            label = further
+    return label
+
+
+def compare_cell(x: np.ndarray, size: np.ndarray, inside: np.ndarray, chunk: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links, label) of a pair of a cell's chunks, or of one: pairs with a member ``inside`` the cell, between the two chunks."""
+    found, label = np.zeros(len(x)), np.arange(len(x))
+    parts = [np.flatnonzero(chunk == c) for c in np.unique(chunk)]
+    one = parts[0]
+    other = parts[-1]
+    for a in range(0, len(one), BLOCK):
+        left = one[a : a + BLOCK]
+        for b in range(a if len(parts) == 1 else 0, len(other), BLOCK):
+            right = other[b : b + BLOCK]
+            linked = (x[left] @ x[right].T >= threshold) & (inside[left][:, None] | inside[right])
+            if len(parts) == 1 and a == b:
+                linked = np.triu(linked, 1)
+            found[left] += linked @ size[right].astype(float)
+            found[right] += size[left].astype(float) @ linked
+            i, j = np.nonzero(linked)
+            label = unite(label, left[i], right[j])
+    return found, label
+
+
+def _compare(threshold: float, cells: Cells):
+    offsets = np.concatenate([[0], np.cumsum(cells.chunks**2)])
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rep, size = table["rep"].to_numpy(), table["size"].to_numpy()
         leaf = key[0].as_py()
+        if leaf < 0:
+            cell = int(np.searchsorted(offsets, -1 - leaf, side="right")) - 1
+            a, b = divmod(-1 - leaf - int(offsets[cell]), int(cells.chunks[cell]))
+            own, chunk = np.array(table["leaves"].to_pylist()).T
+            if a != b and len(np.unique(chunk)) == 1:
+                return pa.table({"rep": rep[:0], "root": rep[:0], "links": np.zeros(0, np.int64)})
+            found, label = compare_cell(unit(table["vec"].to_pylist()), size, own == cell, chunk, threshold)
+            on = np.flatnonzero(found)
+            return pa.table({"rep": rep[on], "root": rep[label[on]], "links": found[on].astype(np.int64)})
         i, j = compare(leaf, unit(table["vec"].to_pylist()), table["leaves"].to_pylist(), threshold) if len(rep) > 1 else (np.zeros(0, int),) * 2
         found = np.bincount(i, weights=size[j], minlength=len(rep)) + np.bincount(j, weights=size[i], minlength=len(rep))
         label = np.arange(len(rep))
@@ -228,6 +347,9 @@ def _forest_links(classes: DataFrame, n: int, threshold: float, trees: int, seed
         return classes.sparkSession.createDataFrame([], "rep long, root long, links long")
     x = unit(sample)
     leaf = max(LEAST_SAMPLE, LEAF * len(x) / n)
-    forest = [grow(x, leaf, np.random.default_rng([seed, t])) for t in range(trees)]
-    routed = classes.select("rep", "size", "vec").mapInArrow(_route(forest), "leaf int, rep long, size long, vec binary, leaves array<int>")
-    return routed.groupBy("leaf").applyInArrow(_compare(threshold), "rep long, root long, links long")
+    cells = dense_cells(x, leaf, len(x) / n, threshold, np.random.default_rng([seed, trees]))
+    rest = x[cells.home(x)[0] < 0]
+    forest = [grow(rest, leaf, np.random.default_rng([seed, t])) for t in range(trees)]
+    spread = F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.lit(1 << 30)).alias("spread")
+    routed = classes.select("rep", "size", "vec", spread).mapInArrow(_route(forest, cells), "leaf int, rep long, size long, vec binary, leaves array<int>")
+    return routed.groupBy("leaf").applyInArrow(_compare(threshold, cells), "rep long, root long, links long")

@@ -77,6 +77,20 @@ def test_forest_against_brute_force(spark):
     assert (got[1003].n_links, got[1006].component_id, got[1006].kept) == (1, 1003, False)
 
 
+def test_forest_finds_the_links_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(rp_forest, "CHUNK", 1024, raising=False)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((6000, 64))
+    x[:2000] = x[0] + 0.3 * rng.standard_normal((2000, 64))  # pairs about the threshold
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in rp_forest.near_duplicates(rows).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert links[:2000].mean() > 500 and (found <= links).all() and found.sum() >= 0.99 * links.sum()
+    assert sum(got[i].component_id == 0 for i in range(2000)) >= 1990
+
+
 # 2
 def slow_fingerprint(text):
     import re
