@@ -248,6 +248,25 @@ def test_quotes(spark):
     assert all(r.parent_conv is None or got[r.parent_conv, r.parent_turn].position < r.position for r in got.values())
 
 
+def test_partial_and_nested_quotes(spark):
+    lines = ["The first line tells of rivers and of hills. Then a boat arrives late.", "The second line counts the boats that came", "and the third one ends the whole paragraph here"]
+    source = "\n".join(lines) + "\n\nAnother paragraph follows with words of its own"
+    quotes = {
+        2: f"> {lines[0]}\n> {lines[1]}\ntwo of three lines",
+        3: f"> {lines[2]}\n> Another paragraph follows with words of its own\nparagraphs without a blank line",
+        4: "> counts the boats that\n> came and the third one\n> ends the whole\nre-wrapped part",
+        5: "> Then a boat arrives late.\none sentence",
+        6: f">> {lines[1]}\nonly a nested quote",
+        7: "> Then a boat sank with all of the cargo that it had on board\nnot what was said",
+        8: f"> paragraphs without a blank line\n>> {lines[0]}\n>> {lines[1]}\nthe smallest level wins",
+    }
+    rows = [(1, 0, "user", source), (1, 1, "assistant", "An unrelated answer here"), *((1, turn, "user", text) for turn, text in quotes.items()), (2, 0, "user", quotes[4]), (0, 0, "user", quotes[4])]
+    got = {(r.conv_id, r.turn): r for r in quote_links.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert all((got[1, turn].parent_conv, got[1, turn].parent_turn, got[1, turn].by_quote) == (1, 0, True) for turn in (2, 3, 4, 5, 6))
+    assert (got[1, 7].parent_turn, got[1, 7].by_quote) == (6, False) and (got[1, 8].parent_turn, got[1, 8].by_quote) == (3, True)
+    assert (got[2, 0].parent_conv, got[2, 0].parent_turn, got[2, 0].by_quote) == (1, 0, True) and not got[0, 0].by_quote
+
+
 # 9
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=80))
