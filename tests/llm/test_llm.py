@@ -167,6 +167,14 @@ def test_line_templates(spark, odd, empty):
     assert line_templates.drop_recurring(odd).count() == 8 and line_templates.drop_recurring(empty).count() == 0
 
 
+def test_every_family_of_a_leaf_is_a_template(spark):
+    families = ["disk sector check has gone well on drive {}", "user session token was sent out to host {}", "cache shard entry did miss for the key {}"]
+    rows = [(10 * f + i, "2020 10:00 INFO app: " + family.format("abcdefghij"[i] * 3)) for f, family in enumerate(families) for i in range(3)]
+    rows.append((99, "2020 10:00 INFO app: nothing else in this leaf looks like that line"))
+    got = {r.doc_id: r.n_dropped for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i % 10 > 0 and i != 99) for i, _ in rows}
+
+
 # 5
 @given(st.one_of(st.none(), st.integers(-(2**63), 2**63 - 1)), st.binary(max_size=8))
 def test_record_ids_round_trip(number, salt):
