@@ -138,3 +138,19 @@ def estimated_tokens(text: Column, characters_per_token: float = 3.8) -> Column:
 def ngram_id(ids: Column, vocabulary: int) -> Column:
     """Base-``vocabulary`` number of ids + 1, as a BIGINT."""
     return F.aggregate(ids, F.lit(0).cast("long"), lambda acc, x: acc * vocabulary + x + 1)
+
+
+def ngram_ids(ids: Column, vocabulary: int, most: int = 4) -> Column:
+    """The distinct ``ngram_id`` of all n-grams, n from 1 to ``most``; the array is zipped with itself as in ``ngrams``."""
+    def of(n: int) -> Column:
+        size = F.greatest(F.size(ids) - (n - 1), F.lit(0))
+        zipped = F.arrays_zip(*[F.slice(ids, F.lit(i + 1), size) for i in range(n)])
+        return F.transform(zipped, lambda x: ngram_id(F.array(*[x[str(i)] for i in range(n)]), vocabulary))
+
+    return F.array_distinct(F.concat(*[of(n) for n in range(1, most + 1)]))
+
+
+def utf8_bytes(text: Column) -> Column:
+    """The bytes of a text as BIGINTs."""
+    pairs = F.filter(F.split(F.regexp_replace(F.hex(F.encode(text, "UTF-8")), "(..)", "$1 "), " "), lambda x: x != "")
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("long"))

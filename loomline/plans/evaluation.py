@@ -91,6 +91,13 @@ def anls_scores(spark, d):
     return rows.select("conv_id", "turn", score.alias("anls"))
 
 
+@query()
+def anls_scores_whole(spark, d):
+    """``anls_scores`` of whole texts: each against itself without its first two characters."""
+    score = A.anls(F.col("text"), F.array(F.substring("text", 3, 2**31 - 1)))
+    return table(spark, d, "conversations").select("conv_id", "turn", score.alias("anls"))
+
+
 @query("SELECT event_id, abs(value - value * 1.04::DOUBLE) <= 0.05::DOUBLE * abs(value * 1.04::DOUBLE) AS close FROM events WHERE value <> 0")
 def relaxed_accuracy(spark, d):
     rows = table(spark, d, "events").filter("value <> 0")
@@ -172,6 +179,13 @@ def ngram_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", T.ngram_id(ids, 50257).alias("id"))
 
 
+@query()
+def document_ngram_ids(spark, d):
+    """The distinct ids of all n-grams, n from 1 to 4, of each text's bytes: base 256 holds four of them in a BIGINT."""
+    rows = table(spark, d, "documents").withColumn("bytes", T.utf8_bytes(F.coalesce("text", F.lit(""))))
+    return rows.select("doc_id", T.ngram_ids(F.col("bytes"), 256).alias("ids"))
+
+
 @query("SELECT conv_id, turn, role, role <> 'assistant' AS masked, CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END AS target FROM conversations")
 def masked_turns(spark, d):
     rows = table(spark, d, "conversations")

@@ -143,3 +143,21 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
         stages.run_available(spark, str(tmp_path / "in"), docs.schema, stage, str(tmp_path / "out"), str(tmp_path / "state"), 2)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in stage(docs).collect())
+
+
+def test_whole_texts_are_scored_numbered_and_packed(spark, tmp_path):
+    from loomline.plans import registry
+
+    texts = ["abcabd", "é", "", "x" * 5000, "abcdefghij" * 10 + "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.selectExpr("doc_id as conv_id", "0L as turn", "text").write.parquet(f"{tmp_path}/conversations.parquet")
+    ids = {r.doc_id: r.ids for r in registry.QUERIES["document_ngram_ids"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        want = {sum((b + 1) * 256 ** (n - 1 - k) for k, b in enumerate(raw[j : j + n])) for n in range(1, 5) for j in range(len(raw) - n + 1)}
+        assert len(ids[i]) == len(want) and set(ids[i]) == want
+    scores = {r.conv_id: r.anls for r in registry.QUERIES["anls_scores_whole"](spark, str(tmp_path)).collect()}
+    assert abs(scores[4] - 100 / 102) < 1e-9 and scores[2] == 0
+    steps = {r.doc_id: r.step for r in registry.QUERIES["multipacked"](spark, str(tmp_path)).collect()}
+    assert steps[3] == -1 and all(steps[i] >= 0 for i in (0, 1, 2, 4))
