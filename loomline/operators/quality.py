@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +150,80 @@ def node_filter(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sep
     return docs.withColumn(text, F.array_join(F.filter(F.split(text, separator, -1), ok), separator))
 
 
+@dataclass(frozen=True)
+class Web:
+    """Cutoffs of a web text, by default those of a paragraph; DOCUMENT has those of a document."""
+
+    min_words: int = 4
+    max_words: int = 1000
+    character_length: int = 10
+    max_character_repetition: float = 0.1
+    word_length: int = 5
+    max_word_repetition: float = 0.1
+    max_special: float = 0.3
+    min_stop_words: float = 0.3
+    max_flagged: float = 0.01
+    min_punctuation_words: int = 12
+    min_punctuation: float = 0.001
+    min_common_words: float = 0.8
+
+
+DOCUMENT = Web(min_words=10, max_words=2000, max_word_repetition=0.2, max_special=0.275, min_stop_words=0.35, min_punctuation_words=-1, min_punctuation=0.03, min_common_words=0.9)
+_SPECIAL = T.PUNCTUATION + "0123456789"
+_MARKS = re.escape(T.PUNCTUATION)
+
+
+def web_check(text: str, stop_words: frozenset, flagged_words: frozenset, common_words: frozenset, p: Web = Web()) -> str | None:
+    """The first check that a text fails, in the reference's order; None if it passes all."""
+    words = [w for w in (x.lower().strip(_SPECIAL + " ") for x in re.split("[ \n\t]", text)) if w]
+    if not p.min_words <= len(words) <= p.max_words:
+        return "number_words"
+    counts = sorted(Counter(text[i : i + p.character_length] for i in range(len(text) - p.character_length + 1)).values(), reverse=True)
+    top = min(math.isqrt(len(counts)), sum(c > 1 for c in counts))
+    if counts and sum(counts[:top]) / sum(counts) > p.max_character_repetition:
+        return "character_repetition"
+    counts = Counter(tuple(words[i : i + p.word_length]) for i in range(len(words) - p.word_length + 1)).values()
+    if counts and sum(c for c in counts if c > 1) / sum(counts) > p.max_word_repetition:
+        return "word_repetition"
+    if text and sum(c in _SPECIAL for c in text) / len(text) > p.max_special:
+        return "special_characters"
+    share = lambda listed: sum(w in listed for w in words) / max(1, len(words))
+    if share(stop_words) < p.min_stop_words:
+        return "stop_words"
+    if share(flagged_words) > p.max_flagged:
+        return "flagged_words"
+    tokens = re.findall(f"[\\w']+|[{_MARKS}]", text)
+    short = 0 < len(tokens) < p.min_punctuation_words
+    if not short and sum(t in T.PUNCTUATION for t in tokens) / max(1, len(tokens)) < p.min_punctuation:
+        return "punctuation"
+    return "common_words" if share(common_words) < p.min_common_words else None
+
+
+def web_document_filter(docs: DataFrame, stop_words: list[str], flagged_words: list[str], common_words: list[str], text: str = "text", images: str | None = None, node: Web = Web(), document: Web = DOCUMENT, separator: str = "\n\n", keep: str = "END", min_images: int = 1, max_images: int = 30) -> DataFrame:
+    """Documents without the paragraphs that fail a check, with the column ``failed``: the document's first failed check, null if it's kept.
+
+    ``images`` is a column with a document's number of images, not checked if
+    there's none.  Language and perplexity, which need models, are not checked.
+    A null text counts as empty.
+    """
+    lists = [frozenset(x) for x in (stop_words, flagged_words, common_words)]
+
+    def check(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            out = []
+            for t in texts:
+                kept = separator.join(x for x in (t or "").split(separator) if x == keep or web_check(x, *lists, node) is None)
+                out.append((kept, web_check(kept, *lists, document)))
+            yield pd.DataFrame(out, columns=["text", "failed"])
+
+    checked = F.pandas_udf(check, "text string, failed string")(F.col(text))
+    out = docs.withColumn("_web", checked)
+    failed = F.col("_web.failed")
+    if images:
+        failed = F.when(~F.coalesce(F.col(images).between(min_images, max_images), F.lit(False)), "number_images").otherwise(failed)
+    return out.select(*[F.col("_web.text").alias(c) if c == text else F.col(c) for c in docs.columns], failed.alias("failed"))
+
+
 def remove_spam(text: Column, spam: list[str], cutoff: float = 0.12, separator: str = "\n") -> Column:
     return F.array_join(F.filter(F.split(text, separator, -1), lambda x: T.member_ratio(T.words(x), spam) < cutoff), separator)
 

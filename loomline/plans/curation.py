@@ -180,6 +180,15 @@ def node_filter(spark, d):
     return quality.node_filter(table(spark, d, "documents").select("doc_id", "text"))
 
 
+@query()
+def web_document_filter(spark, d):
+    """All checks of web paragraphs and documents; the stop words and common words are the corpus's most frequent ones, a bounded list."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    counts = docs.select(F.explode(T.words(F.col("text"))).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(65_536)
+    common = [r.w for r in counts.collect()]
+    return quality.web_document_filter(docs, common[:100], T.SPAM_WORDS, common)
+
+
 @query(rf"""
 WITH n AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS p FROM documents),
 w AS (SELECT *, {_NODE_WORDS} AS w FROM n),

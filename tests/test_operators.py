@@ -161,3 +161,30 @@ def test_whole_texts_are_scored_numbered_and_packed(spark, tmp_path):
     assert abs(scores[4] - 100 / 102) < 1e-9 and scores[2] == 0
     steps = {r.doc_id: r.step for r in registry.QUERIES["multipacked"](spark, str(tmp_path)).collect()}
     assert steps[3] == -1 and all(steps[i] >= 0 for i in (0, 1, 2, 4))
+
+
+def test_web_checks_in_order(spark):
+    from loomline.operators import quality
+
+    stop, flagged, common = frozenset({"the", "of", "a"}), frozenset({"vile"}), frozenset("the of a bird cat dog fox hen owl pig ram rat saw met by on old in new red vile".split())
+    good = "The bird of a cat saw the dog, a fox of the hen met a new owl."
+    check = lambda text: quality.web_check(text, stop, flagged, common)
+    assert check(good) is None
+    wrong = {
+        "the bird": "number_words",
+        "the a of the " * 9: "character_repetition",
+        "the bird of a cat met dog, " * 2 + "old": "character_repetition",
+        "the a of !!!! #### $$$$ old %%%": "special_characters",
+        "bird cat dog fox hen owl pig ram": "stop_words",
+        "the vile bird of a cat": "flagged_words",
+        "the bird of a cat saw the dog on a red old fox of the hen": "punctuation",
+        "the zzz of a qqq": "common_words",
+    }
+    assert {t: check(t) for t in wrong} == wrong
+    words = "the a of bird cat".split()
+    spaced = " ".join(words) + " " + "  ".join(words) + "."
+    assert quality.web_check(spaced, stop, flagged, common, quality.Web(max_character_repetition=1.0)) == "word_repetition"
+    rows = [(1, good + "\n\nzzz qqq\n\nEND", 2), (2, good, 0), (3, None, 1), (4, "zzz", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = {r.doc_id: (r.text, r.failed) for r in quality.web_document_filter(docs, list(stop), list(flagged), list(common | {"end"}), images="n").collect()}
+    assert got == {1: (good + "\n\nEND", None), 2: (good, "number_images"), 3: ("", "number_words"), 4: ("", "number_words")}
