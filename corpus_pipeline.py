@@ -15,6 +15,10 @@ from loomline.llm.queries import tokenizer
 from loomline.llm.scratch import materialise
 
 
+#: Documents that hold a short line before it counts as recurring.
+SHORT_DOCS = 20
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier predicts toxic go; the labels are learnt from the stage's own documents."""
     model = compress_tox.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -23,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates stay in one document only; n_chars follows the text."""
-    done = line_templates.drop_recurring(docs).drop("n_lines", "n_dropped")
+    """Lines of recurring templates, and short lines of many documents, stay in one document only; n_chars follows the text."""
+    done = line_templates.drop_recurring(docs, short_docs=SHORT_DOCS).drop("n_lines", "n_dropped")
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

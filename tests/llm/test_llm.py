@@ -175,6 +175,15 @@ def test_every_family_of_a_leaf_is_a_template(spark):
     assert got == {i: int(i % 10 > 0 and i != 99) for i, _ in rows}
 
 
+def test_short_lines_of_many_documents(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"own text of {'abcdefghijklmnopqrstuvwxyz'[i % 26] * (1 + i // 26)}\nAll rights  reserved.\n\n{'Thanks a lot' if i < 5 else ''}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_recurring_lines(spark, docs, "").collect()}
+    assert got == {i: text if i == 0 else text.replace("All rights  reserved.\n", "") for i, text in rows}
+
+
 # 5
 @given(st.one_of(st.none(), st.integers(-(2**63), 2**63 - 1)), st.binary(max_size=8))
 def test_record_ids_round_trip(number, salt):
