@@ -16,16 +16,17 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, members: str, to
 
     ``groups`` has one row a key and its number of rows in ``members``; ``total``
     is the sum of ``members``.  Hot groups number HOT_SHARE at most by
-    definition, whatever the input, and are broadcast.  Rows that found theirs
-    are dealt evenly by ``spread`` and join nothing more; the others meet their
-    group in a shuffled join in which no key holds over 1/HOT_SHARE of the rows.
+    definition, whatever the input, and are broadcast.  Rows that found theirs,
+    and rows with a null key, are dealt evenly by ``spread`` and join nothing more;
+    the others meet their group in a shuffled join in which no key holds over
+    1/HOT_SHARE of the rows.
     """
     others = [c for c in groups.columns if c != key]
     packed = groups.select(F.col(key).alias("_k"), F.col(members).alias("_m"), F.struct(*others).alias("_g"))
     hot = packed.filter(F.col("_m") * HOT_SHARE > F.lit(total)).select("_k", F.col("_g").alias("_hot"))
     cold = packed.filter(F.col("_m") * HOT_SHARE <= F.lit(total)).select("_k", F.lit(0).alias("_s"), F.col("_g").alias("_cold"))
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_k"), "left").drop("_k")
-    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.lit(1) + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int"))
+    salt = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(F.lit(1) + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int"))
     out = out.withColumn("_salt", salt).join(cold, (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left")
     got = F.coalesce("_hot", "_cold")
     return out.select(*rows.columns, *[got[c].alias(c) for c in others])
@@ -53,8 +54,11 @@ def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
     Alternates the large-star and small-star steps of Kiveris et al.,
     "Connected Components in MapReduce and Beyond" (SoCC 2014), until the edges
     are stars around the smallest node of each component.  Only the linked nodes
-    take part.  Each round is written to the shared folder, and the driver sees
-    two numbers a round.  Not settling within ``max_rounds`` is an error.
+    take part.  The hub of a large component has most edges of a round: a node's
+    smallest neighbour is an aggregate with partial sums, and goes back to the
+    node's edges by ``attach_groups``, so that no task holds a hub.  Each round is
+    written to the shared folder, and the driver sees three numbers a round.  Not
+    settling within ``max_rounds`` is an error.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     current = materialise(edges.filter(F.col("a") != F.col("b")).select(high.alias("a"), low.alias("b")).distinct(), f"{label}-0")
@@ -63,12 +67,12 @@ def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
         if seen[0] == 0:
             break
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"), F.count("*").alias("n"))
+        large = attach_groups(both, least, "a", "n", 2 * seen[0], F.col("b")).filter(F.col("b") > F.col("a"))
+        large = materialise(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"{label}-{step}-large")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = attach_groups(large, least, "a", "n", large.count(), F.col("b")).filter(F.col("b") != F.col("m"))
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         current = materialise(small, f"{label}-{step}")
         now = _digest(current)
         if now == seen:
