@@ -1,11 +1,14 @@
 """Token counts as an exact length histogram.
 
 Each document is encoded once, whole, and only its length is kept.  Documents are
-aggregated by encoded length, and suffix sums over that histogram answer, for
+aggregated by encoded length and that histogram is written to the shared folder, so
+that what reads it twice encodes nothing again.  Suffix sums over it answer, for
 every context limit L, what would otherwise need another pass: how many documents
 reach L, how many tokens they hold, how many tokens are left when each document
 is cut at L, and which length stands at a quantile.
 
+Documents may have columns of any name: only the id and the text are read.
+
 The histogram has one row a distinct length.  Its suffix sums run in blocks of
 ``BLOCK`` lengths, so no task holds more than a block and the list of blocks.
 
@@ -22,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import materialise
+
 #: Lengths whose sums one window holds.
-BLOCK = 1024
+BLOCK = 256
 
 _loaded: dict[tuple[str, str], object] = {}
 
@@ -57,7 +62,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     ``truncated_tokens`` is the corpus's size when documents are cut at this
     length, ``quantile`` the share of documents of this length or less.
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("_block", F.floor(F.col("n_tokens") / BLOCK))
+    counts = materialise(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "token-histogram")
+    counts = counts.withColumn("_block", F.floor(F.col("n_tokens") / BLOCK))
     counts = counts.withColumn("_tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = counts.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum("_tokens").alias("_t"))
     later = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
