@@ -9,20 +9,22 @@ fingerprint bit is set if over half of the hashes set it.
 Links.  Equal fingerprints are one class.  Two fingerprints that differ in at
 most 2 of 64 bits agree in two of four 16-bit segments at least, so classes meet
 in groups that share two segments: six groups for each class.  A group with over
-a thousandth of all classes is dealt again by two of the four 8-bit segments of
-what its members do not share yet, by the same argument; after that 16 bits are
-free, and no group has over 65,536 members.
+``MAX_GROUP`` members is dealt again by two of the four 8-bit segments of what its
+members do not share yet, by the same argument; after that 16 bits are free, and
+no group has over 65,536 members, whatever the input.
 
 Index.  A group's members, in order of Gray rank, are the leaves.  Members next
-to each other share most bits; each node holds the bits that all leaves under it
-share, and their values.  A search goes down from the root: the differing bits
-among those that a node's leaves share are a lower bound for all of them, so
-beyond the limit the whole node is left out.  Links found become a spanning
+to each other share most bits; a node holds, as a mask and its pattern, the bits
+that all leaves under it share and its parent does not hold yet.  A search goes
+down from the root and adds up the differing bits node by node: what has added up
+is a lower bound for all leaves under a node, so beyond the limit the whole node
+is left out, and at a leaf it is the distance.  Links found become a spanning
 forest of the group, never all pairs.  Components over all groups then link the
 classes.
 
 A null text counts as empty.  Rows with a null id take part; a component of null
-ids only has a null id.  An empty table gives an empty result.
+ids only has a null id.  An empty table gives an empty result.  Only id and text
+are read, so other columns may have any name; ``keep_one`` returns all of them.
 """
 
 from __future__ import annotations
@@ -40,8 +42,10 @@ from .scratch import materialise
 
 #: Bits in which linked fingerprints may differ.  The segments rely on it.
 MAX_BITS = 2
-#: Groups over this and over 1/HOT_SHARE of all classes are dealt again.
-MIN_HOT, HOT_SHARE = 4096, 1000
+#: Members of a group; larger ones are dealt again.
+MAX_GROUP = 4096
+#: Groups to be dealt again (8 bytes each) that are broadcast, at most, and into how many shares the rows of one go otherwise.
+MAX_BROADCAST, SALTS = 1 << 20, 64
 #: Children of an index node, and queries that search a group at a time.
 FANOUT, QUERIES = 8, 256
 
@@ -77,26 +81,33 @@ class GrayIndex:
     """Hierarchical index over fingerprints that are in order of Gray rank."""
 
     def __init__(self, marks: np.ndarray):
-        self.levels = [(marks, marks)]  # what all leaves under a node have, and what any has
-        while len(self.levels[-1][0]) > 1:
-            every, some = self.levels[-1]
-            at = np.arange(0, len(every), FANOUT)
-            self.levels.append((np.bitwise_and.reduceat(every, at), np.bitwise_or.reduceat(some, at)))
+        every, some = [marks], [marks]  # the bits that all leaves under a node have, and those that any has
+        while len(every[-1]) > 1:
+            at = np.arange(0, len(every[-1]), FANOUT)
+            every.append(np.bitwise_and.reduceat(every[-1], at))
+            some.append(np.bitwise_or.reduceat(some[-1], at))
+        shared = [~(a ^ b) for a, b in zip(every, some, strict=True)]
+        #: (mask, pattern) of each level, leaves first: a node's shared bits without those of its parent.
+        self.levels = []
+        for depth, mine in enumerate(shared):
+            above = shared[depth + 1][np.arange(len(mine)) // FANOUT] if depth + 1 < len(shared) else np.zeros_like(mine)
+            self.levels.append((mine & ~above, every[depth] & mine & ~above))
 
     def search(self, queries: np.ndarray, limit: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
         """(query, member) positions of all pairs within ``limit`` bits."""
         query = np.arange(len(queries))
         node = np.zeros(len(queries), np.int64)
+        differ = np.zeros(len(queries), np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
-            every, some = self.levels[depth]
+            mask, pattern = self.levels[depth]
             if depth < len(self.levels) - 1:
                 node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                query = np.repeat(query, FANOUT)
-                there = node < len(every)
-                query, node = query[there], node[there]
-            shared = ~(every[node] ^ some[node])
-            near = np.bitwise_count((queries[query] ^ every[node]) & shared) <= limit
-            query, node = query[near], node[near]
+                query, differ = np.repeat(query, FANOUT), np.repeat(differ, FANOUT)
+                there = node < len(mask)
+                query, node, differ = query[there], node[there], differ[there]
+            differ = differ + np.bitwise_count((queries[query] & mask[node]) ^ pattern[node])
+            near = differ <= limit
+            query, node, differ = query[near], node[near], differ[near]
         return query, node
 
 
@@ -124,7 +135,7 @@ def forest(marks: np.ndarray) -> np.ndarray:
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, part, mark) sorted by group and Gray rank; holds one group beyond a batch."""
-    rest: np.ndarray | None = None
+    held: list[np.ndarray] = []
 
     def links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.flatnonzero((rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])) + 1
@@ -141,25 +152,27 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "part", "mark")], axis=1)
-        if rest is not None and len(rest):
-            rows = np.concatenate([rest, rows])
-        if not len(rows):
+        other = np.flatnonzero((rows[:, :2] != (held[-1] if held else rows)[-1, :2]).any(axis=1))
+        if held and not len(other):  # all of it belongs to the group that is open
+            held.append(rows)
             continue
-        open_from = np.flatnonzero((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] != rows[-1, 1]))
-        cut = open_from[-1] + 1 if len(open_from) else 0
-        rest = rows[cut:].copy()
-        if cut:
-            yield from links(np.ascontiguousarray(rows[:cut]))
-    if rest is not None and len(rest):
-        yield from links(rest)
+        last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
+        cut = last[-1] + 1 if len(last) else 0
+        if held or cut:
+            yield from links(np.ascontiguousarray(np.concatenate([*held, rows[:cut]])))
+        held = [rows[cut:].copy()]
+    if held:
+        yield from links(np.concatenate(held))
 
 
 def _segment(mark, at: int, bits: int):
     return F.shiftrightunsigned(mark, at).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def links(classes: DataFrame, total: int) -> DataFrame:
+def links(classes: DataFrame) -> DataFrame:
     """Edges (a, b) between the ``mark`` column's distinct fingerprints that connect all those within MAX_BITS."""
     pairs = [(i, j) for i in range(4) for j in range(i)]
     mark = F.col("mark")
@@ -171,9 +184,13 @@ def links(classes: DataFrame, total: int) -> DataFrame:
         for n, (i, j) in enumerate(pairs)
     ])
     dealt = classes.select("mark", F.explode(keys).alias("k")).select("mark", "k.key", "k.n")
-    bound = max(MIN_HOT, total // HOT_SHARE)
-    hot = dealt.groupBy("key").count().filter(F.col("count") > bound).select(F.col("key").alias("_key"))  # 6 * HOT_SHARE at most
-    marked = dealt.join(F.broadcast(hot), F.col("key") == F.col("_key"), "left")
+    hot = materialise(dealt.groupBy("key").count().filter(F.col("count") > MAX_GROUP).select(F.col("key").alias("_key")), "simhash-hot")
+    if hot.count() <= MAX_BROADCAST:
+        marked = dealt.join(F.broadcast(hot), F.col("key") == F.col("_key"), "left")
+    else:
+        salted = hot.select("_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        salt = F.pmod(F.xxhash64("mark"), F.lit(SALTS)).cast("int")
+        marked = dealt.join(salted, (F.col("key") == F.col("_key")) & (salt == F.col("_salt")), "left")
     parts = F.lit(None).cast("array<long>")
     for n, (i, j) in enumerate(pairs):
         a, b = [16 * s for s in range(4) if s not in (i, j)]
@@ -190,15 +207,52 @@ def links(classes: DataFrame, total: int) -> DataFrame:
     return ordered.mapInArrow(_link, "a long, b long").distinct()
 
 
+def _classes(marked: DataFrame) -> tuple[DataFrame, int]:
+    """(mark, members, component_id, keeper) of the distinct fingerprints of (doc_id, mark, row) rows, and the number of rows.
+
+    ``keeper`` is the row of the component that stays: the one with the smallest
+    id (null ids after all others), then the smallest row number.
+    """
+    keeper = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "row"))
+    classes = materialise(marked.groupBy("mark").agg(F.count("*").alias("members"), keeper.alias("keeper")), "simhash-classes")
+    total = classes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    linked = components(links(classes), "simhash-links")
+    joined = classes.join(linked, F.col("mark") == F.col("node"), "left").withColumn("root", F.coalesce("component", "mark"))
+    sizes = joined.groupBy("root").agg(F.min("keeper").alias("least"), F.count("*").alias("n"))
+    rows = joined.select("mark", "members", "root")
+    # a component may hold most classes: its keeper goes back to them like any other group's
+    groups = attach_groups(rows, sizes, "root", "n", classes.count(), F.col("mark"))
+    return groups.select("mark", "members", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("keeper")), total
+
+
+def _marked(rows: DataFrame, width: int) -> DataFrame:
+    return rows.mapInArrow(_fingerprints(width), "doc_id long, mark long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """A row a document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    marked = materialise(rows.mapInArrow(_fingerprints(width), "doc_id long, mark long"), "simhash-marks")
-    classes = materialise(marked.groupBy("mark").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members")), "simhash-classes")
-    n, total = classes.agg(F.count("*"), F.coalesce(F.sum("members"), F.lit(0))).first()
-    linked = components(links(classes, n), "simhash-links")
-    joined = classes.join(linked, F.col("mark") == F.col("node"), "left").withColumn("root", F.coalesce("component", "mark"))
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "_root")
-    groups = joined.join(least, F.col("root") == F.col("_root")).select("mark", "members", "component_id")
+    marked = materialise(_marked(rows, width), "simhash-marks")
+    groups, total = _classes(marked.withColumn("row", F.lit(0).cast("long")))
     found = attach_groups(marked, groups, "mark", "members", total, F.col("doc_id"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """One row of ``docs`` for each component: the one with the smallest id, null ids after all others.
+
+    Rows are told apart by a number that each gets in a written copy, so a row
+    without an id, or one that repeats another's id or text, stays or goes by itself.
+    """
+
+    @F.arrow_udf("long")
+    def mark(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.array([fingerprint(t, width) for t in texts.to_pylist()], dtype=np.uint64).view(np.int64))
+
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), mark(text).alias("mark"))
+    packed = materialise(packed.withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
+    groups, total = _classes(packed.select("doc_id", "mark", "row"))
+    found = attach_groups(packed.select("doc", "mark", "row"), groups.select("mark", "members", "keeper"), "mark", "members", total, F.col("row"))
+    return found.filter(F.col("row") == F.col("keeper")).select("doc.*")
