@@ -9,18 +9,24 @@ lacks: a record id, an ISO 8601 date, a record type, block and payload digests.
 
 Records with equal payloads (SHA-256 and length) of ``min_revisit`` bytes or
 more are written once, as the response with the smallest source id; the others
-are revisits that refer to it and carry no payload.
+are revisits that refer to it and carry no payload.  A record is known by its
+source id and its place in the source's ARC file; its record id is made of the two,
+so a revisit's ``WARC-Refers-To`` is the id of a record that is written.
 
 Archives are written by Spark's own text writer, so they land in any file system
-that Spark can write: each row is a whole gzip member, as the format wants, and
-the line separator is an empty gzip member, which readers pass over.  Only source
-id and digest are shuffled to find copies; payloads move once, to meet their
+that Spark can write: each record is a whole gzip member, as the format wants, a
+row is a run of members of about ``RUN_BYTES``, and the line separator is an empty
+gzip member, which readers pass over.  A file holds ``FILE_RUNS`` rows at most, so
+archives stay near ``FILE_RUNS * RUN_BYTES`` (and the longest record) at any input.
+Only ids and digests are shuffled to find copies; payloads move once, to meet their
 verdict.
 
-A null payload counts as empty.  Records without a source id (null) sort after
-all others: they are a copy's response only if all its records lack one.  Rows
-repeated with the same id and payload are all the response.  An empty table
-gives an archive of warcinfo records, or none.
+A null payload counts as empty, a null URL as one without a host.  Records without
+a source id (null) sort after all others: they are a copy's response only if all its
+records lack one.  Rows that repeat an id share its record id; with the same payload
+they are all the response.  Pages may have other columns of any name.  An empty table
+gives an archive of warcinfo records, or none.  A damaged ARC file raises, or, if
+``strict`` is off, gives the records before the damage.
 """
 
 from __future__ import annotations
@@ -49,6 +55,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 #: Compression level of a record: fast, since pages compress well at any level.
 LEVEL = 3
+#: Bytes of gzip members in a row that is written, about, and rows in a file, at most.
+RUN_BYTES, FILE_RUNS = 1 << 20, 32
 #: A whole gzip member without content.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 
@@ -128,11 +136,11 @@ def warc_type(record: ArcRecord) -> str:
     return "response" if record.url.split(":", 1)[0].lower() in ("http", "https") or record.http else "resource"
 
 
-def record_urn(source_id: int | None, salt: bytes) -> str:
-    """A version 8 UUID that holds the 64-bit source id and bits of a digest of ``salt``."""
+def record_urn(source_id: int | None, nth: int, salt: bytes = b"record") -> str:
+    """A version 8 UUID of record ``nth`` of a source: it holds the 64-bit source id and bits of a digest of place and ``salt``."""
     value = (source_id or 0) & (1 << 64) - 1
     # bits: 48 of the digest, 4 version (8), 1 whether there is no id, 9 zero, 2 top bits of the id, 2 variant, 62 of the id
-    high = int.from_bytes(hashlib.sha256(salt).digest()[:6], "big") << 16 | 8 << 12 | (source_id is None) << 11 | value >> 62
+    high = int.from_bytes(hashlib.sha256(b"%d " % nth + salt).digest()[:6], "big") << 16 | 8 << 12 | (source_id is None) << 11 | value >> 62
     low = 2 << 62 | value & (1 << 62) - 1
     return f"<urn:uuid:{uuid.UUID(int=high << 64 | low)}>"
 
@@ -151,14 +159,16 @@ def digest32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def warc_record(record: ArcRecord, source: int | None, revisit_of: int | None = None, revisits: bool = False) -> bytes:
+def warc_record(record: ArcRecord, source: int | None, nth: int = 0, refers_to: str | None = None) -> bytes:
+    """A record; ``refers_to``, the record id of another with the same payload, makes it a revisit."""
+    revisits = refers_to is not None
     payload = record.payload
     kind = "revisit" if revisits else warc_type(record)
     block = record.block[: len(record.block) - len(payload)] if revisits else record.block
     mime = "application/http;msgtype=response" if record.http else record.mime
     head = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", record_urn(source, record.url.encode())),
+        ("WARC-Record-ID", record_urn(source, nth)),
         ("WARC-Date", warc_date(record.date)),
         ("WARC-Target-URI", record.url),
         ("WARC-IP-Address", record.ip),
@@ -169,14 +179,14 @@ def warc_record(record: ArcRecord, source: int | None, revisit_of: int | None =
         ("Content-Length", str(len(block))),
     ]
     if revisits:
-        head[2:2] = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_urn(revisit_of, b""))]
+        head[2:2] = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", refers_to)]
     lines = b"".join(f"{k}: {v}\r\n".encode() for k, v in head)
     return WARC_VERSION + b"\r\n" + lines + b"\r\n" + block + b"\r\n\r\n"
 
 
 def warcinfo() -> bytes:
     block = b"software: loomline\r\nformat: WARC File Format 1.1\r\n"
-    head = f"WARC-Type: warcinfo\r\nWARC-Record-ID: {record_urn(None, block)}\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n"
+    head = f"WARC-Type: warcinfo\r\nWARC-Record-ID: {record_urn(None, 0, block)}\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n"
     return WARC_VERSION + b"\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -219,62 +229,84 @@ def frame_pages(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """(source_id, arc) from ARC files, plain or gzipped; the id is a hash of the file's place."""
+    """(source_id, arc) from ARC files, plain or gzipped, each read whole; the id is a hash of the file's place."""
     return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("source_id"), F.col("content").alias("arc"))
 
 
-def _records(arc: bytes) -> Iterator[ArcRecord]:
-    return parse_arc(gzip.decompress(arc) if arc[:2] == b"\x1f\x8b" else arc)
+def _records(arc: bytes, strict: bool = True) -> Iterator[ArcRecord]:
+    try:
+        yield from parse_arc(gzip.decompress(arc) if arc[:2] == b"\x1f\x8b" else arc)
+    except (ValueError, EOFError, OSError):
+        if strict:
+            raise
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(i, hashlib.sha256(r.payload).digest(), len(r.payload)) for i, arc in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in _records(arc)]
-        ids, keys, sizes = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], names=["source_id", "sha", "payload_bytes"])
+def _digests(strict: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, nth, hashlib.sha256(r.payload).digest(), len(r.payload)) for i, arc in zip(*(c.to_pylist() for c in batch.columns), strict=True) for nth, r in enumerate(_records(arc, strict))]
+            cols = zip(*rows, strict=True) if rows else ((), (), (), ())
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["source_id", "nth", "sha", "payload_bytes"])
 
+    return run
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One ARC record a row, still as an ARC file, with the key that finds its verdict."""
-    for batch in batches:
-        ids, keys, arcs = [], [], []
-        for i, arc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for r in _records(arc):
-                ids.append(i)
-                keys.append(hashlib.sha256(r.payload).digest())
-                arcs.append(arc_file([r], r.version))
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(arcs, pa.binary())], names=["source_id", "sha", "arc"])
 
+def _split(strict: bool):
+    """One ARC record a row, still as an ARC file, with its place and the digest that finds its verdict."""
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    first = True
-    for batch in batches:
-        out = [gzip.compress(warcinfo(), LEVEL, mtime=0)] if first else []
-        first = False
-        for i, arc, again, of in zip(*(batch.column(c).to_pylist() for c in ("source_id", "arc", "again", "first_id")), strict=True):
-            out += [gzip.compress(warc_record(r, i, of, bool(again)), LEVEL, mtime=0) for r in _records(arc)]
-        yield pa.record_batch([pa.array(out, pa.binary())], names=["member"])
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, places, keys, arcs = [], [], [], []
+            for i, arc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for nth, r in enumerate(_records(arc, strict)):
+                    ids.append(i)
+                    places.append(nth)
+                    keys.append(hashlib.sha256(r.payload).digest())
+                    arcs.append(arc_file([r], r.version))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(keys, pa.binary()), pa.array(arcs, pa.binary())], names=["source_id", "nth", "sha", "arc"])
 
-def revisits(arcs: DataFrame, min_revisit: int = 0) -> DataFrame:
-    """(source_id, sha, first_id): the records that repeat an earlier payload."""
-    rows = materialise(arcs.mapInArrow(_digests, "source_id long, sha binary, payload_bytes long"), "arc-digests")
-    groups = rows.groupBy("sha", "payload_bytes").agg(F.min("source_id").alias("first_id"), F.count("*").alias("n"))
-    groups = groups.filter(F.col("payload_bytes") >= min_revisit).filter("n > 1").select("sha", "first_id", "n")
-    found = attach_groups(rows, groups, "sha", "n", rows.count(), F.col("source_id"))
-    later = found.filter(F.col("n").isNotNull() & ~F.col("source_id").eqNullSafe(F.col("first_id")))
-    return later.select("source_id", "sha", "first_id").distinct()
+    return run
 
 
-def convert(arcs: DataFrame, path: str, min_revisit: int = 0) -> None:
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of gzip members; each starts with a warcinfo record, so that every file does."""
+    info = gzip.compress(warcinfo(), LEVEL, mtime=0)
+    run, size = [info], len(info)
+    for batch in batches:
+        for i, nth, arc, again, first, place in zip(*(batch.column(c).to_pylist() for c in ("source_id", "nth", "arc", "again", "first_id", "first_nth")), strict=True):
+            refers_to = record_urn(first, place) if again else None
+            for r in _records(arc):
+                run.append(gzip.compress(warc_record(r, i, nth, refers_to), LEVEL, mtime=0))
+                size += len(run[-1])
+            if size >= RUN_BYTES:
+                yield pa.record_batch([pa.array([b"".join(run)], pa.binary())], names=["member"])
+                run, size = [info], len(info)
+    if len(run) > 1:
+        yield pa.record_batch([pa.array([b"".join(run)], pa.binary())], names=["member"])
+
+
+def revisits(arcs: DataFrame, min_revisit: int = 0, strict: bool = True) -> DataFrame:
+    """(source_id, nth, sha, first_id, first_nth): the records that repeat an earlier payload, and which."""
+    rows = materialise(arcs.mapInArrow(_digests(strict), "source_id long, nth int, sha binary, payload_bytes long"), "arc-digests")
+    first = F.min(F.struct(F.col("source_id").isNull().alias("_null"), "source_id", "nth"))
+    groups = rows.groupBy("sha", "payload_bytes").agg(first.alias("first"), F.count("*").alias("n"))
+    groups = groups.filter(F.col("payload_bytes") >= min_revisit).filter("n > 1").select("sha", "n", F.col("first.source_id").alias("first_id"), F.col("first.nth").alias("first_nth"))
+    found = attach_groups(rows, groups, "sha", "n", rows.count(), F.struct("source_id", "nth"))
+    later = found.filter(F.col("n").isNotNull() & ~(F.col("source_id").eqNullSafe(F.col("first_id")) & (F.col("nth") == F.col("first_nth"))))
+    return later.select("source_id", "nth", "sha", "first_id", "first_nth").distinct()
+
+
+def convert(arcs: DataFrame, path: str, min_revisit: int = 0, strict: bool = True) -> None:
     """Write the records of (source_id, arc) rows as gzipped WARC archives to ``path``."""
-    again = materialise(revisits(arcs, min_revisit), "arc-revisits").select(F.col("source_id").alias("_id"), F.col("sha").alias("_sha"), "first_id", F.lit(True).alias("again"))
-    rows = arcs.mapInArrow(_split, "source_id long, sha binary, arc binary")
-    same: Column = F.col("source_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))
+    again = materialise(revisits(arcs, min_revisit, strict), "arc-revisits")
+    again = again.select(F.col("source_id").alias("_id"), F.col("nth").alias("_nth"), F.col("sha").alias("_sha"), "first_id", "first_nth", F.lit(True).alias("again"))
+    rows = arcs.mapInArrow(_split(strict), "source_id long, nth int, sha binary, arc binary")
+    same: Column = F.col("source_id").eqNullSafe(F.col("_id")) & (F.col("nth") == F.col("_nth")) & (F.col("sha") == F.col("_sha"))
     known = rows.join(again, same, "left")
-    members = known.select("source_id", "arc", "again", "first_id").mapInArrow(_members, "member binary")
+    members = known.select("source_id", "nth", "arc", "again", "first_id", "first_nth").mapInArrow(_members, "member binary")
     text = members.select(F.col("member").cast("string").alias("value"))  # bytes as they are
-    text.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
+    text.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", FILE_RUNS).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
