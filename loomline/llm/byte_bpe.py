@@ -1,10 +1,10 @@
 """Byte-level BPE by backtracking over longest matches.
 
 Bytes are mapped to Latin-1 characters, one each, so that pyahocorasick, which
-works on text, can hold the byte vocabulary.  Its trie tells how far the bytes at
-a position go on as the beginning of some token, and a table by such beginnings
-gives the longest whole token among them.  The encoder takes the longest match
-that may follow the token before it and backs up where none can.
+works on text, can hold the byte vocabulary.  One pass of the automaton over a
+piece gives all tokens in it and with them the longest that begins at each
+position.  The encoder takes the longest match that may follow the token before it
+and backs up where none can.
 
 Which two tokens may stand side by side is a property of the merges alone: BPE
 leaves ``a`` and ``b`` adjacent exactly if encoding the bytes of ``a + b`` gives
@@ -14,16 +14,18 @@ which none goes on, yields the merges' own result in time linear in the piece.
 Compatibility is memoised.
 
 The splitting pattern and the rank file are parameters.  Special tokens are not
-recognised: their strings are ordinary text.  A null text counts as empty.
+recognised: their strings are ordinary text.  A null text counts as empty.  Rows
+that repeat an id are each encoded.  Only id and text are read, so other columns may
+have any name.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +37,31 @@ MAX_PAIRS = 500_000
 #: Longer pieces aren't memoised.
 MAX_PIECE_CHARS = 40
 
+#: Ids are kept as they are digested: little-endian, unsigned, of 32 bits.
+ID = np.dtype("<u4")
+
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+class Pieces(dict):
+    """Encoded pieces as bytes of ids; looking up one that isn't there encodes it."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        known = self.older.get(piece)
+        if known is None:
+            known = np.array(self.encode(piece.encode()), ID).tobytes()
+        if len(piece) <= MAX_PIECE_CHARS:
+            if len(self) >= MAX_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = known
+        return known
+
+
 class ByteBpe:
     """Encoder and decoder for one rank file and splitting pattern."""
 
@@ -51,20 +75,11 @@ class ByteBpe:
         self.length = {rank: len(token) for token, rank in ranks.items()}
         self.halves = {rank: self._halves(token) for token, rank in ranks.items()}
         self.shorter = {rank: self._longest_prefix(token) for token, rank in ranks.items()}
-        self.trie = ahocorasick.Automaton()
-        #: By each beginning of a token: the longest token that it starts with.
-        self.best: dict[str, int] = {}
-        for token in ranks:
-            text = token.decode("latin-1")
-            self.trie.add_word(text, 0)
-            for n in range(1, len(text) + 1):
-                begin = text[:n]
-                if begin not in self.best:
-                    rank = ranks.get(token[:n])
-                    self.best[begin] = self.best[begin[:-1]] if rank is None else rank
-        self.widest = max(map(len, ranks))
-        self.pieces: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.matches = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            self.matches.add_word(token.decode("latin-1"), (len(token) - 1, rank))
+        self.matches.make_automaton()
+        self.pieces = Pieces(self.encode_piece)
         self.pairs: dict[tuple[int, int], bool] = {}
 
     @classmethod
@@ -128,11 +143,13 @@ class ByteBpe:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        text, size, widest = piece.decode("latin-1"), len(piece), self.widest
-        reach, best, length, shorter = self.trie.longest_prefix, self.best, self.length, self.shorter
+        size, length, shorter = len(piece), self.length, self.shorter
+        longest = [0] * size
+        for end, (back, rank) in self.matches.iter(piece.decode("latin-1")):
+            longest[end - back] = rank  # ends only go up, so the last is the longest
         known, fits, dead = self.pairs.get, self.compatible, set()
         ids: list[int] = []
-        at, before, token = 0, None, best[text[: reach(text[:widest])]]
+        at, before, token = 0, None, longest[0]
         while True:
             end = at + length[token]
             if end not in dead:
@@ -143,9 +160,7 @@ class ByteBpe:
                     ids.append(token)
                     if end == size:
                         return ids
-                    at, before = end, token
-                    ahead = text[at : at + widest]
-                    token = best[ahead[: reach(ahead)]]
+                    at, before, token = end, token, longest[end]
                     continue
             token = shorter[token]
             while token is None:  # nothing goes on from here: give up the token before
@@ -155,24 +170,11 @@ class ByteBpe:
                 token = shorter[token]
             before = ids[-1] if ids else None
 
-    def encode(self, text: str) -> array:
-        ids, pieces = array("I"), self.pieces
-        extend = ids.extend
-        for piece in self.split(text):
-            known = pieces.get(piece)
-            if known is None:
-                known = self.older.get(piece)
-                if known is None:
-                    known = self.encode_piece(piece.encode())
-                if len(piece) <= MAX_PIECE_CHARS:
-                    if len(pieces) >= MAX_PIECES:
-                        self.older, self.pieces = pieces, (pieces := {})
-                    pieces[piece] = known
-            extend(known)
-        return ids
-
-    def decode(self, ids: array) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.split(text))), ID)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 _loaded: dict[tuple[str, str], ByteBpe] = {}
@@ -190,8 +192,6 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, with_ids: bo
     schema = ENCODED + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sys import byteorder
-
         bpe = encoder(rank_file, pattern)
         for batch in batches:
             counts, digests, decoded, all_ids = [], [], [], []
@@ -200,9 +200,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, with_ids: bo
                 counts.append(len(ids))
                 decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 if with_ids:
-                    all_ids.append(ids.tolist())
-                if byteorder == "big":
-                    ids.byteswap()
+                    all_ids.append(ids.astype(np.int32))
                 digests.append(hashlib.sha256(ids.tobytes()).hexdigest())
             cols = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
