@@ -17,12 +17,15 @@ logistic curve over the largest gain, the sum of gains and the number of windows
 gives the score.  Whole texts are scored, without state between rows.
 
 Learning takes at most ``MAX_LEARN`` labelled rows of each class, those with the
-smallest hash of the id among texts of up to ``MAX_LEARN_BYTES`` bytes, and none
-with crc32(id) mod 4 = 2.  Neither id nor label, language or source enters a score.
+smallest hash of the id (the id decides ties), and none with crc32(id) mod 4 = 2.
+Neither id nor label, language or source enters a score.
 
 A null text counts as empty; an empty text has no window and gets the curve's
 value for no gain.  A null id isn't held out.  With labels of one class only, or
-none, all scores are the share of toxic learning rows (0 if there are none).
+none, all scores are the share of toxic learning rows (0 if there are none).  Of
+rows that repeat an id one is learnt from; each is scored by its own text.  An
+empty table gives an empty result.  Columns of any other name are neither read
+nor changed: ``drop_toxic`` returns the documents' own columns.
 """
 
 from __future__ import annotations
@@ -39,8 +42,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows of each class to learn from, and the bytes of the longest text among them.
-MAX_LEARN, MAX_LEARN_BYTES = 2000, 16_000
+#: Labelled rows of each class to learn from, at most.
+MAX_LEARN = 2000
 #: Words a window.
 WINDOW = 16
 #: Bytes of the dictionaries.
@@ -193,14 +196,14 @@ def fit(rows: list[tuple[int, str, int]], share: float | None = None) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     ids = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~_held_out("doc_id"))
     ids = ids.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_y"))
-    texts = docs.filter((F.octet_length(text_col) > 0) & (F.octet_length(text_col) <= MAX_LEARN_BYTES))
-    at_hand = texts.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col)).alias("_h"))
+    texts = docs.filter(F.octet_length(text_col) > 0).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    at_hand = texts.select(F.col("_doc").alias("_id"), F.xxhash64("_doc").alias("_h")).distinct()
     pool = ids.join(at_hand, "_id")
     total, toxic = pool.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     picked = [pool.filter(F.col("_y") == y).orderBy("_h", "_id").limit(MAX_LEARN) for y in (0, 1)]
     few = picked[0].unionByName(picked[1]).select("_id", "_y")  # 2 * MAX_LEARN rows at most
-    rows = texts.join(F.broadcast(few), F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).alias("_text"), "_y").dropDuplicates(["_id"])
-    return fit([tuple(r) for r in rows.collect()], toxic / total if total else 0.0)
+    rows = texts.join(F.broadcast(few), F.col("_doc") == F.col("_id")).groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
+    return fit([tuple(r) for r in rows.select("_id", "_text", "_y").collect()], toxic / total if total else 0.0)
 
 
 def _held_out(column: str):
@@ -218,3 +221,17 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, SCORED)
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, each judged by its own text, in one pass without a shuffle.
+
+    Only the text goes to Python; the row stays where it is, whatever its columns.
+    """
+
+    @F.arrow_udf("boolean")
+    def toxic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(model.score(texts.to_pylist()) >= THRESHOLD, pa.bool_())
+
+    return docs.filter(~toxic(F.coalesce(F.col(text_col), F.lit(""))))
