@@ -80,7 +80,7 @@ def queries() -> dict:
 
 
 _LINES_SQL = """
-WITH raw AS (
+WITH RECURSIVE raw AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos
   FROM documents WHERE text IS NOT NULL
 ), joined AS (
@@ -90,20 +90,31 @@ WITH raw AS (
   FROM joined
 ), keyed AS (
   SELECT doc_id, pos, raw, toks, array_to_string(toks, ' ') AS line, len(toks) AS n, array_to_string(toks[1:4], ' ') AS head
-  FROM lines WHERE len(toks) >= 8 AND doc_id IS NOT NULL
+  FROM lines WHERE array_to_string(toks, ' ') <> '' AND doc_id IS NOT NULL
 ), distinct_lines AS (
-  SELECT n, head, line, any_value(toks) AS toks, min(doc_id) AS lo, max(doc_id) AS hi, count(*) AS c FROM keyed GROUP BY n, head, line
-), seeds AS (
-  SELECT n, head, line AS seed, toks AS seed_toks FROM (
-    SELECT *, row_number() OVER (PARTITION BY n, head ORDER BY c DESC, md5(line)) AS r FROM distinct_lines) WHERE r = 1
+  SELECT n, head, line, md5(line) AS h, any_value(toks) AS toks, min(doc_id) AS lo, max(doc_id) AS hi, count(*) AS c, count(DISTINCT doc_id) AS docs FROM keyed GROUP BY n, head, line
+), cuts AS (
+  SELECT *, n - 4 AS rest, n // 5 + 1 AS k, unnest(range(CASE WHEN n - 4 <= n // 5 THEN 1 ELSE n // 5 + 1 END)) AS i FROM distinct_lines WHERE n > 4
+), blocks AS (
+  SELECT n, head, h, c, i, CASE WHEN rest < k THEN '' ELSE array_to_string(toks[5 + i * rest // k : 4 + (i + 1) * rest // k], ' ') END AS part FROM cuts
+), met AS (
+  SELECT DISTINCT h, first_value(h) OVER (PARTITION BY n, head, i, part ORDER BY c DESC, h) AS other FROM blocks
+), agreed AS (
+  SELECT a.h, b.h AS other, b.c, a.n, len(list_filter(range(1, a.n + 1), lambda i: a.toks[i] = b.toks[i])) AS same
+  FROM met m JOIN distinct_lines a ON a.h = m.h JOIN distinct_lines b ON b.h = m.other WHERE m.h <> m.other
+), parents AS (
+  SELECT h, other AS parent FROM (
+    SELECT *, row_number() OVER (PARTITION BY h ORDER BY same DESC, c DESC, other) AS r FROM agreed WHERE 5 * same >= 4 * n) WHERE r = 1
+), up AS (
+  SELECT h, parent AS at FROM parents UNION SELECT u.h, p.parent FROM up u JOIN parents p ON u.at = p.h
+), roots AS (
+  SELECT u.h, u.at FROM up u ANTI JOIN parents p ON u.at = p.h
 ), assigned AS (
-  SELECT d.n, d.head, d.line, d.lo, d.hi,
-    CASE WHEN len(list_filter(range(1, d.n + 1), lambda i: d.toks[i] = s.seed_toks[i])) >= 0.8 * d.n THEN s.seed ELSE d.line END AS template
-  FROM distinct_lines d JOIN seeds s USING (n, head)
+  SELECT d.*, coalesce(r.at, d.h) AS template FROM distinct_lines d LEFT JOIN roots r ON r.h = d.h
 ), recurring AS (
-  SELECT n, head, template, min(lo) AS first_id FROM assigned GROUP BY n, head, template HAVING min(lo) <> max(hi)
+  SELECT template, min(lo) AS first_id FROM assigned GROUP BY template HAVING min(lo) <> max(hi) AND (max(n) > 4 OR max(docs) >= 2 ** (6 - max(n)))
 ), found AS (
-  SELECT a.line, r.first_id FROM assigned a JOIN recurring r USING (n, head, template)
+  SELECT a.line, r.first_id FROM assigned a JOIN recurring r USING (template)
 ), lost AS (
   SELECT k.doc_id, k.pos FROM keyed k JOIN found f USING (line) WHERE f.first_id <> k.doc_id
 ), per_doc AS (
