@@ -14,7 +14,8 @@ target is above.  That fixed point is found in closed form (``targets``).
 The order hashes the id (MD5), so it doesn't depend on partitions: reruns
 agree.  A null text has size 0.  Rows of size 0 take no words; sources without
 words have target 0.  Repeated rows are queued each for itself.  An empty table
-gives an empty result.
+gives an empty result.  Only id, text and source are read, so other columns may have
+any name; ``mixed_rows`` returns all of them.
 """
 
 from __future__ import annotations
@@ -66,10 +67,12 @@ def targets(sized: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -> Dat
     return settled.select("source", "source_size", F.coalesce(target, F.col("_cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """A row a document: doc_id, size, source_size, target, copies, taken."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, epochs: int = EPOCHS, row_col: str | None = None) -> DataFrame:
+    """A row a document: doc_id, size, source_size, target, copies, taken and, if ``row_col`` is given, that column as row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    row = [F.col(row_col).alias("row")] if row_col else []
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), *row)
+    row = ["row"] if row_col else []
     hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     # texts are read once; all that follows works on sizes
     sized = materialise(sized.withColumn("_turn", hashed), "mix-sizes").withColumn("_b", F.conv(F.substring("_turn", 1, 3), 16, 10).cast("int"))
@@ -83,7 +86,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     here = Window.partitionBy("source", "_b").orderBy("_turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = sized.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_b") == F.col("_bucket")))
     queued = queued.withColumn("_cum", F.col("_start") + F.sum("size").over(here))
-    queued = materialise(queued.select("doc_id", "size", "source_size", "target", "_turn", "_cum"), "mix-queues")
+    queued = materialise(queued.select("doc_id", "size", "source_size", "target", "_turn", "_cum", *row), "mix-queues")
 
     budget = goals.agg(F.sum("target")).first()[0] or 0.0
     end = _end_of_mix(queued, budget, epochs)
@@ -94,7 +97,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             taken = taken & (_place(F.lit(epoch)) <= F.struct(*(F.lit(x) for x in end)))
         copies.append(F.when(taken, F.lit(1)).otherwise(F.lit(0)))
     n = reduce(add, copies).cast("long")
-    return queued.select("doc_id", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"))
+    return queued.select("doc_id", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"), *row)
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it.  Rows without words have nothing to mix and stay once.
+
+    Rows are told apart by a number that each gets in a written copy, so repeated
+    and null ids count each for itself.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.monotonically_increasing_id().alias("row"))
+    packed = materialise(packed.select("doc", "id", "source", "row"), "mix-rows")
+    text = packed["doc"][text_col].alias("text")
+    queues = mix(packed.select("id", text, "source", "row"), "id", "text", "source", row_col="row", **parameters)
+    times = queues.select(F.col("row").alias("_row"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("times")).filter("times > 0")
+    taken = packed.select("doc", "row").join(times, F.col("row") == F.col("_row"))
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("doc.*")
 
 
 def _place(epoch: Column) -> Column:
