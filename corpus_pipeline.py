@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it
 as Parquet in the folder that the cluster shares and reads it again as the next
-stage's documents.  All stages but the last return the columns of documents.
+stage's documents.  All stages but the last return the columns of documents,
+whatever other columns those have.  Each row is judged and kept or dropped by itself,
+so null and repeated ids need no special care.  A null text counts as empty and
+stays null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,39 +18,30 @@ from loomline.llm.queries import tokenizer
 from loomline.llm.scratch import materialise
 
 
-#: Documents that hold a short line before it counts as recurring.
-SHORT_DOCS = 20
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier predicts toxic go; the labels are learnt from the stage's own documents."""
-    model = compress_tox.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    verdict = materialise(compress_tox.score_documents(docs, model), "toxic-verdicts").filter("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(verdict, F.col("doc_id") == F.col("_toxic"), "left_anti")
+    return compress_tox.drop_toxic(docs, compress_tox.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates, and short lines of many documents, stay in one document only; n_chars follows the text."""
-    done = line_templates.drop_recurring(docs, short_docs=SHORT_DOCS).drop("n_lines", "n_dropped")
+    """Lines of recurring templates stay in one document only; n_chars follows the text."""
+    done = line_templates.drop_recurring(docs, counts=False)
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints the one with the smallest id stays; so do those without an id."""
-    found = simhash.near_duplicates(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_copy"))
-    return docs.join(found.distinct(), F.col("doc_id") == F.col("_copy"), "left_anti")
+    """Of the rows linked by their fingerprints the one with the smallest id stays."""
+    return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row a copy that the mix takes; documents without words have nothing to mix and stay once."""
-    mixed = fair_mix.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies"), F.max("size").alias("_size"))
-    mixed = mixed.select(F.col("doc_id").alias("_id"), F.when(F.col("_size") == 0, 1).otherwise(F.col("_copies")).cast("int").alias("_n"))
-    taken = docs.join(mixed.filter("_n > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    return fair_mix.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe.encode_documents(docs, *tokenizer())
+    """The corpus as token ids: a row a document, in no order."""
+    return byte_bpe.encode_documents(docs, *tokenizer(), with_ids=True)
 
 
 STAGES = [
