@@ -195,8 +195,8 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, with_ids: bo
         bpe = encoder(rank_file, pattern)
         for batch in batches:
             counts, digests, decoded, all_ids = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = bpe.encode(text)
+            for text in batch.column("text"):
+                ids = bpe.encode(text.as_py())
                 counts.append(len(ids))
                 decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 if with_ids:

@@ -123,16 +123,17 @@ class Model:
     weights: list[float] = field(default_factory=list)
     share: float = 0.0
 
-    def features(self, texts: list[str]) -> np.ndarray:
+    def features(self, texts: list[str] | pa.StringArray) -> np.ndarray:
+        """Of texts as they are or in an Arrow array, of which one at a time becomes a Python string."""
         plain, marked = _compressors(self)
         out = np.zeros((len(texts), 4))
         for row, text in zip(out, texts, strict=True):
-            parts = windows(text)
+            parts = windows(text.as_py() if isinstance(text, pa.Scalar) else text)
             gains = np.array([len(plain(p)) - len(marked(p)) for p in parts] or [0])
             row[:] = 1, max(0, gains.max()), math.log1p(gains[gains >= LEAST_GAIN].sum()), math.log1p(len(parts))
         return out
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: list[str] | pa.StringArray) -> np.ndarray:
         if not self.weights:
             return np.full(len(texts), self.share)
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ np.array(self.weights), -30, 30)))
@@ -215,7 +216,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = model.score(batch.column("text").to_pylist())
+            scores = model.score(batch.column("text"))
             cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32))]
             yield pa.record_batch(cols, names=["doc_id", "held_out", "score", "predicted"])
 
@@ -232,6 +233,6 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     @F.arrow_udf("boolean")
     def toxic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array(model.score(texts.to_pylist()) >= THRESHOLD, pa.bool_())
+            yield pa.array(model.score(texts) >= THRESHOLD, pa.bool_())
 
     return docs.filter(~toxic(F.coalesce(F.col(text_col), F.lit(""))))

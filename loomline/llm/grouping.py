@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import discard, materialise
 
 #: A group is hot if it holds over 1/HOT_SHARE of all rows, so at most HOT_SHARE groups are.
 HOT_SHARE = 1000
@@ -24,7 +24,9 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, members: str, to
     others = [c for c in groups.columns if c != key]
     packed = groups.select(F.col(key).alias("_k"), F.col(members).alias("_m"), F.struct(*others).alias("_g"))
     hot = packed.filter(F.col("_m") * HOT_SHARE > F.lit(total)).select("_k", F.col("_g").alias("_hot"))
-    cold = packed.filter(F.col("_m") * HOT_SHARE <= F.lit(total)).select("_k", F.lit(0).alias("_s"), F.col("_g").alias("_cold"))
+    # 0, but no literal: Catalyst would take a literal out of the join's keys and deal hot rows by their key again
+    zero = F.least(F.lit(0).cast("long"), F.col("_m").cast("long")).cast("int")
+    cold = packed.filter(F.col("_m") * HOT_SHARE <= F.lit(total)).select("_k", zero.alias("_s"), F.col("_g").alias("_cold"))
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_k"), "left").drop("_k")
     salt = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(F.lit(1) + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int"))
     out = out.withColumn("_salt", salt).join(cold, (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left")
@@ -69,11 +71,12 @@ def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"), F.count("*").alias("n"))
         large = attach_groups(both, least, "a", "n", 2 * seen[0], F.col("b")).filter(F.col("b") > F.col("a"))
-        large = materialise(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"{label}-{step}-large")
+        before, large = current, materialise(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"{label}-{step}-large")
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = attach_groups(large, least, "a", "n", large.count(), F.col("b")).filter(F.col("b") != F.col("m"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         current = materialise(small, f"{label}-{step}")
+        discard(before, large)
         now = _digest(current)
         if now == seen:
             break

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grouping import attach_groups, components
-from .scratch import materialise
+from .scratch import discard, materialise
 
 #: Bits in which linked fingerprints may differ.  The segments rely on it.
 MAX_BITS = 2
@@ -71,7 +71,7 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], dtype=np.uint64)
+            marks = np.array([fingerprint(t.as_py(), width) for t in batch.column("text")], dtype=np.uint64)
             yield pa.record_batch([batch.column("doc_id"), pa.array(marks.view(np.int64))], names=["doc_id", "mark"])
 
     return run
@@ -172,19 +172,30 @@ def _segment(mark, at: int, bits: int):
     return F.shiftrightunsigned(mark, at).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) between the ``mark`` column's distinct fingerprints that connect all those within MAX_BITS."""
-    pairs = [(i, j) for i in range(4) for j in range(i)]
+_PAIRS = [(i, j) for i in range(4) for j in range(i)]
+
+
+def _dealt(classes: DataFrame) -> DataFrame:
+    """(mark, key, n): each mark in six groups."""
     mark = F.col("mark")
     keys = F.array(*[
         F.struct(
             (F.lit(n << 32) + F.shiftleft(_segment(mark, 16 * i, 16), 16) + _segment(mark, 16 * j, 16)).alias("key"),
             F.lit(n).alias("n"),
         )
-        for n, (i, j) in enumerate(pairs)
+        for n, (i, j) in enumerate(_PAIRS)
     ])
-    dealt = classes.select("mark", F.explode(keys).alias("k")).select("mark", "k.key", "k.n")
-    hot = materialise(dealt.groupBy("key").count().filter(F.col("count") > MAX_GROUP).select(F.col("key").alias("_key")), "simhash-hot")
+    return classes.select("mark", F.explode(keys).alias("k")).select("mark", "k.key", "k.n")
+
+
+def _hot(classes: DataFrame) -> DataFrame:
+    """The keys of groups that are dealt again."""
+    return materialise(_dealt(classes).groupBy("key").count().filter(F.col("count") > MAX_GROUP).select(F.col("key").alias("_key")), "simhash-hot")
+
+
+def links(classes: DataFrame, hot: DataFrame) -> DataFrame:
+    """Edges (a, b) between the ``mark`` column's distinct fingerprints that connect all those within MAX_BITS."""
+    pairs, mark, dealt = _PAIRS, F.col("mark"), _dealt(classes)
     if hot.count() <= MAX_BROADCAST:
         marked = dealt.join(F.broadcast(hot), F.col("key") == F.col("_key"), "left")
     else:
@@ -216,7 +227,9 @@ def _classes(marked: DataFrame) -> tuple[DataFrame, int]:
     keeper = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "row"))
     classes = materialise(marked.groupBy("mark").agg(F.count("*").alias("members"), keeper.alias("keeper")), "simhash-classes")
     total = classes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-    linked = components(links(classes), "simhash-links")
+    hot = _hot(classes)
+    linked = components(links(classes, hot), "simhash-links")
+    discard(hot)
     joined = classes.join(linked, F.col("mark") == F.col("node"), "left").withColumn("root", F.coalesce("component", "mark"))
     sizes = joined.groupBy("root").agg(F.min("keeper").alias("least"), F.count("*").alias("n"))
     rows = joined.select("mark", "members", "root")
@@ -248,7 +261,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     @F.arrow_udf("long")
     def mark(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array(np.array([fingerprint(t, width) for t in texts.to_pylist()], dtype=np.uint64).view(np.int64))
+            yield pa.array(np.array([fingerprint(t.as_py(), width) for t in texts], dtype=np.uint64).view(np.int64))
 
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), mark(text).alias("mark"))

@@ -49,7 +49,7 @@ def document_lengths(docs: DataFrame, rank_file: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(rank_file, pattern).encode_ordinary
         for batch in batches:
-            counts = [len(encode(text)) for text in batch.column("text").to_pylist()]
+            counts = [len(encode(text.as_py())) for text in batch.column("text")]
             yield pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -57,6 +57,8 @@ def test_attach_groups_hot_and_cold(spark):
     rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(3000)], "i long, k string")
     groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("lo")).filter("k <> 'k0'")
     got = grouping.attach_groups(rows, groups, "k", "n", 3000, F.col("i")).collect()
+    plan = grouping.attach_groups(rows, groups, "k", "n", 3000, F.col("i"))._jdf.queryExecution().toString()
+    assert "_salt" in plan.split("Physical Plan")[1].split("Exchange hashpartitioning(k")[1][:12]  # hot rows are dealt by salt, too
     assert len(got) == 3000 and all((r.lo, r.n) == ((1, 2000) if r.i % 3 else (None, None) if r.i == 0 else (r.i, 1)) for r in got)
 
 
@@ -131,7 +133,7 @@ def test_simhash_links_with_hot_groups(spark, monkeypatch, limit):
     base = [rng.getrandbits(63) for _ in range(5)]
     marks = sorted({b ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for b in base for _ in range(120)})
     classes = spark.createDataFrame([(m,) for m in marks], "mark long")
-    edges = [tuple(r) for r in simhash.links(classes).collect()]
+    edges = [tuple(r) for r in simhash.links(classes, simhash._hot(classes)).collect()]
     want = parent(marks, [(a, b) for a in marks for b in marks if a < b and (a ^ b).bit_count() <= 2])
     assert parent(marks, edges) == want and all((a ^ b) < 2**63 for a, b in edges)
 
