@@ -5,7 +5,7 @@ All are Catalyst expressions.  Ratios over nothing are 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -15,9 +15,12 @@ UNICODE_PUNCTUATION = {"，": ",", "。": ".", "、": ",", "„": '"', "”": '"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 STOP_WORDS = ["the", "be", "to", "of", "and", "that", "have", "with"]
 SPAM_WORDS = ["login", "sign-in", "register", "advertisement", "cookies", "newsletter", "subscribe"]
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+# What is redacted, in this order, and what takes its place.
+EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 IP = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
-PHONE = r"(?<!\d)(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?!\d)"
+PHONE = r"(?<!\w)(?:\+?84|0)(?:[\s.\-]?\d){8,10}(?!\w)"
+MASK = "<|pii|>"
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -47,9 +50,13 @@ def normalise(text: Column) -> Column:
     return replace_unicode_punctuation(digits_to_zero(standardise_whitespace(F.lower(remove_non_printing(text)))))
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns evaluated once a row: Catalyst doesn't inline a generator's output into each place that reads it."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def strip_characters(text: Column, characters: str = PUNCTUATION + "0123456789 ") -> Column:
-    klass = "[" + "".join("\\" + c if not c.isalnum() and c != " " else c for c in characters) + "]+"
-    return F.regexp_replace(F.regexp_replace(text, "^" + klass, ""), klass + "$", "")
+    return F.btrim(text, F.lit(characters))
 
 
 def words(text: Column, lower: bool = True, strip: bool = True) -> Column:
@@ -80,6 +87,12 @@ def word_ngrams(array: Column, n: int) -> Column:
     return ngrams(array, n)
 
 
+def ngram_hashes(array: str, n: int) -> Column:
+    """64-bit hashes of the n-grams of an array column, which must be a column: an expression would be evaluated for each n-gram."""
+    at = F.sequence(F.lit(1), F.greatest(F.size(array) - (n - 1), F.lit(1)))
+    return F.when(F.size(array) >= n, F.transform(at, lambda i: F.xxhash64(F.slice(array, i, F.lit(n))))).otherwise(F.array().cast("array<long>"))
+
+
 def member_ratio(array: Column, vocabulary: list[str]) -> Column:
     listed = F.array(*map(F.lit, vocabulary))
     return ratio(F.size(F.filter(array, lambda w: F.array_contains(listed, w))), F.size(array))
@@ -104,13 +117,21 @@ def diacritic_fraction(text: Column, marks: str) -> Column:
     return ratio(F.length(text) - F.length(F.translate(text, marks, "")), F.length(text))
 
 
-def redact(text: Column, mask: str = "<REDACTED>") -> tuple[Column, Column]:
-    """(text, replacements): e-mail, then IP, then phone, each on what the one before left."""
-    count = F.lit(0)
-    for pattern in (EMAIL, IP, PHONE):
-        count = count + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, mask)
-    return text, count
+def occurrences(text: Column, part: str) -> Column:
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
+
+
+def redact(rows: DataFrame, text: str = "text", patterns: tuple[str, ...] = (EMAIL, IP, PHONE), mask: str = MASK) -> DataFrame:
+    """``rows`` with the text redacted and the column ``replaced``; each pattern works on what the one before left.
+
+    The masks that a text has gained are what was replaced, so each pattern runs once.
+    """
+    new = F.col(text)
+    for pattern in patterns:
+        new = F.regexp_replace(new, pattern, mask.replace("$", "\\$"))
+    done = once(rows, _redacted=new)
+    replaced = occurrences(F.col("_redacted"), mask) - occurrences(F.col(text), mask)
+    return done.select(*[F.col("_redacted").alias(c) if c == text else F.col(c) for c in rows.columns if c != "replaced"], replaced.alias("replaced"))
 
 
 def strip_think(text: Column) -> Column:

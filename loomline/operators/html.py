@@ -12,11 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "u", "var"}
 HIDDEN = {"script", "style", "noscript", "template", "head", "nav", "footer", "header", "form", "button", "select", "textarea", "iframe", "svg"}
 BOILERPLATE = {"footer", "header", "navigation", "nav", "navbar", "menu"}
-PARAGRAPH = {"p", "div", "article", "section", "blockquote", "pre", "table", "ul", "ol", "h", "main", "body", "figure", "li", "td", "tr"}
-IMAGE_SOURCES = ("src", "data-src", "data-original", "data-lazy-src", "srcset")
+PARAGRAPH = {"p", "div", "article", "section", "blockquote", "pre", "table", "ul", "ol", "h", "main", "body", "figure", "li", "td", "tr", "address", "aside", "caption", "center", "dd", "dl", "dt", "figcaption"}
+IMAGE_SOURCES = ("src", "data-src", "data-src-fg", "data-scroll-image", "srcset", "data-lateloadsrc", "data-img-src", "data-original", "data-gt-lazy-src", "data-lazy", "data-lazy-src", "src2")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 NODES = "array<struct<kind:string,text:string,src:string,alt:string>>"
@@ -116,9 +115,22 @@ def image_text_pairs(found: DataFrame, id_col: str = "page_id") -> DataFrame:
     return found.select(id_col, F.explode(pairs).alias("p")).select(id_col, "p.pos", "p.src", "p.alt", "p.text")
 
 
-def images_outside(found: DataFrame, pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
-    """(id, src) of image sources in the raw HTML that no node holds."""
-    raw = pages.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)<img[^>]*\ssrc="([^"]*)"'), F.lit(1)))).alias("src"))
+def absolute_url(source, base):
+    """``source`` as seen from ``base``: with a scheme as it is, from the scheme, from the root, or from the base's folder (dots resolved)."""
+    scheme, authority = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(/.*/|/)?", 1)
+    path = F.concat(F.when(folder == "", "/").otherwise(folder), source)
+    parts = F.filter(F.split(F.regexp_replace(path, r"^/", ""), "/", -1), lambda p: p != ".")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))))
+    relative = F.concat(authority, F.lit("/"), F.array_join(kept, "/"))
+    absolute = source.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:") | (authority == "")
+    return F.when(absolute, source).when(source.startswith("//"), F.concat(scheme, source)).when(source.startswith("/"), F.concat(authority, source)).otherwise(relative)
+
+
+def images_outside(found: DataFrame, pages: DataFrame, id_col: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
+    """(id, src) of image sources in the raw HTML, made absolute like those of the nodes, that no node holds."""
+    sources = F.array_distinct(F.regexp_extract_all(html, F.lit(r"""(?i)<img[^>]*\ssrc=["']?([^"'\s>]+)"""), F.lit(1)))
+    raw = pages.select(id_col, F.explode(F.transform(sources, lambda s: absolute_url(s, F.col(url)))).alias("src")).distinct()
     kept = found.select(id_col, F.explode(F.filter("nodes", lambda n: n["kind"] == "image")).alias("n")).select(id_col, F.col("n.src").alias("src"))
     return raw.join(kept, [id_col, "src"], "left_anti")
 

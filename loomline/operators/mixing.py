@@ -21,9 +21,39 @@ def budgets(weights: DataFrame, tokens: int, characters_per_token: float = 3.8)
     return weights.withColumn("char_budget", share * F.lit(tokens * characters_per_token))
 
 
-def running(rows: DataFrame, by: list[str], order: list, value: Column, out: str, buckets: int = 256, id_col: str = "doc_id", seed: str = "0") -> DataFrame:
-    """Exclusive running sum in shuffled order within ``by``, in two levels so that no task holds a group."""
-    dealt = rows.withColumn("_h", shuffled(id_col, seed)).withColumn("_v", value).withColumn("_b", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
+def numbered(rows: DataFrame, bucket: Column, order: list, out: str, by: list[str] | None = None, total: str | None = None) -> DataFrame:
+    """Adds the row number from 0 in order of ``bucket`` and ``order`` within ``by``, and the number of rows as ``total``.
+
+    ``bucket`` doesn't go down in the order.  Buckets are counted first and only their
+    counts are added up in one place, so no task holds a group.
+    """
+    by = by or []
+    dealt = rows.withColumn("_b", bucket)
+    counts = dealt.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    within = Window.partitionBy(*by)
+    earlier = within.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, "_b"]
+    starts = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"), F.sum("_n").over(within).alias("_total"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    here = Window.partitionBy(*keys).orderBy(*order)
+    joined = dealt.join(starts, same).withColumn("_row", F.col("_start") + F.row_number().over(here) - 1)
+    return joined.select(*rows.columns, F.col("_row").alias(out), *([F.col("_total").alias(total)] if total else []))
+
+
+def by_id(id_col: str) -> Column:
+    """Buckets of 65,536 ids."""
+    return F.shiftright(F.col(id_col).cast("long"), 16)
+
+
+def by_hash(hashed: str | Column, digits: int = 4) -> Column:
+    """Buckets by the first hex digits of a hash: 65,536 of them."""
+    return F.conv(F.substring(hashed, 1, digits), 16, 10).cast("int")
+
+
+def running(rows: DataFrame, by: list[str], order: list, value: Column, out: str, id_col: str = "doc_id", seed: str = "0") -> DataFrame:
+    """Exclusive running sum in shuffled order within ``by``, in two levels of 65,536 buckets so that no task holds a group."""
+    dealt = rows.withColumn("_h", shuffled(id_col, seed)).withColumn("_v", value)
+    dealt = dealt.withColumn("_b", by_hash("_h"))
     sums = dealt.groupBy(*by, "_b").agg(F.sum("_v").alias("_s"))
     earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_start", F.coalesce(F.sum("_s").over(earlier), F.lit(0))).drop("_s")
@@ -38,29 +68,37 @@ def cap_by_budget(docs: DataFrame, limits: DataFrame, source: str = "source", id
     return running(known, [source], [id_col], F.length(text), "before", id_col=id_col).filter(F.col("before") < F.col("char_budget")).drop("_h", "before", "char_budget")
 
 
-def take_per_key(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
-    ranked = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") <= n).drop("_r")
+def take_per_key(rows: DataFrame, key: str, order: str, n: int, shares: int = 64) -> DataFrame:
+    """The first ``n`` rows of each key; each share of a key is cut to ``n`` rows before they meet."""
+    dealt = rows.withColumn("_share", F.pmod(F.xxhash64(order), F.lit(shares)))
+    first = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_share").orderBy(order))).filter(F.col("_r") <= n)
+    return first.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("_r") <= n).drop("_r", "_share")
 
 
 def stratified_split(rows: DataFrame, key: str, id_col: str, share: float, seed: str = "0") -> DataFrame:
     """Adds ``part``: train for the first max(1, floor(n * share)) of a key in shuffled order, else test."""
-    w = Window.partitionBy(key)
-    rank = F.row_number().over(w.orderBy(shuffled(id_col, seed), id_col))
-    return rows.withColumn("part", F.when(rank <= F.greatest(F.lit(1), F.floor(F.count("*").over(w) * share)), "train").otherwise("test"))
+    placed = numbered(rows.withColumn("_h", shuffled(id_col, seed)), by_hash("_h"), ["_h", id_col], "_i", [key], "_all")
+    train = F.col("_i") < F.greatest(F.lit(1), F.floor(F.col("_all") * share))
+    return placed.withColumn("part", F.when(train, "train").otherwise("test")).drop("_h", "_i", "_all")
 
 
 def interleave(rows: DataFrame, source: str, order: str) -> DataFrame:
     """Round robin: adds ``round``; sort by (round, source)."""
-    return rows.withColumn("round", F.row_number().over(Window.partitionBy(source).orderBy(order)))
+    return numbered(rows, by_id(order), [order], "round", [source]).withColumn("round", (F.col("round") + 1).cast("int"))
 
 
 def group_diverse_batches(rows: DataFrame, group: str, id_col: str, size: int, seed: str = "0") -> DataFrame:
     """One pseudo-random row of each group, dealt into batches of ``size``; an incomplete last batch is dropped."""
-    picked = rows.groupBy(group).agg(F.min(F.struct(shuffled(id_col, seed).alias("h"), F.col(id_col).alias("i"))).alias("p"))
-    order = Window.orderBy("p.h", group)
-    dealt = picked.select(group, F.col("p.i").alias(id_col), F.floor((F.row_number().over(order) - 1) / size).alias("batch"), F.count("*").over(Window.partitionBy()).alias("_n"))
-    return dealt.filter((F.col("batch") + 1) * size <= F.col("_n")).drop("_n")
+    picked = rows.groupBy(group).agg(F.min(F.struct(shuffled(id_col, seed).alias("h"), F.col(id_col).alias("i"))).alias("p")).select(group, F.col("p.i").alias(id_col), F.col("p.h").alias("_h"))
+    placed = numbered(picked, by_hash("_h"), ["_h", group], "_i", total="_n").withColumn("batch", F.floor(F.col("_i") / size))
+    return placed.filter((F.col("batch") + 1) * size <= F.col("_n")).select(group, id_col, "batch")
+
+
+def subset_of(i: Column, n: Column, subsets: int) -> Column:
+    """Number from 1 of the contiguous subset that row ``i`` of ``n`` belongs to; the first ones hold one row more."""
+    small, more = F.floor(n / subsets), F.pmod(n, F.lit(subsets))
+    large = more * (small + 1)
+    return F.when(i < large, F.floor(i / (small + 1))).otherwise(more + F.floor((i - large) / F.greatest(small, F.lit(1)))).cast("int") + 1
 
 
 def cubic_permutation(index: Column, factor: int, prime: int) -> Column:

@@ -43,7 +43,7 @@ class Gopher:
 def gopher_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, mean_word_length, symbol_ratio, bullet_lines, ellipsis_lines, alpha_words, stop_words."""
     w, lines = F.col("_w"), F.col("_l")
-    parts = docs.withColumn("_w", F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")).withColumn("_l", F.split(text, "\n", -1))
+    parts = T.once(docs, _w=F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != ""), _l=F.split(text, "\n", -1))
     listed = F.array(*map(F.lit, T.STOP_WORDS))
     characters = F.aggregate(w, F.lit(0), lambda acc, x: acc + F.length(x))
     symbols = F.length(text) - F.length(F.replace(F.col(text), F.lit("#"), F.lit(""))) + F.size(F.filter(w, lambda x: x.endswith("...") | x.endswith("…")))
@@ -82,20 +82,23 @@ def gram_repetition(docs: DataFrame, n: int, id_col: str = "doc_id", text: str =
 
     Words: share of n-gram occurrences whose n-gram occurs more than once.
     Characters: share held by the top k distinct n-grams, k = min(floor(sqrt(distinct)), distinct - singletons).
-    The counts of a document stay in its row; nothing is shuffled.
+    Counts are the runs of the sorted 64-bit hashes in the row; nothing is shuffled.
     """
+    units = F.split(text, "") if characters else T.words(F.col(text))
+    rows = T.once(docs.select(id_col, text), _units=units).select(id_col, "_units")
+    rows = T.once(rows, _sorted=F.array_sort(T.ngram_hashes("_units", n))).select(id_col, "_sorted")
+    size = F.size("_sorted")
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)))
+    rows = T.once(rows, _starts=F.when(size > 0, starts).otherwise(F.array().cast("array<int>")))
+    ends = F.concat(F.slice("_starts", F.lit(2), F.greatest(F.size("_starts") - 1, F.lit(0))), F.array(size))
+    rows = T.once(rows, _counts=F.zip_with("_starts", F.when(size > 0, ends).otherwise(F.array().cast("array<int>")), lambda a, b: b - a))
     if characters:
-        grams = T.ngrams(F.split(text, ""), n, "")
+        distinct, ones = F.size("_counts"), F.size(F.filter("_counts", lambda c: c == 1))
+        counted = F.slice(F.sort_array("_counts", asc=False), F.lit(1), F.least(F.floor(F.sqrt(distinct)).cast("int"), distinct - ones))
     else:
-        grams = T.word_ngrams(T.words(F.col(text)), n)
-    one = docs.select(id_col, F.explode_outer(grams).alias("gram"))
-    counts = one.groupBy(id_col, "gram").agg(F.count("gram").alias("c")).groupBy(id_col)
-    if not characters:
-        return counts.agg(F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("_r"), F.sum("c").alias("_n")).select(id_col, T.ratio(F.col("_r"), F.col("_n")).alias("ratio"))
-    tops = counts.agg(F.sort_array(F.collect_list("c"), asc=False).alias("cs"), F.sum("c").alias("_n"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("_ones"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("_d"))
-    k = F.least(F.floor(F.sqrt("_d")).cast("int"), (F.col("_d") - F.col("_ones")).cast("int"))
-    top = F.aggregate(F.slice("cs", 1, k), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return tops.select(id_col, T.ratio(top, F.col("_n")).alias("ratio"))
+        counted = F.filter("_counts", lambda c: c > 1)
+    part = F.aggregate(counted, F.lit(0).cast("long"), lambda acc, c: acc + c)
+    return rows.select(id_col, T.ratio(part, size).alias("ratio"))
 
 
 def c4_lines(text: Column, min_words: int = 3) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,33 +61,60 @@ def survival(rows: DataFrame, language: str, dataset: str, old: Column, new: Col
     return marked.groupingSets([("language",), ("dataset",), ()], "language", "dataset").agg(F.count("*").alias("total"), F.avg("o").alias("old_rate"), F.avg("n").alias("new_rate")).select("language", "dataset", "total", "old_rate", "new_rate")
 
 
+#: Queries that go to every task at once; more are dealt into blocks of so many.
+QUERY_BLOCK = 4096
+#: Vectors that a block of queries meets at a time, if there are several blocks.
+VECTOR_BLOCK = 65_536
+
+
+def _matrix(table: pa.Table | pa.RecordBatch, vector: str) -> np.ndarray:
+    column = table.column(vector)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+    return values.reshape(len(column), len(values) // max(1, len(column)))
+
+
+def _best(ids: np.ndarray, block: np.ndarray, other: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
+    score = block @ x.T if len(ids) and len(other) else np.zeros((len(ids), len(other)))
+    score[ids[:, None] == other[None, :]] = -np.inf
+    order = np.lexsort((np.broadcast_to(other, score.shape), -score))[:, :k]
+    q, o = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
+    keep = np.isfinite(score[q, o])
+    return pa.record_batch([pa.array(ids[q[keep]]), pa.array(other[o[keep]]), pa.array(score[q[keep], o[keep]])], names=["query", "neighbour", "score"])
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query, neighbour, score, rank) by inner product, for a stated query set against all vectors in blocks.
 
-    Queries are gathered into a bounded number of blocks; each block meets every
-    vector once and keeps the k best of its partition before the shuffle.
+    Up to ``QUERY_BLOCK`` queries go to every task, and vectors don't move.  More are
+    dealt into blocks, the vectors into blocks of about ``VECTOR_BLOCK``, and each pair
+    of blocks is a task; neither set is gathered in one place.  Each task keeps the k
+    best of its vectors before the shuffle.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    rows = queries.select(id_col, vector).toArrow()
-    if rows.num_rows > 200_000:
-        raise ValueError("too many queries for one block; pass them in parts")
-    ids, block = rows[id_col].to_numpy(), np.array(rows[vector].to_pylist(), dtype=np.float64)
-
-    def best(batches):
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            other, x = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), dtype=np.float64)
-            score = block @ x.T
-            score[ids[:, None] == other[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(other, score.shape), -score))[:, :k]
-            q = np.repeat(np.arange(len(ids)), order.shape[1])
-            o = order.ravel()
-            keep = np.isfinite(score[q, o])
-            yield pa.record_batch([pa.array(ids[q[keep]]), pa.array(other[o[keep]]), pa.array(score[q[keep], o[keep]])], names=["query", "neighbour", "score"])
-
-    found = vectors.select(id_col, vector).mapInArrow(best, "query long, neighbour long, score double")
+    schema = "query long, neighbour long, score double"
+    vectors, n = vectors.select(id_col, vector), queries.count()
+    if n <= QUERY_BLOCK:
+        rows = queries.select(id_col, vector).toArrow()
+        ids, block = rows[id_col].to_numpy(), _matrix(rows, vector)
+
+        def best(batches):
+            for batch in batches:
+                other, x = batch.column(0).to_numpy(), _matrix(batch, vector)
+                for a in range(0, len(other), QUERY_BLOCK):
+                    yield _best(ids, block, other[a : a + QUERY_BLOCK], x[a : a + QUERY_BLOCK], k)
+
+        found = vectors.mapInArrow(best, schema)
+    else:
+        blocks, chunks = -(-n // QUERY_BLOCK), -(-vectors.count() // VECTOR_BLOCK)
+        part = lambda count: F.pmod(F.xxhash64(id_col), F.lit(count)).cast("int")
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        left = queries.select(id_col, vector, part(blocks).alias("_q"), every(chunks).alias("_v"))
+        right = vectors.select(id_col, vector, part(chunks).alias("_v"), every(blocks).alias("_q"))
+
+        def pair(key, q: pa.Table, v: pa.Table) -> pa.Table:
+            ids, block, other, x = q[id_col].to_numpy(), _matrix(q, vector), v[id_col].to_numpy(), _matrix(v, vector)
+            return pa.Table.from_batches([_best(ids, block, other[a : a + QUERY_BLOCK], x[a : a + QUERY_BLOCK], k) for a in range(0, len(other), QUERY_BLOCK)], schema=pa.schema([("query", pa.int64()), ("neighbour", pa.int64()), ("score", pa.float64())]))
+
+        found = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(pair, schema)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

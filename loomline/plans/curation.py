@@ -58,7 +58,7 @@ SELECT doc_id, len(w) AS n_words, CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE 1 -
   length(text) / 3.8::DOUBLE AS estimated_tokens
 FROM (SELECT doc_id, text, {WORDS} AS w FROM documents)""")
 def text_statistics(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "text", T.words(F.col("text")).alias("w"))
+    rows = T.once(table(spark, d, "documents").select("doc_id", "text"), w=T.words(F.col("text")))
     return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), T.single_word_repetition(F.col("w")).alias("single_word_repetition"), T.member_ratio(F.col("w"), T.STOP_WORDS).alias("stop_words"), T.special_character_ratio(F.col("text")).alias("special_characters"), T.diacritic_fraction(F.col("text"), GERMAN).alias("diacritics"), T.estimated_tokens(F.col("text")).alias("estimated_tokens"))
 
 
@@ -214,20 +214,16 @@ def safety_tag_filter(spark, d):
 
 
 @query(r"""
-WITH a AS (SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<REDACTED>', 'g') AS t1,
-  len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS n1 FROM documents)
-SELECT doc_id, regexp_replace(t1, '\b(?:\d{1,3}\.){3}\d{1,3}\b', '<REDACTED>', 'g') AS text, n1 + len(regexp_extract_all(t1, '\b(?:\d{1,3}\.){3}\d{1,3}\b')) AS replaced FROM a""")
+WITH a AS (SELECT doc_id, regexp_replace(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+', '<|pii|>', 'g') AS t1,
+  len(regexp_extract_all(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+')) AS n1 FROM documents)
+SELECT doc_id, regexp_replace(t1, '\b(?:\d{1,3}\.){3}\d{1,3}\b', '<|pii|>', 'g') AS text, n1 + len(regexp_extract_all(t1, '\b(?:\d{1,3}\.){3}\d{1,3}\b')) AS replaced FROM a""")
 def mail_and_ip_redacted(spark, d):
-    text, n = F.col("text"), F.lit(0)
-    for pattern in (T.EMAIL, T.IP):
-        n, text = n + F.regexp_count(text, F.lit(pattern)), F.regexp_replace(text, pattern, "<REDACTED>")
-    return table(spark, d, "documents").select("doc_id", text.alias("text"), n.cast("long").alias("replaced"))
+    return T.redact(table(spark, d, "documents").select("doc_id", "text"), patterns=(T.EMAIL, T.IP))
 
 
 @query()
 def pii_redacted(spark, d):
-    text, n = T.redact(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", text.alias("text"), n.cast("long").alias("replaced"))
+    return T.redact(table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query("SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
@@ -293,19 +289,17 @@ def ngram_search(spark, d):
     return dedup.ngram_search(grams, docs.select(F.col("doc_id").alias("document"), F.col("source").alias("url")), [7])
 
 
-_MARK = "list_sum(list_transform(range(16), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << (i * 4)) ELSE 0 END))::BIGINT"
+_MARK = "list_sum(list_transform(range({0}, {0} + 32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << (i - {0})) ELSE 0 END))::BIGINT"
 
 
 @query(f"""
-WITH m AS (SELECT vec_id, {_MARK} AS mark FROM embeddings)
-SELECT a.vec_id AS id, b.vec_id AS other, bit_count(xor(a.mark, b.mark))::INT AS bits FROM m a, m b WHERE a.vec_id % 50 = 0 AND bit_count(xor(a.mark, b.mark)) < 3""")
+WITH m AS (SELECT vec_id, {_MARK.format(0)} AS u, {_MARK.format(32)} AS v FROM embeddings),
+p AS (SELECT a.vec_id AS id, b.vec_id AS other, (bit_count(xor(a.u, b.u)) + bit_count(xor(a.v, b.v)))::INT AS bits FROM m a, m b WHERE a.vec_id % 50 = 0)
+SELECT id, other, bits FROM p WHERE bits < 12""")
 def hamming_neighbours(spark, d):
-    bits = [F.when(F.get("embedding", F.lit(i)) > 0, F.lit(1 << (4 * i)).cast("long") if i < 15 else F.lit(1 << 60).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(16)]
-    mark = bits[0]
-    for b in bits[1:]:
-        mark = mark + b
+    mark = F.aggregate(F.transform("embedding", lambda x: (x > 0).cast("long")), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(x))
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), mark.alias("mark"))
-    return dedup.hamming_near(rows.filter(F.pmod("id", F.lit(50)) == 0), rows, 3)
+    return dedup.hamming_near(rows.filter(F.pmod("id", F.lit(50)) == 0), rows, 12, 16)
 
 
 @query()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import mixing
@@ -36,8 +35,8 @@ WITH r AS (SELECT doc_id, source, md5('0:' || doc_id) AS h, coalesce({_LAID.form
 SELECT doc_id, 'val-' || lpad((row_number() OVER (ORDER BY h, doc_id) - 1)::VARCHAR, 8, '0') AS val_id FROM r WHERE before < 5000""")
 def validation_sample(spark, d):
     cut = mixing.running(table(spark, d, "documents"), ["source"], ["doc_id"], F.length("text"), "before").filter("before < 5000")
-    n = F.row_number().over(Window.orderBy("_h", "doc_id")) - 1
-    return cut.select("doc_id", F.concat(F.lit("val-"), F.lpad(n.cast("string"), 8, "0")).alias("val_id"))
+    placed = mixing.numbered(cut.select("doc_id", "_h"), mixing.by_hash("_h"), ["_h", "doc_id"], "n")
+    return placed.select("doc_id", F.concat(F.lit("val-"), F.lpad(F.col("n").cast("string"), 8, "0")).alias("val_id"))
 
 
 @query(f"""
@@ -61,9 +60,9 @@ def stratified_split(spark, d):
 
 @query("SELECT item_id, ntile(7) OVER (ORDER BY item_id)::INT AS subset, CASE WHEN row_number() OVER (ORDER BY item_id) > count(*) OVER () - ceil(0.05::DOUBLE * count(*) OVER ()) THEN 'test' ELSE 'train' END AS part FROM benchmark")
 def contiguous_subsets(spark, d):
-    order, every = Window.orderBy("item_id"), Window.partitionBy()
-    tail = F.row_number().over(order) > F.count("*").over(every) - F.ceil(F.lit(0.05) * F.count("*").over(every))
-    return table(spark, d, "benchmark").select("item_id", F.ntile(7).over(order).alias("subset"), F.when(tail, "test").otherwise("train").alias("part"))
+    rows = mixing.numbered(table(spark, d, "benchmark").select("item_id"), mixing.by_id("item_id"), ["item_id"], "i", total="n")
+    tail = F.col("i") >= F.col("n") - F.ceil(F.lit(0.05) * F.col("n"))
+    return rows.select("item_id", mixing.subset_of(F.col("i"), F.col("n"), 7).alias("subset"), F.when(tail, "test").otherwise("train").alias("part"))
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM documents) WHERE r <= ceil(n * 12.5::DOUBLE / 100)")

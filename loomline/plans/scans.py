@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import mixing
 from ..sources import readers, sinks
 from ..tables import table
 from .registry import query
@@ -30,16 +30,13 @@ def modulo_shard(spark, d):
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents) WHERE r >= floor(n * 0.1::DOUBLE) AND r < floor(n * 0.3::DOUBLE)")
 def percent_slice(spark, d):
     start, end = readers.split_slice("train[10%:30%]")
-    n = F.count("*").over(Window.partitionBy())
-    ranked = table(spark, d, "documents").select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("r"), n.alias("n"))
+    ranked = mixing.numbered(table(spark, d, "documents").select("doc_id"), mixing.by_id("doc_id"), ["doc_id"], "r", total="n")
     return ranked.filter((F.col("r") >= F.floor(F.col("n") * start)) & (F.col("r") < F.floor(F.col("n") * end))).select("doc_id")
 
 
 @query("""
 SELECT doc_id FROM (SELECT doc_id, coalesce(sum(octet_length(encode(text))) OVER (ORDER BY md5('0:' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents) WHERE b < 500000""")
 def byte_budget(spark, d):
-    from ..operators import mixing
-
     rows = table(spark, d, "documents").select("doc_id", F.octet_length("text").alias("n"), F.lit(0).alias("_all"))
     return mixing.running(rows, ["_all"], ["doc_id"], F.col("n"), "before").filter("before < 500000").select("doc_id")
 

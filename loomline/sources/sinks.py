@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import mixing
+
 
 def write_documents(docs: DataFrame, path: str) -> None:
     docs.write.option("compression", "snappy").parquet(path)
@@ -23,8 +25,8 @@ def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataF
 
 def contiguous_shards(rows: DataFrame, id_col: str, size: int, valid_shards: int = 2) -> DataFrame:
     """Adds shard and part (the first shards are valid, the rest train) in order of id."""
-    n = F.row_number().over(Window.orderBy(id_col)) - 1
-    return rows.withColumn("shard", F.floor(n / size)).withColumn("part", F.when(F.col("shard") < valid_shards, "valid").otherwise("train"))
+    placed = mixing.numbered(rows, mixing.by_id(id_col), [id_col], "_n").withColumn("shard", F.floor(F.col("_n") / size)).drop("_n")
+    return placed.withColumn("part", F.when(F.col("shard") < valid_shards, "valid").otherwise("train"))
 
 
 def fingerprint(*columns: str) -> Column:
