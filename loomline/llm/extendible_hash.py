@@ -10,8 +10,8 @@
    distinct text, with its number of rows and largest id.  Texts met more than once
    are held on while the rest is handed on, so a text that many rows hold goes out
    about once a task.
-3. Owner tasks process key ranges: buckets next to each other, of about
-   ``OWNER_BYTES`` in all.  An owner reads its entries by address and keeps a chain
+3. Owner tasks process key ranges: buckets next to each other, of as many bytes in
+   all as the session advises for a shuffle partition.  An owner reads its entries by address and keeps a chain
    for the address at hand, comparing bytes along the chain, so that two texts count
    as equal only if all their bytes are.
 4. Owners write their buckets to files in the shared folder: a row an address with
@@ -41,9 +41,9 @@ from .scratch import materialise
 #: Bits of the address by which overfull buckets are counted at a time, at most.
 STEP = 14
 #: Rows a bucket holds before it splits.
-CAPACITY = 8192
-#: Bytes of text that an owner's key range holds, about.
-OWNER_BYTES = 32 << 20
+CAPACITY = 4096
+#: Owners, at most, about.
+MAX_OWNERS = 100_000
 #: Entries are handed on when they hold so many bytes.
 FLUSH_BYTES = 16 << 20
 
@@ -94,10 +94,10 @@ class Directory:
         """The first address of each bucket."""
         return np.array([prefix << (64 - depth) for depth, prefix in self.buckets], dtype=np.uint64)
 
-    def owners(self, most: int = OWNER_BYTES) -> np.ndarray:
+    def owners(self, most: int) -> np.ndarray:
         """The owner of each bucket: runs of buckets that hold about ``most`` bytes."""
         ends = np.cumsum([size for _, size in self.sizes])
-        return np.unique((ends - 1).clip(0) // most, return_inverse=True)[1]
+        return np.unique((ends - 1).clip(0) // max(most, ends[-1] // MAX_OWNERS, 1), return_inverse=True)[1]
 
 
 def directory(addresses: DataFrame, capacity: int) -> Directory:
@@ -217,7 +217,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("address"), text.cast("binary").alias("text"))
     addresses = materialise(keyed.select("address", F.octet_length("text").cast("long").alias("size")), "extendible-addresses")
     buckets = directory(addresses, capacity)
-    owners = buckets.owners()
+    advised = docs.sparkSession._jsparkSession.sessionState().conf().getConfString("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    owners = buckets.owners(docs.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(advised))
     entries = keyed.mapInArrow(_entries(buckets.starts(), owners), ENTRY)
     owned = entries.repartitionById(int(owners.max()) + 1, "owner").sortWithinPartitions("address")
     return materialise(owned.select("address", "sha", "text", "last_id", "members").mapInArrow(_own, INDEX), "extendible-hash")

@@ -330,7 +330,7 @@ def test_directory_doubles_until_buckets_fit(spark, monkeypatch):
     assert rows.tolist() == [r for r, _ in found.sizes] and all(r <= 4 or depth == 64 for r, (depth, _) in zip(rows, found.buckets, strict=True)) and rows.max() == 9
     owners = found.owners(20)
     assert (np.diff(owners) >= 0).all() and owners.max() > 1
-    assert extendible_hash.directory(keyed.limit(0), 4).owners().tolist() == [0]
+    assert extendible_hash.directory(keyed.limit(0), 4).owners(20).tolist() == [0]
 
 
 def test_owner_chains_collisions():
