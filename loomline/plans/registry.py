@@ -19,4 +19,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import curation, evaluation, sampling, scans  # noqa: E402,F401  they register themselves
+from . import chat, curation, evaluation, sampling, scans, webdocs  # noqa: E402,F401  they register themselves
