@@ -101,9 +101,25 @@ def gram_repetition(docs: DataFrame, n: int, id_col: str = "doc_id", text: str =
     return rows.select(id_col, T.ratio(part, size).alias("ratio"))
 
 
-def c4_lines(text: Column, min_words: int = 3) -> Column:
-    """The text with the lines that end in terminal punctuation and have enough words: a projection, not a filter."""
-    ok = lambda x: x.rlike(r"[.!?\"'][ \t]*$") & (F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")) >= min_words)
+# Lines that hold one of these go.
+CITATION = r"\[[0-9]*\]|\[edit\]|\[citation needed\]"
+POLICY = ["terms of use", "privacy policy", "cookie policy", "uses cookies", "use of cookies", "use cookies"]
+
+
+def c4_lines(text: Column, min_words: int = 3, punctuation: bool = True, citations: bool = True, javascript: bool = True, policy: bool = True) -> Column:
+    """The text with the lines that end in terminal punctuation, have enough words and speak of no script or policy: a projection, not a filter.
+
+    ``citations``: marks of citations are taken out first.
+    """
+    def ok(x: Column) -> Column:
+        good = F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")) >= min_words
+        if punctuation:
+            good = good & x.rlike(r"[.!?\"'][ \t]*$") & ~x.rlike(r"\.\.\.[ \t]*$")
+        if javascript:
+            good = good & ~F.lower(x).contains("javascript")
+        return good & ~F.lower(x).rlike("|".join(POLICY)) if policy else good
+
+    text = F.regexp_replace(text, CITATION, "") if citations else text
     return F.array_join(F.filter(F.split(text, "\n", -1), ok), "\n")
 
 
@@ -121,6 +137,109 @@ def fineweb_statistics(text: Column, short: int = 30) -> dict[str, Column]:
     }
 
 
+@dataclass(frozen=True)
+class FineWeb:
+    min_line_punct: float = 0.12
+    max_short_lines: float = 0.67
+    max_char_dup: float = 0.01
+    max_newlines: float = 0.3
+
+
+def fineweb_ok(text: Column, p: FineWeb = FineWeb()) -> Column:
+    s = fineweb_statistics(text)
+    ok = (s["line_punct_ratio"] >= p.min_line_punct) & (s["short_line_ratio"] <= p.max_short_lines)
+    return ok & (s["char_dup_ratio"] <= p.max_char_dup) & (s["newline_word_ratio"] <= p.max_newlines) & (F.trim(text) != "")
+
+
+@dataclass(frozen=True)
+class Repetition:
+    """Largest shares: repeated lines and paragraphs, their characters, the commonest n-gram's characters, and those of repeated n-grams."""
+
+    lines: float = 0.3
+    paragraphs: float = 0.3
+    line_characters: float = 0.2
+    paragraph_characters: float = 0.2
+    top: tuple = ((2, 0.2), (3, 0.18), (4, 0.16))
+    repeated: tuple = ((5, 0.15), (6, 0.14), (7, 0.13), (8, 0.12), (9, 0.11), (10, 0.1))
+
+
+def _again(name: str):
+    """Of an n-gram in sorted order: its place, and whether it is the same as the one before."""
+    return lambda x, i: F.struct(x["i"].alias("i"), ((i > 0) & (x["h"] == F.get(name, i - 1)["h"])).alias("r"))
+
+
+def _commonest(name: str, n: int) -> Column:
+    """Characters of the commonest n-gram of a sorted array of (h, i), 0 if none repeats."""
+    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("chars"), F.lit(0).cast("long").alias("h"))
+
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when((acc["run"] > 0) & (acc["h"] == x["h"]), acc["run"] + 1).otherwise(F.lit(1))
+        chars = run * F.aggregate(F.slice("_lens", x["i"] + 1, F.lit(n)), F.lit(n - 1), lambda a, b: a + b)
+        better = (run > acc["best"]) | ((run == acc["best"]) & (chars > acc["chars"]))
+        return F.struct(run.alias("run"), F.when(better, run).otherwise(acc["best"]).alias("best"), F.when(better, chars).otherwise(acc["chars"]).alias("chars"), x["h"].alias("h"))
+
+    return F.aggregate(name, start, step, lambda acc: F.when(acc["best"] > 1, acc["chars"]).otherwise(F.lit(0)))
+
+
+def _covered(places: str, n: int) -> Column:
+    """Characters of the words in n-grams at ascending places: each adds those that the one before did not cover."""
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("chars"))
+
+    def step(acc: Column, i: Column) -> Column:
+        first = F.greatest(acc["end"], i)
+        added = F.aggregate(F.slice("_lens", first + 1, i + n - first), F.lit(0), lambda a, b: a + b)
+        return F.struct((i + n).alias("end"), (acc["chars"] + added).alias("chars"))
+
+    return F.aggregate(places, start, step, lambda acc: acc["chars"])
+
+
+def repetition_ok(docs: DataFrame, p: Repetition = Repetition(), text: str = "text", out: str = "repetition_ok") -> DataFrame:
+    """Adds whether a text stays within the shares of repetition.
+
+    The commonest n-gram counts with its words and the spaces between them, as often as
+    it occurs (of n-grams as common, the longest).  A word is repeated if an n-gram that
+    holds it occurred before.  N-grams are told apart by 64-bit hashes, sorted in the row.
+    """
+    rows = T.once(docs, _toks=F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != ""))
+    rows = T.once(rows, _lens=F.transform("_toks", lambda w: F.length(w)))
+    lines, characters = duplicate_lines(F.col(text))
+    blocks, block_characters = duplicate_lines(F.col(text), "\n\n")
+    ok = (lines <= p.lines) & (characters <= p.line_characters) & (blocks <= p.paragraphs) & (block_characters <= p.paragraph_characters)
+    size, names = F.greatest(F.length(text), F.lit(1)), []
+    for n, most in (*p.top, *p.repeated):
+        name = f"_s{n}{'t' if (n, most) in p.top else 'r'}"
+        names.append(name)
+        keyed = F.zip_with(T.ngram_hashes("_toks", n), F.sequence(F.lit(0), F.greatest(F.size("_toks") - n, F.lit(0))), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        rows = T.once(rows, **{name: F.when(F.size("_toks") >= n, F.array_sort(keyed)).otherwise(F.expr("cast(array() as array<struct<h:bigint,i:int>>)"))})
+        if (n, most) in p.top:
+            share = _commonest(name, n)
+        else:
+            again = F.transform(F.filter(F.transform(name, _again(name)), lambda x: x["r"]), lambda x: x["i"])
+            names.append(name + "a")
+            rows = T.once(rows, **{name + "a": F.array_sort(again)})
+            share = _covered(name + "a", n)
+        ok = ok & (share / size <= most)
+    return rows.withColumn(out, ok).drop("_toks", "_lens", *names)
+
+
+def kept_by_route(docs: DataFrame, roles: DataFrame, marked_language: str, marks: str, text: str = "text", least_marks: float = 0.002, math_words: int = 30) -> DataFrame:
+    """Adds ``route`` and ``kept``: each route's own chain of predicates.
+
+    math: words and repetition; marked: quality without stop words, repetition, lenient
+    lines and marks; english: quality, repetition, strict lines and, of what they leave,
+    line statistics; rejected: none.
+    """
+    rows = route(docs, roles, marked_language, marks, text=text)
+    rows = repetition_ok(gopher_statistics(rows, text), text=text)
+    rows = T.once(rows, _strict=c4_lines(F.col(text)), _lenient=c4_lines(F.col(text), 1, False, False))
+    rows = T.once(rows, _fine=fineweb_ok(F.col("_strict")) & c4_document(F.col("_strict")))
+    again = F.col("repetition_ok")
+    english = gopher_quality() & again & F.col("_fine")
+    marked = gopher_quality(Gopher(min_mean_length=2.0), stop_words=False) & again & c4_document(F.col("_lenient"), 1) & (T.diacritic_fraction(F.col(text), marks) >= least_marks)
+    kept = F.when(F.col("route") == "math", (F.col("n_words") >= math_words) & again).when(F.col("route") == "marked", marked).when(F.col("route") == "english", english).otherwise(False)
+    return rows.select(*docs.columns, "route", F.coalesce(kept, F.lit(False)).alias("kept"))
+
+
 def heuristic_language(text: Column, marks: str, marked_as: str) -> tuple[Column, Column]:
     """(language, score) by diacritics, else ASCII letters, of the first 512 characters."""
     head = F.translate(F.substring(text, 1, 512), "\n", " ")

@@ -88,16 +88,93 @@ def character_gram_repetition(spark, d):
     return quality.gram_repetition(table(spark, d, "documents"), 10, characters=True)
 
 
-@query(rf"""
-WITH p AS (SELECT doc_id, text, lang, source, {SPLIT_WORDS} AS w FROM documents),
-j AS (SELECT doc_id, CASE WHEN NOT (length(text) BETWEEN 300 AND 500000) OR len(list_filter(w, lambda x: length(x) > 1000)) > 0 THEN 'rejected'
+_ROLES = [("src1", "decay_math"), ("src7", "science"), ("src2", "web")]
+
+
+def _dup(separator, name):
+    lines = f"list_filter(string_split(text, {separator}), lambda x: trim(x, ' ') <> '')"
+    size = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
+    share = lambda part, whole: f"coalesce(({part})::DOUBLE / nullif({whole}, 0), 0)"
+    return f"{share(f'len({lines}) - len(list_distinct({lines}))', f'len({lines})')} AS {name}_share, {share(size.format(lines) + ' - ' + size.format(f'list_distinct({lines})'), size.format(lines))} AS {name}_chars"
+
+
+def _gram(n, top):
+    keyed = f"SELECT doc_id, i, CASE WHEN i + {n} <= len(w) THEN array_to_string(w[i + 1 : i + {n}], ' ') END AS g, length(w[i + 1]) AS c FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM words)"
+    if top:
+        return f"SELECT doc_id, max(CASE WHEN k = m AND k > 1 THEN k * length(g) ELSE 0 END) AS chars FROM (SELECT *, max(k) OVER (PARTITION BY doc_id) AS m FROM (SELECT doc_id, g, count(*) AS k FROM ({keyed}) WHERE g IS NOT NULL GROUP BY doc_id, g)) GROUP BY doc_id"
+    again = f"SELECT doc_id, i, c, coalesce((g IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, g ORDER BY i) > 1)::INT, 0) AS r FROM ({keyed})"
+    return f"SELECT doc_id, sum(CASE WHEN near > 0 THEN c ELSE 0 END) AS chars FROM (SELECT doc_id, c, max(r) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS near FROM ({again})) GROUP BY doc_id"
+
+
+_LIMITS = [*((n, x, True) for n, x in quality.Repetition().top), *((n, x, False) for n, x in quality.Repetition().repeated)]
+_C4 = "array_to_string(list_filter(string_split({t}, chr(10)), lambda x: {ok}), chr(10))"
+_LINE_WORDS = r"len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
+_NO_SCRIPT = "NOT contains(lower(x), 'javascript') AND NOT regexp_matches(lower(x), 'terms of use|privacy policy|cookie policy|uses cookies|use of cookies|use cookies')"
+_ENDS = "regexp_matches(x, '[.!?\"''][ \\t]*$') AND NOT regexp_matches(x, '\\.\\.\\.[ \\t]*$')"
+_STRICT = _C4.format(t=r"regexp_replace(text, '\[[0-9]*\]|\[edit\]|\[citation needed\]', '', 'g')", ok=f"{_ENDS} AND {_NO_SCRIPT} AND {_LINE_WORDS} >= 3")
+_LENIENT = _C4.format(t="text", ok=f"{_NO_SCRIPT} AND {_LINE_WORDS} >= 1")
+_DOCUMENT = "len(regexp_extract_all({0}, '[.!?]')) >= {1} AND NOT contains(lower({0}), 'lorem ipsum') AND NOT contains({0}, '{{')"
+_ROUTED = rf"""
+WITH words AS MATERIALIZED (SELECT doc_id, text, lang, source, {SPLIT_WORDS} AS w, string_split(text, chr(10)) AS l FROM documents),
+grams AS MATERIALIZED (SELECT doc_id, bool_and(ok) AS ok FROM ({" UNION ALL ".join(f"SELECT g.doc_id, g.chars::DOUBLE / greatest(length(d.text), 1) <= {x}::DOUBLE AS ok FROM ({_gram(n, top)}) g JOIN documents d USING (doc_id)" for n, x, top in _LIMITS)}) GROUP BY doc_id),
+s AS (SELECT words.doc_id, text, source, lang, w,
+  len(w) AS n_words, CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / len(w) END AS mean_word_length,
+  CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE (length(text) - length(replace(text, '#', '')) + len(list_filter(w, lambda x: ends_with(x, '...') OR ends_with(x, '…'))))::DOUBLE / len(w) END AS symbol_ratio,
+  len(list_filter(l, lambda x: regexp_matches(x, '^[ 	]*[-•*]')))::DOUBLE / len(l) AS bullet_lines,
+  len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[ 	]*$')))::DOUBLE / len(l) AS ellipsis_lines,
+  CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}')))::DOUBLE / len(w) END AS alpha_words,
+  len(list_distinct(list_filter(list_transform(w, lambda x: lower(x)), lambda x: list_contains({_STOPS}, x)))) AS stop_words,
+  coalesce(length(regexp_replace(text, '[^{GERMAN}]', '', 'g'))::DOUBLE / nullif(length(text), 0), 0) AS marks,
+  {_dup("chr(10)", "line")}, {_dup("chr(10) || chr(10)", "block")}, {_STRICT} AS strict, {_LENIENT} AS lenient, coalesce(grams.ok, true) AS grams_ok
+  FROM words LEFT JOIN grams ON grams.doc_id = words.doc_id),
+f AS (SELECT *, list_filter(string_split(strict, chr(10)), lambda x: trim(x, ' ') <> '') AS sl, len(list_filter(regexp_split_to_array(strict, '[ 
+	]'), lambda x: x <> '')) AS sn,
+  line_share <= 0.3::DOUBLE AND line_chars <= 0.2::DOUBLE AND block_share <= 0.3::DOUBLE AND block_chars <= 0.2::DOUBLE AND grams_ok AS again_ok,
+  n_words BETWEEN 50 AND 100000 AND mean_word_length <= 10 AND symbol_ratio <= 0.1::DOUBLE AND bullet_lines <= 0.9::DOUBLE AND ellipsis_lines <= 0.3::DOUBLE AND alpha_words >= 0.65::DOUBLE AS gopher FROM s),
+r AS (SELECT *, CASE WHEN NOT (length(text) BETWEEN 300 AND 500000) OR len(list_filter(w, lambda x: length(x) > 1000)) > 0 THEN 'rejected'
   WHEN source IN ('src1', 'src7') THEN 'math'
-  WHEN CASE WHEN coalesce(lang, '') <> '' THEN lang = 'de' ELSE length(regexp_replace(text, '[^{GERMAN}]', '', 'g'))::DOUBLE / length(text) >= 0.01 END THEN 'marked'
-  ELSE 'english' END AS route FROM p)
-SELECT doc_id, route FROM j""")
+  WHEN CASE WHEN coalesce(lang, '') <> '' THEN lang = 'de' ELSE marks >= 0.01::DOUBLE END THEN 'marked' ELSE 'english' END AS route FROM f),
+routed AS MATERIALIZED (SELECT doc_id, route, CASE route WHEN 'rejected' THEN false WHEN 'math' THEN n_words >= 30 AND again_ok
+  WHEN 'marked' THEN gopher AND mean_word_length >= 2 AND again_ok AND {_DOCUMENT.format("lenient", 1)} AND marks >= 0.002::DOUBLE
+  ELSE gopher AND mean_word_length >= 3 AND stop_words >= 2 AND again_ok AND {_DOCUMENT.format("strict", 5)} AND trim(strict, ' ') <> ''
+    AND coalesce(len(list_filter(sl, lambda x: regexp_matches(x, '[.!?"'']$')))::DOUBLE / nullif(len(sl), 0), 0) >= 0.12::DOUBLE
+    AND coalesce(len(list_filter(sl, lambda x: length(x) <= 30))::DOUBLE / nullif(len(sl), 0), 0) <= 0.67::DOUBLE
+    AND coalesce((list_sum(list_transform(sl, lambda x: length(x))) - list_sum(list_transform(list_distinct(sl), lambda x: length(x))))::DOUBLE / nullif(list_sum(list_transform(sl, lambda x: length(x))), 0), 0) <= 0.01::DOUBLE
+    AND coalesce((length(strict) - length(replace(strict, chr(10), '')))::DOUBLE / nullif(sn, 0), 0) <= 0.3::DOUBLE END AS kept FROM r)"""
+
+
+def _routed(spark, d):
+    roles = spark.createDataFrame(_ROLES, "source string, role string")
+    return quality.kept_by_route(table(spark, d, "documents"), roles, "de", GERMAN)
+
+
+@query(f"{_ROUTED} SELECT doc_id, route, kept FROM routed")
 def quality_router(spark, d):
-    roles = spark.createDataFrame([("src1", "decay_math"), ("src7", "science"), ("src2", "web")], "source string, role string")
-    return quality.route(table(spark, d, "documents"), roles, "de", GERMAN).select("doc_id", "route")
+    return _routed(spark, d).select("doc_id", "route", "kept")
+
+
+@query(f"{_ROUTED} SELECT lang AS language, source AS dataset, count(*) AS total, avg(gopher::INT) AS old_rate, avg(kept::INT) AS new_rate FROM documents JOIN routed USING (doc_id) JOIN (SELECT doc_id, gopher AND mean_word_length >= 3 AND stop_words >= 2 AS gopher FROM f) USING (doc_id) GROUP BY GROUPING SETS ((lang), (source), ())")
+def router_survival(spark, d):
+    """Rates of the language-blind quality filter and of the router."""
+    from ..operators import scoring
+
+    rows = quality.gopher_statistics(_routed(spark, d)).withColumn("_old", quality.gopher_quality())
+    return scoring.survival(rows, "lang", "source", F.col("_old"), F.col("kept"))
+
+
+@query(rf"""{_ROUTED},
+one AS (SELECT doc_id, text FROM (SELECT d.doc_id, d.text, row_number() OVER (PARTITION BY d.text ORDER BY d.doc_id) AS r FROM documents d JOIN routed USING (doc_id) WHERE kept AND d.lang IN ('en', 'de', 'fr')) WHERE r = 1),
+gated AS (SELECT doc_id, text FROM one LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id) WHERE trim(text, ' ') <> '' AND (q IS NULL OR q >= 1)),
+b AS (SELECT unnest(list_transform(range(1, len(t) - 11), lambda i: array_to_string(t[i:i+12], ' '))) AS gram FROM (SELECT {TOKENS} AS t FROM benchmark) WHERE len(t) >= 13),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(t) - 11), lambda i: array_to_string(t[i:i+12], ' '))) AS gram FROM (SELECT doc_id, {TOKENS} AS t FROM gated) WHERE len(t) >= 13)
+SELECT doc_id, length(text) AS n_chars FROM gated WHERE doc_id NOT IN (SELECT g.doc_id FROM g JOIN b USING (gram))""")
+def curated(spark, d):
+    """The curation chain: language, quality by route, exact copies, classifier gate, benchmark passages, personal data."""
+    docs = _routed(spark, d).filter(F.col("kept") & F.col("lang").isin("en", "de", "fr")).select("doc_id", "text")
+    one = dedup.exact(docs, F.sha2("text", 256), "doc_id")
+    gated = quality.classifier_gate(one, table(spark, d, "labels"), 1)
+    clean = dedup.decontaminate(gated, table(spark, d, "benchmark")).withColumn("n_chars", F.length("text").cast("long"))
+    return T.redact(clean).select("doc_id", "n_chars")
 
 
 @query(rf"""
@@ -126,8 +203,10 @@ def gopher_repetition(spark, d):
 
 
 @query(r"""
-WITH c AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[.!?"''][ \t]*$')
-  AND len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) >= 3), chr(10)) AS text FROM documents)
+WITH t AS (SELECT doc_id, regexp_replace(text, '\[[0-9]*\]|\[edit\]|\[citation needed\]', '', 'g') AS text FROM documents),
+c AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[.!?"''][ \t]*$') AND NOT regexp_matches(x, '\.\.\.[ \t]*$')
+  AND NOT contains(lower(x), 'javascript') AND NOT regexp_matches(lower(x), 'terms of use|privacy policy|cookie policy|uses cookies|use of cookies|use cookies')
+  AND len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) >= 3), chr(10)) AS text FROM t)
 SELECT doc_id, text FROM c WHERE len(regexp_extract_all(text, '[.!?]')) >= 5 AND NOT contains(lower(text), 'lorem ipsum') AND NOT contains(text, '{')""")
 def c4_cleaned(spark, d):
     # the document predicate is judged on the rewritten text, which a filter pushed below the projection would rewrite twice
