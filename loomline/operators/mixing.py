@@ -157,14 +157,38 @@ def multipack(lengths: list[int], bins: int, capacity: int) -> list[int]:
     return out
 
 
+def lpt_bins(lengths: list[int], bins: int) -> list[int]:
+    """Bin of each length by longest-processing-time packing."""
+    heap, out = [(0, b) for b in range(bins)], [0] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        used, b = heap[0]
+        out[i] = b
+        heapq.heapreplace(heap, (used + lengths[i], b))
+    return out
+
+
 def multipack_by_shard(rows: DataFrame, shards: int, bins: int, capacity: int, id_col: str = "doc_id", length: str = "n") -> DataFrame:
-    """(id, shard, step): packing is sequential, so rows are dealt into shards, each packed on its own."""
+    """(id, shard, step, bin): packing is sequential, so rows are dealt into shards, each packed on its own; bin is the rank's in a step, -1 over capacity."""
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(id_col)[[id_col, "shard", length]].reset_index(drop=True)
+        pdf = pdf.assign(step=multipack(pdf[length].tolist(), bins, capacity), bin=-1)
+        for step, part in pdf.groupby("step"):
+            if step >= 0:
+                pdf.loc[part.index, "bin"] = lpt_bins(part[length].tolist(), bins)
+        return pdf[[id_col, "shard", "step", "bin"]]
+
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int"))
+    return dealt.groupBy("shard").applyInPandas(pack, f"{id_col} long, shard int, step int, bin int")
+
+
+def first_fit_by_shard(rows: DataFrame, shards: int, tokens: int, images: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, shard, pack) of rows with ``tokens`` and ``images``, in order of id, by greedy first fit within each shard."""
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col)
-        return pdf[[id_col, "shard"]].assign(step=multipack(pdf[length].tolist(), bins, capacity))
+        return pdf[[id_col, "shard"]].assign(pack=greedy_first_fit(zip(pdf["tokens"], pdf["images"], strict=True), tokens, images))
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(pack, f"{id_col} long, shard int, step int")
+    return dealt.groupBy("shard").applyInPandas(pack, f"{id_col} long, shard int, pack int")
 
 
 def greedy_first_fit(items: Iterator[tuple[int, int]], tokens: int, images: int) -> list[int]:

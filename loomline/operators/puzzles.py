@@ -96,10 +96,53 @@ def maze_distance(maze: list[str], start: str = "S", goal: str = "G", wall: str
     return -1
 
 
-def augment(puzzles: DataFrame, id_col: str = "puzzle_id", grid: str = "grid") -> DataFrame:
-    """(id, symmetry, grid): the distinct symmetries of each puzzle."""
-    turn = F.udf(lambda g, k: dihedral(g, k), "array<array<int>>")  # grids are small and hold at most 900 cells
-    made = puzzles.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(7))).alias("symmetry"), grid)
-    made = made.withColumn(grid, turn(grid, "symmetry")).withColumn("_h", F.sha2(F.to_json(F.struct(grid)), 256))
-    first = made.groupBy(id_col, "_h").agg(F.min_by(F.struct("symmetry", grid), "symmetry").alias("s"))
-    return first.select(id_col, "s.symmetry", f"s.{grid}")
+def _transposed(grid: Column, columns: Column) -> Column:
+    return F.transform(columns, lambda j: F.transform(grid, lambda row: F.get(row, j)))
+
+
+def turned(grid: Column, k: int) -> Column:
+    """``dihedral`` as an expression on array<array<int>>."""
+    out = F.transform(grid, lambda row: F.reverse(row)) if k >= 4 else grid
+    for _ in range(k % 4):
+        out = F.reverse(_transposed(out, F.sequence(F.lit(0), F.size(out[0]) - 1)))
+    return out
+
+
+def recoloured(grid: Column, seed: Column) -> Column:
+    """Colours 1 to 9 in an order that only depends on the seed; 0 stays."""
+    order = F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda c: F.struct(F.md5(F.concat_ws(":", seed, c.cast("string"))).alias("h"), c.alias("c"))))
+    mapping = F.concat(F.array(F.lit(0)), F.transform(order, lambda x: x["c"]))
+    return F.transform(grid, lambda row: F.transform(row, lambda v: F.get(mapping, v.cast("int"))))
+
+
+def augment(puzzles: DataFrame, id_col: str = "puzzle_id", grid: str = "grid", colours: int = 0, seed: str = "0") -> DataFrame:
+    """(id, symmetry, colouring, grid): the distinct symmetries of each puzzle, as it is (colouring 0) and in ``colours`` other colourings."""
+    numbers = F.col(grid).cast("array<array<int>>")
+    made = puzzles.select(id_col, numbers.alias(grid), F.explode(F.sequence(F.lit(0), F.lit(colours))).alias("colouring"))
+    coloured = recoloured(F.col(grid), F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"), F.col("colouring").cast("string")))
+    made = made.withColumn(grid, F.when(F.col("colouring") == 0, F.col(grid)).otherwise(coloured))
+    all_turns = F.array(*[F.struct(F.lit(k).alias("symmetry"), turned(F.col(grid), k).alias("g")) for k in range(8)])
+    made = made.select(id_col, "colouring", F.explode(all_turns).alias("t")).select(id_col, "colouring", "t.symmetry", F.col("t.g").alias(grid))
+    first = made.groupBy(id_col, F.to_json(F.struct(grid)).alias("_h")).agg(F.min(F.struct("colouring", "symmetry", grid)).alias("s"))
+    return first.select(id_col, "s.symmetry", "s.colouring", f"s.{grid}")
+
+
+def maze_ids(maze: Column, characters: str = "# SGo") -> Column:
+    """A maze's rows as one array of ids from 1 on, in the order of ``characters``."""
+    return F.transform(F.filter(F.split(F.array_join(maze, ""), ""), lambda c: c != ""), lambda c: F.position(c, F.lit(characters)))
+
+
+def pool(made: DataFrame, key: str, available: int, most: float = 0.9) -> DataFrame:
+    """Distinct puzzles, the smallest id of each; more than a share ``most`` of those available are an error."""
+    unique = made.groupBy(key).agg(F.min("id").alias("id"))
+    if unique.count() > most * available:
+        raise ValueError("too few puzzles are available for so many distinct ones")
+    return unique
+
+
+def puzzle_metadata(rows: DataFrame, group: str, puzzle: str, size: int, pad: int = PAD, ignore: int = 0, vocabulary: int = 12) -> DataFrame:
+    """One row that describes a set of puzzles: pad_id, ignore_label_id, blank_identifier_id, vocab_size, seq_len, num_puzzle_identifiers, total_groups, mean_puzzle_examples."""
+    fixed = {"pad_id": pad, "ignore_label_id": ignore, "blank_identifier_id": 0, "vocab_size": vocabulary, "seq_len": size}
+    counted = rows.agg(F.countDistinct(puzzle).alias("_p"), F.countDistinct(group).alias("total_groups"), F.count("*").alias("_n"))
+    means = (F.col("_n") / F.col("_p")).alias("mean_puzzle_examples")
+    return counted.select(*[F.lit(v).alias(k) for k, v in fixed.items()], (F.col("_p") + 1).alias("num_puzzle_identifiers"), "total_groups", means)

@@ -26,7 +26,7 @@ def pack_tokens(rows: DataFrame, block: int, end: int) -> DataFrame:
         out = []
         for frame in frames:
             for tokens in frame["tokens"]:
-                held += [*tokens, end]
+                held += [*map(int, tokens), end]  # NumPy numbers can't be kept as state
                 while len(held) >= block:
                     out.append(held[:block])
                     held = held[block:]

@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB, on the smallest tables."""
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -9,7 +10,7 @@ import pytest
 
 from loomline.plans import registry
 
-FOLDER = Path("/root/testdata/sf0.001")
+FOLDER = Path(os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001"))
 
 
 def rows(frame):
