@@ -31,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A generation of memoised pieces; pieces that were not met during the last one are forgotten, to bound a worker's memory.
-MAX_PIECES = 300_000
+MAX_PIECES = 200_000
 #: Memoised token pairs are forgotten beyond so many.
-MAX_PAIRS = 500_000
+MAX_PAIRS = 300_000
+#: Tokens after which rows are handed on.
+FLUSH_TOKENS = 1 << 20
 #: Longer pieces aren't memoised.
 MAX_PIECE_CHARS = 40
 
@@ -191,23 +193,26 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, with_ids: bo
     """A row a document, in one pass without a shuffle: ``ENCODED`` and, if asked for, ids array<int>."""
     schema = ENCODED + (", ids array<int>" if with_ids else "")
 
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32())] if with_ids else [])]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(kinds)]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(rank_file, pattern)
         for batch in batches:
-            counts, digests, decoded, all_ids = [], [], [], []
-            for text in batch.column("text"):
+            rows, held = [], 0
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = bpe.encode(text.as_py())
-                counts.append(len(ids))
-                decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                if with_ids:
-                    all_ids.append(ids.astype(np.int32))
-                digests.append(hashlib.sha256(ids.tobytes()).hexdigest())
-            cols = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.record_batch(cols, names=names)
+                row = (doc, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest())
+                rows.append((*row, ids.astype(np.int32)) if with_ids else row)
+                held += len(ids)
+                if held >= FLUSH_TOKENS:
+                    yield packed(rows)
+                    rows, held = [], 0
+            if rows:
+                yield packed(rows)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, schema)
