@@ -80,20 +80,9 @@ def class_scores(spark, d):
     return scoring.class_scores(scoring.confusion(table(spark, d, "labels"), "quality", "toxic"), "quality", "toxic")
 
 
-@query("""
-SELECT conv_id, turn, CASE WHEN length(trim(p, ' ')) = 0 THEN 0.0::DOUBLE ELSE greatest(CASE WHEN nl < 0.5 THEN 1 - nl ELSE 0 END) END AS anls FROM (
-SELECT conv_id, turn, p, levenshtein(lower(trim(p, ' ')), lower(trim(a, ' ')))::DOUBLE / greatest(length(trim(p, ' ')), length(trim(a, ' ')), 1) AS nl
-FROM (SELECT conv_id, turn, substr(t, 1, 40) AS p, substr(t, 3, 40) AS a FROM (SELECT *, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM conversations)))""")
-def anls_scores(spark, d):
-    # DuckDB counts bytes, so letters beyond ASCII go on both sides
-    rows = table(spark, d, "conversations").withColumn("text", F.regexp_replace("text", "[^ -~]", ""))
-    score = A.anls(F.substring("text", 1, 40), F.array(F.substring("text", 3, 40)))
-    return rows.select("conv_id", "turn", score.alias("anls"))
-
-
 @query()
 def anls_scores_whole(spark, d):
-    """``anls_scores`` of whole texts: each against itself without its first two characters."""
+    """Whole texts, each against itself without its first two characters."""
     score = A.anls(F.col("text"), F.array(F.substring("text", 3, 2**31 - 1)))
     return table(spark, d, "conversations").select("conv_id", "turn", score.alias("anls"))
 
@@ -172,13 +161,6 @@ def subsequence_weights(spark, d):
     return table(spark, d, "documents").select("doc_id", T.subsequence_weight(n, "sample").alias("sample"), T.subsequence_weight(n, "square").alias("square"))
 
 
-@query("SELECT doc_id, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 4), lambda i: ascii(substr(text || 'abc', i, 1))::BIGINT)), lambda a, x: a * 50257 + x + 1) AS id FROM documents")
-def ngram_ids(spark, d):
-    padded = F.concat("text", F.lit("abc"))
-    ids = F.array(*[F.ascii(F.substring(padded, i, 1)).cast("long") for i in (1, 2, 3)])
-    return table(spark, d, "documents").select("doc_id", T.ngram_id(ids, 50257).alias("id"))
-
-
 @query()
 def document_ngram_ids(spark, d):
     """The distinct ids of all n-grams, n from 1 to 4, of each text's bytes: base 256 holds four of them in a BIGINT."""
