@@ -9,8 +9,10 @@
    hashed as a whole, by paragraph, line and sentence and by the same windows, so
    that trimmed, joined and re-wrapped quotes meet their originals too.
 3. Each hash of a passage votes for the nearest earlier message of the same
-   conversation whose body has it, else for the first message anywhere (smallest
-   conversation, then turn) that has it.  A message that gets ``SHARE`` of a
+   conversation whose body has it, else, if the passage has ``MIN_WORDS`` words,
+   for the first message anywhere (smallest conversation, then turn) that has it:
+   shorter passages, such as "Sounds good", say which message they mean only
+   within their conversation.  A message that gets ``SHARE`` of a
    passage's words, by its whole, its lines or its windows, is linked.  Of a
    message's links those of the smallest level win (deeper levels, which quote an
    ancestor, count only without others), then the message with the most words,
@@ -48,7 +50,7 @@ from pyspark.sql import functions as F
 from .grouping import prefix_sums
 from .scratch import materialise
 
-#: Normalised passages with fewer words link nothing.
+#: Normalised passages with fewer words link within their own conversation only.
 MIN_WORDS = 3
 #: Words in a window.  Parts of a line or sentence with fewer words link nothing.
 WINDOW = 5
@@ -76,8 +78,7 @@ _word = lru_cache(1 << 16)(_hash)
 
 def passage_hash(passage: str) -> tuple[int, int] | None:
     text = normalised(passage)
-    words = text.count(" ") + 1 if text else 0
-    return (_hash(text), words) if words >= MIN_WORDS else None
+    return (_hash(text), text.count(" ") + 1) if text else None
 
 
 def windows(passage: str) -> np.ndarray:
@@ -183,6 +184,7 @@ def link(parsed: DataFrame) -> DataFrame:
     near = near.join(first, "hash", "left")
     target = F.when(F.col("near").isNotNull(), F.struct(F.col("conv_id").alias("c"), F.col("near").alias("t"))).when(F.col("first.c") < F.col("conv_id"), F.col("first"))
     votes = quotes.join(near.select("conv_id", "turn", "hash", target.alias("target")).filter("target is not null"), ["conv_id", "turn", "hash"])
+    votes = votes.filter((F.col("words") >= MIN_WORDS) | (F.col("target.c") == F.col("conv_id")))
     message = ["conv_id", "turn", "level", "target"]
     parts = votes.groupBy(*message, "passage", "words", "kind").agg(F.sum("part").alias("part")).groupBy(*message, "passage", "words").agg(F.max("part").alias("part"))
     links = parts.filter(F.col("part") >= SHARE - 1e-9).groupBy(*message).agg(F.sum(F.round(F.col("part") * F.col("words"), 6)).alias("words"))
