@@ -7,6 +7,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+#: Signs of a program's operations, fixed values.
+OPERATIONS = {"divide": "/", "multiply": "*", "add": "+", "subtract": "-"}
+
 
 @F.pandas_udf(S.StringType())
 def last_boxed(texts: pd.Series) -> pd.Series:
@@ -94,3 +97,26 @@ def summary_sections(text: Column) -> tuple[Column, Column]:
     """The two parts of a "# Summary ... # Details ..." answer."""
     pattern = r"(?is)#\s*summary\s*(.*?)\s*#\s*details\s*(.*)"
     return F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+
+
+def infix(program: Column) -> Column:
+    """``op(a,b), op(#0,c)`` as one infix expression: the last step with ``#n`` written out and ``const_n`` as n.
+
+    Steps are separated by ", ", arguments by ",".  A reference to a step that is not
+    there gives null; a step of an unknown operation stays a call.
+    """
+    signs = F.create_map(*(F.lit(x) for pair in OPERATIONS.items() for x in pair))
+
+    def step(done: Column, text: Column) -> Column:
+        raw = F.transform(F.split(F.regexp_extract(text, r"\((.*)\)", 1), ",", -1), lambda a: F.trim(a))
+        at = lambda a: F.get(done, F.regexp_extract(a, r"^#(\d+)$", 1).try_cast("int"))
+        args = F.transform(raw, lambda a: F.when(a.rlike(r"^#\d+$"), at(a)).otherwise(F.regexp_replace(a, r"const_(\d+)", "$1")))
+        name = F.regexp_extract(text, r"^\s*(\w+)\s*\(", 1)
+        sign = F.try_element_at(signs, name)
+        call = F.concat(name, F.lit("("), F.when(~F.exists(args, F.isnull), F.array_join(args, ",")), F.lit(")"))
+        known = F.when(F.size(args) >= 2, F.concat(F.lit("("), F.get(args, F.lit(0)), F.lit(" "), sign, F.lit(" "), F.get(args, F.lit(1)), F.lit(")")))
+        bare = F.regexp_replace(text, r"const_(\d+)", "$1")
+        return F.when(name == "", bare).when(sign.isNotNull(), known).otherwise(call)
+
+    steps = F.aggregate(F.split(program, ", ", -1), F.array().cast("array<string>"), lambda done, text: F.concat(done, F.array(step(done, text))))
+    return F.element_at(steps, -1)

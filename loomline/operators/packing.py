@@ -75,6 +75,33 @@ def mixture_weights(names: DataFrame, short: float, name: str = "name") -> DataF
     return parts.select(name, "modality", "alias", (one / F.count("*").over(Window.partitionBy("alias"))).alias("weight"))
 
 
+def sampling_fractions(entries: DataFrame, percent: dict[str, float], short: float, second_share: float, origins: tuple[str, str], full: tuple[str, ...] = ()) -> DataFrame:
+    """``entries`` (name, path, modality) with ``alias``, ``fraction`` and ``strategy``, how much of each data set a mixture samples.
+
+    Names are ``origin:alias``.  A modality takes its ``percent``; unknown ones all, but
+    names that hold "multiimage" that modality's.  Videos of at most 60 seconds, by the
+    ``_from_to_s`` of the name or else the path, take ``short`` of it.  If several entries
+    share an alias, those of the second origin take ``second_share`` and those of the first
+    the rest.  Entries whose name or path holds one of ``full`` are taken whole.
+    """
+    name, path, modality = (F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in ("name", "path", "modality"))
+    until = lambda c: F.regexp_extract(c, r"_(\d+)_(\d+)_s", 2).try_cast("long")
+    many = percent.get("multiimage", 100) / 100
+    base = F.when(modality == "video", percent["video"] / 100 * F.when(F.coalesce(until(name), until(path)) <= 60, short).otherwise(1.0))
+    for kind in ("text", "image"):
+        base = base.when(modality == kind, percent[kind] / 100)
+    base = base.when((modality == "multiimage") | name.contains("multiimage"), many).otherwise(1.0)
+    alias = F.when(name.contains(":"), F.trim(F.regexp_replace(name, "^[^:]*:", ""))).otherwise(name)
+    shared = F.count("*").over(Window.partitionBy("alias")) > 1
+    part = F.when(shared & name.startswith(origins[0] + ":"), 1 - second_share).when(shared & name.startswith(origins[1] + ":"), second_share).otherwise(1.0)
+    whole = F.lit(False)
+    for word in full:
+        whole = whole | name.contains(word) | path.contains(word)
+    fraction = F.when(whole, 1.0).otherwise(base * part)
+    out = entries.withColumn("alias", alias).withColumn("fraction", fraction)
+    return out.withColumn("strategy", F.concat(F.lit("random:"), F.when(whole, F.lit("100")).otherwise(F.round(F.col("fraction") * 100, 2).cast("string")), F.lit("%")))
+
+
 def mini_epoch(rows: DataFrame, share: float, epoch: int, id_col: str = "doc_id", seed: str = "0") -> DataFrame:
     """Rows of one mini-epoch: below 1 the shard of 1/share that is its turn, from 1 on whole repeats and a shard for the rest.  Adds ``copy``."""
     place = F.conv(F.substring(mixing.shuffled(id_col, seed), 1, 8), 16, 10).cast("long")

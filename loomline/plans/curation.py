@@ -419,6 +419,15 @@ def html_text(spark, d):
     return html.page_text(html.extract(table(spark, d, "pages")))
 
 
+@query(r"""
+WITH kept AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html FROM pages)
+SELECT page_id, 1 + (length(html) - length(replace(html, '<div class="ad">', ''))) // 16 AS ends FROM kept""")
+def html_ends_by_rule(spark, d):
+    rules = html.Rules(delete=("h1", *html.BLOG_DELETE), replace={"div[class~='ad']": html.BLOG_REPLACE["[class~='more-link']"]}, dates=True)
+    text = html.page_text(html.extract(table(spark, d, "pages"), rules=rules))
+    return text.select("page_id", F.size(F.split("text", "END_OF_DOCUMENT_TOKEN_TO_BE_REPLACED", -1)).cast("long").alias("ends"))
+
+
 @query()
 def html_image_pairs(spark, d):
     return html.image_text_pairs(html.extract(table(spark, d, "pages")))

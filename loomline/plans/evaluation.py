@@ -185,3 +185,10 @@ def formatted_prompts(spark, d):
 def doc_gopher_router(spark, d):
     rows = quality.gopher_statistics(table(spark, d, "documents"))
     return rows.filter(quality.basic(F.col("text")) & quality.gopher_quality()).select("doc_id", "lang")
+
+
+@query("SELECT l_orderkey, l_linenumber, '((' || l_orderkey || ' + ' || l_linenumber || ') * (' || l_partkey || ' / 2))' AS expression FROM lineitem WHERE l_linenumber = 1")
+def infix_programs(spark, d):
+    part = lambda c: F.col(c).cast("string")
+    program = F.concat(F.lit("add("), part("l_orderkey"), F.lit(",const_"), part("l_linenumber"), F.lit("), divide("), part("l_partkey"), F.lit(",const_2), multiply(#0,#1)"))
+    return table(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", A.infix(program).alias("expression"))

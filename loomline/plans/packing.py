@@ -147,3 +147,22 @@ def puzzle_colourings(spark, d):
 @query("SELECT 0 AS pad_id, 0 AS ignore_label_id, 0 AS blank_identifier_id, 12 AS vocab_size, 900 AS seq_len, count(DISTINCT p_size) + 1 AS num_puzzle_identifiers, count(DISTINCT p_brand) AS total_groups, count(*) / count(DISTINCT p_size)::DOUBLE AS mean_puzzle_examples FROM part")
 def puzzle_metadata(spark, d):
     return puzzles.puzzle_metadata(table(spark, d, "part"), "p_brand", "p_size", 900)
+
+
+@query("""
+WITH e AS (
+  SELECT CASE WHEN p_partkey % 3 < 2 THEN ['one', 'two'][1 + p_partkey % 3] || ':' ELSE '' END || 'set' || (p_partkey // 3) || '_0_' || (p_size * 5) || '_s' AS name,
+    ['text', 'image', 'video', 'multiimage', 'other'][1 + p_size % 5] AS modality, p_partkey, p_size FROM part
+), f AS (
+  SELECT name, 'set' || (p_partkey // 3) || '_0_' || (p_size * 5) || '_s' AS alias, p_partkey, p_size,
+    CASE p_size % 5 WHEN 0 THEN 14::DOUBLE / 100 WHEN 1 THEN 50::DOUBLE / 100 WHEN 2 THEN 36::DOUBLE / 100 * CASE WHEN p_size * 5 <= 60 THEN 0.5::DOUBLE ELSE 1 END WHEN 3 THEN 5::DOUBLE / 100 ELSE 1 END AS base FROM e
+), g AS (
+  SELECT name, alias, contains(name, 'set1') AS whole, base * CASE WHEN count(*) OVER (PARTITION BY alias) = 1 THEN 1 WHEN p_partkey % 3 = 0 THEN 1 - 0.25::DOUBLE WHEN p_partkey % 3 = 1 THEN 0.25::DOUBLE ELSE 1 END AS part FROM f
+) SELECT name, alias, CASE WHEN whole THEN 1 ELSE part END AS fraction FROM g""")
+def sampling_fractions(spark, d):
+    origin = F.get(F.array(F.lit("one:"), F.lit("two:"), F.lit("")), (F.col("p_partkey") % 3).cast("int"))
+    name = F.concat(origin, F.lit("set"), F.floor(F.col("p_partkey") / 3).cast("string"), F.lit("_0_"), (F.col("p_size") * 5).cast("string"), F.lit("_s"))
+    kind = F.get(F.array(*map(F.lit, ["text", "image", "video", "multiimage", "other"])), F.col("p_size") % 5)
+    entries = table(spark, d, "part").select(name.alias("name"), F.lit(None).cast("string").alias("path"), kind.alias("modality"))
+    out = packing.sampling_fractions(entries, {"text": 14, "image": 50, "multiimage": 5, "video": 36}, 0.5, 0.25, ("one", "two"), ("set1",))
+    return out.select("name", "alias", "fraction")

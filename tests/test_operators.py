@@ -5,12 +5,13 @@ import re
 from urllib.parse import urljoin
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomline.functions import answers, text
-from loomline.operators import dedup, html, mixing, puzzles, quality, scoring
+from loomline.operators import dedup, html, mixing, packing, puzzles, quality, scoring
 from loomline.sources import readers, sinks
 from loomline.streaming import stages
 
@@ -87,8 +88,6 @@ def test_minhash_links_near_copies_and_no_others(spark):
 
 
 def test_fails_closed_without_a_benchmark(spark):
-    import pytest
-
     with pytest.raises(ValueError, match="benchmark"):
         dedup.benchmark_grams(spark.createDataFrame([(1, "too short")], "item_id long, text string"))
 
@@ -99,6 +98,52 @@ def test_html_nodes():
     assert html.nodes(None, None) == []
 
 
+def shown(text, **rules):
+    return [n[1] if n[0] == "text" else n[0] + ":" + n[2] for n in html.nodes(text, "http://a/", html.Rules(**rules))]
+
+
+def test_html_rules():
+    page = "<div class='x footer'><p>gone<img src=a.png></p></div><p>one</p><a class='b more-link c'>read on</a><p>two</p>"
+    assert shown(page) == ["gone", "image:http://a/a.png", "one\n\nread on\n\ntwo"]
+    assert shown(page, delete=html.BLOG_DELETE, replace=html.BLOG_REPLACE) == ["one\n\nEND_OF_DOCUMENT_TOKEN_TO_BE_REPLACED\n\ntwo"]
+    assert shown("<img class=footer src=a.png><p>x", delete=html.BLOG_DELETE) == ["x"]
+    assert shown("<p>a<br class=more-link>b</p>", replace={".more-link": "!"}) == ["a!b"]
+    dated = "<div class='post-date'>1 May <b>2020</b><p>kept</p> gone<div>kept too</div></div><p>after</p>"
+    assert shown(dated) == ["1 May 2020\n\nkept\n\ngone\n\nkept too\n\nafter"] and shown(dated, dates=True) == ["kept\n\nkept too\n\nafter"]
+    cut = "<div><p>a</p><h2 id=ref>Refs</h2><p>b</p><ul><li>c</ul></div><p>d</p>"
+    assert shown(cut, cut_after=("ref", "note")) == ["a\n\nd"]
+    assert shown("<p>x</p><br id=note><p>y</p>", cut_after=("ref", "note")) == ["x"]
+
+
+def test_media_nodes():
+    assert shown("<p>a</p><video src=v.mp4></video><audio><source><source src='b,c'><source src=d.mp3></audio><source src=e.mp3><p>z</p>") == ["a", "video:http://a/v.mp4", "z"]
+    assert shown("<audio><source src=d.mp3><source src=e.mp3></audio>") == ["audio:http://a/d.mp3"]
+
+
+@pytest.mark.parametrize("rule,tag,attrs,want", [("div", "div", {}, True), ("div.a#b", "div", {"class": "x a", "id": "b"}, True), ("div.a", "p", {"class": "a"}, False), ("[class~='a']", "p", {"class": "ab"}, False), ("[href^=http], .z", "a", {"href": "https://x"}, True), ("*[data-x]", "i", {"data-x": None}, True), ("[title$='.x,y']", "p", {"title": "q.x,y"}, True)])
+def test_selectors(rule, tag, attrs, want):
+    assert html.selector(rule)(tag, attrs) is want
+
+
+@pytest.mark.parametrize("rule", ["div > p", "", "a:hover", "div p"])
+def test_selectors_that_are_not_compound(rule):
+    with pytest.raises(ValueError, match="compound"):
+        html.selector(rule)
+
+
+def test_infix(spark):
+    cases = {"add(a,const_2)": "(a + 2)", "divide(1,2), subtract(#0,#0), multiply(#1,3)": "(((1 / 2) - (1 / 2)) * 3)", "add(#0,1)": None, "exp(2,const_3), add(#0,1)": "(exp(2,3) + 1)", "const_7": "7", "": ""}
+    rows = spark.createDataFrame([(k,) for k in [*cases, None]], "p string").withColumn("x", answers.infix(F.col("p"))).collect()
+    assert {r.p: r.x for r in rows} == {**cases, None: None}
+
+
+def test_sampling_strategies(spark):
+    entries = [("one:Chat", None, "text"), ("two:chat", None, "text"), ("clips", "x_30_60_s.json", "video"), ("films_60_120_s", "x_0_30_s", "video"), ("Web_GPT", None, "image"), ("multiimage_z", None, "?"), (None, None, None)]
+    frame = spark.createDataFrame(entries, "name string, path string, modality string")
+    got = packing.sampling_fractions(frame, {"text": 14, "image": 50, "multiimage": 5, "video": 36}, 0.5, 0.3, ("one", "two"), ("gpt",))
+    assert {r.name: r.strategy for r in got.collect()} == {"one:Chat": "random:9.8%", "two:chat": "random:4.2%", "clips": "random:18.0%", "films_60_120_s": "random:36.0%", "Web_GPT": "random:100%", "multiimage_z": "random:5.0%", None: "random:100.0%"}
+
+
 def test_image_text_pairs(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<img src=x.png><p>t</p><img src=y.png>")], "page_id long, url string, html string")
     got = html.image_text_pairs(html.extract(pages)).orderBy("pos").collect()
