@@ -1,11 +1,11 @@
-"""The ten operators as driver queries over their whole tables, and their SQL."""
+"""The thirteen operators as driver queries over their whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_convert, byte_bpe, compress_tox, extendible_hash, fair_mix, line_templates, quote_links, rp_forest, simhash, token_lengths
+from . import arc_convert, byte_bpe, compress_tox, extendible_hash, fair_mix, fill_middle, line_templates, merkle, quote_links, rp_forest, simhash, string_kernel, token_lengths
 
 #: The rank file that token queries use; its place is a parameter of the operators.
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -64,6 +64,19 @@ def compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_tox.score_documents(docs, compress_tox.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(_table(spark, sf_dir, "documents"))
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return string_kernel.predict_documents(docs, string_kernel.learn(docs))
+
+
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_embedding_near_dedup": embedding_near_dedup,
@@ -76,6 +89,9 @@ def queries() -> dict:
         "op8_quoted_conversations": quoted_conversations,
         "op9_byte_bpe": byte_bpe_round_trip,
         "op10_compression_toxicity": compression_toxicity,
+        "op11_merkle_manifest": merkle_manifest,
+        "op12_language_id": language_id,
+        "op13_fill_in_middle": fill_in_middle,
     }
 
 
@@ -180,6 +196,70 @@ FROM queued q LEFT JOIN taken t ON q.doc_id = t.doc_id AND q.source IS NOT DISTI
 """
 
 
+#: A tree's nodes are made level by level; an id's crc32 is eight shifts a character.
+_MERKLE_SQL = """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, source, n_chars, text,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+    xor(list_reduce(list_transform(range(0, length(doc_id::VARCHAR) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295 ELSE ascii(substr(doc_id::VARCHAR, i, 1)) END::BIGINT),
+      lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS crc
+  FROM documents
+), hashed AS (
+  SELECT doc_id, lang, sha256(head || {text}) AS leaf, CASE WHEN crc % 3 = 0 THEN sha256(head || {lowered}) END AS tampered
+  FROM (SELECT *, {doc_id} || {source} || {lang} || {n_chars} AS head FROM fields)
+), leaves AS (
+  SELECT *, coalesce('+' || lang, '-') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed
+), nodes AS (
+  SELECT tree, 0 AS lvl, pos, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, lvl, pos // 8, n
+), subroots AS (
+  SELECT tree, node AS subroot, row_number() OVER (ORDER BY tree <> '-', encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), upper AS (
+  SELECT 0 AS lvl, pos, subroot AS node, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (n + 7) // 8 FROM upper WHERE n > 1 GROUP BY lvl, pos // 8, n
+), beside AS (
+  SELECT a.tree, a.lvl, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.lvl = b.lvl AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY ALL
+), beside_top AS (
+  SELECT a.lvl, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM upper a JOIN upper b ON a.lvl = b.lvl AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY ALL
+), steps AS (
+  SELECT v.tree, v.pos, b.lvl, b.l, b.r FROM leaves v JOIN beside b ON b.tree = v.tree AND b.pos = v.pos // (8 ** b.lvl)::BIGINT
+  UNION ALL
+  SELECT v.tree, v.pos, 1000 + b.lvl, b.l, b.r FROM leaves v JOIN subroots s USING (tree) JOIN beside_top b ON b.pos = s.pos // (8 ** b.lvl)::BIGINT
+), paths AS (
+  SELECT tree, pos, string_agg(l || r, '' ORDER BY lvl) AS siblings, list(l || '|' || r ORDER BY lvl) AS path FROM steps GROUP BY tree, pos
+), folded AS (
+  SELECT v.doc_id, v.leaf, s.subroot, (SELECT node FROM upper WHERE n = 1) AS root, sha256(coalesce(p.siblings, '')) AS proof_sha256,
+    list_reduce([coalesce(v.tampered, v.leaf)] || coalesce(p.path, []), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root
+  FROM leaves v JOIN subroots s USING (tree) LEFT JOIN paths p ON p.tree = v.tree AND p.pos = v.pos
+)
+SELECT *, folded_root = root AS verified FROM folded
+""".format(**{c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", "text", "lowered")})
+
+_FIM_SQL = """
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), drawn AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b, ('0x' || h[17:24])::BIGINT % 100 AS kept, ('0x' || h[25:32])::BIGINT % 100 AS turn FROM cut
+), formed AS (
+  SELECT *, least(a, b) AS low, greatest(a, b) AS high,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR kept >= 90 THEN 'plain' WHEN turn < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), pieces AS (
+  SELECT *, substr(text, 1, low) AS p, substr(text, low + 1, high - low) AS m, substr(text, high + 1) AS s FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM pieces
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express on whole tables."""
     return {
@@ -187,4 +267,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_arc_to_warc": _WARC_SQL,
         "op6_exact_dedup": _EXACT_SQL,
         "op7_fair_source_mix": _MIX_SQL,
+        "op11_merkle_manifest": _MERKLE_SQL,
+        "op13_fill_in_middle": _FIM_SQL,
     }
