@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 Grid = list[list[int]]
 #: Tokens: 0 pads, 1 ends a row or column, digits follow.
 PAD, END, FIRST = 0, 1, 2
@@ -96,25 +98,36 @@ def maze_distance(maze: list[str], start: str = "S", goal: str = "G", wall: str
     return -1
 
 
-def _transposed(grid: Column, columns: Column) -> Column:
-    return F.transform(columns, lambda j: F.transform(grid, lambda row: F.get(row, j)))
+def _transposed(grid: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(grid[0]) - 1), lambda j: F.transform(grid, lambda row: F.get(row, j)))
 
 
 def turned(grid: Column, k: int) -> Column:
-    """``dihedral`` as an expression on array<array<int>>."""
-    out = F.transform(grid, lambda row: F.reverse(row)) if k >= 4 else grid
-    for _ in range(k % 4):
-        out = F.reverse(_transposed(out, F.sequence(F.lit(0), F.size(out[0]) - 1)))
-    return out
+    """``dihedral`` as an expression on array<array<int>>: a transposition at most, then rows or columns the other way round.
 
+    The transposition reads the grid once a column, so an expression that costs should be a column first (``once``).
+    """
+    out = _transposed(grid) if k % 2 else grid
+    if k in (2, 3, 4, 7):
+        out = F.transform(out, lambda row: F.reverse(row))
+    return F.reverse(out) if k in (1, 2, 6, 7) else out
 
-def recoloured(grid: Column, seed: Column) -> Column:
-    """Colours 1 to 9 in an order that only depends on the seed; 0 stays."""
+
+def colouring(seed: Column) -> Column:
+    """Colours 1 to 9 in an order that only depends on the seed, behind 0, which stays: the new colour by the old one."""
     order = F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda c: F.struct(F.md5(F.concat_ws(":", seed, c.cast("string"))).alias("h"), c.alias("c"))))
-    mapping = F.concat(F.array(F.lit(0)), F.transform(order, lambda x: x["c"]))
+    return F.concat(F.array(F.lit(0)), F.transform(order, lambda x: x["c"]))
+
+
+def mapped(grid: Column, mapping: Column) -> Column:
     return F.transform(grid, lambda row: F.transform(row, lambda v: F.get(mapping, v.cast("int"))))
 
 
+def recoloured(grid: Column, seed: Column) -> Column:
+    """Colours 1 to 9 in an order that only depends on the seed; 0 stays."""
+    return mapped(grid, colouring(seed))
+
+
 def augment(puzzles: DataFrame, id_col: str = "puzzle_id", grid: str = "grid", colours: int = 0, seed: str = "0") -> DataFrame:
     """(id, symmetry, colouring, grid): the distinct symmetries of each puzzle, as it is (colouring 0) and in ``colours`` other colourings."""
     numbers = F.col(grid).cast("array<array<int>>")
@@ -127,6 +140,113 @@ def augment(puzzles: DataFrame, id_col: str = "puzzle_id", grid: str = "grid", c
     return first.select(id_col, "s.symmetry", "s.colouring", f"s.{grid}")
 
 
+# How the name of an augmented puzzle is put together, and ``turned``'s number of each of its transforms.
+NAME_SEPARATOR = "|||"
+NAMED_TRANSFORMS = [0, 1, 2, 3, 4, 6, 5, 7]
+
+
+def augmented_name(name: Column, transform: int, mapping: Column) -> Column:
+    """The name of a puzzle that was recoloured and then put through a named transform."""
+    return F.concat_ws(NAME_SEPARATOR, name, F.lit(f"t{transform}"), F.array_join(F.transform(mapping, lambda v: v.cast("string")), ""))
+
+
+def named_augmentation(name: Column) -> Column:
+    """struct(name, transform, mapping): what an augmented name says; a plain name has transform 0 and a null mapping."""
+    parts = F.split(name, r"\|\|\|")
+    plain = F.size(parts) < 3
+    digits = F.filter(F.split(F.element_at(parts, -1), ""), lambda c: c != "")
+    mapping = F.when(~plain, F.transform(digits, lambda c: c.cast("int")))
+    number = F.when(plain, F.lit(0)).otherwise(F.substring(F.element_at(parts, -2), 2, 1).cast("int"))
+    return F.struct(parts[0].alias("name"), number.alias("transform"), mapping.alias("mapping"))
+
+
+def augmented(grid: Column, transform: int, mapping: Column) -> Column:
+    return turned(mapped(grid, mapping), NAMED_TRANSFORMS[transform])
+
+
+def unaugmented(grid: Column, transform: Column, mapping: Column) -> Column:
+    """The inverse of ``augmented``, with the transform as a column; one of the eight ways back is evaluated a row."""
+    back = F.when(transform == 0, grid)
+    for number in range(1, 8):  # quarter turns are undone by the rest of a full turn; mirrorings undo themselves
+        k = NAMED_TRANSFORMS[number]
+        back = back.when(transform == number, turned(grid, k if k >= 4 else 4 - k))
+    order = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda v: F.array_position(mapping, v).cast("int") - 1)
+    return F.when(mapping.isNull(), back).otherwise(F.transform(F.array(order), lambda o: mapped(back, o))[0])
+
+
+def encoded(grid: Column, size: int = 30, top: Column | int = 0, left: Column | int = 0) -> Column:
+    """``encode`` as an expression on array<array<int>>; a grid that doesn't fit gives null."""
+    top, left = (F.lit(v) if isinstance(v, int) else v for v in (top, left))
+    height, width = F.size(grid), F.size(grid[0])
+
+    def token(i: Column) -> Column:
+        r, c = F.floor(i / size).cast("int") - top, i % size - left
+        in_rows, in_columns = (r >= 0) & (r < height), (c >= 0) & (c < width)
+        edge = ((r == height) & in_columns) | ((c == width) & in_rows)
+        return F.when(in_rows & in_columns, F.get(F.get(grid, r), c).cast("int") + FIRST).when(edge, END).otherwise(PAD)
+
+    return F.when((top + height <= size) & (left + width <= size), F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), token))
+
+
+def cropped(tokens: Column, size: int = 30) -> Column:
+    """``crop`` as an expression: the largest rectangle of digits from the top left, the one with fewer rows of equals; empty without a digit."""
+    best = F.struct(F.lit(size).alias("w"), F.lit(0).alias("rows"), F.lit(0).alias("columns"))
+
+    def grown(b: Column, r: Column) -> Column:
+        digit = F.transform(F.slice(tokens, r * size + 1, F.lit(size)), lambda x: (x >= FIRST) & (x < FIRST + 10))
+        end = F.array_position(digit, False).cast("int")
+        w = F.least(b["w"], F.when(end > 0, end - 1).otherwise(size))
+        larger = (r + 1) * w > b["rows"] * b["columns"]
+        return F.struct(w.alias("w"), F.when(larger, r + 1).otherwise(b["rows"]).alias("rows"), F.when(larger, w).otherwise(b["columns"]).alias("columns"))
+
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), best, grown)  # read in a lambda, which evaluates it once
+    rows = F.transform(F.array(found), lambda b: F.when(b["rows"] > 0, F.transform(F.sequence(F.lit(0), b["rows"] - 1), lambda r: F.transform(F.slice(tokens, r * size + 1, b["columns"]), lambda x: x - FIRST))))
+    return F.coalesce(rows[0], F.array().cast("array<array<int>>"))
+
+
+def grid_key(grid: Column) -> Column:
+    """SHA-256 of the number of rows, that of columns, and the cells, a byte each: equal for equal grids only."""
+    numbers = F.concat(F.array(F.size(grid), F.when(F.size(grid) > 0, F.size(grid[0])).otherwise(0)), F.flatten(grid))
+    return F.sha2(F.unhex(F.array_join(F.transform(numbers, lambda v: F.lpad(F.hex(v), 2, "0")), "")), 256)
+
+
+def predictions(outputs: DataFrame, names: DataFrame, blank: int = 0, size: int = 30) -> DataFrame:
+    """(name, input_key, prediction_key, prediction, confidence) of a model's outputs (identifier, inputs, preds, halt_logit).
+
+    ``names`` (identifier, name) tells how a puzzle was augmented; both grids are cropped and put back to what they
+    were, so that they can be joined with the puzzle's own.  Rows of the blank identifier are padding.  The names are
+    as many as the augmented puzzles and are joined as they come, with no hint.
+    """
+    rows = outputs.filter(F.col("identifier") != blank).join(names, "identifier")
+    rows = T.once(rows, _n=named_augmentation(F.col("name")), _i=cropped(F.col("inputs"), size), _p=cropped(F.col("preds"), size)).select("_n.*", "_i", "_p", "halt_logit")
+    rows = T.once(rows, _was=unaugmented(F.col("_i"), F.col("transform"), F.col("mapping")), prediction=unaugmented(F.col("_p"), F.col("transform"), F.col("mapping")))
+    confidence = 1 / (1 + F.exp(-F.col("halt_logit")))
+    return rows.select("name", grid_key(F.col("_was")).alias("input_key"), grid_key(F.col("prediction")).alias("prediction_key"), "prediction", confidence.alias("confidence"))
+
+
+def test_votes(found: DataFrame, tests: DataFrame) -> DataFrame:
+    """(name, test, prediction_key, prediction, votes, mean_confidence, rank, right) by test input, from ``predictions`` and ``tests`` (name, test, input, output).
+
+    Predictions count for every test of their puzzle with their input.  They rank by votes, then by mean confidence
+    to nine places, then by key; a test without predictions gives no row.
+    """
+    keyed = tests.select("name", "test", grid_key(F.col("input")).alias("input_key"), grid_key(F.col("output")).alias("_truth"))
+    counted = found.groupBy("name", "input_key", "prediction_key").agg(F.count("*").alias("votes"), F.round(F.avg("confidence"), 9).alias("mean_confidence"), F.first("prediction").alias("prediction"))
+    rows = keyed.join(counted, ["name", "input_key"])
+    order = Window.partitionBy("name", "test").orderBy(F.desc("votes"), F.desc("mean_confidence"), "prediction_key")
+    ranked = rows.withColumn("rank", F.row_number().over(order))
+    return ranked.select("name", "test", "prediction_key", "prediction", "votes", "mean_confidence", "rank", (F.col("prediction_key") == F.col("_truth")).alias("right"))
+
+
+def pass_at(voted: DataFrame, tests: DataFrame, ks: list[int]) -> DataFrame:
+    """(k, score): the mean over puzzles of the share of their tests with a right prediction among the k best; a test without predictions counts as missed."""
+    firsts = voted.filter("right").groupBy("name", "test").agg(F.min("rank").alias("_r"))
+    joined = tests.select("name", "test").join(firsts, ["name", "test"], "left")
+    hits = [F.avg(F.coalesce((F.col("_r") <= k).cast("double"), F.lit(0.0))).alias(f"k{k}") for k in ks]
+    means = joined.groupBy("name").agg(*hits).agg(*[F.avg(f"k{k}").alias(f"k{k}") for k in ks])
+    return means.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("score")) for k in ks])))
+
+
 def maze_ids(maze: Column, characters: str = "# SGo") -> Column:
     """A maze's rows as one array of ids from 1 on, in the order of ``characters``."""
     return F.transform(F.filter(F.split(F.array_join(maze, ""), ""), lambda c: c != ""), lambda c: F.position(c, F.lit(characters)))

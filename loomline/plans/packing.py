@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import mixing, packing, puzzles
 from ..tables import table
 from .registry import query
@@ -144,6 +145,48 @@ def puzzle_colourings(spark, d):
     return puzzles.augment(_grids(spark, d), "id", colours=3).select("id", "symmetry", "colouring", F.to_json("grid").alias("grid"))
 
 
+def _tests(spark, d):
+    """A brand's parts as the tests of a puzzle: the answer to a grid is its colours, each one on."""
+    made = _grids(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_brand"), "id")
+    return made.select(F.col("p_brand").alias("name"), F.col("id").alias("test"), F.col("grid").alias("input"), F.transform("grid", lambda row: F.transform(row, lambda v: (v + 1) % 10)).alias("output"))
+
+
+def _outputs(tests):
+    """(outputs, names) of a model that sees each test recoloured and in all eight positions, and repeats the input now and then."""
+    seed = F.concat_ws(":", "name", F.col("test").cast("string"))
+    tests, each = T.once(tests, mapping=puzzles.colouring(seed)), []
+    for k in range(8):
+        said = F.when((F.col("test") + k) % 3 == 0, F.col("input")).otherwise(F.col("output"))
+        grids = [F.transform(F.array(puzzles.augmented(g, k, F.col("mapping"))), lambda g: puzzles.encoded(g, 10))[0] for g in (F.col("input"), said)]
+        each.append(F.struct((F.col("test") * 8 + k).alias("identifier"), puzzles.augmented_name(F.col("name"), k, F.col("mapping")).alias("name"), grids[0].alias("inputs"), grids[1].alias("preds"), ((F.col("test") * 7 + 3 * k) % 11 - 5).cast("double").alias("halt_logit")))
+    made = tests.select(F.inline(F.array(*each)))
+    return made.drop("name"), made.select("identifier", "name")
+
+
+_VOTES = f"""
+WITH t AS (SELECT p_brand AS name, id AS test, '0203' || array_to_string(list_transform(flatten(g), lambda v: '0' || v), '') AS i,
+    '0203' || array_to_string(list_transform(flatten(g), lambda v: '0' || ((v + 1) % 10)), '') AS o FROM ({_GRIDS}) JOIN part ON p_partkey = id),
+p AS (SELECT name, i, CASE WHEN (test + k) % 3 = 0 THEN i ELSE o END AS said, 1 / (1 + exp(-((test * 7 + 3 * k) % 11 - 5)::DOUBLE)) AS q FROM t, (SELECT unnest(range(8)) AS k)),
+c AS (SELECT name, i, said, count(*) AS votes, round(avg(q), 9) AS mean_confidence FROM p GROUP BY ALL),
+v AS (SELECT name, test, sha256(unhex(said)) AS prediction_key, votes, mean_confidence, said = o AS "right" FROM t JOIN c USING (name, i)),
+r AS (SELECT *, row_number() OVER (PARTITION BY name, test ORDER BY votes DESC, mean_confidence DESC, prediction_key) AS rank FROM v)
+"""
+
+
+@query(_VOTES + "SELECT * FROM r")
+def puzzle_votes(spark, d):
+    """What a model said of augmented puzzles, put back, joined with the tests by puzzle and input, and counted."""
+    tests = _tests(spark, d)
+    return puzzles.test_votes(puzzles.predictions(*_outputs(tests), blank=-1, size=10), tests).drop("prediction")
+
+
+@query(_VOTES + """, h AS (SELECT t.name, t.test, min(r.rank) AS rank FROM t LEFT JOIN r ON r.name = t.name AND r.test = t.test AND r."right" GROUP BY ALL),
+m AS (SELECT k, name, avg(coalesce((rank <= k)::INT, 0)) AS s FROM h, (SELECT unnest([1, 2]) AS k) GROUP BY ALL) SELECT k::INT AS k, avg(s) AS score FROM m GROUP BY k""")
+def puzzle_pass_at(spark, d):
+    tests = _tests(spark, d)
+    return puzzles.pass_at(puzzles.test_votes(puzzles.predictions(*_outputs(tests), blank=-1, size=10), tests), tests, [1, 2])
+
+
 @query("SELECT 0 AS pad_id, 0 AS ignore_label_id, 0 AS blank_identifier_id, 12 AS vocab_size, 900 AS seq_len, count(DISTINCT p_size) + 1 AS num_puzzle_identifiers, count(DISTINCT p_brand) AS total_groups, count(*) / count(DISTINCT p_size)::DOUBLE AS mean_puzzle_examples FROM part")
 def puzzle_metadata(spark, d):
     return puzzles.puzzle_metadata(table(spark, d, "part"), "p_brand", "p_size", 900)

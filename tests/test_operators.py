@@ -1,5 +1,6 @@
 """Small cases of the operators that SQL doesn't check."""
 
+import hashlib
 import random
 import re
 from urllib.parse import urljoin
@@ -262,3 +263,42 @@ def test_web_checks_in_order(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
     got = {r.doc_id: (r.text, r.failed) for r in quality.web_document_filter(docs, list(stop), list(flagged), list(common | {"end"}), images="n").collect()}
     assert got == {1: (good + "\n\nEND", None), 2: (good, "number_images"), 3: ("", "number_words"), 4: ("", "number_words")}
+
+
+NP_TRANSFORMS = [lambda a: a, lambda a: np.rot90(a), lambda a: np.rot90(a, 2), lambda a: np.rot90(a, 3), np.fliplr, np.flipud, lambda a: a.T, lambda a: np.fliplr(np.rot90(a))]
+
+
+def test_predictions_are_put_back_and_voted_on(spark):
+    """Every named transform of ragged shapes there and back, tokens and crops against the plain functions, keys against SHA-256."""
+    rng = np.random.default_rng(4)
+    grids = [rng.integers(0, 10, shape).tolist() for shape in ((1, 1), (2, 3), (30, 30), (30, 1), (4, 30), (7, 7))]
+    mapping = [0, 4, 2, 9, 1, 3, 5, 6, 8, 7]
+    rows = spark.createDataFrame([(i, g, mapping) for i, g in enumerate(grids)], "i int, g array<array<int>>, m array<int>")
+    for k in range(8):
+        made = rows.withColumn("a", puzzles.augmented(F.col("g"), k, F.col("m"))).withColumn("n", puzzles.named_augmentation(puzzles.augmented_name(F.lit("p"), k, F.col("m"))))
+        made = made.withColumn("t", puzzles.encoded(F.col("a"))).withColumn("b", puzzles.unaugmented(puzzles.cropped(F.col("t")), F.col("n.transform"), F.col("n.mapping")))
+        for r in made.select("*", puzzles.grid_key(F.col("b")).alias("key")).collect():
+            want = NP_TRANSFORMS[k](np.array(mapping)[np.array(r.g)]).tolist()
+            assert r.a == want and r.t == puzzles.encode(want) and r.b == r.g and r.n.name == "p"
+            assert r.key == hashlib.sha256(bytes([len(r.g), len(r.g[0])]) + bytes(sum(r.g, []))).hexdigest()
+    square = F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3), F.lit(4)))
+    moved = spark.range(1).select(puzzles.encoded(square, 5, 1, F.lit(2)), puzzles.encoded(square, 2, 1)).first()
+    assert tuple(moved) == (puzzles.encode([[1, 2], [3, 4]], 5, 1, 2), None)
+    for _ in range(20):
+        tokens = np.where(rng.random(25) < 0.2, 1, rng.integers(2, 12, 25)).tolist()
+        assert one(spark, puzzles.cropped(F.col("a"), 5), a=tokens) == (puzzles.crop(tokens, 5) or [])
+    plain = one(spark, puzzles.named_augmentation(F.col("a")), a="name")
+    assert (plain.name, plain.transform, plain.mapping) == ("name", 0, None)
+
+
+def test_votes_of_tests_that_share_an_input(spark):
+    one_grid, other = [[1, 2]], [[3], [4]]
+    tests = spark.createDataFrame([("p", 0, one_grid, other), ("p", 1, one_grid, one_grid), ("q", 0, other, other), ("r", 0, other, one_grid)], "name string, test int, input array<array<int>>, output array<array<int>>")
+    said = [(1, one_grid, other, 1.0), (1, one_grid, other, 0.0), (1, one_grid, one_grid, 5.0), (2, other, one_grid, 0.0), (0, other, other, 9.0), (3, one_grid, one_grid, 0.0)]
+    outputs = spark.createDataFrame([(i, puzzles.encode(a), puzzles.encode(b), q) for i, a, b, q in said], "identifier int, inputs array<int>, preds array<int>, halt_logit double")
+    names = spark.createDataFrame([(0, "blank"), (1, "p"), (2, "q"), (3, "r")], "identifier int, name string")
+    voted = puzzles.test_votes(puzzles.predictions(outputs, names), tests)
+    got = sorted((r.name, r.test, r.rank, r.votes, r.right) for r in voted.collect())
+    assert got == [("p", 0, 1, 2, True), ("p", 0, 2, 1, False), ("p", 1, 1, 2, False), ("p", 1, 2, 1, True), ("q", 0, 1, 1, False)]
+    scores = {r.k: r.score for r in puzzles.pass_at(voted, tests, [1, 2]).collect()}
+    assert scores == {1: pytest.approx((1 / 2) / 3), 2: pytest.approx(1 / 3)}
