@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import mixing
-from ..sources import readers, sinks
+from ..sources import archives, readers, shards, sinks
+from ..sources.shared import shared_path
 from ..tables import table
 from .registry import query
 
@@ -80,3 +81,38 @@ def joined_sources(spark, d):
 @query("SELECT doc_id, regexp_extract_all(text, '\\p{L}+')[1] AS first_word FROM documents")
 def first_words(spark, d):
     return table(spark, d, "documents").select("doc_id", F.try_element_at(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), F.lit(1)).alias("first_word"))
+
+
+@query("SELECT doc_id::VARCHAR AS key, p.part AS part, sha256(CASE p.part WHEN 'txt' THEN text WHEN 'source' THEN source ELSE lang END) AS content_sha256 FROM documents, (SELECT unnest(['txt', 'source', 'lang']) AS part) p WHERE CASE p.part WHEN 'txt' THEN text WHEN 'source' THEN source ELSE lang END IS NOT NULL")
+def tar_round_trip(spark, d):
+    """All documents as tar shards and back."""
+    path = shared_path(spark, "tar")
+    shards.write_tar(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("txt"), "source", "lang"), path, 8 << 20)
+    return archives.tar_members(spark, f"{path}/shard-*.tar").select("key", "part", F.sha2("content", 256).alias("content_sha256"))
+
+
+def _archived(spark, d):
+    path = shared_path(spark, "warc")
+    shards.write_warc(table(spark, d, "pages"), path, 4 << 20)
+    return shards.read_warc(spark, path, 1 << 20)
+
+
+_PAGES = "SELECT url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS html_sha256, NULL::VARCHAR AS error FROM pages"
+
+
+def _payloads(records):
+    html = F.expr("substring(content, position(X'0d0a0d0a' IN content) + 4)")
+    return records.select("url", F.octet_length(html).alias("payload_bytes"), F.sha2(html, 256).alias("html_sha256"), "error")
+
+
+@query(_PAGES)
+def warc_by_ranges(spark, d):
+    """All pages written as archives and read again in ranges of their bytes."""
+    return _payloads(_archived(spark, d))
+
+
+@query(_PAGES)
+def warc_by_index(spark, d):
+    """The same archives, each record fetched by file, offset and length."""
+    index = _archived(spark, d).filter("type = 'response'").select("file", "offset", "length")
+    return _payloads(shards.fetch(index.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")))
