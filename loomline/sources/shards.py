@@ -246,36 +246,47 @@ def _inflated(file, at: int) -> tuple[bytes, int]:
     return b"".join(out), read - len(inflate.unused_data)
 
 
+def _begins(file, at: int) -> bool:
+    """Whether a gzip member with a WARC record begins at a place."""
+    file.seek(at)
+    try:
+        return zlib.decompressobj(31).decompress(file.read(512), 5) == b"WARC/"
+    except zlib.error:
+        return False
+
+
 def _next_member(file, at: int, size: int) -> int:
-    """The first place from ``at`` on where a gzip member with a WARC record can be read from its beginning, or the file's end."""
-    magic, start, held = b"\x1f\x8b\x08", at, b""
-    while start < size:
+    """The first place from ``at`` on where a member begins, or the file's end."""
+    if at < size and _begins(file, at):
+        return at
+    for start in range(at, size, CHUNK):
         file.seek(start)
         held = file.read(CHUNK + 2)
-        place = held.find(magic)
-        while place >= 0 and place < CHUNK:
-            file.seek(start + place)
-            try:
-                if zlib.decompressobj(31).decompress(file.read(CHUNK), 5) == b"WARC/":
-                    return start + place
-            except zlib.error:
-                pass
-            place = held.find(magic, place + 1)
-        start += CHUNK
+        place = held.find(b"\x1f\x8b\x08")
+        while place >= 0:
+            if _begins(file, start + place):
+                return start + place
+            place = held.find(b"\x1f\x8b\x08", place + 1)
     return size
 
 
 def _compressed(file, part: Range, size: int) -> Iterator[tuple]:
-    """(offset, length, record, error) of the members that begin in a range; where none can be read, a row of the gap with its error."""
-    at = part.start if part.start == 0 else _next_member(file, part.start, size)
+    """(offset, length, record, error) of the members that begin in a range; what lies behind one that is no member is a row with its error, too."""
+    at = _next_member(file, part.start, size)
+    if part.start == 0 < at:
+        yield 0, at, None, "no WARC record"
     while at < min(part.end, size):
         try:
             record, length = _inflated(file, at)
             yield at, length, record, None
+            behind = at + length
+            at = _next_member(file, behind, size)
+            if at > behind:
+                yield behind, at - behind, None, "no WARC record"
         except (zlib.error, EOFError, ValueError) as error:
-            length = _next_member(file, at + 1, size) - at
-            yield at, length, None, str(error) or type(error).__name__
-        at += length
+            behind = _next_member(file, at + 1, size)
+            yield at, behind - at, None, str(error) or type(error).__name__
+            at = behind
 
 
 def _plain(file, size: int) -> Iterator[tuple]:

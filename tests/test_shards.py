@@ -85,8 +85,10 @@ def test_damage_gives_rows(spark, tmp_path, pages):
     data = good[0] + bytes(broken) + b"garbage" + good[2] + other + good[3] + good[4][:-9]
     (tmp_path / "d/x.warc.gz").write_bytes(data)
     at = [0, len(good[0]), len(good[0]) + len(broken) + 7]
+    (tmp_path / "d/y.warc.gz").write_bytes(b"rubbish" * 100)
     for split in (50, 1 << 20):
-        rows = sorted(shards.read_warc(spark, str(tmp_path / "d"), split).collect(), key=lambda r: r.offset)
+        rows = sorted(shards.read_warc(spark, str(tmp_path / "d"), split).collect(), key=lambda r: (r.file, r.offset))
+        assert (rows[-1].offset, rows.pop().length) == (0, 700)
         assert [bool(r.error) for r in rows] == [False, True, False, True, False, True]
         assert [r.offset for r in rows][:3] == at and sum(r.length for r in rows) == len(data)
         assert [r.url for r in rows if not r.error] == [pages[i][0] for i in (0, 2, 3)]
