@@ -45,9 +45,10 @@ def replace_unicode_punctuation(text: Column) -> Column:
     return text
 
 
-def normalise(text: Column) -> Column:
+def normalise(text: Column, lower: bool = True) -> Column:
     """The chain: non-printing, lower case, white space, digits, punctuation."""
-    return replace_unicode_punctuation(digits_to_zero(standardise_whitespace(F.lower(remove_non_printing(text)))))
+    text = remove_non_printing(text)
+    return replace_unicode_punctuation(digits_to_zero(standardise_whitespace(F.lower(text) if lower else text)))
 
 
 def once(rows: DataFrame, **columns: Column) -> DataFrame:

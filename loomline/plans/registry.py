@@ -19,4 +19,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import chat, curation, evaluation, metrics, packing, sampling, scans, webdocs  # noqa: E402,F401  they register themselves
+from . import chat, curation, evaluation, metrics, models, packing, sampling, scans, webdocs  # noqa: E402,F401  they register themselves

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -19,3 +19,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="loomline-"))
     return f"{folder.rstrip('/')}/loomline/{uuid.uuid4().hex}/{label}"
+
+
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` as a table in that folder: several readers compute it once, and a lost executor costs nothing of it."""
+    path = shared_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
