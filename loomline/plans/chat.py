@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import chat
+from ..functions import chat, latex
 from ..functions import text as T
 from ..operators import mixing
 from ..tables import table
@@ -94,6 +94,21 @@ def normalised_answers(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", chat.normalised_answer(F.concat("text", F.lit(" The two-three a One!"))).alias("answer"))
 
 
+@query(r"""
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '\frac{' || conv_id || '}{' || length(text) || '}' WHEN 1 THEN length(text)::VARCHAR WHEN 2 THEN chr(65 + (conv_id % 5)::INT) ELSE '0.' || (100 + conv_id) END AS answer
+FROM conversations WHERE NOT contains(text, 'boxed') AND NOT contains(text, 'final answer is')""")
+def math_answers(spark, d):
+    """Answers in four ways of stating them behind each message, found again and written in one way."""
+    n = F.length("text").cast("string")
+    fraction = F.concat(F.lit(r" so $\boxed{\tfrac{"), F.col("conv_id").cast("string"), F.lit("}{"), n, F.lit(r"} \text{ m}}$ holds"))
+    said = F.when(F.col("turn") % 4 == 0, fraction).when(F.col("turn") % 4 == 1, F.concat(F.lit(" or $"), F.format_number(F.length("text"), 2)))
+    said = said.when(F.col("turn") % 4 == 2, F.concat(F.lit(" so the answer is ("), F.char(65 + F.col("conv_id") % 5), F.lit(").")))
+    said = said.otherwise(F.concat(F.lit(" The final answer is $ x = ."), (100 + F.col("conv_id")).cast("string"), F.lit(r"\%$. I hope it is.")))
+    rows = table(spark, d, "conversations").filter(~F.contains("text", F.lit("boxed")) & ~F.contains("text", F.lit("final answer is")))
+    found = latex.extracted(F.concat("text", said), F.when(F.col("turn") % 4 == 2, "mmlu").otherwise("math"))
+    return rows.select("conv_id", "turn", found.alias("answer"))
+
+
 @query("""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 h AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM w), k AS (SELECT doc_id, w, md5(doc_id || ':' || i || ':' || w) AS h FROM h),
