@@ -8,6 +8,7 @@ URLs only, never nodes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ..functions import text as T
+
 
 def is_image(node: Column) -> Column:
     return node["kind"] == "image"
@@ -178,3 +181,64 @@ def perceptual_hash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             value = perceptual_bits(x.reshape(side, side)) if side >= 8 and side * side == len(x) else None
             out.append(value if value is None or value < 1 << 63 else value - (1 << 64))
         yield pa.array(out, pa.int64())
+
+
+@dataclass(frozen=True)
+class PairCutoffs:
+    """Of an image and its texts; the defaults are those of web pairs, LISTED those of pairs from an index of images."""
+
+    formats: tuple[str, ...] | None = ("jpg", "jpeg", "png", "webp")
+    least_side: int = 100
+    most_side: int = 10_000
+    most_rendered: int = 100_000
+    aspect: float = 3.0
+    min_words: int = 3
+    max_words: int = 256
+    max_special: float = 0.4
+    max_repetition: float = 0.3  #: share of a text's words that were there before
+    min_stop_words: float = 0.0
+    min_similarity: float = 0.2
+    max_repeated: float = 1.0  #: share of words that are there more than once
+    min_common: float = 0.0
+
+
+LISTED = PairCutoffs(formats=None, least_side=150, min_words=1, max_repetition=1.0, max_repeated=0.7, min_common=0.7, min_similarity=-1.0)
+
+
+def pair_image_ok(image: Column, cut: PairCutoffs = PairCutoffs()) -> Column:
+    """Of a struct (format, width, height, rendered_width, rendered_height): an unknown format and unknown rendered sizes pass, unknown sizes don't."""
+    ok = size_ok(image["width"], image["height"], cut.least_side, cut.most_side, cut.aspect)
+    for c in ("rendered_width", "rendered_height"):
+        ok = ok & F.coalesce(image[c].between(cut.least_side, cut.most_rendered), F.lit(True))
+    return ok & format_ok(image["format"], list(cut.formats)) if cut.formats else ok
+
+
+def _words_ok(words: Column, cut: PairCutoffs, common: Column | None) -> Column:
+    n = F.size(words)
+    ok = n.between(cut.min_words, cut.max_words) & (T.single_word_repetition(words) <= cut.max_repetition)
+    if cut.min_stop_words > 0:
+        ok = ok & (T.member_ratio(words, T.STOP_WORDS) >= cut.min_stop_words)
+    if cut.max_repeated < 1:
+        once = F.filter(F.array_distinct(words), lambda d: F.size(words) - F.size(F.array_remove(words, d)) == 1)
+        ok = ok & (F.when(n.between(cut.min_words, cut.max_words), T.ratio(n - F.size(once), n)).otherwise(0.0) <= cut.max_repeated)
+    if common is not None:
+        ok = ok & (T.ratio(F.size(F.filter(words, lambda w: F.array_contains(common, w))), n) >= cut.min_common)
+    return ok
+
+
+def pair_text_ok(text: Column, similarity: Column, cut: PairCutoffs = PairCutoffs(), common: Column | None = None) -> Column:
+    """A text's number of words, special characters, repetition and, if known, its likeness to the image; of ``common`` words (an array) enough, if given."""
+    words_ok = F.transform(F.array(T.words(text)), lambda w: _words_ok(w, cut, common))[0]
+    return (T.special_character_ratio(text) <= cut.max_special) & words_ok & F.coalesce(similarity >= cut.min_similarity, F.lit(True))
+
+
+def filtered_pairs(pairs: DataFrame, cut: PairCutoffs = PairCutoffs(), common: Column | None = None, image: str = "image", texts: str = "texts", similarities: str = "similarities", in_tree: str = "in_tree") -> DataFrame:
+    """The pairs whose image passes and that keep a text; ``texts`` (a map by kind) with those that pass alone, white space made plain.
+
+    ``in_tree`` says whether the image is in the simplified page; ``similarities`` is a map by kind, where null and
+    missing kinds pass.  The checks of a text are independent, so their order doesn't matter.
+    """
+    plain = F.transform_values(texts, lambda kind, t: T.standardise_whitespace(t))
+    kept = F.map_filter(plain, lambda kind, t: t.isNotNull() & pair_text_ok(t, F.try_element_at(F.col(similarities), kind), cut, common))
+    rows = pairs.filter(F.coalesce(F.col(in_tree), F.lit(False)) & pair_image_ok(F.col(image), cut))
+    return rows.withColumn(texts, kept).filter(F.size(texts) > 0)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import mixing, webdocs
 from ..tables import table
+from .curation import WORDS
 from .registry import query
 
 _N = """WITH n AS (SELECT event_id // 4 AS doc, event_id AS pos, event_type IN ('view', 'click') AS img, 'http://i/' || floor(value / 20)::BIGINT AS src,
@@ -196,3 +200,40 @@ def shared_keys(spark, d):
 def first_and_last(spark, d):
     rows = mixing.numbered(table(spark, d, "documents").select("doc_id"), mixing.by_id("doc_id"), ["doc_id"], "i", total="n")
     return rows.filter((F.col("i") < 20) | (F.col("i") >= F.col("n") - 10)).select("doc_id")
+
+
+_COMMON = ["the", "of", "and", "in", "to", "is", "on", "that", "de", "der", "die", "la", "le", "que", "en"]
+_PAIR_TEXTS = f"""
+WITH p AS (SELECT doc_id, n_chars, 50 + n_chars % 1000 AS w, 120 + doc_id % 500 AS h, ['jpg', 'PNG', 'gif', NULL][1 + doc_id % 4] AS f, CASE WHEN doc_id % 5 = 0 THEN 60 + doc_id % 100 END AS rw,
+    translate(split_part(text, '.', 1), '{T.EXOTIC_SPACES}', '{" " * len(T.EXOTIC_SPACES)}') AS alt_text, translate(split_part(text, chr(10), 1), '{T.EXOTIC_SPACES}', '{" " * len(T.EXOTIC_SPACES)}') AS extracted_text, source AS formatted_filename FROM documents),
+t AS (SELECT doc_id, w, h, f, rw, 'alt_text' AS kind, alt_text AS text, doc_id % 10 / 10.0::DOUBLE AS sim FROM p UNION ALL SELECT doc_id, w, h, f, rw, 'extracted_text', extracted_text, NULL FROM p UNION ALL SELECT doc_id, w, h, f, rw, 'formatted_filename', formatted_filename, NULL FROM p),
+v AS (SELECT *, {WORDS} AS words, coalesce(length(regexp_replace(text, '[^!-/:-@\\[-`{{-~0-9]', '', 'g'))::DOUBLE / nullif(length(text), 0), 0) AS special FROM t),
+r AS (SELECT *, 1 - len(list_distinct(words))::DOUBLE / nullif(len(words), 0) AS repetition, 1 - len(list_filter(list_distinct(words), lambda x: len(list_filter(words, lambda y: y = x)) = 1))::DOUBLE / nullif(len(words), 0) AS repeated,
+  len(list_filter(words, lambda x: list_contains({_COMMON}, x)))::DOUBLE / nullif(len(words), 0) AS common FROM v)
+"""
+
+
+def _pairs(spark, d):
+    """An image a document, of a size and format that follow from its numbers, with three texts."""
+    doc, column = F.col("doc_id"), F.col
+    image = F.struct(F.get(F.array(F.lit("jpg"), F.lit("PNG"), F.lit("gif"), F.lit(None)), (doc % 4).cast("int")).alias("format"), (50 + column("n_chars") % 1000).alias("width"), (120 + doc % 500).alias("height"), F.when(doc % 5 == 0, 60 + doc % 100).alias("rendered_width"), F.lit(None).cast("long").alias("rendered_height"))
+    texts = F.create_map(F.lit("alt_text"), F.substring_index("text", ".", 1), F.lit("extracted_text"), F.substring_index("text", "\n", 1), F.lit("formatted_filename"), column("source"))
+    return table(spark, d, "documents").select("doc_id", image.alias("image"), texts.alias("texts"), F.create_map(F.lit("alt_text"), doc % 10 / 10.0).alias("similarities"), (doc % 7 != 0).alias("in_tree"))
+
+
+def _listed(pairs):
+    return pairs.select("doc_id", F.array_join(F.array_sort(F.map_keys("texts")), ",").alias("kinds"))
+
+
+@query(_PAIR_TEXTS + """SELECT doc_id, string_agg(kind, ',' ORDER BY kind) AS kinds FROM r WHERE doc_id % 7 <> 0 AND w BETWEEN 100 AND 10000 AND h BETWEEN 100 AND 10000 AND w::DOUBLE / h BETWEEN 1 / 3.0::DOUBLE AND 3
+AND coalesce(rw BETWEEN 100 AND 100000, true) AND coalesce(lower(f) IN ('jpg', 'jpeg', 'png', 'webp'), true) AND len(words) BETWEEN 3 AND 256 AND special <= 0.4::DOUBLE AND repetition <= 0.3::DOUBLE AND coalesce(sim >= 0.2::DOUBLE, true) GROUP BY doc_id""")
+def image_text_pairs(spark, d):
+    """Pairs that keep a text, and which ones they keep."""
+    return _listed(webdocs.filtered_pairs(_pairs(spark, d)))
+
+
+@query(_PAIR_TEXTS + """SELECT doc_id, string_agg(kind, ',' ORDER BY kind) AS kinds FROM r WHERE doc_id % 7 <> 0 AND w BETWEEN 150 AND 10000 AND h BETWEEN 150 AND 10000 AND w::DOUBLE / h BETWEEN 1 / 3.0::DOUBLE AND 3
+AND coalesce(rw BETWEEN 150 AND 100000, true) AND len(words) BETWEEN 1 AND 256 AND special <= 0.4::DOUBLE AND repeated <= 0.7::DOUBLE AND common >= 0.2::DOUBLE GROUP BY doc_id""")
+def listed_image_pairs(spark, d):
+    cut = replace(webdocs.LISTED, min_common=0.2)
+    return _listed(webdocs.filtered_pairs(_pairs(spark, d), cut, F.array(*map(F.lit, _COMMON))))
