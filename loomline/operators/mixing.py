@@ -208,3 +208,53 @@ def greedy_first_fit(items: Iterator[tuple[int, int]], tokens: int, images: int)
             packs.append([t, i])
             out.append(len(packs) - 1)
     return out
+
+
+def uniform(*keys: Column | str, seed: str = "0") -> Column:
+    """A number between 0 and 1, neither included, that only depends on the keys and the seed."""
+    text = F.concat_ws(":", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("")) for c in (F.col(k) if isinstance(k, str) else k for k in keys)])
+    return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+
+
+def random_interleave(rows: DataFrame, shard: str, position: str, seed: str = "0") -> DataFrame:
+    """Adds ``at``: read in its order, the next row comes from one of the shards that have rows left, each with equal probability.
+
+    Each shard is a clock that ticks after exponential times, and its i-th row stands at its i-th tick.  Clocks have
+    no memory, so whichever shards are left, the next tick is any one's alike; a shard that has run out ticks no more.
+    Ticks are running sums, by buckets of 65,536 positions, so no task holds a shard; the order is one global sort
+    away, and whatever reads a range of ``at`` needs no more than that range.  ``position`` counts a shard's rows from 0.
+    """
+    dealt = rows.withColumn("_wait", -F.ln(uniform(shard, position, seed=seed))).withColumn("_b", F.shiftright(F.col(position).cast("long"), 16))
+    sums = dealt.groupBy(shard, "_b").agg(F.sum("_wait").alias("_s"))
+    earlier = Window.partitionBy(shard).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col(shard).alias("_shard"), F.col("_b").alias("_k"), F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_start"))
+    within = Window.partitionBy(shard, "_b").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    joined = dealt.join(starts, F.col(shard).eqNullSafe(F.col("_shard")) & (F.col("_b") == F.col("_k")))
+    return joined.select(*rows.columns, (F.col("_start") + F.sum("_wait").over(within)).alias("at"))
+
+
+def buffer_shuffled(rows: DataFrame, place: str, buffer: int, out: str, seed: str = "0") -> DataFrame:
+    """``rows`` with ``out``, their new places from 0 on, after a shuffle that moves them about as far as a buffer of that size would.
+
+    A row leaves a full buffer with probability 1/buffer a step, so it comes out after a wait that is geometric; here
+    the wait is its continuous counterpart, which each row draws for itself.
+    """
+    moved = rows.withColumn("_to", F.col(place) - buffer * F.ln(uniform(place, seed=seed)))
+    return numbered(moved, F.floor(F.col("_to") / 65536), ["_to", place], out).drop("_to")
+
+
+def shard_stream(rows: DataFrame, shard: str, position: str, batch: int, buffers: tuple[int, int, int, int] = (100, 100, 100, 1000), seed: str = "0") -> DataFrame:
+    """Adds ``batch`` and ``slot``: shards shuffled twice through buffers, their rows in sequence through a third, batches of them through a fourth.
+
+    Shards are as many as files and are ordered in one place; rows are counted by shard and numbered by buckets.
+    """
+    shards = rows.groupBy(shard).agg(F.count("*").alias("_rows"))
+    shards = shards.withColumn("_p0", F.row_number().over(Window.orderBy(F.col(shard).asc_nulls_first())) - 1)
+    for level in (0, 1):
+        shards = buffer_shuffled(shards, f"_p{level}", buffers[level], f"_p{level + 1}", f"{seed}:{level}")
+    before = Window.orderBy("_p2").rowsBetween(Window.unboundedPreceding, -1)
+    shards = shards.select(F.col(shard).alias("_shard"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    placed = rows.join(shards, F.col(shard).eqNullSafe(F.col("_shard"))).withColumn("_place", F.col("_start") + F.col(position)).drop("_shard", "_start")
+    dealt = buffer_shuffled(placed, "_place", buffers[2], "_q", f"{seed}:2").withColumn("_batch", F.floor(F.col("_q") / batch)).withColumn("slot", (F.col("_q") % batch).cast("int"))
+    batches = buffer_shuffled(dealt.select("_batch").distinct(), "_batch", buffers[3], "batch", f"{seed}:3").withColumnRenamed("_batch", "_of")
+    return dealt.join(batches, F.col("_batch") == F.col("_of")).select(*rows.columns, "batch", "slot")

@@ -67,9 +67,9 @@ def contiguous_subsets(spark, d):
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM documents) WHERE r <= ceil(n * 12.5::DOUBLE / 100)")
 def random_percent(spark, d):
-    docs = table(spark, d, "documents").select("doc_id")
-    n = docs.count()
-    return docs.orderBy(mixing.shuffled("doc_id"), "doc_id").limit(-(-n * 125 // 1000))
+    docs = table(spark, d, "documents").select("doc_id", mixing.shuffled("doc_id").alias("_h"))
+    placed = mixing.numbered(docs, mixing.by_hash("_h"), ["_h", "doc_id"], "i", total="n")
+    return placed.filter(F.col("i") < F.ceil(F.col("n") * 0.125)).select("doc_id")
 
 
 @query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS round FROM documents")
@@ -109,3 +109,36 @@ def next_fit_packs(spark, d):
     grouped = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("a"))
     lengths = F.transform("a", lambda x: x["n"])
     return grouped.select("conv_id", mixing.next_fit(lengths, 600).alias("packs"))
+
+
+_POSITIONS = "WITH p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position FROM documents)"
+
+
+def _u(keys: str, seed: str = "0") -> str:
+    return f"((('0x' || substr(md5('{seed}:' || {keys}), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE)"
+
+
+def _positions(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return mixing.numbered(docs, mixing.by_id("doc_id"), ["doc_id"], "position", ["source"])
+
+
+@query(f"{_POSITIONS} SELECT doc_id, source, round(sum(-ln({_u("source || ':' || position")})) OVER (PARTITION BY source ORDER BY position), 6) AS at FROM p")
+def live_shards_interleaved(spark, d):
+    """Sources as shards, of which each next row comes from any that is left."""
+    return mixing.random_interleave(_positions(spark, d), "source", "position").select("doc_id", "source", F.round("at", 6).alias("at"))
+
+
+def _moved(table_: str, place: str, buffer: int, level: int, out: str) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY {place} - {buffer} * ln({_u(place, f'0:{level}')}), {place}) - 1 AS {out} FROM {table_}"
+
+
+@query(f"""
+{_POSITIONS}, s AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p0 FROM p GROUP BY source),
+s1 AS ({_moved("s", "p0", 100, 0, "p1")}), s2 AS ({_moved("s1", "p1", 100, 1, "p2")}), t AS (SELECT *, coalesce(sum(n) OVER (ORDER BY p2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s2),
+q AS (SELECT p.doc_id, (start + position)::BIGINT AS place FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source), r AS ({_moved("q", "place", 100, 2, "r")}),
+b AS (SELECT DISTINCT r // 16 AS b FROM r), c AS ({_moved("b", "b", 1000, 3, "batch")})
+SELECT doc_id, batch, (r % 16)::INT AS slot FROM r JOIN c ON r // 16 = b""")
+def shards_streamed(spark, d):
+    """Shards, their rows and batches of 16 through four shuffle buffers."""
+    return mixing.shard_stream(_positions(spark, d), "source", "position", 16).select("doc_id", "batch", "slot")

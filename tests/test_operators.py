@@ -302,3 +302,36 @@ def test_votes_of_tests_that_share_an_input(spark):
     assert got == [("p", 0, 1, 2, True), ("p", 0, 2, 1, False), ("p", 1, 1, 2, False), ("p", 1, 2, 1, True), ("q", 0, 1, 1, False)]
     scores = {r.k: r.score for r in puzzles.pass_at(voted, tests, [1, 2]).collect()}
     assert scores == {1: pytest.approx((1 / 2) / 3), 2: pytest.approx(1 / 3)}
+
+
+def test_interleaved_shards_are_drawn_uniformly(spark):
+    """Each next row comes from any live shard alike, shards keep their order, and reruns agree."""
+    sizes = {"a": 4000, "b": 2000, "c": 2000, None: 500}
+    rows = spark.createDataFrame([(s, i) for s, n in sizes.items() for i in range(n)], "shard string, position long").repartition(7)
+    made = mixing.random_interleave(rows, "shard", "position", "x")
+    got = [(r.shard, r.position) for r in made.orderBy("at", "shard", "position").collect()]
+    assert len(got) == 8500 and got == [(r.shard, r.position) for r in mixing.random_interleave(rows.repartition(3), "shard", "position", "x").orderBy("at", "shard", "position").collect()]
+    left, draws, chi = dict(sizes), {s: 0 for s in sizes}, 0.0
+    for shard, position in got:
+        assert position == sizes[shard] - left[shard]
+        live = [s for s in left if left[s]]
+        if len(live) == 4:
+            draws[shard] += 1
+        left[shard] -= 1
+    n = sum(draws.values())
+    chi = sum((c - n / 4) ** 2 / (n / 4) for c in draws.values())
+    assert n > 1500 and chi < 16.3  # 0.999 of the distribution with three degrees of freedom
+    pairs = [(got[i][0], got[i + 1][0]) for i in range(1500)]
+    same = sum(a == b for a, b in pairs) / len(pairs)
+    assert 0.2 < same < 0.3  # draws don't depend on the one before
+
+
+def test_buffer_shuffle_moves_rows_about_a_buffer(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "place").repartition(5)
+    moved = sorted((r.place, r.to) for r in mixing.buffer_shuffled(rows, "place", 100, "to", "s").collect())
+    assert sorted(t for _, t in moved) == list(range(20_000))
+    steps = np.array([t - p for p, t in moved])[2000:-2000]
+    assert 60 < np.abs(steps).mean() < 150 and abs(steps.mean()) < 5 and np.abs(steps).max() < 3000
+    again = mixing.shard_stream(spark.createDataFrame([(s, i) for s in "abc" for i in range(50)], "s string, i long"), "s", "i", 8)
+    found = again.collect()
+    assert len({(r.batch, r.slot) for r in found}) == 150 and {r.batch for r in found} == set(range(19)) and max(r.slot for r in found) == 7
