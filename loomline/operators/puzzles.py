@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections import deque
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import written
 
 Grid = list[list[int]]
 #: Tokens: 0 pads, 1 ends a row or column, digits follow.
@@ -260,6 +264,128 @@ def pool(made: DataFrame, key: str, available: int, most: float = 0.9) -> DataFr
     return unique
 
 
+def _bits(row: Column, characters: str, other: bool = False) -> Column:
+    """A mask of a row's cells that hold one of some characters (or none, with ``other``); column c is bit c, so a row has 62 at most."""
+    inside = re.escape(characters)
+    ones = F.regexp_replace(F.regexp_replace(F.reverse(row), f"[{'^' if not other else ''}{inside}]", "\u0000"), "[^\u0000]", "1")
+    return F.coalesce(F.conv(F.replace(ones, F.lit("\u0000"), F.lit("0")), 2, 10).cast("long"), F.lit(0).cast("long"))
+
+
+def _flood(free: Column, start: Column, goal: Column) -> Column:
+    """Steps of the shortest way over free cells between two masks of cells, -1 without one; arrays of a mask a row."""
+
+    def grown(r: Column, free: Column) -> Column:
+        def row(here: Column, i: Column) -> Column:
+            near = here.bitwiseOR(F.shiftleft(here, 1)).bitwiseOR(F.shiftright(here, 1))
+            for other in (i - 1, i + 1):
+                near = near.bitwiseOR(F.coalesce(F.get(r, other), F.lit(0).cast("long")))
+            return near.bitwiseAND(F.get(free, i))
+
+        return F.transform(r, row)
+
+    def search(m: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            def after(g: Column) -> Column:
+                met = F.exists(F.zip_with(g, m["goal"], lambda a, b: a.bitwiseAND(b)), lambda x: x != 0)
+                return F.struct(g.alias("r"), (s["d"] + 1).alias("d"), F.when(met, 1).when(g == s["r"], 2).otherwise(0).alias("end"))
+
+            return F.when(s["end"] != 0, s).otherwise(F.transform(F.array(grown(s["r"], m["free"])), after)[0])
+
+        begin = F.struct(m["start"].alias("r"), F.lit(0).alias("d"), F.lit(0).alias("end"))
+        cells = F.aggregate(m["free"], F.lit(0), lambda n, x: n + F.bit_count(x))
+        found = F.aggregate(F.sequence(F.lit(1), F.greatest(cells, F.lit(1))), begin, step)
+        return F.transform(F.array(found), lambda s: F.when(s["end"] == 1, s["d"]).otherwise(-1))[0]
+
+    return F.transform(F.array(F.struct(free.alias("free"), start.alias("start"), goal.alias("goal"))), search)[0]
+
+
+def maze_steps(maze: Column, start: str = "S", goal: str = "G", wall: str = "#") -> Column:
+    """``maze_distance`` as an expression on array<string> whose rows have 62 characters at most: a flood over masks of rows."""
+    free, begin, end = (F.transform(maze, of) for of in (lambda r: _bits(r, wall, True), lambda r: _bits(r, start), lambda r: _bits(r, goal)))
+    return _flood(free, begin, end)
+
+
+def maze_solved(maze: Column, solution: Column, path: str = "o", start: str = "S", goal: str = "G", wall: str = "#") -> Column:
+    """Whether the cells that a solution marks, with the maze's start and goal, lead from one to the other and cross no wall."""
+    begin, end, walls = (F.transform(maze, of) for of in (lambda r: _bits(r, start), lambda r: _bits(r, goal), lambda r: _bits(r, wall)))
+    marked = F.transform(solution, lambda r: _bits(r, path))
+    crossed = F.exists(F.zip_with(marked, walls, lambda a, b: F.coalesce(a.bitwiseAND(b), F.lit(0).cast("long"))), lambda x: x != 0)
+    either = lambda a, b: F.coalesce(a, F.lit(0).cast("long")).bitwiseOR(F.coalesce(b, F.lit(0).cast("long")))
+    free = F.zip_with(F.zip_with(marked, begin, either), end, either)
+    return ~crossed & (_flood(free, begin, end) > 0)
+
+
+def maze_turned(maze: Column, k: int) -> Column:
+    """One of the 8 symmetries of a maze whose rows are equally long."""
+    cells = F.transform(maze, lambda row: F.filter(F.split(row, ""), lambda c: c != ""))
+    return F.transform(F.transform(F.array(cells), lambda g: turned(g, k))[0], lambda row: F.array_join(row, ""))
+
+
+# Rows and columns of a box, and the number of solutions there are.
+BOXES = {4: (2, 2), 6: (2, 3), 9: (3, 3)}
+SOLUTIONS = {4: 288, 6: 28_200_960, 9: 6_670_903_752_021_072_936_960}
+
+
+def filled(size: int, rng: np.random.Generator) -> np.ndarray:
+    """A random solution: cells in order, digits in random order, back where none fits."""
+    height, width = BOXES[size]
+    board = np.zeros((size, size), dtype=np.int8)
+
+    def place(at: int) -> bool:
+        if at == size * size:
+            return True
+        r, c = divmod(at, size)
+        top, left = r - r % height, c - c % width
+        used = {*board[r].tolist(), *board[:, c].tolist(), *board[top : top + height, left : left + width].ravel().tolist()}
+        for digit in rng.permutation(size) + 1:
+            if digit not in used:
+                board[r, c] = digit
+                if place(at + 1):
+                    return True
+        board[r, c] = 0
+        return False
+
+    place(0)
+    return board
+
+
+@F.udtf(returnType="puzzle string, solution string")
+class SudokuOf:
+    """A puzzle a seed: a random solution of which ``least`` to ``most`` digits are given, 0 for the others."""
+
+    def eval(self, seed: str, size: int, least: int, most: int):
+        rng = np.random.default_rng(list(hashlib.sha256(seed.encode()).digest()))
+        board = filled(size, rng)
+        given = np.zeros(size * size, dtype=bool)
+        given[rng.permutation(size * size)[: rng.integers(least, most + 1)]] = True
+        cells = board.ravel()
+        yield "".join(map(str, np.where(given, cells, 0))), "".join(map(str, cells))
+
+
+def sudoku_pool(seeds: DataFrame, size: int, least: int, most: int, id_col: str = "seed", share: float = 0.9, rounds: int = 200) -> DataFrame:
+    """(id, puzzle, solution): a puzzle a row of ``seeds``, no two with one solution.
+
+    All seeds draw; of those with one solution the smallest keeps it, the others and those whose solution is taken
+    draw again, with the round in their seed.  The rows of a round are as many as were rejected, so the first rounds
+    do nearly all the work; every round is written to the shared folder.  More seeds than ``share`` of the solutions
+    that there are is an error, and so is not ending within ``rounds``.  Seeds must not repeat.
+    """
+    n = seeds.count()
+    if n > share * SOLUTIONS[size]:
+        raise ValueError(f"{n} puzzles of {SOLUTIONS[size]} solutions: at most {share:.0%} can be told apart")
+    left, taken = seeds.select(F.col(id_col).alias("id")), None
+    for step in range(rounds):
+        drawn = left.select("id", F.concat_ws(":", F.col("id").cast("string"), F.lit(str(step))).alias("s"))
+        drawn = written(drawn.lateralJoin(SudokuOf(F.col("s").outer(), F.lit(size), F.lit(least), F.lit(most))).drop("s"), f"drawn-{step}")
+        fresh = drawn if taken is None else drawn.join(taken.select("solution"), "solution", "left_anti")
+        kept = written(fresh.groupBy("solution").agg(F.min(F.struct("id", "puzzle")).alias("k")).select("k.id", "k.puzzle", "solution"), f"kept-{step}")
+        taken = kept if taken is None else taken.unionByName(kept)
+        left = written(drawn.select("id").join(kept.select("id"), "id", "left_anti"), f"left-{step}")
+        if left.isEmpty():
+            return taken.withColumnRenamed("id", id_col)
+    raise RuntimeError(f"{rounds} rounds weren't enough")
+
+
 def puzzle_metadata(rows: DataFrame, group: str, puzzle: str, size: int, pad: int = PAD, ignore: int = 0, vocabulary: int = 12) -> DataFrame:
     """One row that describes a set of puzzles: pad_id, ignore_label_id, blank_identifier_id, vocab_size, seq_len, num_puzzle_identifiers, total_groups, mean_puzzle_examples."""
     fixed = {"pad_id": pad, "ignore_label_id": ignore, "blank_identifier_id": 0, "vocab_size": vocabulary, "seq_len": size}

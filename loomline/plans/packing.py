@@ -187,6 +187,35 @@ def puzzle_pass_at(spark, d):
     return puzzles.pass_at(puzzles.test_votes(puzzles.predictions(*_outputs(tests), blank=-1, size=10), tests), tests, [1, 2])
 
 
+def _mazes(spark, d):
+    """A maze of 10 rows and 16 columns an event, 7 of 16 cells between the first and the last row walls, from the digits of its hashes."""
+    row = lambda i: F.translate(F.substring(F.md5(F.concat_ws(":", F.col("event_id").cast("string"), i.cast("string"))), 1, 16), "0123456789abcdef", "#######" + " " * 9)
+    rows = F.transform(F.sequence(F.lit(1), F.lit(8)), row)
+    whole = F.concat(F.array(F.lit("S" + " " * 15)), rows, F.array(F.lit(" " * 15 + "G")))
+    return T.once(table(spark, d, "events").select("event_id"), maze=whole)
+
+
+@query()
+def maze_steps(spark, d):
+    """Shortest ways through mazes."""
+    mazes = _mazes(spark, d)
+    return mazes.select("event_id", F.array_join("maze", "\n").alias("maze"), puzzles.maze_steps(F.col("maze")).alias("steps"))
+
+
+@query()
+def maze_symmetries(spark, d):
+    """The ids of each maze in its 8 positions."""
+    each = F.array(*[F.struct(F.lit(k).alias("symmetry"), puzzles.maze_turned(F.col("maze"), k).alias("m")) for k in range(8)])
+    made = _mazes(spark, d).select("event_id", F.inline(each))
+    return made.select("event_id", "symmetry", F.size("m").alias("rows"), F.array_join(puzzles.maze_ids(F.col("m")).cast("array<string>"), "").alias("ids"))
+
+
+@query()
+def sudoku_pool(spark, d):
+    """A six by six puzzle a part, all with different solutions."""
+    return puzzles.sudoku_pool(table(spark, d, "part").select(F.col("p_partkey").alias("seed")), 6, 12, 20)
+
+
 @query("SELECT 0 AS pad_id, 0 AS ignore_label_id, 0 AS blank_identifier_id, 12 AS vocab_size, 900 AS seq_len, count(DISTINCT p_size) + 1 AS num_puzzle_identifiers, count(DISTINCT p_brand) AS total_groups, count(*) / count(DISTINCT p_size)::DOUBLE AS mean_puzzle_examples FROM part")
 def puzzle_metadata(spark, d):
     return puzzles.puzzle_metadata(table(spark, d, "part"), "p_brand", "p_size", 900)
