@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import mixing, webdocs
+from ..operators import dom, mixing, webdocs
 from ..tables import table
 from .curation import WORDS
 from .registry import query
@@ -237,3 +237,18 @@ AND coalesce(rw BETWEEN 150 AND 100000, true) AND len(words) BETWEEN 1 AND 256 A
 def listed_image_pairs(spark, d):
     cut = replace(webdocs.LISTED, min_common=0.2)
     return _listed(webdocs.filtered_pairs(_pairs(spark, d), cut, F.array(*map(F.lit, _COMMON))))
+
+
+@query()
+def simplified_trees(spark, d):
+    """What is left of each page's tree: its nodes' tags, depths, texts and sources."""
+    left = dom.simplified(dom.trees(table(spark, d, "pages")))
+    return left.select("page_id", F.posexplode("nodes").alias("place", "n")).select("page_id", "place", "n.*")
+
+
+@query()
+def tree_rules(spark, d):
+    """Nodes by rules that look at what they stand in, on the whole trees."""
+    rules = {"items": "ul li, ol > li", "in_article": "article > p", "deep": "body * p", "linked": "nav a[href^='/t']"}
+    found = dom.trees(table(spark, d, "pages"))
+    return found.select("page_id", *[F.size(F.filter(dom.matching("nodes", rule), lambda b: b)).alias(name) for name, rule in rules.items()])
