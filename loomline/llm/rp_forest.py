@@ -61,7 +61,7 @@ MAX_SAMPLE, MAX_SAMPLE_BYTES = 32_768, 64 << 20
 FOUND = 0.99
 MIN_TREES = 3
 #: Classes in a leaf, about, and in a leaf that is compared whole, at most.
-LEAF, WHOLE = 8192, 32_768
+LEAF, WHOLE = 512, 32_768
 #: Sampled classes in a leaf, at least.
 LEAST_SAMPLE = 16
 #: Share of a node's sample that goes to both children.

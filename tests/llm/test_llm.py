@@ -116,6 +116,21 @@ def test_recall_of_the_shipped_forest_near_the_threshold(spark, monkeypatch, who
     assert recall >= (0.97 if whole > 2000 else 0.9) and all(got[i].n_links <= 1 for i in got) and all(got[i].component_id in (i, i - 2000) for i in got)
 
 
+def test_trees_grow_on_the_tables_sizes(spark, monkeypatch):
+    """2,000 vectors are projected, spilled and compared in several leaves of each of several trees, with the result of all cosines."""
+    grown, grow = [], rp_forest.grow
+    monkeypatch.setattr(rp_forest, "grow", lambda *a: grown.append(grow(*a)) or grown[-1])
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((2000, 64))
+    x[1000:1300] = x[:300] + 0.4 * rng.standard_normal((300, 64))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = {r.vec_id: r for r in rp_forest.near_duplicates(rows).collect()}
+    links, _ = brute_links(x)
+    assert len(grown) >= rp_forest.MIN_TREES and all(t.leaves >= 4 for t in grown)
+    assert links.sum() > 200 and sum(got[i].n_links for i in range(2000)) >= 0.95 * links.sum()
+    assert all(got[i].n_links <= links[i] for i in range(2000))
+
+
 def test_forest_finds_the_links_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(rp_forest, "CHUNK", 1024)
     monkeypatch.setattr(rp_forest, "LEAF", 512)
