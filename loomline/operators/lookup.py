@@ -40,3 +40,22 @@ def attach(rows: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
     out = out.withColumn("_salt", salt).join(cold, same([*key, "_salt"], [*on, "_s"]), "left")
     value = F.coalesce("_hot", "_v")
     return out.select(*rows.columns, *[value[c].alias(c) for c in others])
+
+
+#: Copies of a wide row that a hot key's rows are dealt over.
+COPIES = 64
+
+
+def deal(rows: DataFrame, wide: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``wide``, which has a row of any size a key; ``rows`` should be a written table.
+
+    The wide row of a hot key is not broadcast but shuffled in COPIES copies, over which the key's rows are dealt.
+    """
+    others = [c for c in wide.columns if c != key]
+    total = rows.agg(F.count("*")).scalar()
+    hot = rows.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n")).filter(F.col("_n") * HOT_SHARE > total).select("_k", F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(COPIES)).cast("int")).otherwise(F.lit(0))
+    salted = rows.join(F.broadcast(hot), F.col(key) == F.col("_k"), "left").select(*rows.columns, salt.alias("_salt"))
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
+    copied = wide.join(F.broadcast(hot), F.col(key) == F.col("_k"), "left").select(F.col(key).alias("_key"), F.explode(copies).alias("_copy"), *others)
+    return salted.join(copied, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_copy"))).select(*rows.columns, *others)

@@ -218,5 +218,5 @@ def test_answers_and_summaries(spark):
     assert one(chat.conflicts(F.array(F.lit("a"), F.lit("b")), {"a": ["b"]})) and not one(chat.conflicts(F.array(F.lit("a")), {"a": ["b"]}))
     rows = spark.createDataFrame([(1, "a", 0), (1, "a", 1), (1, "b", 2)], "doc long, src string, pos int")
     assert sorted(r.pos for r in dedup.first_in_document(rows, "doc", "src", "pos").collect()) == [0, 2]
-    bands = dedup.minhash_bands(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "q")], "doc_id long, text string"), bands=1)
-    assert [(r.a, r.b) for r in dedup.minhash_edges(bands).collect()] == [(1, 2)]
+    links = dedup.near_links(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "q"), (4, None), (5, ""), (6, "Q!")], "doc_id long, text string"), bands=2)
+    assert sorted((r.a, r.b, r.similarity) for r in links.collect()) == [(1, 2, 1.0), (3, 6, 1.0)]
