@@ -234,15 +234,19 @@ def kept_by_route(docs: DataFrame, roles: DataFrame, marked_language: str, marks
     lines and marks; english: quality, repetition, strict lines and, of what they leave,
     line statistics; rejected: none.
     """
-    rows = route(docs, roles, marked_language, marks, text=text)
-    rows = repetition_ok(gopher_statistics(rows, text), text=text)
-    rows = T.once(rows, _strict=c4_lines(F.col(text)), _lenient=c4_lines(F.col(text), 1, False, False))
-    rows = T.once(rows, _fine=fineweb_ok(F.col("_strict")) & c4_document(F.col("_strict")))
-    again = F.col("repetition_ok")
-    english = gopher_quality() & again & F.col("_fine")
-    marked = gopher_quality(Gopher(min_mean_length=2.0), stop_words=False) & again & c4_document(F.col("_lenient"), 1) & (T.diacritic_fraction(F.col(text), marks) >= least_marks)
-    kept = F.when(F.col("route") == "math", (F.col("n_words") >= math_words) & again).when(F.col("route") == "marked", marked).when(F.col("route") == "english", english).otherwise(False)
-    return rows.select(*docs.columns, "route", F.coalesce(kept, F.lit(False)).alias("kept"))
+    rows = gopher_statistics(route(docs, roles, marked_language, marks, text=text), text)
+    on = lambda name: F.col("route") == name
+    first = F.when(on("math"), F.col("n_words") >= math_words)
+    first = first.when(on("marked"), gopher_quality(Gopher(min_mean_length=2.0), stop_words=False) & (T.diacritic_fraction(F.col(text), marks) >= least_marks))
+    first = first.when(on("english"), gopher_quality()).otherwise(False)
+    rows = T.once(rows, _open=F.coalesce(first, F.lit(False)))
+    # each test is only made of the rows that all tests before it left open, from the cheap ones to the counts of n-grams
+    still = lambda name: F.col("_open") & on(name)
+    rows = T.once(rows, _lines=F.when(still("english"), c4_lines(F.col(text))).when(still("marked"), c4_lines(F.col(text), 1, False, False)))
+    good = F.when(on("english"), c4_document(F.col("_lines")) & fineweb_ok(F.col("_lines"))).when(on("marked"), c4_document(F.col("_lines"), 1)).otherwise(True)
+    rows = T.once(rows, _undecided=F.when(F.col("_open"), F.coalesce(good, F.lit(False))).otherwise(False))
+    rows = repetition_ok(rows.withColumn("_judged", F.when(F.col("_undecided"), F.col(text))), text="_judged")
+    return rows.select(*docs.columns, "route", (F.col("_undecided") & F.col("repetition_ok")).alias("kept"))
 
 
 def heuristic_language(text: Column, marks: str, marked_as: str) -> tuple[Column, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup, html, quality
+from ..sources.shared import written
 from ..tables import table
 from .registry import query
 
@@ -162,19 +163,29 @@ def router_survival(spark, d):
     return scoring.survival(rows, "lang", "source", F.col("_old"), F.col("kept"))
 
 
-@query(rf"""{_ROUTED},
+_MAIL_SQL, _IP_SQL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+
+
+@query(rf"""{_ROUTED.replace("WITH", "WITH RECURSIVE", 1)},
 one AS (SELECT doc_id, text FROM (SELECT d.doc_id, d.text, row_number() OVER (PARTITION BY d.text ORDER BY d.doc_id) AS r FROM documents d JOIN routed USING (doc_id) WHERE kept AND d.lang IN ('en', 'de', 'fr')) WHERE r = 1),
-gated AS (SELECT doc_id, text FROM one LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id) WHERE trim(text, ' ') <> '' AND (q IS NULL OR q >= 1)),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' ')) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS g FROM (SELECT doc_id, {TOKENS} AS t FROM one)),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+near AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL) JOIN sz p ON p.doc_id = a JOIN sz q ON q.doc_id = b WHERE k::DOUBLE / (p.n + q.n - k) >= 0.8::DOUBLE),
+up AS (SELECT b AS doc_id, a AS reach FROM near UNION SELECT a, b FROM near UNION SELECT u.doc_id, CASE WHEN n.a = u.reach THEN n.b ELSE n.a END FROM up u JOIN near n ON u.reach IN (n.a, n.b)),
+distinct_texts AS (SELECT * FROM one WHERE doc_id NOT IN (SELECT doc_id FROM up GROUP BY doc_id HAVING min(reach) < doc_id)),
+gated AS (SELECT doc_id, text FROM distinct_texts LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id) WHERE trim(text, ' ') <> '' AND (q IS NULL OR q >= 1)),
 b AS (SELECT unnest(list_transform(range(1, len(t) - 11), lambda i: array_to_string(t[i:i+12], ' '))) AS gram FROM (SELECT {TOKENS} AS t FROM benchmark) WHERE len(t) >= 13),
-g AS (SELECT doc_id, unnest(list_transform(range(1, len(t) - 11), lambda i: array_to_string(t[i:i+12], ' '))) AS gram FROM (SELECT doc_id, {TOKENS} AS t FROM gated) WHERE len(t) >= 13)
-SELECT doc_id, length(text) AS n_chars FROM gated WHERE doc_id NOT IN (SELECT g.doc_id FROM g JOIN b USING (gram))""")
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(t) - 11), lambda i: array_to_string(t[i:i+12], ' '))) AS gram FROM (SELECT doc_id, {TOKENS} AS t FROM gated) WHERE len(t) >= 13),
+clean AS (SELECT doc_id, text, regexp_replace(text, '{_MAIL_SQL}', '<|pii|>', 'g') AS t1 FROM gated WHERE doc_id NOT IN (SELECT g.doc_id FROM g JOIN b USING (gram))),
+red AS (SELECT doc_id, text, t1, regexp_replace(t1, '{_IP_SQL}', '<|pii|>', 'g') AS t2 FROM clean)
+SELECT doc_id, length(t2) AS n_chars, len(regexp_extract_all(text, '{_MAIL_SQL}')) + len(regexp_extract_all(t1, '{_IP_SQL}')) AS replaced, sha256(t2) AS text_sha256 FROM red""")
 def curated(spark, d):
-    """The curation chain: language, quality by route, exact copies, classifier gate, benchmark passages, personal data."""
-    docs = _routed(spark, d).filter(F.col("kept") & F.col("lang").isin("en", "de", "fr")).select("doc_id", "text")
-    one = dedup.exact(docs, F.sha2("text", 256), "doc_id")
+    """The curation chain: language, quality by route, exact and near copies, classifier gate, benchmark passages, personal data."""
+    docs = written(_routed(spark, d).filter(F.col("kept") & F.col("lang").isin("en", "de", "fr")).select("doc_id", "text"), "kept")
+    one = dedup.minhash_dedup(docs)
     gated = quality.classifier_gate(one, table(spark, d, "labels"), 1)
-    clean = dedup.decontaminate(gated, table(spark, d, "benchmark")).withColumn("n_chars", F.length("text").cast("long"))
-    return T.redact(clean).select("doc_id", "n_chars")
+    clean = dedup.decontaminate(gated, table(spark, d, "benchmark"))
+    return T.redact(clean, patterns=(T.EMAIL, T.IP)).select("doc_id", F.length("text").cast("long").alias("n_chars"), "replaced", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(rf"""
@@ -265,7 +276,7 @@ def web_document_filter(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     counts = docs.select(F.explode(T.words(F.col("text"))).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(65_536)
     common = [r.w for r in counts.collect()]
-    return quality.web_document_filter(docs, common[:100], T.SPAM_WORDS, common)
+    return quality.web_document_filter(docs, common[:100], T.SPAM_WORDS, common, separator="\n")
 
 
 @query(rf"""
