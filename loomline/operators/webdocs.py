@@ -52,10 +52,15 @@ def drop_documents_with(docs: DataFrame, banned: DataFrame, doc: str = "doc", no
     return docs.join(used.join(banned.select("src").distinct(), "src", "left_semi").select("_d").distinct(), F.col(doc) == F.col("_d"), "left_anti")
 
 
-def drop_test_images(docs: DataFrame, digests: DataFrame, whole_document: bool, doc: str = "doc", nodes: str = "nodes", digest=F.md5) -> DataFrame:
-    """Images whose digest is among the test set's ``digests`` (digest) go, or the documents that hold one."""
-    urls = docs.select(F.explode(image_urls(F.col(nodes))).alias("src")).distinct().withColumn("digest", digest("src"))
-    found = urls.join(digests.select("digest").distinct(), "digest", "left_semi").select("src")
+def drop_test_images(docs: DataFrame, digests: DataFrame, whole_document: bool, doc: str = "doc", nodes: str = "nodes", digest=F.md5, images: DataFrame | None = None) -> DataFrame:
+    """Images whose digest is among the test set's ``digests`` (digest) go, or the documents that hold one.
+
+    The digest is that of the bytes in ``images`` (src, content), so that a test image is found at any URL; without
+    ``images`` it's that of the URL.
+    """
+    urls = docs.select(F.explode(image_urls(F.col(nodes))).alias("src")).distinct() if images is None else images.select("src", "content")
+    digested = urls.select("src", digest("src" if images is None else "content").alias("digest"))
+    found = digested.join(digests.select("digest").distinct(), "digest", "left_semi").select("src")
     return (drop_documents_with if whole_document else drop_images)(docs, found, doc, nodes)
 
 

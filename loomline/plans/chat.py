@@ -73,11 +73,6 @@ def preference_rows(spark, d):
     return _pairs(spark, d).filter(chat.preference_ok(F.col("prompt"), F.col("response"))).select("conv_id", "turn")
 
 
-@query("SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0")
-def verified_responses(spark, d):
-    return table(spark, d, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
-
-
 @query("""
 WITH m AS (SELECT conv_id, turn, role, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM conversations)
 SELECT conv_id, start::INT AS start, (start + n)::INT AS "end" FROM m WHERE role <> 'assistant'""")

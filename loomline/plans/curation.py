@@ -372,11 +372,18 @@ def html_back_filled(spark, d):
     return pages.select("page_id", "url").join(shards, "url", "left").select("page_id", F.col("back").isNotNull().alias("found"), F.length("back").cast("long").alias("size"))
 
 
-@query("SELECT DISTINCT d.doc_id AS document, d.source AS url FROM documents d WHERE contains(' ' || array_to_string(" + TOKENS + ", ' ') || ' ', ' the ')")
+_FIVES = "list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' '))"
+
+
+@query(f"""WITH w AS (SELECT unnest({_FIVES}) AS gram FROM (SELECT {TOKENS} AS t FROM benchmark WHERE item_id < 50) WHERE len(t) >= 5),
+g AS (SELECT doc_id, source, unnest({_FIVES}) AS gram FROM (SELECT doc_id, source, {TOKENS} AS t FROM documents) WHERE len(t) >= 5)
+SELECT DISTINCT doc_id AS document, source AS url FROM g WHERE gram IN (SELECT gram FROM w)""")
 def ngram_search(spark, d):
+    """Documents that hold a run of five words of the first benchmark items."""
     docs = table(spark, d, "documents")
-    grams = docs.select(F.col("doc_id").alias("document"), F.explode(F.array_distinct(T.unicode_tokens(F.col("text")))).alias("gram")).filter("gram = 'the'").select("document", F.lit(7).alias("ngram"))
-    return dedup.ngram_search(grams, docs.select(F.col("doc_id").alias("document"), F.col("source").alias("url")), [7])
+    fives = lambda rows, *ids: T.once(rows, _t=T.unicode_tokens(F.col("text"))).select(*ids, F.explode(T.ngram_hashes("_t", 5)).alias("ngram"))
+    wanted = fives(table(spark, d, "benchmark").filter("item_id < 50"))
+    return dedup.ngram_search(fives(docs, F.col("doc_id").alias("document")), docs.select(F.col("doc_id").alias("document"), F.col("source").alias("url")), wanted)
 
 
 _MARK = "list_sum(list_transform(range({0}, {0} + 32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << (i - {0})) ELSE 0 END))::BIGINT"
@@ -389,7 +396,7 @@ SELECT id, other, bits FROM p WHERE bits < 12""")
 def hamming_neighbours(spark, d):
     mark = F.aggregate(F.transform("embedding", lambda x: (x > 0).cast("long")), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(x))
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), mark.alias("mark"))
-    return dedup.hamming_near(rows.filter(F.pmod("id", F.lit(50)) == 0), rows, 12, 16)
+    return dedup.hamming_near(rows.filter(F.pmod("id", F.lit(50)) == 0), rows, 12)
 
 
 @query()

@@ -213,10 +213,11 @@ def repeated_paragraphs(spark, d):
     return lines.groupBy("source", "paragraph").agg(F.count("*").alias("n")).filter("n > 2")
 
 
-@query("SELECT event_type AS stage, user_id % 5 AS source, string_agg(DISTINCT event_type, '+' ORDER BY event_type) AS stages FROM events GROUP BY ALL")
+@query("SELECT user_id % 5 AS source, event_id % 3 AS subset, string_agg(DISTINCT event_type, '+' ORDER BY event_type) AS stages, count(*) AS n FROM events GROUP BY ALL")
 def sources_deduplicated(spark, d):
-    rows = table(spark, d, "events").withColumn("source", F.col("user_id") % 5)
-    return rows.groupBy(F.col("event_type").alias("stage"), "source").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "+").alias("stages"))
+    """A row a source and subset, with all the stages that use it."""
+    rows = table(spark, d, "events").withColumn("source", F.col("user_id") % 5).withColumn("subset", F.col("event_id") % 3)
+    return rows.groupBy("source", "subset").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "+").alias("stages"), F.count("*").alias("n"))
 
 
 @query("SELECT event_id, dense_rank() OVER (ORDER BY event_type)::INT AS code FROM events")

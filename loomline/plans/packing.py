@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import answers, latex
 from ..functions import text as T
 from ..operators import mixing, packing, puzzles
 from ..tables import table
@@ -99,13 +100,27 @@ def resumed_order(spark, d):
     return packing.resumed(table(spark, d, "documents").select("doc_id"), 50, epoch=3)
 
 
-@query("SELECT p_partkey, p_size % 10 AS a, (p_size * 3) % 10 AS b FROM part WHERE p_size % 10 <> (p_size * 3) % 10")
-def rejected_by_answer(spark, d):
-    """Rows whose second answer differs from the first: what rejection sampling drops."""
-    from ..functions import answers
+_TRIES = "WITH t AS (SELECT conv_id, turn, k, length(text) * 7 + turn AS truth, (conv_id + turn + k) % 3 = 0 AS good FROM conversations, (SELECT unnest([0, 1]) AS k))"
+
+
+def _tries(spark, d):
+    """Two answers to each message, one way or another, of which one in three states the truth."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", (F.length("text") * 7 + F.col("turn")).alias("truth"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    said = F.col("truth") + F.when((F.col("conv_id") + F.col("turn") + F.col("k")) % 3 == 0, 0).otherwise(1 + F.col("k"))
+    stated = F.when(F.col("k") == 0, F.concat(F.col("text"), F.lit(r" so \boxed{"), said.cast("string"), F.lit(r"\text{ km}}."))).otherwise(F.concat(F.col("text"), F.lit(" The answer is $"), F.format_number(said, 0), F.lit(".0$.")))
+    return rows.withColumn("answer", latex.extracted(F.regexp_replace(stated, r"(?<=\d),(?=\d)", ""), F.lit("math"))).withColumn("right", answers.answers_equal(F.col("answer"), F.col("truth").cast("string")))
+
 
-    rows = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 10).alias("a"), (F.col("p_size") * 3 % 10).alias("b"))
-    return rows.filter(~answers.answers_equal(F.col("a").cast("string"), F.col("b").cast("string")))
+@query(f"{_TRIES} SELECT conv_id, turn, min(k)::INT AS k FROM t WHERE good GROUP BY conv_id, turn")
+def verified_responses(spark, d):
+    """Of several answers to a message the first whose extracted result is right; messages without one go."""
+    return _tries(spark, d).filter("right").groupBy("conv_id", "turn").agg(F.min("k").alias("k"))
+
+
+@query(f"{_TRIES} SELECT conv_id, turn, k::INT AS k FROM t WHERE NOT good")
+def rejected_by_answer(spark, d):
+    """Answers whose extracted result isn't the truth: what rejection sampling drops."""
+    return _tries(spark, d).filter("not right").select("conv_id", "turn", "k")
 
 
 @query("SELECT d.doc_id, quality, toxic, length(text) AS n FROM documents d LEFT JOIN labels l USING (doc_id)")

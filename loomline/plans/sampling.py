@@ -17,9 +17,11 @@ def _budgets(spark):
     return mixing.budgets(spark.createDataFrame(_WEIGHTS, "source string, weight double"), 50_000)
 
 
-@query(f"SELECT source, weight, weight / sum(weight) OVER () * (50000 * 3.8::DOUBLE) AS char_budget FROM {_W_SQL}")
+@query("SELECT source, weight, weight / sum(weight) OVER () * (50000 * 3.8::DOUBLE) AS char_budget FROM (SELECT source, sqrt(sum(length(text))) AS weight FROM documents GROUP BY source)")
 def source_budgets(spark, d):
-    return _budgets(spark)
+    """Weighed by the root of a source's size, so that large ones don't take all."""
+    sizes = table(spark, d, "documents").groupBy("source").agg(F.sqrt(F.sum(F.length("text"))).alias("weight"))
+    return mixing.budgets(sizes, 50_000)
 
 
 @query(f"""

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dom, mixing, webdocs
+from ..sources import readers
+from ..sources.shared import written
 from ..tables import table
 from .curation import WORDS
 from .registry import query
@@ -61,16 +63,26 @@ def opted_out_images_removed(spark, d):
     return _shown(webdocs.drop_images(_docs(spark, d), spark.createDataFrame([(u,) for u in _BANNED], "src string")))
 
 
-@query(f"{_N}, k AS (SELECT * FROM n WHERE NOT img OR md5(src) NOT IN (md5('http://i/1'), md5('http://i/4'))) {_LEFT}")
+#: The image at a URL is the source of the document of its number, so that several URLs hold the same bytes.
+_BYTES = "seen AS (SELECT 'http://i/' || doc_id AS src, md5(source) AS digest FROM documents), held AS (SELECT src FROM seen WHERE digest IN (md5('src1'), md5('src4')))"
+
+
+def _test_images(spark, d):
+    docs = table(spark, d, "documents")
+    images = docs.select(F.concat(F.lit("http://i/"), F.col("doc_id").cast("string")).alias("src"), F.col("source").cast("binary").alias("content"))
+    return images, spark.createDataFrame([("src1",), ("src4",)], "s string").select(F.md5("s").alias("digest"))
+
+
+@query(f"{_N}, {_BYTES}, k AS (SELECT * FROM n WHERE NOT img OR src NOT IN (SELECT src FROM held)) {_LEFT}")
 def test_images_removed(spark, d):
-    digests = spark.createDataFrame([("http://i/1",), ("http://i/4",)], "src string").select(F.md5("src").alias("digest"))
-    return _shown(webdocs.drop_test_images(_docs(spark, d), digests, whole_document=False))
+    images, digests = _test_images(spark, d)
+    return _shown(webdocs.drop_test_images(_docs(spark, d), digests, whole_document=False, images=images))
 
 
-@query(f"{_N} SELECT doc FROM docs WHERE doc NOT IN (SELECT doc FROM n WHERE img AND md5(src) IN (md5('http://i/1'), md5('http://i/4')))")
+@query(f"{_N}, {_BYTES} SELECT doc FROM docs WHERE doc NOT IN (SELECT doc FROM n WHERE img AND src IN (SELECT src FROM held))")
 def documents_with_test_images_removed(spark, d):
-    digests = spark.createDataFrame([("http://i/1",), ("http://i/4",)], "src string").select(F.md5("src").alias("digest"))
-    return webdocs.drop_test_images(_docs(spark, d), digests, whole_document=True).select("doc")
+    images, digests = _test_images(spark, d)
+    return webdocs.drop_test_images(_docs(spark, d), digests, whole_document=True, images=images).select("doc")
 
 
 @query("SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM (VALUES (1, 'view'), (2, 'error'), (3, 'click')) b(u, t) WHERE b.u = e.user_id AND b.t = e.event_type)")
@@ -81,9 +93,10 @@ def banned_pairs_removed(spark, d):
 
 @query("SELECT doc_id, length(text) AS n, lang, source FROM documents")
 def texts_rejoined(spark, d):
+    """Texts that were written by themselves go back to their rows by shard and place in it: nothing else tells whose they are."""
     docs = table(spark, d, "documents")
-    texts, rest = docs.select("doc_id", F.length("text").cast("long").alias("n")), docs.select("doc_id", "lang", "source")
-    return rest.join(texts, "doc_id").select("doc_id", "n", "lang", "source")
+    texts, rest = (readers.by_position(spark, written(part, "part")) for part in (docs.select("text"), docs.select("doc_id", "lang", "source")))
+    return rest.join(texts, ["shard", "row"]).select("doc_id", F.length("text").cast("long").alias("n"), "lang", "source")
 
 
 @query(f"""{_N}, p AS (SELECT *, img OR coalesce(lag(img) OVER w, true) AS first FROM n WINDOW w AS (PARTITION BY doc ORDER BY pos)),

@@ -91,3 +91,13 @@ def frame_indices(n_frames: Column, most: int) -> Column:
     """Up to ``most`` evenly spaced frame numbers."""
     spaced = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * (n_frames - 1) / F.lit(max(1, most - 1))).cast("int"))
     return F.when(n_frames <= most, F.sequence(F.lit(0), n_frames - 1)).otherwise(F.array_distinct(spaced))
+
+
+def by_position(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """A written table with ``shard``, the number in its file's name, and ``row``, the place in that file.
+
+    Tables that were written from the same partitions in the same order agree in both, as long as no task was cut
+    into several files (``spark.sql.files.maxRecordsPerFile``).
+    """
+    shard = F.regexp_extract(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"part-(\d+)", 1).cast("int")
+    return rows.select("*", shard.alias("shard"), F.col("_metadata.row_index").alias("row"))
