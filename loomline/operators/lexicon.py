@@ -1,8 +1,8 @@
 """Models that are tables of words: perplexity, language, word lists; and a longest-match tokenizer.
 
 Each model is a DataFrame with a row a word, made from the corpus or given.  Scoring
-counts a document's words in its task, joins the distinct words with the table, and
-adds up by document; no model is gathered anywhere.
+counts a document's words in its task, joins the distinct words with the table, those of
+most documents dealt over tasks, and adds up by document; no model is gathered anywhere.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..sources.shared import written
+from .lookup import attach
 
 
 @F.arrow_udf(StringType())
@@ -26,20 +28,20 @@ def nfc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, word, c)."""
+    """(id, word, c), written: its words are counted to deal those that most documents hold."""
     words = docs.select(id_col, F.explode(T.words(F.col(text))).alias("word"))
-    return words.groupBy(id_col, "word").agg(F.count("*").alias("c"))
+    return written(words.groupBy(id_col, "word").agg(F.count("*").alias("c")), "word-counts")
 
 
 def unigram_model(counts: DataFrame) -> DataFrame:
     """(word, logp): log share of a word among all."""
     totals = counts.groupBy("word").agg(F.sum("c").alias("n"))
-    return totals.select("word", F.ln(F.col("n") / F.sum("n").over(Window.partitionBy())).alias("logp"))
+    return totals.select("word", F.ln(F.col("n") / counts.agg(F.sum("c")).scalar()).alias("logp"))
 
 
 def perplexity(docs: DataFrame, counts: DataFrame, model: DataFrame, id_col: str = "doc_id", unknown: float = -20.0) -> DataFrame:
     """(id, perplexity) under a word model: exp of the mean negative log share; null without words."""
-    scored = counts.join(model, "word", "left").groupBy(F.col(id_col).alias("_id")).agg((-F.sum(F.col("c") * F.coalesce("logp", F.lit(unknown))) / F.sum("c")).alias("_h"))
+    scored = attach(counts, model, ["word"]).groupBy(F.col(id_col).alias("_id")).agg((-F.sum(F.col("c") * F.coalesce("logp", F.lit(unknown))) / F.sum("c")).alias("_h"))
     return docs.select(id_col).join(scored, F.col(id_col) == F.col("_id"), "left").select(id_col, F.exp("_h").alias("perplexity"))
 
 
@@ -52,17 +54,18 @@ def window_of_words(docs: DataFrame, width: int, id_col: str = "doc_id", text: s
 
 
 def language_model(docs: DataFrame, language: str = "lang", text: str = "text") -> DataFrame:
-    """(word, language, share): a word's occurrences by language, of all of its."""
+    """(word, shares map<language, double>): a word's occurrences by language, of all of its."""
     words = docs.filter(F.col(language).isNotNull()).select(F.col(language).alias("language"), F.explode(T.words(F.col(text))).alias("word"))
     counted = words.groupBy("word", "language").agg(F.count("*").alias("n"))
-    return counted.select("word", "language", (F.col("n") / F.sum("n").over(Window.partitionBy("word"))).alias("share"))
+    by_word = counted.groupBy("word").agg(F.collect_list(F.struct("language", "n")).alias("l"), F.sum("n").alias("s"))  # a language each
+    return by_word.select("word", F.map_from_entries(F.transform("l", lambda x: F.struct(x["language"], x["n"] / F.col("s")))).alias("shares"))
 
 
 def detect_language(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, language, score): the language with the greatest mean share over a document's words, rounded; null without words."""
-    counts = word_counts(docs, id_col, text)
-    sizes = counts.groupBy(F.col(id_col).alias("_id")).agg(F.sum("c").alias("_n"))
-    sums = counts.join(model, "word").groupBy(id_col, "language").agg(F.sum(F.col("c") * F.col("share")).alias("s"))
+    known = attach(word_counts(docs, id_col, text), model, ["word"])
+    sizes = known.groupBy(F.col(id_col).alias("_id")).agg(F.sum("c").alias("_n"))
+    sums = known.select(id_col, "c", F.explode("shares").alias("language", "share")).groupBy(id_col, "language").agg(F.sum(F.col("c") * F.col("share")).alias("s"))
     scored = sums.join(sizes, F.col(id_col) == F.col("_id")).select(F.col("_id"), "language", F.round(F.col("s") / F.col("_n"), 6).alias("score"))
     best = scored.groupBy("_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "language")).alias("b"))
     return docs.select(id_col).join(best, F.col(id_col) == F.col("_id"), "left").select(id_col, F.col("b.language").alias("language"), (-F.col("b.s")).alias("score"))
@@ -70,8 +73,7 @@ def detect_language(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", t
 
 def list_ratios(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ratio): share of a document's words that are in the list (word), however long that is."""
-    counts = word_counts(docs, id_col, text)
-    marked = counts.join(words.select("word", F.lit(1).alias("_in")).distinct(), "word", "left")
+    marked = attach(word_counts(docs, id_col, text), words.select("word", F.lit(1).alias("_in")).distinct(), ["word"])
     shares = marked.groupBy(F.col(id_col).alias("_id")).agg(F.sum("c").alias("_n"), F.sum(F.when(F.col("_in") == 1, F.col("c")).otherwise(0)).alias("_k"))
     return docs.select(id_col).join(shares, F.col(id_col) == F.col("_id"), "left").select(id_col, T.ratio(F.col("_k"), F.col("_n")).alias("ratio"))
 
