@@ -2,8 +2,9 @@
 
 1. Lines that begin with ``>`` signs are quotes; the number of signs is the
    level.  Consecutive lines of a level are a passage, ended by a blank line or by
-   another level.  What is left of a message is its body; an attribution line
-   ("... wrote:") right before a quote goes with the quote.
+   another level.  What is left of a message is its body; an attribution
+   ("... wrote:", on one line or two) right before a quote, or within one right before
+   a deeper level, goes with the quote.
 2. Passages are normalised (lower case, letters and digits only, single spaces)
    and hashed as a whole, by line and by windows of ``WINDOW`` words.  Bodies are
    hashed as a whole, by paragraph, line and sentence and by the same windows, so
@@ -32,7 +33,8 @@ broadcast if they number ``MAX_BROADCAST`` at most, else shuffled.
 
 Rows with a null conversation or turn are left out.  Rows that repeat a
 conversation and turn are one message, the one with the smallest role and text.
-A null text counts as empty.
+A null text counts as empty, a null role as user.  Whole texts are parsed, however
+long.  Columns of any other name are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grouping import prefix_sums
+from .grouping import attach_groups, prefix_sums
 from .scratch import materialise
 
 #: Normalised passages with fewer words link within their own conversation only.
@@ -60,6 +62,8 @@ SHARE = 0.5
 MAX_BROADCAST = 1 << 20
 
 _QUOTE = re.compile(r"^[ \t]*((?:>[ \t]?)+)(.*)$", re.S)
+_PROMPT = re.compile(r"^>>>(?: |$)")
+_OPENING = re.compile(r"^\s*(?:On|Am|El|Le|Den)\b[^.!?]*$")
 _ATTRIBUTION = re.compile(r"(wrote|writes|said|schrieb|escribió|a écrit)\s*:\s*$", re.I)
 
 PARSED = "conv_id long, turn long, role string, body string, quote_levels int, passages array<struct<passage:int,level:int,words:int,kind:int,hash:long,part:double>>"
@@ -110,17 +114,32 @@ def originals(body: str) -> np.ndarray:
     return np.unique(np.concatenate([np.array([h[0] for u in units if (h := passage_hash(u))], dtype=np.int64), windows(body)]))
 
 
+def _without_attribution(lines: list[str], together: int) -> None:
+    """Takes a closing attribution off; one that begins a line earlier goes whole, if that is among the last lines that stand ``together``."""
+    if together and _ATTRIBUTION.search(lines[-1]):
+        last = lines.pop()
+        if together > 1 and not _OPENING.match(last) and _OPENING.match(lines[-1]):
+            lines.pop()
+
+
 def parse(text: str) -> tuple[str, int, list[tuple[int, str]]]:
-    """(body, deepest quote level, [(level, passage)])"""
+    """(body, deepest quote level, [(level, passage)])
+
+    Three signs and a blank are a prompt, and no quote, in a message without quotes of a lower level.
+    """
     body: list[str] = []
     passages: list[tuple[int, list[str]]] = []
-    deepest, at = 0, 0
-    for line in text.split("\n"):
-        quote = _QUOTE.match(line)
-        if quote:
-            if not at and body and _ATTRIBUTION.search(body[-1]):
-                body.pop()
+    deepest, at, together = 0, 0, 0
+    quotes = [(line, _QUOTE.match(line)) for line in text.split("\n")]
+    low = any(q and q[1].count(">") < 3 for _, q in quotes)
+    for line, quote in quotes:
+        if quote and (low or not _PROMPT.match(line)):
             level = quote[1].count(">")
+            if not at:
+                _without_attribution(body, together)
+            elif 0 < at < level:
+                _without_attribution(passages[-1][1], len(passages[-1][1]))
+            together = 0
             deepest = max(deepest, level)
             if not quote[2].strip():
                 at = -1  # a blank line within a quote ends the passage
@@ -131,8 +150,8 @@ def parse(text: str) -> tuple[str, int, list[tuple[int, str]]]:
                 at = level
         else:
             body.append(line)
-            at = 0
-    return "\n".join(body).strip(), deepest, [(level, "\n".join(lines)) for level, lines in passages]
+            at, together = 0, together + 1
+    return "\n".join(body).strip(), deepest, [(level, "\n".join(lines)) for level, lines in passages if lines]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +186,14 @@ def parse_messages(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     return one.mapInArrow(_parse, PARSED)
 
 
+def _attached(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``rows``, which are written, with what is ``known`` of their key (a row a key); a passage or message that many rows share is dealt."""
+    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_members"))
+    groups = sizes.join(known, F.col(key) == F.col("_key"), "left").drop(key).withColumnRenamed("_key", key)  # keys that nobody knows may be hot, too
+    groups = materialise(groups, "shared-keys")
+    return attach_groups(rows, groups, key, "_members", rows.count(), F.struct("conv_id", "turn")).drop("_members")
+
+
 def link(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_conv, parent_turn, by_quote) of every message; roots have null parents."""
     quotes = parsed.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.*")
@@ -181,7 +208,7 @@ def link(parsed: DataFrame) -> DataFrame:
     near = events.withColumn("near", F.max(F.when(F.col("own"), F.col("turn"))).over(before)).filter(~F.col("own")).drop("own")
     # else the first message anywhere
     first = held.groupBy("hash").agg(F.min(F.struct(F.col("conv_id").alias("c"), F.col("turn").alias("t"))).alias("first"))
-    near = near.join(first, "hash", "left")
+    near = _attached(materialise(near, "quotes-near"), first, "hash")
     target = F.when(F.col("near").isNotNull(), F.struct(F.col("conv_id").alias("c"), F.col("near").alias("t"))).when(F.col("first.c") < F.col("conv_id"), F.col("first"))
     votes = quotes.join(near.select("conv_id", "turn", "hash", target.alias("target")).filter("target is not null"), ["conv_id", "turn", "hash"])
     votes = votes.filter((F.col("words") >= MIN_WORDS) | (F.col("target.c") == F.col("conv_id")))
@@ -202,28 +229,31 @@ def roots(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn")
     head = F.col("by_quote") | F.col("parent_conv").isNull()
     placed = links.withColumn("nth", F.row_number().over(order).cast("long"))
-    at = F.last(F.when(head, F.struct("turn", "nth")), ignorenulls=True).over(order)
-    placed = placed.withColumn("at", at).select(*links.columns, F.col("at.turn").alias("head"), (F.col("nth") - F.col("at.nth")).alias("after"))
+    at = F.last(F.when(head, F.struct("turn", "nth", F.col("parent_conv").isNull().alias("root"))), ignorenulls=True).over(order)
+    placed = placed.withColumn("at", at).select(*links.columns, F.col("at.turn").alias("head"), F.col("at.root").alias("at_root"), (F.col("nth") - F.col("at.nth")).alias("after"))
     placed = materialise(placed, "threads-placed")
-    targets = placed.select(F.col("conv_id").alias("parent_conv"), F.col("turn").alias("parent_turn"), F.col("head").alias("_head"), F.col("after").alias("_after"))
-    linked = placed.filter("by_quote").select("conv_id", "turn", "parent_conv", "parent_turn").join(targets, ["parent_conv", "parent_turn"])
-    now = linked.select("conv_id", "turn", F.struct(F.col("parent_conv").alias("c"), F.col("_head").alias("t")).alias("up"), (F.col("_after") + 1).alias("depth"))
-    top = placed.filter("parent_conv is null").select("conv_id", "turn", F.struct(F.col("conv_id").alias("c"), F.col("turn").alias("t")).alias("up"), F.lit(0).cast("long").alias("depth"))
+    key = lambda c, t: F.struct(F.col(c).alias("c"), F.col(t).alias("t"))
+    targets = placed.select(key("conv_id", "turn").alias("parent"), F.col("head").alias("_head"), F.col("after").alias("_after"), F.col("at_root").alias("_root"))
+    linked = materialise(placed.filter("by_quote").select("conv_id", "turn", key("parent_conv", "parent_turn").alias("parent")), "threads-linked")
+    linked = _attached(linked, targets, "parent")
+    now = linked.select("conv_id", "turn", F.struct(F.col("parent.c").alias("c"), F.col("_head").alias("t")).alias("up"), (F.col("_after") + 1).alias("depth"), F.col("_root").alias("settled"))
+    top = placed.filter("parent_conv is null").select("conv_id", "turn", key("conv_id", "turn").alias("up"), F.lit(0).cast("long").alias("depth"))
     now = materialise(now, "threads-0")
+    done = now.filter("settled")
     for step in range(1, max_rounds + 1):
-        above = now.select(F.struct(F.col("conv_id").alias("c"), F.col("turn").alias("t")).alias("k"), F.col("up").alias("further"), F.col("depth").alias("more"))
-        joined = now.join(above, F.col("up") == F.col("k"), "left")
-        moved = F.col("further").isNotNull()
-        now = materialise(joined.select("conv_id", "turn", F.coalesce("further", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), moved.alias("moved")), f"threads-{step}")
-        settled = now.filter("moved").isEmpty()
-        now = now.drop("moved")
-        if settled:
+        going = now.filter("not settled")  # who has found its root leaves the rounds
+        if going.isEmpty():
             break
+        above = done.unionByName(going).select(key("conv_id", "turn").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"), F.col("settled").alias("_settled"))
+        joined = _attached(going, above, "up")
+        now = materialise(joined.select("conv_id", "turn", F.col("further").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("_settled").alias("settled")), f"threads-{step}")
+        done = done.unionByName(now.filter("settled"))
     else:
         raise RuntimeError(f"threads deeper than 2**{max_rounds}")
+    now = done.drop("settled")
     heads = now.unionByName(top).select("conv_id", F.col("turn").alias("head"), "up", F.col("depth").alias("above"))
-    done = placed.join(heads, ["conv_id", "head"])
-    return done.select(*links.columns, F.col("up.c").alias("thread_conv"), F.col("up.t").alias("thread_turn"), (F.col("above") + F.col("after")).alias("depth"))
+    found = placed.join(heads, ["conv_id", "head"])
+    return found.select(*links.columns, F.col("up.c").alias("thread_conv"), F.col("up.t").alias("thread_turn"), (F.col("above") + F.col("after")).alias("depth"))
 
 
 def conversations(messages: DataFrame, **columns: str) -> DataFrame:

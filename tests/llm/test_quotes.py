@@ -25,9 +25,63 @@ def holds(body):
     return {plain_words(u) for u in units} | plain_runs(plain_words(body))
 
 
+def plain_parse(text):
+    """(body, deepest, passages) by grouping marked lines."""
+    marked = []
+    for line in text.split("\n"):
+        signs = re.match(r"[ \t]*((?:>[ \t]?)*)", line)[1]
+        marked.append((signs.count(">"), re.sub(r"^[ \t]*(?:>[ \t]?)+", "", line), line))
+    if not any(level in (1, 2) for level, *_ in marked):
+        marked = [(0, line, line) if re.match(r">>>( |$)", line) else (level, rest, line) for level, rest, line in marked]
+    groups = []
+    for level, rest, line in marked:
+        blank = level > 0 and not rest.strip()
+        if groups and groups[-1][0] == (level if not blank else -level) and not blank:
+            groups[-1][1].append(rest)
+        else:
+            groups.append((-level if blank else level, [line if level == 0 else rest]))
+    for (level, lines), (next_level, _) in zip(groups, groups[1:], strict=False):
+        if 0 <= level < abs(next_level) and lines and re.search(r"(?i)(wrote|writes|said|schrieb|escribió|a écrit)\s*:\s*$", lines[-1]):
+            last = lines.pop()
+            opening = r"\s*(On|Am|El|Le|Den)\b[^.!?]*$"
+            if lines and not re.match(opening, last) and re.match(opening, lines[-1]):
+                lines.pop()
+    body = "\n".join(line for level, lines in groups if level == 0 for line in lines).strip()
+    return body, max([0, *(abs(level) for level, _ in groups)]), [(level, "\n".join(lines)) for level, lines in groups if level > 0 and lines]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_parser_against_grouped_lines(seed):
+    rnd = random.Random(seed)
+    parts = ["> a", ">b c", ">> d", "> > e", ">", "> ", ">>>", ">>> print(1)", "text", "", "On Tue, Bob", " wrote:", "On Tue Bob wrote:", "> On Tue Bob wrote:", "> Ann writes:", "He said:", " > f", "On the way. Bob wrote:"]
+    for _ in range(600):
+        text = "\n".join(rnd.choices(parts, k=rnd.randrange(9)))
+        assert quote_links.parse(text) == plain_parse(text), text
+
+
+def test_attributions_and_prompts():
+    assert quote_links.parse("On Tue, 5 May, Bob\n wrote:\n> On Mon Ann wrote:\n>> hi\n> yes\nok") == ("ok", 2, [(2, "hi"), (1, "yes")])
+    assert quote_links.parse("try\n>>> print(1)\n1") == ("try\n>>> print(1)\n1", 0, [])
+
+
+def test_one_message_that_a_hundred_thousand_quote(spark):
+    """A root, its replies in conversations of their own, a chain of replies to replies, and a quote that nobody wrote."""
+    from pyspark.sql import functions as F
+
+    n, quote = 100_000, "the very first words of all this"
+    replies = spark.range(1, n + 1).select(F.col("id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.when(F.col("id") % 3 > 0, F.concat(F.lit(f"> {quote}\n\nanswer number "), "id", F.lit(" with its own words"))).otherwise(F.concat(F.lit("> words that nobody ever wrote here\n\nlonely "), "id")).alias("text"))
+    chain = [(0, 0, "user", f"{quote} that begins")] + [(200_000 + i, 0, "user", f"> answer number {1 if i == 0 else 0} with its own words\n\nx" if i == 0 else f"> step {i - 1} of a long chain here\n\nstep {i} of a long chain here") for i in range(1, 40)]
+    chain[1] = (200_001, 0, "user", "> answer number 1 with its own words\n\nstep 1 of a long chain here")
+    rows = replies.unionByName(spark.createDataFrame(chain, SCHEMA)).repartition(8)
+    found = quote_links.conversations(rows)
+    got = found.groupBy("thread_conv").agg(F.count("*").alias("n"), F.max("depth").alias("d"), F.max("position").alias("p")).filter("n > 1 or thread_conv = 0").collect()
+    assert [(r.thread_conv, r.n, r.d, r.p) for r in got] == [(0, 1 + 66_667 + 39, 40, 66_707)]
+    assert found.filter("not by_quote").count() == 33_333 + 1
+
+
 def plain_links(rows):
     """{(conversation, turn): (parent, by quote)} by comparing all passages with all bodies."""
-    parsed = {(c, t): quote_links.parse(text) for c, t, _, text in rows}
+    parsed = {(c, t): plain_parse(text) for c, t, _, text in rows}
     held = {key: holds(body) for key, (body, *_) in parsed.items()}
     out = {}
     for (conv, turn), (_, _, passages) in parsed.items():
