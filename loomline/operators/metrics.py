@@ -56,11 +56,20 @@ def entropy(rows: DataFrame, label: str) -> DataFrame:
     return counts.agg(F.coalesce(-F.sum(F.col("p") * F.ln("p")), F.lit(0.0)).alias("entropy"))
 
 
-def ranking_auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
-    """Area under the ROC curve from the counts of each distinct score, ties counting half."""
+def ranking_auc(rows: DataFrame, truth: str, score: str, buckets: int = 1 << 16) -> DataFrame:
+    """Area under the ROC curve from the counts of each distinct score, ties counting half.
+
+    What is below a score is summed by buckets of scores first, so that only those sums meet in one place.
+    """
     by_score = rows.groupBy(score).agg(F.sum(truth).alias("p"), F.sum(1 - F.col(truth)).alias("n"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    won = by_score.withColumn("w", F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") / 2))
+    ends = by_score.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))  # one row
+    share = F.coalesce(F.try_divide((F.col(score) - F.col("_lo")).cast("double"), (F.col("_hi") - F.col("_lo")).cast("double")), F.lit(0.0))
+    placed = by_score.crossJoin(F.broadcast(ends)).withColumn("_b", F.floor(share * (buckets - 1)))
+    earlier = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(F.col("_b").alias("_k")).agg(F.sum("n").alias("_s")).select("_k", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
+    below = Window.partitionBy("_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.join(sums, F.col("_b").eqNullSafe(F.col("_k")))
+    won = joined.withColumn("w", F.col("p") * (F.col("_before") + F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") / 2))
     return won.agg((F.sum("w") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"))
 
 

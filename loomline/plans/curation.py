@@ -332,10 +332,8 @@ def latest_per_url(spark, d):
 
 @query(r"SELECT domain, n, (SELECT sum(n) - count(*) FROM (SELECT count(*) AS n FROM pages GROUP BY regexp_extract(url, '^https?://([^/?#]*)', 1) HAVING count(*) > 1))::BIGINT AS removable FROM (SELECT regexp_extract(url, '^https?://([^/?#]*)', 1) AS domain, count(*) AS n FROM pages GROUP BY 1) WHERE n > 1")
 def duplicate_domains(spark, d):
-    from pyspark.sql import Window
-
     found = dedup.duplicate_keys(table(spark, d, "pages").select(T.domain(F.col("url")).alias("domain")), "domain")
-    return found.withColumn("removable", F.sum(F.col("n") - 1).over(Window.partitionBy()))
+    return found.withColumn("removable", found.agg(F.sum(F.col("n") - 1)).scalar())
 
 
 @query(r"SELECT regexp_extract(url, '^https?://([^/?#]*)', 1) AS domain, count(*) AS n, min(page_id) AS first_id, max(page_id) AS last_id FROM pages GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import lexicon, metrics
+from ..operators.lookup import attach
 from ..tables import table
 from .curation import STRIP
 from .registry import query
@@ -223,4 +224,4 @@ def sources_deduplicated(spark, d):
 @query("SELECT event_id, dense_rank() OVER (ORDER BY event_type)::INT AS code FROM events")
 def encoded_labels(spark, d):
     codes = table(spark, d, "events").select("event_type").distinct().withColumn("code", F.dense_rank().over(Window.orderBy("event_type")))
-    return table(spark, d, "events").join(F.broadcast(codes), "event_type").select("event_id", "code")
+    return attach(table(spark, d, "events").select("event_id", "event_type"), codes, ["event_type"]).select("event_id", "code")
