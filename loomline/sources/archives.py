@@ -116,28 +116,36 @@ INDEX_MAGIC = b"MMIDIDX\x00\x00"
 TOKEN_CODES = {"<u2": 8, "<i4": 4}
 
 
+def token_index(sizes: np.ndarray, kind: str = "<u2") -> bytes:
+    """The index of documents of these numbers of tokens, one after the other."""
+    sizes = np.asarray(sizes).astype("<i4")
+    pointers = np.concatenate([[0], np.cumsum(sizes[:-1].astype("<i8"))])[: len(sizes)] * np.dtype(kind).itemsize
+    head = INDEX_MAGIC + struct.pack("<QBQQ", 1, TOKEN_CODES[kind], len(sizes), len(sizes) + 1)
+    return head + sizes.tobytes() + pointers.astype("<i8").tobytes() + np.arange(len(sizes) + 1, dtype="<i8").tobytes()
+
+
+def read_index(index: bytes) -> tuple[str, np.ndarray, np.ndarray]:
+    """(type, tokens, offsets in bytes) of an index's documents."""
+    if index[:9] != INDEX_MAGIC:
+        raise ValueError("no token index")
+    _, code, n, _ = struct.unpack_from("<QBQQ", index, 9)
+    kind = next(k for k, c in TOKEN_CODES.items() if c == code)
+    return kind, np.frombuffer(index, "<i4", n, 34), np.frombuffer(index, "<i8", n, 34 + 4 * n)
+
+
 def indexed_tokens(documents: list[np.ndarray], kind: str = "<u2") -> tuple[bytes, bytes]:
     """(data, index) of token documents; a token that the type can't hold is an error."""
     limit = np.iinfo(kind)
     if any(len(d) and (d.min() < limit.min or d.max() > limit.max) for d in documents):
         raise ValueError("a token doesn't fit the type")
-    sizes = np.array([len(d) for d in documents], "<i4")
-    pointers = np.concatenate([[0], np.cumsum(sizes[:-1].astype("<i8"))])[: len(sizes)] * np.dtype(kind).itemsize
-    head = INDEX_MAGIC + struct.pack("<QBQQ", 1, TOKEN_CODES[kind], len(sizes), len(sizes) + 1)
-    index = head + sizes.tobytes() + pointers.astype("<i8").tobytes() + np.arange(len(sizes) + 1, dtype="<i8").tobytes()
-    return b"".join(d.astype(kind).tobytes() for d in documents), index
+    return b"".join(d.astype(kind).tobytes() for d in documents), token_index(np.array([len(d) for d in documents], "<i4"), kind)
 
 
 def tokens_at(data: bytes, index: bytes, document: int, offset: int = 0, length: int | None = None) -> np.ndarray:
     """Tokens of a document from ``offset`` on."""
-    if index[:9] != INDEX_MAGIC:
-        raise ValueError("no token index")
-    _, code, n, _ = struct.unpack_from("<QBQQ", index, 9)
-    kind = np.dtype(next(k for k, c in TOKEN_CODES.items() if c == code))
-    sizes = np.frombuffer(index, "<i4", n, 34)
-    pointers = np.frombuffer(index, "<i8", n, 34 + 4 * n)
+    kind, sizes, pointers = read_index(index)
     count = sizes[document] - offset if length is None else min(length, sizes[document] - offset)
-    return np.frombuffer(data, kind, max(0, count), pointers[document] + offset * kind.itemsize)
+    return np.frombuffer(data, kind, max(0, count), pointers[document] + offset * np.dtype(kind).itemsize)
 
 
 def indexed_shards(shards: DataFrame, kind: str = "<u2", id_col: str = "doc_id") -> DataFrame:

@@ -1,9 +1,10 @@
 """Tar and WARC shards as data sources: written with a commit, read by byte ranges.
 
-``register`` makes three formats known to a session:
+``register`` makes four formats known to a session:
 
 * ``tar_shards`` (write): a row is a sample, whose columns but the key are its parts.
 * ``warc_shards`` (write): a row (url, html) is a response record, a gzip member of its own.
+* ``token_shards`` (write): a row's token ids are a document, in a file of tokens with an index.
 * ``warc_records`` (read): (file, offset, length, type, url, content, error), a row a record.
 
 Writers: each task writes shards of at most ``shardBytes`` under temporary names of its
@@ -31,6 +32,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -39,6 +41,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .archives import read_index, token_index
+
 #: Bytes of a shard, at most (unless one sample is larger), and of a range, about.
 SHARD_BYTES, SPLIT_BYTES = 256 << 20, 64 << 20
 #: Bytes that are read at a time.
@@ -63,35 +67,56 @@ def _files(files: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
 # Writing
 @dataclass
 class Written(WriterCommitMessage):
-    """A task's shards: (temporary path, samples, bytes, SHA-256)."""
+    """A task's shards: samples, and (suffix, temporary path, bytes, SHA-256) of each of its files."""
 
     partition: int = 0
-    shards: list[tuple[str, int, int, str]] = field(default_factory=list)
+    shards: list[tuple[int, list[tuple[str, str, int, str]]]] = field(default_factory=list)
 
 
 class _Shard:
-    """One shard under its temporary name; what is written is counted and hashed on the way."""
+    """One shard's file under its temporary name; what is written is counted and hashed on the way."""
 
-    def __init__(self, files: fs.FileSystem, path: str):
-        self.path, self.stream = path, files.open_output_stream(path)
+    def __init__(self, files: fs.FileSystem, path: str, suffix: str):
+        self.files, self.path, self.suffix, self.stream = files, path, suffix, files.open_output_stream(path)
         self.samples, self.bytes, self.hash = 0, 0, hashlib.sha256()
 
-    def write(self, data: bytes) -> int:
+    def write(self, data: bytes) -> None:
         self.stream.write(data)
         self.bytes += len(data)
         self.hash.update(data)
-        return len(data)
 
-    def done(self, tail: bytes) -> tuple[str, int, int, str]:
+    def add(self, sample: bytes) -> None:
+        self.write(sample)
+        self.samples += 1
+
+    def done(self, tail: bytes) -> tuple[int, list[tuple[str, str, int, str]]]:
         self.write(tail)
         self.stream.close()
-        return self.path, self.samples, self.bytes, self.hash.hexdigest()
+        return self.samples, [(self.suffix, self.path, self.bytes, self.hash.hexdigest())]
+
+
+class _IndexedShard(_Shard):
+    """Tokens one after the other, and a second file that says where each document's are."""
+
+    def __init__(self, files: fs.FileSystem, path: str, suffix: str):
+        super().__init__(files, path, suffix)
+        self.sizes: list[int] = []
+
+    def add(self, sample: bytes) -> None:
+        super().add(sample)
+        self.sizes.append(len(sample))
+
+    def done(self, tail: bytes) -> tuple[int, list[tuple[str, str, int, str]]]:
+        samples, parts = super().done(tail)
+        index = _Shard(self.files, f"{self.path}-idx", ".idx")
+        index.write(token_index(np.array(self.sizes) // np.dtype(tail_kind(self.suffix)).itemsize, tail_kind(self.suffix)))
+        return samples, parts + index.done(b"")[1]
 
 
 class ShardWriter(DataSourceArrowWriter):
     """Writes samples that ``encode`` makes of batches; ``tail`` ends a shard."""
 
-    suffix, tail = "", b""
+    suffix, tail, shard = "", b"", _Shard
 
     def __init__(self, options: dict, overwrite: bool):
         self.folder, self.overwrite = options["path"].rstrip("/"), overwrite
@@ -110,9 +135,8 @@ class ShardWriter(DataSourceArrowWriter):
                 if shard and shard.bytes + len(sample) + len(self.tail) > self.limit:
                     out.shards.append(shard.done(self.tail))
                     shard = None
-                shard = shard or _Shard(files, f"{folder}/{attempt}-{len(out.shards)}")
-                shard.write(sample)
-                shard.samples += 1
+                shard = shard or self.shard(files, f"{folder}/{attempt}-{len(out.shards)}", self.suffix)
+                shard.add(sample)
         if shard:
             out.shards.append(shard.done(self.tail))
         return out
@@ -126,10 +150,11 @@ class ShardWriter(DataSourceArrowWriter):
         for f in old if self.overwrite else ():
             files.delete_file(f.path)
         shards = [s for m in sorted((m for m in messages if m), key=lambda m: m.partition) for s in m.shards]
-        for number, (path, samples, size, digest) in enumerate(shards, first):
-            name = f"shard-{number:07d}{self.suffix}"
-            files.move(path, f"{folder}/{name}")
-            known.append({"file": name, "samples": samples, "bytes": size, "sha256": digest})
+        for number, (samples, parts) in enumerate(shards, first):
+            for suffix, path, size, digest in parts:
+                name = f"shard-{number:07d}{suffix}"
+                files.move(path, f"{folder}/{name}")
+                known.append({"file": name, "samples": samples, "bytes": size, "sha256": digest})
         for name, text in (("_manifest.json", json.dumps({"shards": known}, indent=1)), ("_SUCCESS", "")):
             with files.open_output_stream(f"{folder}/{name}") as out:
                 out.write(text.encode())
@@ -203,6 +228,34 @@ class WarcWriter(ShardWriter):
             yield gzip.compress(response_record(url.as_py(), html.as_py()), 6, mtime=0)
 
 
+class TokenWriter(ShardWriter):
+    """Documents' token ids one after the other, of 16 bits (``u16``) or 32 (``i32``), with an index; an id that doesn't fit is an error."""
+
+    shard = _IndexedShard
+
+    def __init__(self, options: dict, schema: StructType, overwrite: bool):
+        super().__init__(options, overwrite)
+        self.column, self.kind = options.get("idscolumn", "ids"), options.get("kind", "<u2")
+        self.suffix = SUFFIXES[self.kind]
+        if schema[self.column].dataType.simpleString() not in ("array<int>", "array<bigint>"):
+            raise ValueError(f"token ids are an array of integers: {self.column}")
+
+    def encode(self, batch: pa.RecordBatch) -> Iterator[bytes]:
+        limit = np.iinfo(self.kind)
+        for ids in batch.column(batch.schema.get_field_index(self.column)):
+            tokens = np.asarray(ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else [], dtype=np.int64)
+            if len(tokens) and (tokens.min() < limit.min or tokens.max() > limit.max):
+                raise ValueError("a token doesn't fit the type")
+            yield tokens.astype(self.kind).tobytes()
+
+
+SUFFIXES = {"<u2": ".u16.bin", "<i4": ".i32.bin"}
+
+
+def tail_kind(suffix: str) -> str:
+    return next(kind for kind, name in SUFFIXES.items() if name == suffix)
+
+
 # Reading
 @dataclass
 class Range(InputPartition):
@@ -374,6 +427,15 @@ class WarcShards(DataSource):
         return WarcWriter(dict(self.options), overwrite)
 
 
+class TokenShards(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "token_shards"
+
+    def writer(self, schema: StructType, overwrite: bool) -> TokenWriter:
+        return TokenWriter(dict(self.options), schema, overwrite)
+
+
 class WarcRecords(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -387,7 +449,7 @@ class WarcRecords(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    for source in (TarShards, WarcShards, WarcRecords):
+    for source in (TarShards, WarcShards, TokenShards, WarcRecords):
         spark.dataSource.register(source)
 
 
@@ -397,6 +459,73 @@ def write_tar(rows: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, key: s
     rows.write.format("tar_shards").option("shardBytes", shard_bytes).option("keyColumn", key).mode(mode).save(path)
 
 
+def write_tokens(rows: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, kind: str = "<u2", ids: str = "ids", mode: str = "append") -> None:
+    """Documents' token ids as indexed shards, in the order of the rows; a null is a document without tokens."""
+    register(rows.sparkSession)
+    rows.write.format("token_shards").option("shardBytes", shard_bytes).option("idsColumn", ids).option("kind", kind).mode(mode).save(path)
+
+
+def token_places(spark: SparkSession, path: str) -> DataFrame:
+    """(file, document, offset, tokens, kind) of all documents of indexed shards, from their indexes alone: ``fetch_tokens`` reads any of them."""
+    kinds = [("file", pa.string()), ("document", pa.int64()), ("offset", pa.int64()), ("tokens", pa.int64()), ("kind", pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                kind, sizes, offsets = read_index(content.as_py())
+                file = re.sub(r"\.idx$", SUFFIXES[kind], re.sub("^file:/*", "/", name.as_py()))
+                cols = [pa.array([file] * len(sizes)), pa.array(np.arange(len(sizes))), pa.array(offsets), pa.array(sizes.astype(np.int64)), pa.array([kind] * len(sizes))]
+                yield pa.record_batch([c.cast(k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.idx").load(path).select("path", "content")
+    return files.mapInArrow(run, "file string, document long, offset long, tokens long, kind string")
+
+
+def fetch_tokens(places: DataFrame) -> DataFrame:
+    """``places`` with ``ids``: each document's bytes alone are read, files stay open for the rows that follow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, stream = None, None
+        for batch in batches:
+            for i, (path, offset, n, kind) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("file", "offset", "tokens", "kind")], strict=True)):
+                if path != name:
+                    files, place = _open(path)
+                    name, stream = path, files.open_input_file(place)
+                stream.seek(offset)
+                data = stream.read(n * np.dtype(kind).itemsize)
+                if len(data) < n * np.dtype(kind).itemsize:
+                    raise EOFError(f"{path} ends within a document")
+                ids = pa.array([np.frombuffer(data, kind).astype(np.int32)], pa.list_(pa.int32()))
+                yield pa.record_batch([*batch.slice(i, 1).columns, ids], names=["file", "document", "offset", "tokens", "kind", "ids"])
+
+    return places.select("file", "document", "offset", "tokens", "kind").mapInArrow(run, "file string, document long, offset long, tokens long, kind string, ids array<int>")
+
+
+def verified(spark: SparkSession, path: str) -> DataFrame:
+    """(file, problem): each shard of the manifest against its bytes; the problem is null, missing, size or digest.  Files are read a chunk at a time."""
+    files, folder = _open(path)
+    known = [(f"{path}/{s['file']}", s["bytes"], s["sha256"]) for s in ShardWriter._manifest(files, folder)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            problems = []
+            for name, size, digest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                store, place = _open(name)
+                info = store.get_file_info(place)
+                problem = "missing" if info.type != fs.FileType.File else "size" if info.size != size else None
+                if not problem:
+                    found = hashlib.sha256()
+                    with store.open_input_stream(place) as stream:
+                        while data := stream.read(1 << 20):
+                            found.update(data)
+                    problem = None if found.hexdigest() == digest else "digest"
+                problems.append(problem)
+            yield pa.record_batch([batch.column(0), pa.array(problems, pa.string())], names=["file", "problem"])
+
+    rows = spark.createDataFrame(known, "file string, bytes long, sha256 string")
+    return rows.repartition(max(1, min(len(known), spark.sparkContext.defaultParallelism)), "file").mapInArrow(run, "file string, problem string")
+
+
 def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, mode: str = "append") -> None:
     """(url, html) rows as WARC shards; a null page is an empty one, a null URL is left out."""
     register(pages.sparkSession)

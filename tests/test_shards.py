@@ -108,3 +108,29 @@ def test_plain_archives(spark, tmp_path, pages):
     assert [bool(r.error) for r in rows] == [False, True, False, True] and [r.url for r in rows][::2] == [pages[0][0], pages[1][0]]
     (tmp_path / "none").mkdir()
     assert shards.read_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<i4"])
+def test_token_shards_and_any_document_of_them(spark, tmp_path, kind):
+    rng = random.Random(1)
+    docs = [[rng.randrange(60_000) for _ in range(rng.randrange(200))] for _ in range(300)]
+    docs[5], docs[6] = None, []
+    frame = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, ids array<int>").repartition(3)
+    path = str(tmp_path / "t")
+    shards.write_tokens(frame.select("ids"), path, 20_000, kind)
+    files = sorted(p.name for p in (tmp_path / "t").glob("shard*"))
+    assert len(files) > 6 and {n.split(".", 1)[1] for n in files} == {"u16.bin" if kind == "<u2" else "i32.bin", "idx"}
+    assert shards.verified(spark, path).filter("problem is not null").count() == 0
+    found = shards.fetch_tokens(shards.token_places(spark, path)).collect()
+    assert sorted(r.ids for r in found) == sorted(d or [] for d in docs)
+    one = found[100]
+    assert archives.tokens_at(open(one.file, "rb").read(), open(one.file.replace(".u16.bin", ".idx").replace(".i32.bin", ".idx"), "rb").read(), one.document).tolist() == one.ids
+    (tmp_path / "t" / files[0]).write_bytes(b"x")
+    (tmp_path / "t" / files[2]).unlink()
+    broken = bytearray((tmp_path / "t" / files[4]).read_bytes())
+    broken[-1] ^= 1
+    (tmp_path / "t" / files[4]).write_bytes(bytes(broken))
+    assert sorted(r.problem for r in shards.verified(spark, path).filter("problem is not null").collect()) == ["digest", "missing", "size"]
+    with pytest.raises(Exception, match="doesn't fit"):
+        shards.write_tokens(spark.createDataFrame([([-1],)], "ids array<int>"), str(tmp_path / "u"), kind="<u2")
+    assert not list((tmp_path / "u").glob("*"))
