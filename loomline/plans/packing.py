@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, latex
 from ..functions import text as T
-from ..operators import mixing, packing, puzzles
+from ..operators import mixing, packing, puzzles, tokens
+from ..sources import shards
+from ..sources.shared import shared_path, written
 from ..tables import table
 from .registry import query
 
@@ -253,3 +255,27 @@ def sampling_fractions(spark, d):
     entries = table(spark, d, "part").select(name.alias("name"), F.lit(None).cast("string").alias("path"), kind.alias("modality"))
     out = packing.sampling_fractions(entries, {"text": 14, "image": 50, "multiimage": 5, "video": 36}, 0.5, 0.25, ("one", "two"), ("set1",))
     return out.select("name", "alias", "fraction")
+
+
+def _token_ids(spark, d):
+    import public_tokenizers
+
+    return tokens.token_ids(table(spark, d, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query()
+def token_blocks(spark, d):
+    """All documents' token ids in blocks of 2,048, a document's end marked by the id behind the vocabulary."""
+    blocks = tokens.token_blocks(written(_token_ids(spark, d), "token-ids"), 2048, 50_257)
+    return blocks.select("block", F.size("ids").alias("tokens"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
+
+
+@query()
+def token_shards(spark, d):
+    """Token ids written as indexed shards, which are verified and read again by their index."""
+    path = shared_path(spark, "tokens")
+    shards.write_tokens(_token_ids(spark, d).select("ids"), path, 8 << 20)
+    if not shards.verified(spark, path).filter("problem is not null").isEmpty():
+        raise RuntimeError("a shard isn't what was written")
+    found = shards.fetch_tokens(shards.token_places(spark, path))
+    return found.select("tokens", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
