@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # Fixed values.
 NON_PRINTING = r"[\x00-\x1f\x7f-\x9f]"
 EXOTIC_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+# The fullwidth digit one, which the map has as a quotation mark, is left out: digits are zeros by then.
 UNICODE_PUNCTUATION = {"，": ",", "。": ".", "、": ",", "„": '"', "”": '"', "“": '"', "«": '"', "»": '"', "「": '"', "」": '"', "《": '"', "》": '"', "´": "'", "∶": ":", "：": ":", "？": "?", "！": "!", "（": "(", "）": ")", "；": ";", "–": "-", "—": " - ", "．": ". ", "～": "~", "’": "'", "…": "...", "━": "-", "〈": "<", "〉": ">", "【": "[", "】": "]", "％": "%", "►": "-"}
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 STOP_WORDS = ["the", "be", "to", "of", "and", "that", "have", "with"]

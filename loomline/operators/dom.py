@@ -22,11 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .html import _COMPOUND, _CONDITION, BLOG_DELETE, BLOG_REPLACE, IMAGE_SOURCES, VOID
+from .html import _COMPOUND, _CONDITION, BLOG_DELETE, BLOG_REPLACE, IMAGE_SOURCES, STRUCTURE, VOID
 
-# Tags that only style text, tags that structure it, media and what tells of them, ids and classes of boilerplate.
+# Tags that only style text, media and what tells of them, ids and classes of boilerplate.
 UNWRAP = ["a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "shadow", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"]
-STRUCTURE = ["address", "article", "aside", "blink", "blockquote", "body", "br", "caption", "center", "dd", "dl", "dt", "div", "figcaption", "h", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "html", "legend", "main", "marquee", "ol", "p", "section", "summary", "title", "ul"]
 MEDIA = ["audio", "embed", "figure", "iframe", "img", "object", "picture", "video"]
 OF_MEDIA = ["source"]
 SPECIAL = ["footer", "header", "navigation", "nav", "navbar", "menu"]

@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 # Fixed values.
 HIDDEN = {"script", "style", "noscript", "template", "head", "nav", "footer", "header", "form", "button", "select", "textarea", "iframe", "svg"}
 BOILERPLATE = {"footer", "header", "navigation", "nav", "navbar", "menu"}
-PARAGRAPH = {"p", "div", "article", "section", "blockquote", "pre", "table", "ul", "ol", "h", "main", "body", "figure", "li", "td", "tr", "address", "aside", "caption", "center", "dd", "dl", "dt", "figcaption"}
+STRUCTURE = ["address", "article", "aside", "blink", "blockquote", "body", "br", "caption", "center", "dd", "dl", "dt", "div", "figcaption", "h", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "html", "legend", "main", "marquee", "ol", "p", "section", "summary", "title", "ul"]
 IMAGE_SOURCES = ("src", "data-src", "data-src-fg", "data-scroll-image", "srcset", "data-lateloadsrc", "data-img-src", "data-original", "data-gt-lazy-src", "data-lazy", "data-lazy-src", "src2")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
+#: Tags that break a paragraph: those that structure a text, digits left out, without the line break, and more that do so here.
+PARAGRAPH = ({tag.rstrip("123456") for tag in STRUCTURE} - {"br", "html"}) | {"li", "td", "tr", "table", "pre", "figure"}
+
 #: Rules for blogs, fixed values: what goes, and the text that takes another's place.
 BLOG_DELETE = ("[class~='footer']", "[class~='site-info']")
 BLOG_REPLACE = {"[class~='more-link']": "\n\nEND_OF_DOCUMENT_TOKEN_TO_BE_REPLACED\n\n"}

@@ -16,6 +16,9 @@ SPLIT_WORDS = r"list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lam
 STRIP = r"""regexp_replace(regexp_replace({}, '^[!-/:-@\[-`{{-~0-9 ]+', ''), '[!-/:-@\[-`{{-~0-9 ]+$', '')"""
 WORDS = f"list_filter(list_transform(regexp_split_to_array(text, '[ \\n\\t]'), lambda x: {STRIP.format('lower(x)')}), lambda x: x <> '')"
 GERMAN = "äöüßÄÖÜ"
+#: crc32 of the text of doc_id, bit by bit.
+CRC = """xor(list_reduce(list_transform(range(0, length(doc_id::VARCHAR) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295 ELSE ascii(substr(doc_id::VARCHAR, i, 1)) END::BIGINT),
+  lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
 
 
 @query(rf"""
@@ -163,16 +166,18 @@ def router_survival(spark, d):
     return scoring.survival(rows, "lang", "source", F.col("_old"), F.col("kept"))
 
 
+#: Of the rows of ``one`` those that are the smallest id of what 5-word shingles link at 0.8, by all pairs that share one.
+_NEAR = rf"""sh AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' ')) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS g FROM (SELECT doc_id, {TOKENS} AS t FROM one)),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+near AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL) JOIN sz p ON p.doc_id = a JOIN sz q ON q.doc_id = b WHERE k::DOUBLE / (p.n + q.n - k) >= 0.8::DOUBLE),
+up AS (SELECT b AS doc_id, a AS reach FROM near UNION SELECT a, b FROM near UNION SELECT u.doc_id, CASE WHEN n.a = u.reach THEN n.b ELSE n.a END FROM up u JOIN near n ON u.reach IN (n.a, n.b)),
+distinct_texts AS (SELECT * FROM one WHERE doc_id NOT IN (SELECT doc_id FROM up GROUP BY doc_id HAVING min(reach) < doc_id))"""
 _MAIL_SQL, _IP_SQL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 
 
 @query(rf"""{_ROUTED.replace("WITH", "WITH RECURSIVE", 1)},
 one AS (SELECT doc_id, text FROM (SELECT d.doc_id, d.text, row_number() OVER (PARTITION BY d.text ORDER BY d.doc_id) AS r FROM documents d JOIN routed USING (doc_id) WHERE kept AND d.lang IN ('en', 'de', 'fr')) WHERE r = 1),
-sh AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' ')) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS g FROM (SELECT doc_id, {TOKENS} AS t FROM one)),
-sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-near AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL) JOIN sz p ON p.doc_id = a JOIN sz q ON q.doc_id = b WHERE k::DOUBLE / (p.n + q.n - k) >= 0.8::DOUBLE),
-up AS (SELECT b AS doc_id, a AS reach FROM near UNION SELECT a, b FROM near UNION SELECT u.doc_id, CASE WHEN n.a = u.reach THEN n.b ELSE n.a END FROM up u JOIN near n ON u.reach IN (n.a, n.b)),
-distinct_texts AS (SELECT * FROM one WHERE doc_id NOT IN (SELECT doc_id FROM up GROUP BY doc_id HAVING min(reach) < doc_id)),
+{_NEAR},
 gated AS (SELECT doc_id, text FROM distinct_texts LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id) WHERE trim(text, ' ') <> '' AND (q IS NULL OR q >= 1)),
 b AS (SELECT unnest(list_transform(range(1, len(t) - 11), lambda i: array_to_string(t[i:i+12], ' '))) AS gram FROM (SELECT {TOKENS} AS t FROM benchmark) WHERE len(t) >= 13),
 g AS (SELECT doc_id, unnest(list_transform(range(1, len(t) - 11), lambda i: array_to_string(t[i:i+12], ' '))) AS gram FROM (SELECT doc_id, {TOKENS} AS t FROM gated) WHERE len(t) >= 13),
@@ -397,7 +402,8 @@ def hamming_neighbours(spark, d):
     return dedup.hamming_near(rows.filter(F.pmod("id", F.lit(50)) == 0), rows, 12)
 
 
-@query()
+@query(f"""WITH RECURSIVE one AS (SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1),
+{_NEAR} SELECT doc_id, lang, source FROM documents JOIN distinct_texts USING (doc_id)""")
 def minhash_near_dedup(spark, d):
     return dedup.minhash_dedup(table(spark, d, "documents")).select("doc_id", "lang", "source")
 

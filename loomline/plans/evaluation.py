@@ -8,6 +8,7 @@ from ..functions import answers as A
 from ..functions import text as T
 from ..operators import quality, scoring
 from ..tables import table
+from .curation import _ROUTED
 from .registry import query
 
 
@@ -181,7 +182,7 @@ def formatted_prompts(spark, d):
     return grouped.select("conv_id", F.array_join(F.transform("a", lambda x: x["p"]), "\n").alias("prompt"), "turns")
 
 
-@query()
+@query(f"{_ROUTED} SELECT doc_id, lang FROM r WHERE route <> 'rejected' AND gopher AND mean_word_length >= 3 AND stop_words >= 2")
 def doc_gopher_router(spark, d):
     rows = quality.gopher_statistics(table(spark, d, "documents"))
     return rows.filter(quality.basic(F.col("text")) & quality.gopher_quality()).select("doc_id", "lang")

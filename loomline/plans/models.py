@@ -6,15 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import language_models as models
 from ..tables import table
-from .curation import _PUNCT_SQL
+from .curation import _PUNCT_SQL, CRC
 from .registry import query
 
-#: crc32 of the text of doc_id, bit by bit.
-_CRC = """xor(list_reduce(list_transform(range(0, length(doc_id::VARCHAR) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295 ELSE ascii(substr(doc_id::VARCHAR, i, 1)) END::BIGINT),
-  lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
-
 _PERPLEXITY = f"""
-WITH s AS (SELECT doc_id, {_CRC} % 4 = 2 AS held, [' begin', ' begin'] || list_filter(regexp_split_to_array({_PUNCT_SQL.replace("lower(regexp_replace(text", "(regexp_replace(coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') || [' end'] AS t FROM documents),
+WITH s AS (SELECT doc_id, {CRC} % 4 = 2 AS held, [' begin', ' begin'] || list_filter(regexp_split_to_array({_PUNCT_SQL.replace("lower(regexp_replace(text", "(regexp_replace(coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') || [' end'] AS t FROM documents),
 g AS (SELECT doc_id, held, unnest(t[1:len(t) - 2]) AS u, unnest(t[2:len(t) - 1]) AS v, unnest(t[3:len(t)]) AS w FROM s),
 c3 AS (SELECT u, v, w, count(*) AS c FROM g WHERE NOT held GROUP BY ALL), c2 AS (SELECT v, w, count(*) AS c FROM c3 GROUP BY ALL), c1 AS (SELECT w, count(*) AS c FROM c2 GROUP BY ALL),
 x3 AS (SELECT u, v, sum(c)::DOUBLE AS t, count(*) AS k FROM c3 GROUP BY ALL), x2 AS (SELECT v, sum(c)::DOUBLE AS t, count(*) AS k FROM c2 GROUP BY ALL), x1 AS (SELECT sum(c)::DOUBLE AS t, count(*) AS k FROM c1),
