@@ -6,6 +6,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,14 +120,31 @@ def concat_and_chunk(lengths: DataFrame, block: int, id_col: str = "doc_id", len
 
 def next_fit(lengths: Column, capacity: int) -> Column:
     """Pack number of each length, in order; a pack closes when the next length doesn't fit."""
-    start = F.struct(F.lit(0).alias("pack"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x <= capacity
-        pack = F.when(fits | (acc["used"] == 0), acc["pack"]).otherwise(acc["pack"] + 1)
-        return F.struct(pack.alias("pack"), F.when(fits, acc["used"] + x).otherwise(x.cast("long")).alias("used"), F.concat(acc["out"], F.array(pack)).alias("out"))
+    @F.arrow_udf("array<int>")
+    def packs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for row in batch:
+                pack, used, numbers = 0, 0, []
+                for n in row.as_py() or ():
+                    if used and used + n > capacity:
+                        pack, used = pack + 1, 0
+                    used += n
+                    numbers.append(pack)
+                out.append(numbers if row.is_valid else None)
+            yield pa.array(out, pa.list_(pa.int32()))
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+    return packs(lengths.cast("array<bigint>"))
+
+
+#: Rows of a shard that is packed by itself, about.
+SHARD_ROWS = 1 << 16
+
+
+def shards_for(rows: DataFrame, least: int = 8) -> int:
+    """As many shards as keep each at about SHARD_ROWS rows."""
+    return max(least, -(-rows.count() // SHARD_ROWS))
 
 
 def lpt_fits(lengths: list[int], bins: int, capacity: int) -> bool:
@@ -191,22 +209,53 @@ def first_fit_by_shard(rows: DataFrame, shards: int, tokens: int, images: int, i
     return dealt.groupBy("shard").applyInPandas(pack, f"{id_col} long, shard int, pack int")
 
 
+class _Free:
+    """What is free in packs, of two kinds, in a tree that knows the most of each below its nodes."""
+
+    def __init__(self) -> None:
+        self.size, self.packs, self.most = 1, 0, [[-1, -1], [-1, -1]]
+
+    def first(self, need: tuple[int, int]) -> int:
+        """The first pack with room for both kinds, -1 without one; a part of the tree whose two greatest are different packs may be searched in vain."""
+        stack = [1]
+        while stack:
+            at = stack.pop()
+            if self.most[at][0] >= need[0] and self.most[at][1] >= need[1]:
+                if at >= self.size:
+                    return at - self.size
+                stack += [2 * at + 1, 2 * at]
+        return -1
+
+    def put(self, pack: int, free: list[int]) -> None:
+        at = self.size + pack
+        self.most[at] = free
+        while at := at // 2:
+            a, b = self.most[2 * at], self.most[2 * at + 1]
+            self.most[at] = [max(a[0], b[0]), max(a[1], b[1])]
+
+    def open(self) -> int:
+        if self.packs == self.size:
+            old = self.most[self.size :]
+            self.size *= 2
+            self.most = [[-1, -1] for _ in range(2 * self.size)]
+            for pack, free in enumerate(old):
+                self.put(pack, free)
+        self.packs += 1
+        return self.packs - 1
+
+
 def greedy_first_fit(items: Iterator[tuple[int, int]], tokens: int, images: int) -> list[int]:
     """Pack of each (tokens, images); an item over a capacity is dropped (-1)."""
-    packs: list[list[int]] = []
-    out = []
+    free, out = _Free(), []
     for t, i in items:
         if t > tokens or i > images:
             out.append(-1)
             continue
-        for k, (a, b) in enumerate(packs):
-            if a + t <= tokens and b + i <= images:
-                packs[k] = [a + t, b + i]
-                out.append(k)
-                break
-        else:
-            packs.append([t, i])
-            out.append(len(packs) - 1)
+        pack = free.first((t, i))
+        room = free.most[free.size + pack] if pack >= 0 else [tokens, images]
+        pack = pack if pack >= 0 else free.open()
+        free.put(pack, [room[0] - t, room[1] - i])
+        out.append(pack)
     return out
 
 

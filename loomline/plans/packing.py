@@ -136,7 +136,7 @@ def scorer_outputs(spark, d):
 @query()
 def first_fit_packs(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.length("text").alias("tokens"), F.pmod("doc_id", F.lit(4)).cast("int").alias("images"))
-    return mixing.first_fit_by_shard(rows, 8, 8192, 6)
+    return mixing.first_fit_by_shard(rows, mixing.shards_for(rows), 8192, 6)
 
 
 _GRIDS = "SELECT p_partkey AS id, [[p_size % 3, p_size % 5, 1], [p_size % 2, 4, p_size % 7]] AS g FROM part"

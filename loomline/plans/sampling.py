@@ -103,7 +103,7 @@ def one_per_source(spark, d):
 @query()
 def multipacked(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-    return mixing.multipack_by_shard(rows, 8, 4, 4096)
+    return mixing.multipack_by_shard(rows, mixing.shards_for(rows), 4, 4096)
 
 
 @query()

@@ -335,3 +335,23 @@ def test_buffer_shuffle_moves_rows_about_a_buffer(spark):
     again = mixing.shard_stream(spark.createDataFrame([(s, i) for s in "abc" for i in range(50)], "s string, i long"), "s", "i", 8)
     found = again.collect()
     assert len({(r.batch, r.slot) for r in found}) == 150 and {r.batch for r in found} == set(range(19)) and max(r.slot for r in found) == 7
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 4)), max_size=60))
+def test_first_fit_takes_the_first_pack_with_room(items):
+    packs, want = [], []
+    for t, i in items:
+        k = next((k for k, (a, b) in enumerate(packs) if a + t <= 10 and b + i <= 3), len(packs)) if t <= 10 and i <= 3 else -1
+        if k == len(packs):
+            packs.append([0, 0])
+        if k >= 0:
+            packs[k] = [packs[k][0] + t, packs[k][1] + i]
+        want.append(k)
+    assert mixing.greedy_first_fit(iter(items), 10, 3) == want
+
+
+def test_next_fit_and_shards(spark):
+    rows = spark.createDataFrame([([3, 4, 5, 20, 0, 1],), ([],), (None,), ([7] * 2000,)], "a array<int>")
+    assert [r[0] for r in rows.select(mixing.next_fit(F.col("a"), 8)).collect()] == [[0, 0, 1, 2, 3, 3], [], None, list(range(2000))]
+    assert mixing.shards_for(spark.range(10)) == 8 and mixing.shards_for(spark.range(mixing.SHARD_ROWS * 9 + 1)) == 10
