@@ -1,10 +1,11 @@
 """Tar and WARC shards as data sources: written with a commit, read by byte ranges.
 
-``register`` makes four formats known to a session:
+``register`` makes five formats known to a session:
 
 * ``tar_shards`` (write): a row is a sample, whose columns but the key are its parts.
 * ``warc_shards`` (write): a row (url, html) is a response record, a gzip member of its own.
 * ``token_shards`` (write): a row's token ids are a document, in a file of tokens with an index.
+* ``array_shards`` (write): the numbers of a column's arrays as NumPy files, in one row or as tables of a fixed width.
 * ``warc_records`` (read): (file, offset, length, type, url, content, error), a row a record.
 
 Writers: each task writes shards of at most ``shardBytes`` under temporary names of its
@@ -113,11 +114,36 @@ class _IndexedShard(_Shard):
         return samples, parts + index.done(b"")[1]
 
 
+class _ArrayShard(_Shard):
+    """A NumPy file, whose head tells its length: what a shard holds is kept until it is full.  Rows of a fixed width are a table."""
+
+    def __init__(self, files: fs.FileSystem, path: str, suffix: str, kind: str, width: int):
+        super().__init__(files, path, suffix)
+        self.held: list[bytes] = []
+        self.kind, self.width = kind, width
+
+    def add(self, sample: bytes) -> None:
+        self.held.append(sample)
+        self.samples += 1
+        self.bytes += len(sample)
+
+    def done(self, tail: bytes) -> tuple[int, list[tuple[str, str, int, str]]]:
+        n, self.bytes, head = self.bytes // np.dtype(self.kind).itemsize, 0, io.BytesIO()
+        shape = (self.samples, self.width) if self.width else (n,)
+        np.lib.format.write_array_header_1_0(head, {"descr": self.kind, "fortran_order": False, "shape": shape})
+        for part in (head.getvalue(), *self.held):
+            self.write(part)
+        return super().done(tail)
+
+
 class ShardWriter(DataSourceArrowWriter):
     """Writes samples that ``encode`` makes of batches; ``tail`` ends a shard."""
 
     suffix, tail, shard = "", b"", _Shard
 
+    def new_shard(self, files: fs.FileSystem, path: str) -> _Shard:
+        return self.shard(files, path, self.suffix)
+
     def __init__(self, options: dict, overwrite: bool):
         self.folder, self.overwrite = options["path"].rstrip("/"), overwrite
         self.limit = int(options.get("shardbytes", SHARD_BYTES))
@@ -135,7 +161,7 @@ class ShardWriter(DataSourceArrowWriter):
                 if shard and shard.bytes + len(sample) + len(self.tail) > self.limit:
                     out.shards.append(shard.done(self.tail))
                     shard = None
-                shard = shard or self.shard(files, f"{folder}/{attempt}-{len(out.shards)}", self.suffix)
+                shard = shard or self.new_shard(files, f"{folder}/{attempt}-{len(out.shards)}")
                 shard.add(sample)
         if shard:
             out.shards.append(shard.done(self.tail))
@@ -249,6 +275,23 @@ class TokenWriter(ShardWriter):
             yield tokens.astype(self.kind).tobytes()
 
 
+class ArrayWriter(TokenWriter):
+    """Numbers of a column's arrays as NumPy files: all in one row, or a table of rows of ``width`` numbers, where another length is an error."""
+
+    def __init__(self, options: dict, schema: StructType, overwrite: bool):
+        super().__init__(options, schema, overwrite)
+        self.width, self.suffix = int(options.get("width", 0)), ".npy"
+
+    def new_shard(self, files: fs.FileSystem, path: str) -> _ArrayShard:
+        return _ArrayShard(files, path, self.suffix, self.kind, self.width)
+
+    def encode(self, batch: pa.RecordBatch) -> Iterator[bytes]:
+        for data in super().encode(batch):
+            if self.width and len(data) != self.width * np.dtype(self.kind).itemsize:
+                raise ValueError(f"a row isn't {self.width} wide")
+            yield data
+
+
 SUFFIXES = {"<u2": ".u16.bin", "<i4": ".i32.bin"}
 
 
@@ -436,6 +479,15 @@ class TokenShards(DataSource):
         return TokenWriter(dict(self.options), schema, overwrite)
 
 
+class ArrayShards(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "array_shards"
+
+    def writer(self, schema: StructType, overwrite: bool) -> ArrayWriter:
+        return ArrayWriter(dict(self.options), schema, overwrite)
+
+
 class WarcRecords(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -449,7 +501,7 @@ class WarcRecords(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    for source in (TarShards, WarcShards, TokenShards, WarcRecords):
+    for source in (TarShards, WarcShards, TokenShards, ArrayShards, WarcRecords):
         spark.dataSource.register(source)
 
 
@@ -465,6 +517,12 @@ def write_tokens(rows: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, kin
     rows.write.format("token_shards").option("shardBytes", shard_bytes).option("idsColumn", ids).option("kind", kind).mode(mode).save(path)
 
 
+def write_arrays(rows: DataFrame, path: str, width: int = 0, shard_bytes: int = SHARD_BYTES, kind: str = "<u2", column: str = "ids", mode: str = "append") -> None:
+    """A column of arrays as NumPy files, in the order of the rows: one after the other, or as rows of ``width`` numbers."""
+    register(rows.sparkSession)
+    rows.write.format("array_shards").option("shardBytes", shard_bytes).option("idsColumn", column).option("kind", kind).option("width", width).mode(mode).save(path)
+
+
 def token_places(spark: SparkSession, path: str) -> DataFrame:
     """(file, document, offset, tokens, kind) of all documents of indexed shards, from their indexes alone: ``fetch_tokens`` reads any of them."""
     kinds = [("file", pa.string()), ("document", pa.int64()), ("offset", pa.int64()), ("tokens", pa.int64()), ("kind", pa.string())]

@@ -6,6 +6,7 @@ import json
 import random
 import tarfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,21 @@ def test_token_shards_and_any_document_of_them(spark, tmp_path, kind):
     with pytest.raises(Exception, match="doesn't fit"):
         shards.write_tokens(spark.createDataFrame([([-1],)], "ids array<int>"), str(tmp_path / "u"), kind="<u2")
     assert not list((tmp_path / "u").glob("*"))
+
+
+def test_numpy_shards(spark, tmp_path):
+    """One stream of 16-bit numbers and tables of a fixed width; numbers and widths that don't fit leave nothing."""
+    rng = random.Random(2)
+    docs = [[rng.randrange(65_536) for _ in range(rng.randrange(300))] for _ in range(100)]
+    shards.write_arrays(spark.createDataFrame([(d,) for d in docs], "ids array<int>").coalesce(1), str(tmp_path / "a"), shard_bytes=10_000)
+    files = sorted((tmp_path / "a").glob("*.npy"))
+    found = [np.load(f) for f in files]
+    assert len(files) > 2 and all(x.dtype == np.uint16 and x.ndim == 1 and x.nbytes <= 10_000 for x in found)
+    assert np.concatenate(found).tolist() == sum(docs, []) and shards.verified(spark, str(tmp_path / "a")).filter("problem is not null").count() == 0
+    table = spark.range(50).select(F.array(F.col("id").cast("int"), F.lit(-1), F.lit(7)).alias("row")).coalesce(1)
+    shards.write_arrays(table, str(tmp_path / "b"), 3, kind="<i4", column="row")
+    assert np.load(tmp_path / "b/shard-0000000.npy").tolist() == [[i, -1, 7] for i in range(50)]
+    for bad, width in (([[70_000]], 0), ([[1, 2], [1]], 2)):
+        with pytest.raises(Exception, match="fit the type|wide"):
+            shards.write_arrays(spark.createDataFrame([(b,) for b in bad], "ids array<int>"), str(tmp_path / "c"), width)
+        assert not list((tmp_path / "c").glob("*"))
