@@ -264,14 +264,14 @@ def _token_ids(spark, d):
 
 
 @query()
-def token_blocks(spark, d):
+def token_id_blocks(spark, d):
     """All documents' token ids in blocks of 2,048, a document's end marked by the id behind the vocabulary."""
     blocks = tokens.token_blocks(written(_token_ids(spark, d), "token-ids"), 2048, 50_257)
     return blocks.select("block", F.size("ids").alias("tokens"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
 
 
 @query()
-def token_shards(spark, d):
+def token_id_shards(spark, d):
     """Token ids written as indexed shards, which are verified and read again by their index."""
     path = shared_path(spark, "tokens")
     shards.write_tokens(_token_ids(spark, d).select("ids"), path, 8 << 20)

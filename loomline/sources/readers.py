@@ -36,6 +36,14 @@ def text_blocks(spark: SparkSession, path: str, lines: int = 1000) -> DataFrame:
     return grouped.select("file", "block", F.array_join(F.transform("v", lambda x: x["value"]), "\n").alias("text"))
 
 
+def corpus(spark: SparkSession, path: str, text: str = "text") -> DataFrame:
+    """(file, text) of JSON lines, or of plain text a line each, in Unicode normal form C; lines that can't be read are passed over."""
+    from ..operators.lexicon import nfc
+
+    lines = json_lines(spark, path, f"{text} string") if re.search(r"\.jsonl?(\.gz)?$", path) else spark.read.text(path).withColumnRenamed("value", text)
+    return lines.select(F.col("_metadata.file_path").alias("file"), nfc(F.col(text)).alias("text")).filter("text is not null")
+
+
 def csv_puzzles(spark: SparkSession, path: str, least_rating: int = 0) -> DataFrame:
     schema = "source string, question string, answer string, rating int"
     return spark.read.schema(schema).option("header", True).csv(path).filter(F.col("rating") >= least_rating)

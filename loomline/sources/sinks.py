@@ -15,12 +15,25 @@ def write_documents(docs: DataFrame, path: str) -> None:
 
 
 def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A stage that's skipped if its folder was committed before: Spark's _SUCCESS file is the sentinel."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    if not done.getFileSystem(conf).exists(done):
+    """A stage that's skipped if its folder was committed before: the file ``_rows``, written last, is the sentinel and holds the number of rows.
+
+    A folder whose tables hold another number is an error: files were lost or added.
+    """
+    paths = spark._jvm.org.apache.hadoop.fs
+    done = paths.Path(path, "_rows")
+    files = done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(done):
         make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        out = files.create(done, True)
+        out.writeBytes(str(spark.read.parquet(path).count()))  # from the footers
+        out.close()
+        return spark.read.parquet(path)
+    rows, text = spark.read.parquet(path), files.open(done)
+    said = int(bytes(text.read() for _ in range(files.getFileStatus(done).getLen())))
+    text.close()
+    if rows.count() != said:
+        raise RuntimeError(f"{path} was committed with {said} rows")
+    return rows
 
 
 def contiguous_shards(rows: DataFrame, id_col: str, size: int, valid_shards: int = 2) -> DataFrame:

@@ -27,9 +27,9 @@ def pack_tokens(rows: DataFrame, block: int, end: int) -> DataFrame:
         for frame in frames:
             for tokens in frame["tokens"]:
                 held += [*map(int, tokens), end]  # NumPy numbers can't be kept as state
-                while len(held) >= block:
-                    out.append(held[:block])
-                    held = held[block:]
+            whole = len(held) // block * block
+            out += [held[i : i + block] for i in range(0, whole, block)]
+            held = held[whole:]
         state.update((held,))
         yield pd.DataFrame({"shard": [key[0]] * len(out), "tokens": out})
 

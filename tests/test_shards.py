@@ -153,3 +153,25 @@ def test_numpy_shards(spark, tmp_path):
         with pytest.raises(Exception, match="fit the type|wide"):
             shards.write_arrays(spark.createDataFrame([(b,) for b in bad], "ids array<int>"), str(tmp_path / "c"), width)
         assert not list((tmp_path / "c").glob("*"))
+
+
+def test_a_stage_runs_once_and_knows_its_rows(spark, tmp_path):
+    from loomline.sources import sinks
+
+    runs = []
+    make = lambda: runs.append(1) or spark.range(100).repartition(3)
+    path = str(tmp_path / "stage")
+    assert sinks.once(spark, path, make).count() == sinks.once(spark, path, make).count() == 100 and len(runs) == 1
+    assert (tmp_path / "stage/_rows").read_text() == "100"
+    next(p for p in (tmp_path / "stage").glob("part-*.parquet")).unlink()
+    with pytest.raises(RuntimeError, match="100 rows"):
+        sinks.once(spark, path, make)
+
+
+def test_corpus_is_composed(spark, tmp_path):
+    from loomline.sources import readers
+
+    (tmp_path / "a.jsonl").write_text('{"text": "é"}\nbroken\n{"text": null}\n{"other": 1}\n{"text": ""}\n', encoding="utf-8")
+    (tmp_path / "b.txt").write_text("café\n\n", encoding="utf-8")
+    assert sorted(r.text for r in readers.corpus(spark, str(tmp_path / "a.jsonl")).collect()) == ["", "é"]
+    assert sorted(r.text for r in readers.corpus(spark, str(tmp_path / "b.txt")).collect()) == ["", "café"]

@@ -26,12 +26,12 @@ def test_blocks_are_cuts_of_one_stream(spark, known):
     order = sorted(known, key=lambda i: (hashlib.md5(f"0:{i}".encode()).hexdigest(), i))
     stream = [t for i in order for t in [*known[i], 50_257]]
     want = [stream[i : i + 2048] for i in range(0, len(stream), 2048)]
-    got = sorted(tuple(r) for r in packing.token_blocks(spark, FOLDER).collect())
+    got = sorted(tuple(r) for r in packing.token_id_blocks(spark, FOLDER).collect())
     assert got == [(i, len(b), md5(b)) for i, b in enumerate(want)]
 
 
 def test_shards_hold_every_document(spark, known):
-    got = sorted(tuple(r) for r in packing.token_shards(spark, FOLDER).collect())
+    got = sorted(tuple(r) for r in packing.token_id_shards(spark, FOLDER).collect())
     assert got == sorted((len(ids), md5(ids)) for ids in known.values())
 
 
