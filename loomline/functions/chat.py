@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -62,12 +62,16 @@ def preference_ok(*texts: Column) -> Column:
     return ok
 
 
-def masked_spans(roles: Column, texts: Column, target: str = "assistant") -> Column:
-    """(start, end) character spans, in the texts laid end to end, that don't belong to the target role."""
-    sizes = F.transform(texts, lambda t: F.length(t))
-    ends = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
-    spans = F.zip_with(F.arrays_zip(ends.alias("end"), sizes.alias("size")), roles, lambda e, r: F.struct((e["end"] - e["size"]).alias("start"), e["end"].alias("end"), r.alias("role")))
-    return F.transform(F.filter(spans, lambda s: s["role"] != target), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+def masked_spans(messages: DataFrame, target: str = "assistant", conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conversation, start, end): character spans, in a conversation's texts laid end to end, that don't belong to the target role.
+
+    A running sum in the order of the turns, so a conversation of any length streams through its task.
+    """
+    before = Window.partitionBy(conversation).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.length(text), F.lit(0))
+    placed = messages.select(conversation, role, size.alias("_n"), F.coalesce(F.sum(size).over(before), F.lit(0)).alias("_at"))
+    spans = placed.filter(F.coalesce(F.col(role), F.lit("")) != target)
+    return spans.select(conversation, F.col("_at").cast("int").alias("start"), (F.col("_at") + F.col("_n")).cast("int").alias("end"))
 
 
 def normalised_answer(text: Column) -> Column:

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 
 
-def attach(rows: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
-    """``rows`` left-joined with ``known``, which has a row a key at most; ``rows`` should be a written table, for it is read twice.
+def attach(rows: DataFrame, known: DataFrame, key: list[str], sizes: DataFrame | None = None) -> DataFrame:
+    """``rows`` left-joined with ``known``, which has a row a key at most; ``rows`` should be a written table, for it is read three times.
+
+    With ``sizes`` (key ..., n), the number of rows of each key, as a written table, the rows are read once.
 
     The keys of the rows are counted with partial sums.  What is known of hot keys, at most HOT_SHARE rows by
     definition, is broadcast; their rows then take part in the shuffled join under a salt that nothing matches, so
@@ -19,8 +21,9 @@ def attach(rows: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
     others = [c for c in known.columns if c not in key]
     on = [f"_k{i}" for i in range(len(key))]
     named = [F.col(c).alias(k) for c, k in zip(key, on, strict=True)]
-    total = rows.agg(F.count("*")).scalar()
-    hot = rows.groupBy(*named).agg(F.count("*").alias("_n")).filter(F.col("_n") * HOT_SHARE > total).drop("_n")
+    total = rows.agg(F.count("*")).scalar() if sizes is None else sizes.agg(F.sum("n")).scalar()
+    counted = rows.groupBy(*named).agg(F.count("*").alias("_n")) if sizes is None else sizes.select(*named, F.col("n").alias("_n"))
+    hot = counted.filter(F.col("_n") * HOT_SHARE > total).drop("_n")
     packed = known.select(*named, F.struct(F.lit(1).alias("_there"), *others).alias("_v"))
     hot = hot.join(packed.withColumnRenamed("_v", "_hot"), on, "left").withColumn("_is_hot", F.lit(True))
 

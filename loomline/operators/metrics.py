@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio
+from .mixing import placed
 
 
 def puzzle_scores(tests: DataFrame, puzzle: str, solved: str) -> DataFrame:
@@ -108,8 +109,17 @@ def mean_over_examples(rows: DataFrame, example: str, value: str) -> DataFrame:
 
 def trimmed_histogram(rows: DataFrame, value: str, bins: int, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """(bin, n) of the values between two quantiles, in equal bins from the least to the greatest of them; the last is closed."""
-    ends = rows.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q"))
-    kept = rows.select(F.col(value).alias("v")).join(F.broadcast(ends)).filter(F.col("v").between(F.col("q")[0], F.col("q")[1]))  # ends is one row
+    known = placed(rows.select(F.col(value).alias("v")).filter("v is not null"), ["v"], "_i", total="_n")
+
+    def quantile(share: float) -> Column:
+        """Between the two values whose ranks are next to the quantile's."""
+        rank = F.lit(share) * (F.col("_n") - 1)
+        at = lambda r: F.max(F.when(F.col("_i") == r, F.col("v")))
+        below, above, part = at(F.floor(rank)), at(F.ceil(rank)), F.max(rank - F.floor(rank))
+        return below + (above - below) * part
+
+    ends = known.agg(F.array(quantile(low), quantile(high)).alias("q"))  # one row, of partial aggregates
+    kept = known.select("v").join(F.broadcast(ends)).filter(F.col("v").between(F.col("q")[0], F.col("q")[1]))
     span = kept.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    placed = kept.join(F.broadcast(span)).select(F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1)).alias("bin"))
-    return placed.select(F.coalesce("bin", F.lit(0)).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    binned = kept.join(F.broadcast(span)).select(F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1)).alias("bin"))
+    return binned.select(F.coalesce("bin", F.lit(0)).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))

@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .lookup import attach
+
 
 def shuffled(id_col: str, seed: str = "0") -> Column:
     """A repeatable shuffle order that DuckDB can reproduce."""
@@ -41,8 +44,32 @@ def numbered(rows: DataFrame, bucket: Column, order: list, out: str, by: list[st
     return joined.select(*rows.columns, F.col("_row").alias(out), *([F.col("_total").alias(total)] if total else []))
 
 
+def placed(rows: DataFrame, order: list[str], out: str, by: list[str] | None = None, total: str | None = None) -> DataFrame:
+    """Adds the row number from 0 in ``order`` within ``by``, and the number of rows as ``total``, whatever the order's values.
+
+    The rows are range partitioned, sorted and written with their place in the partition; a partition's start is a
+    sum over a row a partition, and a group's start is that of its first row, which goes to its rows dealt.
+    """
+    by = by or []
+    ranged = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_row", F.monotonically_increasing_id())
+    ranged = written(ranged, "in-order")
+    task = F.shiftright("_row", 33)
+    sizes = ranged.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_task", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    at = F.col("_start") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered_rows = ranged.join(F.broadcast(starts), task == F.col("_task")).select(*rows.columns, at.alias("_at"))  # a row a partition
+    if not by:
+        number = F.col("_at").alias(out)
+        return numbered_rows.select(*rows.columns, number, *([F.lit(ranged.agg(F.count("*")).scalar()).alias(total)] if total else []))
+    keyed = numbered_rows.withColumn("_group", F.struct(*by))
+    groups = keyed.groupBy("_group").agg(F.min("_at").alias("_first"), F.count("*").alias("_all"))
+    found = attach(keyed, groups, ["_group"])
+    return found.select(*rows.columns, (F.col("_at") - F.col("_first")).alias(out), *([F.col("_all").alias(total)] if total else []))
+
+
 def by_id(id_col: str) -> Column:
-    """Buckets of 65,536 ids."""
+    """Buckets of 65,536 ids, for ids that are dense; ``placed`` numbers rows of any order."""
     return F.shiftright(F.col(id_col).cast("long"), 16)
 
 
@@ -85,7 +112,7 @@ def stratified_split(rows: DataFrame, key: str, id_col: str, share: float, seed:
 
 def interleave(rows: DataFrame, source: str, order: str) -> DataFrame:
     """Round robin: adds ``round``; sort by (round, source)."""
-    return numbered(rows, by_id(order), [order], "round", [source]).withColumn("round", (F.col("round") + 1).cast("int"))
+    return placed(rows, [order], "round", [source]).withColumn("round", (F.col("round") + 1).cast("int"))
 
 
 def group_diverse_batches(rows: DataFrame, group: str, id_col: str, size: int, seed: str = "0") -> DataFrame:

@@ -77,9 +77,7 @@ def preference_rows(spark, d):
 WITH m AS (SELECT conv_id, turn, role, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM conversations)
 SELECT conv_id, start::INT AS start, (start + n)::INT AS "end" FROM m WHERE role <> 'assistant'""")
 def masked_spans(spark, d):
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    spans = chat.masked_spans(F.transform("m", lambda x: x["role"]), F.transform("m", lambda x: x["text"]))
-    return rows.select("conv_id", F.explode(spans).alias("s")).select("conv_id", "s.start", "s.end")
+    return chat.masked_spans(table(spark, d, "conversations"))
 
 
 @query("""

@@ -62,7 +62,7 @@ def stratified_split(spark, d):
 
 @query("SELECT item_id, ntile(7) OVER (ORDER BY item_id)::INT AS subset, CASE WHEN row_number() OVER (ORDER BY item_id) > count(*) OVER () - ceil(0.05::DOUBLE * count(*) OVER ()) THEN 'test' ELSE 'train' END AS part FROM benchmark")
 def contiguous_subsets(spark, d):
-    rows = mixing.numbered(table(spark, d, "benchmark").select("item_id"), mixing.by_id("item_id"), ["item_id"], "i", total="n")
+    rows = mixing.placed(table(spark, d, "benchmark").select("item_id"), ["item_id"], "i", total="n")
     tail = F.col("i") >= F.col("n") - F.ceil(F.lit(0.05) * F.col("n"))
     return rows.select("item_id", mixing.subset_of(F.col("i"), F.col("n"), 7).alias("subset"), F.when(tail, "test").otherwise("train").alias("part"))
 
@@ -122,7 +122,7 @@ def _u(keys: str, seed: str = "0") -> str:
 
 def _positions(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
-    return mixing.numbered(docs, mixing.by_id("doc_id"), ["doc_id"], "position", ["source"])
+    return mixing.placed(docs, ["doc_id"], "position", ["source"])
 
 
 @query(f"{_POSITIONS} SELECT doc_id, source, round(sum(-ln({_u("source || ':' || position")})) OVER (PARTITION BY source ORDER BY position), 6) AS at FROM p")

@@ -31,7 +31,7 @@ def modulo_shard(spark, d):
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents) WHERE r >= floor(n * 0.1::DOUBLE) AND r < floor(n * 0.3::DOUBLE)")
 def percent_slice(spark, d):
     start, end = readers.split_slice("train[10%:30%]")
-    ranked = mixing.numbered(table(spark, d, "documents").select("doc_id"), mixing.by_id("doc_id"), ["doc_id"], "r", total="n")
+    ranked = mixing.placed(table(spark, d, "documents").select("doc_id"), ["doc_id"], "r", total="n")
     return ranked.filter((F.col("r") >= F.floor(F.col("n") * start)) & (F.col("r") < F.floor(F.col("n") * end))).select("doc_id")
 
 

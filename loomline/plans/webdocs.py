@@ -211,7 +211,7 @@ def shared_keys(spark, d):
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS a, row_number() OVER (ORDER BY doc_id DESC) AS b FROM documents) WHERE a <= 20 OR b <= 10")
 def first_and_last(spark, d):
-    rows = mixing.numbered(table(spark, d, "documents").select("doc_id"), mixing.by_id("doc_id"), ["doc_id"], "i", total="n")
+    rows = mixing.placed(table(spark, d, "documents").select("doc_id"), ["doc_id"], "i", total="n")
     return rows.filter((F.col("i") < 20) | (F.col("i") >= F.col("n") - 10)).select("doc_id")
 
 

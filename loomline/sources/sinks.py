@@ -38,7 +38,7 @@ def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataF
 
 def contiguous_shards(rows: DataFrame, id_col: str, size: int, valid_shards: int = 2) -> DataFrame:
     """Adds shard and part (the first shards are valid, the rest train) in order of id."""
-    placed = mixing.numbered(rows, mixing.by_id(id_col), [id_col], "_n").withColumn("shard", F.floor(F.col("_n") / size)).drop("_n")
+    placed = mixing.placed(rows, [id_col], "_n").withColumn("shard", F.floor(F.col("_n") / size)).drop("_n")
     return placed.withColumn("part", F.when(F.col("shard") < valid_shards, "valid").otherwise("train"))
 
 

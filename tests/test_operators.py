@@ -355,3 +355,18 @@ def test_next_fit_and_shards(spark):
     rows = spark.createDataFrame([([3, 4, 5, 20, 0, 1],), ([],), (None,), ([7] * 2000,)], "a array<int>")
     assert [r[0] for r in rows.select(mixing.next_fit(F.col("a"), 8)).collect()] == [[0, 0, 1, 2, 3, 3], [], None, list(range(2000))]
     assert mixing.shards_for(spark.range(10)) == 8 and mixing.shards_for(spark.range(mixing.SHARD_ROWS * 9 + 1)) == 10
+
+
+def test_places_of_sparse_repeated_and_null_keys(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "a", "b", "c"]), rng.choice([None, rng.randrange(-(1 << 62), 1 << 62), 5]), i) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "g string, k long, i long").repartition(6)
+    first = lambda v: (v is not None, v or 0)  # noqa: E731  nulls first
+    got = mixing.placed(frame, ["k", "i"], "at", ["g"], "n").collect()
+    for g in (None, "a", "b", "c"):
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (first(r[1]), r[2]))
+        assert [(r.k, r.i) for r in sorted((r for r in got if r.g == g), key=lambda r: r.at)] == [r[1:] for r in mine]
+        assert sorted(r.at for r in got if r.g == g) == list(range(len(mine))) and {r.n for r in got if r.g == g} == {len(mine)}
+    whole = mixing.placed(frame, ["i"], "at", total="n").collect()
+    assert all(r.at == r.i and r.n == 3000 for r in whole)
+    assert mixing.placed(frame.filter("false"), ["i"], "at", ["g"], "n").count() == 0
