@@ -189,7 +189,19 @@ def encoded(grid: Column, size: int = 30, top: Column | int = 0, left: Column |
         edge = ((r == height) & in_columns) | ((c == width) & in_rows)
         return F.when(in_rows & in_columns, F.get(F.get(grid, r), c).cast("int") + FIRST).when(edge, END).otherwise(PAD)
 
-    return F.when((top + height <= size) & (left + width <= size), F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), token))
+    def line(row: Column) -> Column:
+        cells = F.transform(F.sequence(F.lit(0), width - 1), lambda c: F.get(row, c).cast("int") + FIRST)
+        edge = F.array_repeat(F.lit(END), F.when(left + width < size, 1).otherwise(0))
+        return F.concat(F.array_repeat(F.lit(PAD), left), cells, edge, F.array_repeat(F.lit(PAD), F.greatest(size - left - width - 1, F.lit(0))))
+
+    # row by row, so that what pads costs nothing a cell; each cell by itself only where the grid has none or begins outside
+    under = F.concat(F.array_repeat(F.lit(PAD), left), F.array_repeat(F.lit(END), width), F.array_repeat(F.lit(PAD), size - left - width))
+    below = F.when(top + height < size, under).otherwise(F.array().cast("array<int>"))
+    rest = F.array_repeat(F.lit(PAD), size * F.greatest(size - top - height - 1, F.lit(0)))
+    by_row = F.concat(F.array_repeat(F.lit(PAD), size * top), F.flatten(F.transform(grid, line)), below, rest)
+    inside = (top >= 0) & (left >= 0) & (height > 0) & (width > 0) & ~F.exists(grid, lambda row: row.isNull())
+    cells = F.when(inside, by_row).otherwise(F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), token))
+    return F.when((top + height <= size) & (left + width <= size), cells)
 
 
 def cropped(tokens: Column, size: int = 30) -> Column:
@@ -197,11 +209,14 @@ def cropped(tokens: Column, size: int = 30) -> Column:
     best = F.struct(F.lit(size).alias("w"), F.lit(0).alias("rows"), F.lit(0).alias("columns"))
 
     def grown(b: Column, r: Column) -> Column:
-        digit = F.transform(F.slice(tokens, r * size + 1, F.lit(size)), lambda x: (x >= FIRST) & (x < FIRST + 10))
-        end = F.array_position(digit, False).cast("int")
-        w = F.least(b["w"], F.when(end > 0, end - 1).otherwise(size))
-        larger = (r + 1) * w > b["rows"] * b["columns"]
-        return F.struct(w.alias("w"), F.when(larger, r + 1).otherwise(b["rows"]).alias("rows"), F.when(larger, w).otherwise(b["columns"]).alias("columns"))
+        digit = F.transform(F.slice(tokens, r * size + 1, b["w"]), lambda x: (x >= FIRST) & (x < FIRST + 10))
+
+        def after(end: Column) -> Column:
+            w = F.when(end > 0, end - 1).otherwise(b["w"])
+            larger = (r + 1) * w > b["rows"] * b["columns"]
+            return F.struct(w.alias("w"), F.when(larger, r + 1).otherwise(b["rows"]).alias("rows"), F.when(larger, w).otherwise(b["columns"]).alias("columns"))
+
+        return F.when(b["w"] == 0, b).otherwise(F.transform(F.array(F.array_position(digit, False).cast("int")), after)[0])
 
     found = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), best, grown)  # read in a lambda, which evaluates it once
     rows = F.transform(F.array(found), lambda b: F.when(b["rows"] > 0, F.transform(F.sequence(F.lit(0), b["rows"] - 1), lambda r: F.transform(F.slice(tokens, r * size + 1, b["columns"]), lambda x: x - FIRST))))
@@ -219,10 +234,11 @@ def predictions(outputs: DataFrame, names: DataFrame, blank: int = 0, size: int
 
     ``names`` (identifier, name) tells how a puzzle was augmented; both grids are cropped and put back to what they
     were, so that they can be joined with the puzzle's own.  Rows of the blank identifier are padding.  The names are
-    as many as the augmented puzzles and are joined as they come, with no hint.
+    as many as the augmented puzzles, however small the table that they are made of, and are never broadcast.
     """
-    rows = outputs.filter(F.col("identifier") != blank).join(names, "identifier")
-    rows = T.once(rows, _n=named_augmentation(F.col("name")), _i=cropped(F.col("inputs"), size), _p=cropped(F.col("preds"), size)).select("_n.*", "_i", "_p", "halt_logit")
+    grids = outputs.filter(F.col("identifier") != blank)
+    grids = T.once(grids, _i=cropped(F.col("inputs"), size), _p=cropped(F.col("preds"), size)).select("identifier", "_i", "_p", "halt_logit")  # before the join, which moves less
+    rows = T.once(grids.join(names.hint("merge"), "identifier"), _n=named_augmentation(F.col("name"))).select("_n.*", "_i", "_p", "halt_logit")
     rows = T.once(rows, _was=unaugmented(F.col("_i"), F.col("transform"), F.col("mapping")), prediction=unaugmented(F.col("_p"), F.col("transform"), F.col("mapping")))
     confidence = 1 / (1 + F.exp(-F.col("halt_logit")))
     return rows.select("name", grid_key(F.col("_was")).alias("input_key"), grid_key(F.col("prediction")).alias("prediction_key"), "prediction", confidence.alias("confidence"))

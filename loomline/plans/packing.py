@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import mixing, packing, puzzles, tokens
 from ..sources import shards
 from ..sources.shared import shared_path, written
-from ..tables import table
+from ..tables import spread, table
 from .registry import query
 
 _START = "coalesce(sum({v}) OVER ({by} ORDER BY md5('0:' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT"
@@ -171,13 +171,14 @@ def _tests(spark, d):
 def _outputs(tests):
     """(outputs, names) of a model that sees each test recoloured and in all eight positions, and repeats the input now and then."""
     seed = F.concat_ws(":", "name", F.col("test").cast("string"))
-    tests, each = T.once(tests, mapping=puzzles.colouring(seed)), []
+    tests, each, named = T.once(spread(tests), mapping=puzzles.colouring(seed)), [], []
     for k in range(8):
         said = F.when((F.col("test") + k) % 3 == 0, F.col("input")).otherwise(F.col("output"))
         grids = [F.transform(F.array(puzzles.augmented(g, k, F.col("mapping"))), lambda g: puzzles.encoded(g, 10))[0] for g in (F.col("input"), said)]
-        each.append(F.struct((F.col("test") * 8 + k).alias("identifier"), puzzles.augmented_name(F.col("name"), k, F.col("mapping")).alias("name"), grids[0].alias("inputs"), grids[1].alias("preds"), ((F.col("test") * 7 + 3 * k) % 11 - 5).cast("double").alias("halt_logit")))
-    made = tests.select(F.inline(F.array(*each)))
-    return made.drop("name"), made.select("identifier", "name")
+        identifier = (F.col("test") * 8 + k).alias("identifier")
+        each.append(F.struct(identifier, grids[0].alias("inputs"), grids[1].alias("preds"), ((F.col("test") * 7 + 3 * k) % 11 - 5).cast("double").alias("halt_logit")))
+        named.append(F.struct(identifier, puzzles.augmented_name(F.col("name"), k, F.col("mapping")).alias("name")))
+    return tests.select(F.inline(F.array(*each))), tests.select(F.inline(F.array(*named)))  # by themselves: a generator makes all its columns
 
 
 _VOTES = f"""
