@@ -10,7 +10,7 @@ from ..operators import lexicon, metrics
 from ..operators.language_models import held_out
 from ..operators.lookup import attach
 from ..tables import table
-from .curation import CRC, STRIP
+from .curation import STRIP
 from .registry import query
 
 _WORDS = f"list_filter(list_transform(regexp_split_to_array(text, '[ \\n\\t]'), lambda x: {STRIP.format('lower(x)')}), lambda x: x <> '')"
@@ -151,24 +151,24 @@ def window_perplexity(spark, d):
     return scored.filter("perplexity < 2000").withColumn("perplexity", F.round("perplexity", 4))
 
 
-_LANGUAGE = f"""{_COUNTS}, n AS (SELECT word, lang, sum(c) AS n FROM w JOIN documents USING (doc_id) WHERE lang IS NOT NULL AND {CRC} % 4 <> 2 GROUP BY ALL),
+_LANGUAGE = f"""{_COUNTS}, n AS (SELECT word, lang, sum(c) AS n FROM w JOIN documents USING (doc_id) WHERE lang IS NOT NULL GROUP BY ALL),
 s AS (SELECT word, lang, n::DOUBLE / sum(n) OVER (PARTITION BY word) AS share FROM n), z AS (SELECT doc_id, sum(c) AS z FROM w GROUP BY doc_id),
 k AS (SELECT doc_id, lang AS language, round(sum(c * share) / any_value(z), 6) AS score FROM w JOIN s USING (word) JOIN z USING (doc_id) GROUP BY doc_id, lang),
 b AS (SELECT doc_id, language, score FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, language) = 1)"""
 
 
 def _detected(spark, d):
-    docs, rest = table(spark, d, "documents"), held_out("doc_id")
-    return lexicon.detect_language(docs.filter(rest), lexicon.language_model(docs.filter(~rest)))
+    docs = table(spark, d, "documents")
+    return lexicon.detect_language(docs, lexicon.language_model(docs))
 
 
-@query(f"WITH {_LANGUAGE} SELECT doc_id, language, score FROM documents LEFT JOIN b USING (doc_id) WHERE {CRC} % 4 = 2")
+@query(f"WITH {_LANGUAGE} SELECT doc_id, language, score FROM documents LEFT JOIN b USING (doc_id)")
 def detected_language(spark, d):
-    """Of the held-out quarter, by the words of the others."""
+    """Of every document, by the words of all that have a language."""
     return _detected(spark, d)
 
 
-@query(f"WITH {_LANGUAGE} SELECT doc_id, language FROM b WHERE language IN ('en', 'de') AND score >= 0.65 AND {CRC} % 4 = 2")
+@query(f"WITH {_LANGUAGE} SELECT doc_id, language FROM b WHERE language IN ('en', 'de') AND score >= 0.65")
 def kept_languages(spark, d):
     return _detected(spark, d).filter("language in ('en', 'de') and score >= 0.65").select("doc_id", "language")
 
