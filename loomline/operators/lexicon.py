@@ -8,12 +8,13 @@ most documents dealt over tasks, and adds up by document; no model is gathered a
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from ..functions import text as T
 from ..sources.shared import written
@@ -27,21 +28,41 @@ def nfc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
 
+@F.arrow_udf(ArrayType(StructType().add("word", StringType()).add("c", LongType())))
+def _counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """``T.words`` of texts in lower case, each word with its count."""
+    for texts in batches:
+        words, counts, ends = [], [], [0]
+        for text in texts.to_pylist():
+            found: dict[str, int] = {}
+            for raw, n in Counter((text or "").replace("\n", " ").replace("\t", " ").split(" ")).items():
+                if word := raw.strip(T.STRIPPED):
+                    found[word] = found.get(word, 0) + n
+            words += found.keys()
+            counts += found.values()
+            ends.append(len(words))
+        pairs = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "c"])
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
+
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, word, c), written: its words are counted to deal those that most documents hold."""
-    words = docs.select(id_col, F.explode(T.words(F.col(text))).alias("word"))
-    return written(words.groupBy(id_col, "word").agg(F.count("*").alias("c")), "word-counts")
+    """(id, word, c), written: a row a word of each text, counted in its task, so that no word is shuffled; ids that repeat have a word once a text."""
+    return written(docs.select(id_col, F.inline(_counted(F.lower(text)))), "word-counts")
+
+
+def word_sizes(counts: DataFrame) -> DataFrame:
+    """(word, n, total), written: the rows and occurrences of each word, to deal those that most documents hold."""
+    return written(counts.groupBy("word").agg(F.count("*").alias("n"), F.sum("c").alias("total")), "word-sizes")
 
 
-def unigram_model(counts: DataFrame) -> DataFrame:
-    """(word, logp): log share of a word among all."""
-    totals = counts.groupBy("word").agg(F.sum("c").alias("n"))
-    return totals.select("word", F.ln(F.col("n") / counts.agg(F.sum("c")).scalar()).alias("logp"))
+def unigram_model(sizes: DataFrame) -> DataFrame:
+    """(word, logp): log share of a word among all, of ``word_sizes``."""
+    return sizes.select("word", F.ln(F.col("total") / sizes.agg(F.sum("total")).scalar()).alias("logp"))
 
 
-def perplexity(docs: DataFrame, counts: DataFrame, model: DataFrame, id_col: str = "doc_id", unknown: float = -20.0) -> DataFrame:
-    """(id, perplexity) under a word model: exp of the mean negative log share; null without words."""
-    scored = attach(counts, model, ["word"]).groupBy(F.col(id_col).alias("_id")).agg((-F.sum(F.col("c") * F.coalesce("logp", F.lit(unknown))) / F.sum("c")).alias("_h"))
+def perplexity(docs: DataFrame, counts: DataFrame, model: DataFrame, id_col: str = "doc_id", unknown: float = -20.0, sizes: DataFrame | None = None) -> DataFrame:
+    """(id, perplexity) under a word model: exp of the mean negative log share; null without words.  ``sizes`` are the counts' own, if they are known."""
+    scored = attach(counts, model, ["word"], sizes).groupBy(F.col(id_col).alias("_id")).agg((-F.sum(F.col("c") * F.coalesce("logp", F.lit(unknown))) / F.sum("c")).alias("_h"))
     return docs.select(id_col).join(scored, F.col(id_col) == F.col("_id"), "left").select(id_col, F.exp("_h").alias("perplexity"))
 
 
@@ -55,15 +76,16 @@ def window_of_words(docs: DataFrame, width: int, id_col: str = "doc_id", text: s
 
 def language_model(docs: DataFrame, language: str = "lang", text: str = "text") -> DataFrame:
     """(word, shares map<language, double>): a word's occurrences by language, of all of its."""
-    words = docs.filter(F.col(language).isNotNull()).select(F.col(language).alias("language"), F.explode(T.words(F.col(text))).alias("word"))
-    counted = words.groupBy("word", "language").agg(F.count("*").alias("n"))
+    words = docs.filter(F.col(language).isNotNull()).select(F.col(language).alias("language"), F.inline(_counted(F.lower(text))))
+    counted = words.groupBy("word", "language").agg(F.sum("c").alias("n"))
     by_word = counted.groupBy("word").agg(F.collect_list(F.struct("language", "n")).alias("l"), F.sum("n").alias("s"))  # a language each
     return by_word.select("word", F.map_from_entries(F.transform("l", lambda x: F.struct(x["language"], x["n"] / F.col("s")))).alias("shares"))
 
 
 def detect_language(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, language, score): the language with the greatest mean share over a document's words, rounded; null without words."""
-    known = attach(word_counts(docs, id_col, text), model, ["word"])
+    counts = word_counts(docs, id_col, text)
+    known = attach(counts, model, ["word"], word_sizes(counts))
     sizes = known.groupBy(F.col(id_col).alias("_id")).agg(F.sum("c").alias("_n"))
     sums = known.select(id_col, "c", F.explode("shares").alias("language", "share")).groupBy(id_col, "language").agg(F.sum(F.col("c") * F.col("share")).alias("s"))
     scored = sums.join(sizes, F.col(id_col) == F.col("_id")).select(F.col("_id"), "language", F.round(F.col("s") / F.col("_n"), 6).alias("score"))
@@ -71,9 +93,10 @@ def detect_language(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", t
     return docs.select(id_col).join(best, F.col(id_col) == F.col("_id"), "left").select(id_col, F.col("b.language").alias("language"), (-F.col("b.s")).alias("score"))
 
 
-def list_ratios(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, ratio): share of a document's words that are in the list (word), however long that is."""
-    marked = attach(word_counts(docs, id_col, text), words.select("word", F.lit(1).alias("_in")).distinct(), ["word"])
+def list_ratios(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text: str = "text", counts: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """(id, ratio): share of a document's words that are in the list (word), however long that is; ``counts`` and ``sizes`` if they are known."""
+    counts = word_counts(docs, id_col, text) if counts is None else counts
+    marked = attach(counts, words.select("word", F.lit(1).alias("_in")).distinct(), ["word"], word_sizes(counts) if sizes is None else sizes)
     shares = marked.groupBy(F.col(id_col).alias("_id")).agg(F.sum("c").alias("_n"), F.sum(F.when(F.col("_in") == 1, F.col("c")).otherwise(0)).alias("_k"))
     return docs.select(id_col).join(shares, F.col(id_col) == F.col("_id"), "left").select(id_col, T.ratio(F.col("_k"), F.col("_n")).alias("ratio"))
 

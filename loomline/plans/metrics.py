@@ -129,14 +129,16 @@ _MODEL = f"{_COUNTS}, m AS (SELECT word, ln(sum(c)::DOUBLE / (SELECT sum(c) FROM
 def word_perplexity(spark, d):
     docs = table(spark, d, "documents")
     counts = lexicon.word_counts(docs)
-    return lexicon.perplexity(docs, counts, lexicon.unigram_model(counts)).withColumn("perplexity", F.round("perplexity", 4))
+    sizes = lexicon.word_sizes(counts)
+    return lexicon.perplexity(docs, counts, lexicon.unigram_model(sizes), sizes=sizes).withColumn("perplexity", F.round("perplexity", 4))
 
 
 @query(f"WITH {_MODEL}, p AS (SELECT doc_id, exp(-sum(c * logp) / sum(c)) AS p FROM w JOIN m USING (word) GROUP BY doc_id) SELECT doc_id FROM p WHERE p <= 1500")
 def perplexity_gate(spark, d):
     docs = table(spark, d, "documents")
     counts = lexicon.word_counts(docs)
-    return lexicon.perplexity(docs, counts, lexicon.unigram_model(counts)).filter("perplexity <= 1500").select("doc_id")
+    sizes = lexicon.word_sizes(counts)
+    return lexicon.perplexity(docs, counts, lexicon.unigram_model(sizes), sizes=sizes).filter("perplexity <= 1500").select("doc_id")
 
 
 @query(f"""
@@ -147,7 +149,7 @@ SELECT doc_id, round(exp(-sum(logp) / count(*)), 4) AS perplexity FROM c JOIN m
 def window_perplexity(spark, d):
     docs = table(spark, d, "documents")
     counts = lexicon.word_counts(lexicon.window_of_words(docs, 512))
-    scored = lexicon.perplexity(docs, counts, lexicon.unigram_model(lexicon.word_counts(docs)))
+    scored = lexicon.perplexity(docs, counts, lexicon.unigram_model(lexicon.word_sizes(lexicon.word_counts(docs))))
     return scored.filter("perplexity < 2000").withColumn("perplexity", F.round("perplexity", 4))
 
 
@@ -178,8 +180,10 @@ SELECT doc_id, coalesce(sum(CASE WHEN word IN (SELECT word FROM t) THEN c ELSE 0
 def common_word_ratios(spark, d):
     """Against the 1,000 most frequent words of the corpus."""
     docs = table(spark, d, "documents")
-    common = lexicon.word_counts(docs).groupBy("word").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "word").limit(1000)
-    return lexicon.list_ratios(docs, common.select("word"))
+    counts = lexicon.word_counts(docs)
+    sizes = lexicon.word_sizes(counts)
+    common = sizes.orderBy(F.desc("total"), "word").limit(1000)
+    return lexicon.list_ratios(docs, common.select("word"), counts=counts, sizes=sizes)
 
 
 _LISTED = ["the", "was", "with", "idiot", "trash"]
