@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import deque
 
@@ -106,12 +107,13 @@ def _transposed(grid: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(grid[0]) - 1), lambda j: F.transform(grid, lambda row: F.get(row, j)))
 
 
-def turned(grid: Column, k: int) -> Column:
+def turned(grid: Column, k: int, transposed: Column | None = None) -> Column:
     """``dihedral`` as an expression on array<array<int>>: a transposition at most, then rows or columns the other way round.
 
     The transposition reads the grid once a column, so an expression that costs should be a column first (``once``).
+    ``transposed`` is the transposition where it is known, for those who turn a grid more than once.
     """
-    out = _transposed(grid) if k % 2 else grid
+    out = (_transposed(grid) if transposed is None else transposed) if k % 2 else grid
     if k in (2, 3, 4, 7):
         out = F.transform(out, lambda row: F.reverse(row))
     return F.reverse(out) if k in (1, 2, 6, 7) else out
@@ -134,14 +136,14 @@ def recoloured(grid: Column, seed: Column) -> Column:
 
 def augment(puzzles: DataFrame, id_col: str = "puzzle_id", grid: str = "grid", colours: int = 0, seed: str = "0") -> DataFrame:
     """(id, symmetry, colouring, grid): the distinct symmetries of each puzzle, as it is (colouring 0) and in ``colours`` other colourings."""
-    numbers = F.col(grid).cast("array<array<int>>")
-    made = puzzles.select(id_col, numbers.alias(grid), F.explode(F.sequence(F.lit(0), F.lit(colours))).alias("colouring"))
-    coloured = recoloured(F.col(grid), F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"), F.col("colouring").cast("string")))
-    made = made.withColumn(grid, F.when(F.col("colouring") == 0, F.col(grid)).otherwise(coloured))
-    all_turns = F.array(*[F.struct(F.lit(k).alias("symmetry"), turned(F.col(grid), k).alias("g")) for k in range(8)])
-    made = made.select(id_col, "colouring", F.explode(all_turns).alias("t")).select(id_col, "colouring", "t.symmetry", F.col("t.g").alias(grid))
-    first = made.groupBy(id_col, F.to_json(F.struct(grid)).alias("_h")).agg(F.min(F.struct("colouring", "symmetry", grid)).alias("s"))
-    return first.select(id_col, "s.symmetry", "s.colouring", f"s.{grid}")
+    rows = puzzles.select(id_col, F.col(grid).cast("array<array<int>>").alias(grid))
+    seeds = [F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"), F.lit(str(i))) for i in range(1, colours + 1)]
+    rows = T.once(rows, _m=F.array(*[colouring(s) for s in seeds]).cast("array<array<int>>"))  # an order a colouring, not a cell
+    rows = T.once(rows, _g=F.concat(F.array(grid), F.transform("_m", lambda m: mapped(F.col(grid), m))))
+    each = [F.struct((F.col("_i") * 8 + k).alias("n"), turned(F.col("_c"), k, F.col("_t")).alias(grid)) for k in range(8)]
+    made = T.once(rows.select(id_col, F.posexplode("_g").alias("_i", "_c")), _t=_transposed(F.col("_c"))).select(id_col, F.inline(F.array(*each)))
+    first = made.groupBy(id_col, grid).agg(F.min("n").alias("n"))  # numbers and grids as they are: counted in a hash table, not sorted
+    return first.select(id_col, (F.col("n") % 8).cast("int").alias("symmetry"), F.floor(F.col("n") / 8).cast("int").alias("colouring"), grid)
 
 
 # How the name of an augmented puzzle is put together, and ``turned``'s number of each of its transforms.
@@ -331,6 +333,13 @@ def maze_solved(maze: Column, solution: Column, path: str = "o", start: str = "S
     return ~crossed & (_flood(free, begin, end) > 0)
 
 
+def all_turned(rows: DataFrame, grid: str, number: str = "symmetry") -> DataFrame:
+    """A row a symmetry and its number instead of each; the grid is transposed once for all."""
+    others = [c for c in rows.columns if c != grid]
+    each = F.array(*[F.struct(F.lit(k).alias(number), turned(F.col(grid), k, F.col("_t")).alias(grid)) for k in range(8)])
+    return T.once(rows, _t=_transposed(F.col(grid))).select(*others, F.inline(each))
+
+
 def maze_turned(maze: Column, k: int) -> Column:
     """One of the 8 symmetries of a maze whose rows are equally long."""
     cells = F.transform(maze, lambda row: F.filter(F.split(row, ""), lambda c: c != ""))
@@ -340,6 +349,8 @@ def maze_turned(maze: Column, k: int) -> Column:
 # Rows and columns of a box, and the number of solutions there are.
 BOXES = {4: (2, 2), 6: (2, 3), 9: (3, 3)}
 SOLUTIONS = {4: 288, 6: 28_200_960, 9: 6_670_903_752_021_072_936_960}
+#: Seeds that one task draws for.
+SEEDS_A_TASK = 5000
 
 
 def filled(size: int, rng: np.random.Generator) -> np.ndarray:
@@ -390,6 +401,7 @@ def sudoku_pool(seeds: DataFrame, size: int, least: int, most: int, id_col: str
     if n > share * SOLUTIONS[size]:
         raise ValueError(f"{n} puzzles of {SOLUTIONS[size]} solutions: at most {share:.0%} can be told apart")
     left, taken = seeds.select(F.col(id_col).alias("id")), None
+    left = left.repartition(max(1, math.ceil(n / SEEDS_A_TASK)))  # a file of many seeds can be one split
     for step in range(rounds):
         drawn = left.select("id", F.concat_ws(":", F.col("id").cast("string"), F.lit(str(step))).alias("s"))
         drawn = written(drawn.lateralJoin(SudokuOf(F.col("s").outer(), F.lit(size), F.lit(least), F.lit(most))).drop("s"), f"drawn-{step}")

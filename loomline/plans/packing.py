@@ -152,14 +152,14 @@ WITH g AS ({_GRIDS}), t AS (SELECT id, g[1][1] AS a, g[1][2] AS b, g[1][3] AS c,
 s AS (SELECT id, unnest([a||''||b||c||'/'||d||e||f, c||''||f||'/'||b||e||'/'||a||d, f||''||e||d||'/'||c||b||a, d||''||a||'/'||e||b||'/'||f||c, c||''||b||a||'/'||f||e||d, a||''||d||'/'||b||e||'/'||c||f, d||''||e||f||'/'||a||b||c, f||''||c||'/'||e||b||'/'||d||a]) AS grid, unnest(range(8)) AS k FROM t)
 SELECT id, grid, min(k)::INT AS symmetry FROM s GROUP BY id, grid""")
 def puzzle_symmetries(spark, d):
-    made = puzzles.augment(_grids(spark, d), "id")
+    made = puzzles.augment(spread(_grids(spark, d)), "id")
     rows = F.transform("grid", lambda row: F.array_join(F.transform(row, lambda v: v.cast("string")), ""))
     return made.select("id", F.array_join(rows, "/").alias("grid"), "symmetry")
 
 
 @query()
 def puzzle_colourings(spark, d):
-    return puzzles.augment(_grids(spark, d), "id", colours=3).select("id", "symmetry", "colouring", F.to_json("grid").alias("grid"))
+    return puzzles.augment(spread(_grids(spark, d)), "id", colours=3).select("id", "symmetry", "colouring", F.to_json("grid").alias("grid"))
 
 
 def _tests(spark, d):
@@ -210,7 +210,7 @@ def _mazes(spark, d):
     row = lambda i: F.translate(F.substring(F.md5(F.concat_ws(":", F.col("event_id").cast("string"), i.cast("string"))), 1, 16), "0123456789abcdef", "#######" + " " * 9)
     rows = F.transform(F.sequence(F.lit(1), F.lit(8)), row)
     whole = F.concat(F.array(F.lit("S" + " " * 15)), rows, F.array(F.lit(" " * 15 + "G")))
-    return T.once(table(spark, d, "events").select("event_id"), maze=whole)
+    return T.once(spread(table(spark, d, "events").select("event_id"), 10_000), maze=whole)
 
 
 @query()
@@ -223,9 +223,10 @@ def maze_steps(spark, d):
 @query()
 def maze_symmetries(spark, d):
     """The ids of each maze in its 8 positions."""
-    each = F.array(*[F.struct(F.lit(k).alias("symmetry"), puzzles.maze_turned(F.col("maze"), k).alias("m")) for k in range(8)])
-    made = _mazes(spark, d).select("event_id", F.inline(each))
-    return made.select("event_id", "symmetry", F.size("m").alias("rows"), F.array_join(puzzles.maze_ids(F.col("m")).cast("array<string>"), "").alias("ids"))
+    # numbered once and then turned: a maze's characters are looked at once, not once a position
+    grids = T.once(_mazes(spark, d), m=F.transform("maze", lambda row: puzzles.maze_ids(F.array(row)))).select("event_id", "m")
+    made = puzzles.all_turned(grids, "m")
+    return made.select("event_id", "symmetry", F.size("m").alias("rows"), F.array_join(F.flatten("m").cast("array<string>"), "").alias("ids"))
 
 
 @query()

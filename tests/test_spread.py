@@ -43,3 +43,28 @@ def test_grids_of_any_shape_and_place(spark):
         assert want is None or got[i][1] == (puzzles.crop(want, 7) or [])
     odd = spark.createDataFrame([([[1, 2], [3]],), ([[1, None], [3, 4, 5]],)], "g array<array<int>>").select(puzzles.encoded(F.col("g"), 3).alias("e")).collect()
     assert [r.e for r in odd] == [[3, 4, 1, 5, None, 1, 1, 1, 0], [3, None, 1, 5, 6, 1, 1, 1, 0]]
+
+
+def test_each_query_of_a_small_file_makes_its_rows_in_several_tasks(spark, tmp_path):
+    folder = parts(spark, tmp_path, 12_000)
+    spark.range(25_000).select(F.col("id").alias("event_id")).coalesce(1).write.parquet(f"{folder}/events.parquet")
+    assert packing.maze_symmetries(spark, folder).rdd.getNumPartitions() >= 3
+    drawn = packing.sudoku_pool(spark, folder)
+    assert drawn.count() == 12_000 and len([f for f in drawn.inputFiles() if "kept-0" in f]) > 0
+    for query in (packing.puzzle_symmetries, packing.puzzle_colourings):
+        plan = query(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition 6, true" in plan
+
+
+def test_symmetries_of_rows_that_repeat_an_id(spark):
+    grids = [(1, [[1, 2], [3, 4]]), (1, [[1, 3], [2, 4]]), (2, [[5]]), (3, [[0, 1, 2]])]
+    rows = spark.createDataFrame(grids, "puzzle_id int, grid array<array<int>>")
+    made = puzzles.augment(rows, colours=0).collect()
+    want = {}
+    for i, g in grids:
+        for k in range(8):
+            t = str(puzzles.dihedral(g, k))
+            want[i, t] = min(k, want.get((i, t), 9))
+    assert {(r.puzzle_id, str(r.grid)): r.symmetry for r in made} == want and len(made) == len(want)
+    turned = puzzles.all_turned(rows.limit(1), "grid").collect()
+    assert [r.grid for r in sorted(turned, key=lambda r: r.symmetry)] == [puzzles.dihedral(grids[0][1], k) for k in range(8)]
