@@ -5,14 +5,15 @@ Tokens that hold a digit are variable fields and read ``<*>``.  The tree has a
 fixed depth: the first level branches by token count, the next ``LEADING`` by one
 leading token each, and the last holds a leaf's templates.
 
-In a leaf, a line is compared with templates and joins the best.  Two lines that
-agree in ``SIMILARITY`` of their positions differ in so few that, cut into one more
-block of positions than that, they share a block.  So the lines of a leaf meet by
-block; the commonest line of a block (smallest MD5 on ties) is a template that the
-others of the block are compared with.  A line joins the one that agrees with it in
-most positions, in ``SIMILARITY`` of them at least (then the commonest, then the
-smallest MD5), and the positions that differ are variable fields as well.  Lines that
-join one another, directly or not, are one template.
+In a leaf, lines that agree in ``SIMILARITY`` of their positions are linked, and
+lines linked with one another, directly or not, are one template.  Two such lines
+differ in so few positions that, cut into one more block of positions than that, they
+share a block.  So the lines of a leaf meet by block, first with the commonest line of
+each block (smallest MD5 on ties), which is a template.  A line joins the one that
+agrees with it in most positions, in ``SIMILARITY`` of them at least (then the
+commonest, then the smallest MD5), and the positions that differ are variable fields as
+well.  ``_missed`` then compares the lines of each block that this left in different
+templates, so that no link of a leaf is lost.
 
 A template recurs if it occurs in two or more documents.  Lines that end among the
 leading tokens have no position to compare and are short enough to come up by
@@ -31,7 +32,9 @@ half of all documents hold is one row a task.  Line texts move only for leaves t
 hold several lines of several documents; which leaves do is broadcast if they number
 ``MAX_BROADCAST`` at most, else shuffled.  No task holds a leaf or a block: the
 commonest line is an aggregate, and it goes back to the lines by ``attach_groups``,
-as do a template's documents.  A document's text is shuffled once, in the last join.
+as do a template's documents.  Blocks with over ``PARTNERS`` pairs a line left to
+compare are cut by a further block; the lines of the others are dealt in chunks.  A
+document's text is shuffled once, in the last join.
 """
 
 from __future__ import annotations
@@ -46,6 +49,10 @@ from .scratch import discard, materialise
 LEADING = 4
 #: Share of positions in which lines of a template agree with the one they join, as a fraction.
 SIMILARITY = (4, 5)
+#: Pairs a line that the lines of a block may make before it is cut further.
+PARTNERS = 32
+#: Lines of a block that one task compares with those outside of its largest template.
+CHUNK = 4096
 #: Leaves (8 bytes each) that are broadcast, at most.
 MAX_BROADCAST = 1 << 20
 SPACE = r"[\x20\x09-\x0D]+"
@@ -112,12 +119,8 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.select("digest", "n", F.explode(F.when(F.col("rest") < F.col("k"), F.array(F.xxhash64("leaf", F.lit(-1)))).otherwise(some)).alias("block"))
 
 
-def _parents(held: DataFrame) -> DataFrame:
-    """(digest, parent, template) of the lines that join a commoner one; ``held``: (leaf, digest, line, lo, hi, n)."""
-    keyed = materialise(_blocks(held), "templates-blocks")
-    hubs = keyed.groupBy("block").agg(F.min(F.struct((-F.col("n")).alias("m"), "digest")).alias("hub"), F.count("*").alias("members"))
-    met = attach_groups(keyed.select("digest", "block"), hubs.filter("members > 1"), "block", "members", keyed.count(), F.col("digest"))
-    pairs = materialise(met.select("digest", F.col("hub.digest").alias("other")).filter("other <> digest").distinct(), "templates-pairs")
+def _near(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The ``pairs`` (digest, other) of lines that agree in SIMILARITY of their positions; with tokens ``a`` and ``b``, ``agree`` and ``same``."""
     asked = pairs.groupBy(F.col("other").alias("_other")).agg(F.count("*").alias("asked"))
     other = held.join(asked, F.col("digest") == F.col("_other")).select(F.col("_other").alias("other"), "asked", F.col("line").alias("with"), F.col("n").alias("others_n"))
     mine = pairs.join(held.select("digest", "line"), "digest")
@@ -125,7 +128,78 @@ def _parents(held: DataFrame) -> DataFrame:
     both = _once(both.select("digest", "other", "others_n", F.split("line", " ").alias("a"), F.split("with", " ").alias("b")), agree=F.zip_with(F.col("a"), F.col("b"), lambda x, y: x == y))
     part, whole = SIMILARITY
     both = _once(both, same=F.size(F.filter("agree", lambda x: x)))
-    near = both.filter((F.size("a") == F.size("b")) & (F.col("same") * whole >= F.size("a") * part))
+    return both.filter((F.size("a") == F.size("b")) & (F.col("same") * whole >= F.size("a") * part))
+
+
+def _cut(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """``rows`` (digest, component, block, path), each cut into one more block of its remaining positions than may differ.
+
+    ``path`` numbers the blocks taken so far; a block's positions are gone from those that remain.  ``left`` counts these.
+    """
+    rows = _once(rows.join(held.select("digest", "line"), "digest"), toks=F.split("line", " ")).drop("line")
+    rows = _once(rows, may=_allowed(F.size("toks")).cast("int"), rest=F.slice("toks", F.lit(LEADING + 1), F.size("toks"))).drop("toks")
+    start = lambda free, i: F.floor(i * F.size(free) / (F.col("may") + 1)).cast("int")
+    without = lambda free, i: F.concat(F.slice(free, F.lit(1), start(free, i)), F.slice(free, start(free, i + 1) + 1, F.size(free)))
+    rows = _once(rows, free=F.aggregate("path", F.col("rest"), without)).drop("rest")
+
+    def part(i):
+        length = start("free", i + 1) - start("free", i)
+        key = F.xxhash64("block", i, F.slice("free", start("free", i) + 1, length))
+        return F.struct(key.alias("block"), F.concat("path", F.array(i)).alias("path"), (F.size("free") - length - F.col("may")).alias("left"))
+
+    return rows.select("digest", "component", F.inline(F.transform(F.sequence(F.lit(0), F.col("may")), part)))
+
+
+def _missed(held: DataFrame, united: DataFrame) -> DataFrame:
+    """(a, b): links of lines in different components that ``united`` (node, component) leaves; ``held`` as in ``_parents``.
+
+    The first block is the leaf.  Lines of a block are compared if they are of
+    different components.  Where that makes over PARTNERS pairs a line, the block is
+    cut by the positions outside of it: lines that are linked differ in so few of
+    these that, cut into one more block than that, they share one of them too.  Once
+    no more positions are left than may differ, all lines of a block are linked.
+    """
+    rows = held.join(united.select(F.col("node").alias("digest"), "component"), "digest", "left")
+    tokens = F.size(F.split("line", " "))
+    rows = rows.select("digest", F.coalesce("component", "digest").alias("component"), F.col("leaf").alias("block"), F.array().cast("array<int>").alias("path"), (tokens - LEADING - _allowed(tokens)).cast("int").alias("left"))
+    found, done, level = [], [], 0
+    while True:
+        rows = materialise(rows, f"templates-missed-{level}")
+        done.append(rows)
+        sizes = rows.groupBy("block", "component").agg(F.count("*").alias("m"), F.min("digest").alias("hub"), F.min("left").alias("left"))
+        groups = sizes.groupBy("block").agg(F.sum("m").alias("members"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.max(F.struct("m", "component")).alias("most"), F.min("hub").alias("hub"), F.min("left").alias("left"), F.count("*").alias("kinds"))
+        over = F.expr(f"members * members - squares > {2 * PARTNERS} * members")
+        kind = F.when(F.col("left") <= 0, "linked").when(over, "cut").otherwise("compared")
+        groups = materialise(groups.filter("kinds > 1").select("block", "members", "hub", F.col("most.component").alias("largest"), kind.alias("kind")), f"templates-groups-{level}")
+        done.append(groups)
+        total = groups.agg(F.sum("members")).first()[0]
+        if not total:
+            break
+        met = attach_groups(rows, groups.withColumn("deals", F.ceil(F.col("members") / CHUNK).cast("int")), "block", "members", total, F.col("digest"))
+        linked = met.filter("kind = 'linked' and digest <> hub").groupBy("block", "component").agg(F.min(F.struct("digest", "hub")).alias("p")).select("p.digest", F.col("p.hub").alias("other"))
+        mine = met.filter("kind = 'compared'").select("block", "digest", "component", "largest", F.pmod(F.xxhash64("digest"), "deals").cast("int").alias("deal"))
+        others = met.filter("kind = 'compared' and component <> largest").select("block", F.col("digest").alias("other"), F.col("component").alias("with"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+        pairs = mine.join(others, ["block", "deal"]).filter("component <> with and (component = largest or digest < other)").select("digest", "other")
+        found.append(materialise(linked.unionByName(pairs).distinct(), f"templates-apart-{level}"))
+        rows, level = _cut(met.filter("kind = 'cut'").select("digest", "component", "block", "path"), held), level + 1
+    if not found:
+        discard(*done)
+        return held.select(F.col("digest").alias("a"), F.col("digest").alias("b")).limit(0)
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    links = materialise(_near(pairs.distinct(), held).select(F.col("digest").alias("a"), F.col("other").alias("b")), "templates-missed")
+    discard(*done, *found)
+    return links
+
+
+def _parents(held: DataFrame) -> DataFrame:
+    """(digest, parent, template) of the lines that join a commoner one; ``held``: (leaf, digest, line, lo, hi, n)."""
+    keyed = materialise(_blocks(held), "templates-blocks")
+    hubs = keyed.groupBy("block").agg(F.min(F.struct((-F.col("n")).alias("m"), "digest")).alias("hub"), F.count("*").alias("members"))
+    met = attach_groups(keyed.select("digest", "block"), hubs.filter("members > 1"), "block", "members", keyed.count(), F.col("digest"))
+    pairs = materialise(met.select("digest", F.col("hub.digest").alias("other")).filter("other <> digest").distinct(), "templates-pairs")
+    near = _near(pairs, held)
     fields = F.array_join(F.zip_with("a", "agree", lambda x, same: F.when(same, x).otherwise(F.lit("<*>"))), " ")
     best = near.groupBy("digest").agg(F.min(F.struct((-F.col("same")).alias("s"), (-F.col("others_n")).alias("m"), F.col("other").alias("o"), fields.alias("f"))).alias("best"))
     found = materialise(best.select("digest", F.col("best.o").alias("parent"), F.col("best.f").alias("template")), "templates-parents")
@@ -138,7 +212,7 @@ def templates(lines: DataFrame) -> DataFrame:
 
     ``lines`` are the documents' ``lines_of``.  ``first_id`` is the document that
     keeps the template; ``template`` is the line with the variable fields in which it
-    differs from the one that it joined, null if it joined none.
+    differs from the one that it joined, null if it joined none (or only by a link found later).
     """
     long = lines.filter(F.col("tokens") > LEADING)
     distinct = materialise(_spans(long, "leaf", "digest"), "templates-distinct")
@@ -152,7 +226,11 @@ def templates(lines: DataFrame) -> DataFrame:
     held = _spans(long.select("leaf", "line", "doc_id").join(several, "leaf", "left_semi"), "leaf", "line")
     held = materialise(held.withColumn("digest", _digest("line")), "templates-compared")
     parents = _parents(held)
-    united = components(parents.select(F.col("digest").alias("a"), F.col("parent").alias("b")), "templates-united")
+    links = parents.select(F.col("digest").alias("a"), F.col("parent").alias("b"))
+    united = components(links, "templates-united")
+    missed = _missed(held, united)
+    if not missed.isEmpty():
+        united = components(links.unionByName(missed), "templates-exact")
     joined = held.select("digest", "lo", "hi", "n").join(united.select(F.col("node").alias("digest"), "component"), "digest", "left")
     joined = joined.join(parents.select("digest", "template"), "digest", "left").withColumn("key", F.coalesce("component", "digest"))
     joined = materialise(joined.drop("component"), "templates-joined")

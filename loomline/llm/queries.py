@@ -109,24 +109,15 @@ WITH RECURSIVE raw AS (
   FROM lines WHERE array_to_string(toks, ' ') <> '' AND doc_id IS NOT NULL
 ), distinct_lines AS (
   SELECT n, head, line, md5(line) AS h, any_value(toks) AS toks, min(doc_id) AS lo, max(doc_id) AS hi, count(*) AS c, count(DISTINCT doc_id) AS docs FROM keyed GROUP BY n, head, line
-), cuts AS (
-  SELECT *, n - 4 AS rest, n // 5 + 1 AS k, unnest(range(CASE WHEN n - 4 <= n // 5 THEN 1 ELSE n // 5 + 1 END)) AS i FROM distinct_lines WHERE n > 4
-), blocks AS (
-  SELECT n, head, h, c, i, CASE WHEN rest < k THEN '' ELSE array_to_string(toks[5 + i * rest // k : 4 + (i + 1) * rest // k], ' ') END AS part FROM cuts
-), met AS (
-  SELECT DISTINCT h, first_value(h) OVER (PARTITION BY n, head, i, part ORDER BY c DESC, h) AS other FROM blocks
-), agreed AS (
-  SELECT a.h, b.h AS other, b.c, a.n, len(list_filter(range(1, a.n + 1), lambda i: a.toks[i] = b.toks[i])) AS same
-  FROM met m JOIN distinct_lines a ON a.h = m.h JOIN distinct_lines b ON b.h = m.other WHERE m.h <> m.other
-), parents AS (
-  SELECT h, other AS parent FROM (
-    SELECT *, row_number() OVER (PARTITION BY h ORDER BY same DESC, c DESC, other) AS r FROM agreed WHERE 5 * same >= 4 * n) WHERE r = 1
-), up AS (
-  SELECT h, parent AS at FROM parents UNION SELECT u.h, p.parent FROM up u JOIN parents p ON u.at = p.h
+), links AS (
+  SELECT a.h AS a, b.h AS b FROM distinct_lines a JOIN distinct_lines b ON a.n = b.n AND a.head = b.head AND a.h <> b.h
+  WHERE a.n > 4 AND 5 * len(list_filter(range(1, a.n + 1), lambda i: a.toks[i] = b.toks[i])) >= 4 * a.n
+), reach AS (
+  SELECT a AS h, a AS root FROM links UNION SELECT r.h, l.b FROM reach r JOIN links l ON r.root = l.a
 ), roots AS (
-  SELECT u.h, u.at FROM up u ANTI JOIN parents p ON u.at = p.h
+  SELECT h, min(root) AS root FROM reach GROUP BY h
 ), assigned AS (
-  SELECT d.*, coalesce(r.at, d.h) AS template FROM distinct_lines d LEFT JOIN roots r ON r.h = d.h
+  SELECT d.*, coalesce(r.root, d.h) AS template FROM distinct_lines d LEFT JOIN roots r ON r.h = d.h
 ), recurring AS (
   SELECT template, min(lo) AS first_id FROM assigned GROUP BY template HAVING min(lo) <> max(hi) AND (max(n) > 4 OR max(docs) >= 2 ** (6 - max(n)))
 ), found AS (
