@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import mixing
 
@@ -21,15 +22,21 @@ def token_shards(rows: DataFrame, end: int, most: int, id_col: str = "doc_id", i
 
 
 def token_blocks(rows: DataFrame, block: int, end: int, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(block, ids): the stream of documents, each closed by ``end``, in whole blocks of ``block`` tokens; what is left at the end goes."""
-    closed = laid_out(rows.select(id_col, F.concat(F.col(ids), F.array(F.lit(end))).alias("ids")), F.size("ids"), id_col)
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.size("ids") - 1) / block)
+    """(block, ids): the stream of documents, each closed by ``end``, in whole blocks of ``block`` tokens; what is left at the end goes.
+
+    ``ids`` may be a string, whose tokens are its characters: it moves as text, not as an array of them.
+    """
+    text = isinstance(rows.schema[ids].dataType, StringType)
+    size, cut = (F.length, F.substring) if text else (F.size, F.slice)
+    closed = laid_out(rows.select(id_col, F.concat(F.col(ids), F.lit(end) if text else F.array(F.lit(end))).alias("ids")), size("ids"), id_col)
+    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + size("ids") - 1) / block)
     pieces = closed.select("start", "ids", F.explode(F.sequence(first, last)).alias("block"))
     begin = F.greatest(F.col("block") * block - F.col("start"), F.lit(0)).cast("int")
-    until = F.least((F.col("block") + 1) * block - F.col("start"), F.size("ids")).cast("int")
-    pieces = pieces.select("block", "start", F.slice("ids", begin + 1, until - begin).alias("ids"))
+    until = F.least((F.col("block") + 1) * block - F.col("start"), size("ids")).cast("int")
+    pieces = pieces.select("block", "start", cut("ids", begin + 1, until - begin).alias("ids"))
     joined = pieces.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("start", "ids"))).alias("p"))  # a block's pieces hold ``block`` tokens
-    return joined.select("block", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids")).filter(F.size("ids") == block)
+    parts = F.transform("p", lambda x: x["ids"])
+    return joined.select("block", (F.array_join(parts, "") if text else F.flatten(parts)).alias("ids")).filter(size("ids") == block)
 
 
 def instruction_layout(rows: DataFrame, context: int, id_col: str = "doc_id") -> DataFrame:

@@ -29,9 +29,7 @@ def token_shards(spark, d):
 WITH a AS (SELECT string_agg(text || '|', '' ORDER BY md5('0:' || doc_id), doc_id) AS t FROM documents)
 SELECT b AS block, substr(t, (b * 2049 + 1)::BIGINT, 2049) AS text FROM a, (SELECT unnest(range(length(t) // 2049)) AS b FROM a)""")
 def token_blocks(spark, d):
-    letters = F.filter(F.split("text", ""), lambda c: c != "")
-    rows = table(spark, d, "documents").select("doc_id", letters.alias("ids"))
-    return packing.token_blocks(rows, 2049, "|").select("block", F.array_join("ids", "").alias("text"))
+    return packing.token_blocks(table(spark, d, "documents"), 2049, "|", ids="text").withColumnRenamed("ids", "text")
 
 
 @query(f"""

@@ -101,6 +101,14 @@ def test_blocks_drop_only_the_tail(spark):
         packing.instruction_layout(spark.createDataFrame([(1, 10, 10)], "doc_id long, instruction int, response int"), 24).collect()
 
 
+def test_blocks_of_text_are_those_of_its_characters(spark):
+    texts = ["", "ab", None, "äöü" * 9, "x😀y", "|" * 20, "z" * 40]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, ids string")
+    blocks = {r.block: r.ids for r in packing.token_blocks(rows, 7, "|").collect()}
+    chars = spark.createDataFrame([(i, None if t is None else list(t)) for i, t in enumerate(texts)], "doc_id long, ids array<string>")
+    assert len(blocks) > 10 and blocks == {r.block: "".join(r.ids) for r in packing.token_blocks(chars, 7, "|").collect()}
+
+
 def test_stateful_packing_carries_tokens(spark, tmp_path):
     rows = spark.createDataFrame([(i % 2, [i] * 3) for i in range(20)], "shard int, tokens array<int>")
     rows.repartition(4).write.parquet(f"{tmp_path}/in")
