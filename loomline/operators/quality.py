@@ -79,6 +79,33 @@ def duplicate_lines(text: Column, separator: str = "\n") -> tuple[Column, Column
     return T.ratio(F.size(lines) - F.size(once), F.size(lines)), T.ratio(size(lines) - size(once), size(lines))
 
 
+def _character_repetition(n: int):
+    """The share of the top n-grams of characters; their hashes are sums of mixed code points, each by the multiplier of its place."""
+    places = np.random.default_rng(n).integers(1, 2**64, n, dtype=np.uint64) | np.uint64(1)
+
+    def share(text: object) -> float:
+        codes = np.frombuffer((text if isinstance(text, str) else "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        size = len(codes) - n + 1
+        if size < 1:
+            return 0.0
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # SplitMix64
+            codes = (codes + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(factor)
+            codes ^= codes >> np.uint64(shift)
+        hashes = np.zeros(size, np.uint64)
+        for i in range(n):
+            hashes += codes[i : i + size] * places[i]
+        hashes.sort()
+        counts = np.diff(np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1], True]))
+        top = min(math.isqrt(len(counts)), int((counts > 1).sum()))
+        return float(np.sort(counts)[len(counts) - top :].sum()) / size
+
+    @F.pandas_udf("double")
+    def ratios(texts: pd.Series) -> pd.Series:
+        return texts.map(share).astype("float64")
+
+    return ratios
+
+
 def gram_repetition(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text", characters: bool = False) -> DataFrame:
     """(id, ratio) of a document's n-grams.
 
@@ -86,20 +113,16 @@ def gram_repetition(docs: DataFrame, n: int, id_col: str = "doc_id", text: str =
     Characters: share held by the top k distinct n-grams, k = min(floor(sqrt(distinct)), distinct - singletons).
     Counts are the runs of the sorted 64-bit hashes in the row; nothing is shuffled.
     """
-    units = F.split(text, "") if characters else T.words(F.col(text))
-    rows = T.once(docs.select(id_col, text), _units=units).select(id_col, "_units")
+    if characters:
+        return docs.select(id_col, _character_repetition(n)(text).alias("ratio"))
+    rows = T.once(docs.select(id_col, text), _units=T.words(F.col(text))).select(id_col, "_units")
     rows = T.once(rows, _sorted=F.array_sort(T.ngram_hashes("_units", n))).select(id_col, "_sorted")
     size = F.size("_sorted")
     starts = F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)))
     rows = T.once(rows, _starts=F.when(size > 0, starts).otherwise(F.array().cast("array<int>")))
     ends = F.concat(F.slice("_starts", F.lit(2), F.greatest(F.size("_starts") - 1, F.lit(0))), F.array(size))
     rows = T.once(rows, _counts=F.zip_with("_starts", F.when(size > 0, ends).otherwise(F.array().cast("array<int>")), lambda a, b: b - a))
-    if characters:
-        distinct, ones = F.size("_counts"), F.size(F.filter("_counts", lambda c: c == 1))
-        counted = F.slice(F.sort_array("_counts", asc=False), F.lit(1), F.least(F.floor(F.sqrt(distinct)).cast("int"), distinct - ones))
-    else:
-        counted = F.filter("_counts", lambda c: c > 1)
-    part = F.aggregate(counted, F.lit(0).cast("long"), lambda acc, c: acc + c)
+    part = F.aggregate(F.filter("_counts", lambda c: c > 1), F.lit(0).cast("long"), lambda acc, c: acc + c)
     return rows.select(id_col, T.ratio(part, size).alias("ratio"))
 
 
