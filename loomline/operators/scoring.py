@@ -63,8 +63,8 @@ def survival(rows: DataFrame, language: str, dataset: str, old: Column, new: Col
 
 #: Queries that go to every task at once; more are dealt into blocks of so many.
 QUERY_BLOCK = 4096
-#: Vectors that a block of queries meets at a time, if there are several blocks.
-VECTOR_BLOCK = 65_536
+#: Vectors in a task, about, if there are several blocks of queries; and those that the queries meet at a time.
+VECTOR_BLOCK, STEP = 65_536, 512
 
 
 def _matrix(table: pa.Table | pa.RecordBatch, vector: str) -> np.ndarray:
@@ -74,13 +74,38 @@ def _matrix(table: pa.Table | pa.RecordBatch, vector: str) -> np.ndarray:
     return values.reshape(len(column), len(values) // max(1, len(column)))
 
 
-def _best(ids: np.ndarray, block: np.ndarray, other: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
-    score = block @ x.T if len(ids) and len(other) else np.zeros((len(ids), len(other)))
-    score[ids[:, None] == other[None, :]] = -np.inf
-    order = np.lexsort((np.broadcast_to(other, score.shape), -score))[:, :k]
-    q, o = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
-    keep = np.isfinite(score[q, o])
-    return pa.record_batch([pa.array(ids[q[keep]]), pa.array(other[o[keep]]), pa.array(score[q[keep], o[keep]])], names=["query", "neighbour", "score"])
+class _Best:
+    """The k best neighbours of each query so far, whatever the number of vectors that it has met."""
+
+    def __init__(self, ids: np.ndarray, block: np.ndarray, k: int):
+        self.ids, self.block, self.k = ids, block, k
+        self.score, self.other = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+
+    def meet(self, vectors: pa.Table | pa.RecordBatch, id_col: str, vector: str) -> None:
+        for a in range(0, len(vectors) if len(self.ids) else 0, STEP):
+            part = vectors.slice(a, STEP)
+            other = part[id_col].to_numpy()
+            score = self.block @ _matrix(part, vector).T
+            score[(self.ids[:, None] == other[None, :]) | ~np.isfinite(score)] = -np.inf
+            least = self.score[:, -1]  # what is below a query's k-th best can't be among them
+            if len(other) >= self.k:
+                least = np.maximum(least, np.partition(score, -self.k, axis=1)[:, -self.k])
+            q, at = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+            if not len(q):
+                continue
+            rows, have = np.unique(q), np.isfinite(self.score)
+            have[np.setdiff1d(np.arange(len(self.ids)), rows)] = False
+            q, other, score = np.concatenate([q, np.nonzero(have)[0]]), np.concatenate([other[at], self.other[have]]), np.concatenate([score[q, at], self.score[have]])
+            order = np.lexsort((other, -score, q))
+            q, other, score = q[order], other[order], score[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            kept = rank < self.k
+            self.score[rows] = -np.inf
+            self.score[q[kept], rank[kept]], self.other[q[kept], rank[kept]] = score[kept], other[kept]
+
+    def found(self) -> pa.RecordBatch:
+        q, at = np.nonzero(np.isfinite(self.score))
+        return pa.record_batch([pa.array(self.ids[q]), pa.array(self.other[q, at]), pa.array(self.score[q, at])], names=["query", "neighbour", "score"])
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -88,8 +113,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "v
 
     Up to ``QUERY_BLOCK`` queries go to every task, and vectors don't move.  More are
     dealt into blocks, the vectors into blocks of about ``VECTOR_BLOCK``, and each pair
-    of blocks is a task; neither set is gathered in one place.  Each task keeps the k
-    best of its vectors before the shuffle.
+    of blocks is a task; neither set is gathered in one place.  A task's queries meet
+    ``STEP`` vectors at a time and keep the k best of all before the shuffle.
     """
     schema = "query long, neighbour long, score double"
     vectors, n = vectors.select(id_col, vector), queries.count()
@@ -98,10 +123,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "v
         ids, block = rows[id_col].to_numpy(), _matrix(rows, vector)
 
         def best(batches):
+            kept = _Best(ids, block, k)
             for batch in batches:
-                other, x = batch.column(0).to_numpy(), _matrix(batch, vector)
-                for a in range(0, len(other), QUERY_BLOCK):
-                    yield _best(ids, block, other[a : a + QUERY_BLOCK], x[a : a + QUERY_BLOCK], k)
+                kept.meet(batch, id_col, vector)
+            yield kept.found()
 
         found = vectors.mapInArrow(best, schema)
     else:
@@ -112,8 +137,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "v
         right = vectors.select(id_col, vector, part(chunks).alias("_v"), every(blocks).alias("_q"))
 
         def pair(key, q: pa.Table, v: pa.Table) -> pa.Table:
-            ids, block, other, x = q[id_col].to_numpy(), _matrix(q, vector), v[id_col].to_numpy(), _matrix(v, vector)
-            return pa.Table.from_batches([_best(ids, block, other[a : a + QUERY_BLOCK], x[a : a + QUERY_BLOCK], k) for a in range(0, len(other), QUERY_BLOCK)], schema=pa.schema([("query", pa.int64()), ("neighbour", pa.int64()), ("score", pa.float64())]))
+            kept = _Best(q[id_col].to_numpy(), _matrix(q, vector), k)
+            kept.meet(v, id_col, vector)
+            return pa.Table.from_batches([kept.found()])
 
         found = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(pair, schema)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "neighbour")
