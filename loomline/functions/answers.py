@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -66,14 +69,50 @@ def choice_letter(text: Column) -> Column:
     return F.coalesce(last(r"\(([A-D])\)"), last(r"\b([A-D])\b"))
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein's, of what a common beginning and end leave, a column of the table at a time as bits of whole numbers (Myers, Hyyrö)."""
+    if len(a) < len(b):
+        a, b = b, a
+    begin = len(os.path.commonprefix([a, b]))
+    a, b = a[begin:], b[begin:]
+    end = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if not b:
+        return len(a)
+    places: dict[str, list[int]] = {}
+    for i, c in enumerate(b):
+        places.setdefault(c, []).append(i)
+    equal = {}
+    for c, at in places.items():
+        bits = bytearray(len(b) // 8 + 1)
+        for i in at:
+            bits[i >> 3] |= 1 << (i & 7)
+        equal[c] = int.from_bytes(bits, "little")
+    last, full, more, less, distance = len(b) - 1, (1 << len(b)) - 1, (1 << len(b)) - 1, 0, len(b)
+    for c in a:
+        same = equal.get(c, 0)
+        vertical = same | less
+        across = (((same & more) + more) ^ more) | same
+        plus, minus = (less | ~(across | more)) & full, more & across
+        distance += (plus >> last) - (minus >> last & 1)
+        plus, minus = plus << 1 | 1, minus << 1
+        more, less = (minus | ~(vertical | plus)) & full, plus & vertical & full
+    return distance
+
+
 def anls(prediction: Column, answers: Column, threshold: float = 0.5) -> Column:
     """The best 1 - NL over the answers for NL under the threshold, else 0; 0 for an empty prediction."""
-    def score(answer: Column) -> Column:
-        a, b = F.lower(F.trim(prediction)), F.lower(F.trim(answer))
-        nl = F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)).cast("double")
-        return F.when(nl < threshold, 1 - nl).otherwise(0.0)
+    def score(a: str | None, b: str | None) -> float:
+        nl = 1.0 if a is None or b is None else edit_distance(a, b) / max(len(a), len(b), 1)
+        return 1 - nl if nl < threshold else 0.0
+
+    @F.arrow_udf("double")
+    def best(said: pa.Array, right: pa.Array) -> pa.Array:
+        pairs = zip(said, right, strict=True)
+        return pa.array([max((score(a.as_py(), b) for b in all_b.as_py() or []), default=None) for a, all_b in pairs], pa.float64())
 
-    return F.when(F.length(F.trim(prediction)) == 0, 0.0).otherwise(F.array_max(F.transform(answers, score)))
+    plain = lambda c: F.lower(F.trim(c))
+    return F.when(F.length(F.trim(prediction)) == 0, 0.0).otherwise(best(plain(prediction), F.transform(answers, plain)))
 
 
 def vqa_accuracy(prediction: Column, answers: Column) -> Column:
