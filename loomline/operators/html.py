@@ -30,6 +30,9 @@ PARAGRAPH = ({tag.rstrip("123456") for tag in STRUCTURE} - {"br", "html"}) | {"l
 BLOG_DELETE = ("[class~='footer']", "[class~='site-info']")
 BLOG_REPLACE = {"[class~='more-link']": "\n\nEND_OF_DOCUMENT_TOKEN_TO_BE_REPLACED\n\n"}
 
+#: Pages that are objects of Python at a time.
+PAGES = 64
+
 NODES = "array<struct<kind:string,text:string,src:string,alt:string>>"
 
 
@@ -209,8 +212,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = rules.compiled()
         for batch in batches:
-            found = [[dict(zip(("kind", "text", "src", "alt"), n, strict=True)) for n in nodes(h, u, rules, compiled)] for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(found, kind)], names=[id_col, "nodes"])
+            for at in range(0, batch.num_rows, PAGES):  # a batch may hold 10,000
+                ids, urls, texts = batch.slice(at, PAGES).columns
+                found = [[dict(zip(("kind", "text", "src", "alt"), n, strict=True)) for n in nodes(h.as_py(), u.as_py(), rules, compiled)] for u, h in zip(urls, texts, strict=True)]
+                yield pa.record_batch([ids, pa.array(found, kind)], names=[id_col, "nodes"])
 
     return pages.select(F.col(id_col).cast("long"), url, html).mapInArrow(run, f"{id_col} long, nodes {NODES}")
 
