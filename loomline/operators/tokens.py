@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,3 +54,27 @@ def token_blocks(tokens: DataFrame, block: int, end: int, id_col: str = "doc_id"
     cut = pieces.select("block", F.greatest(F.col("_from"), F.col("block") * block).alias("_at"), F.slice("_all", begin + 1, stop - begin).alias("_ids"))
     joined = cut.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("_at", "_ids"))).alias("_parts"))
     return joined.select("block", F.flatten(F.transform("_parts", lambda p: p["_ids"])).alias("ids"))
+
+
+def byte_ngram_ids(docs: DataFrame, most: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, ids array<bigint>): ``T.ngram_ids`` of a text's UTF-8 bytes, each where it first occurs; a null text has none.
+
+    As lambdas over arrays a document of 2,500 bytes took about 10 ms; rows are handed on a few at a time.
+    """
+    def distinct(raw: bytes) -> pa.Array:
+        one = np.frombuffer(raw, np.uint8).astype(np.int64) + 1
+        ids = [one]
+        for n in range(2, most + 1):  # without a zero digit no two lengths share a number
+            ids.append(ids[-1][:-1] * 256 + one[n - 1 :])
+        return pa.array(np.concatenate(ids)).unique()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                ids, raw = batch.slice(at, 64).columns
+                found = [distinct(x.as_py()) for x in raw]
+                ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                yield pa.record_batch([ids, pa.ListArray.from_arrays(ends, pa.concat_arrays(found))], names=[id_col, "ids"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("_b")).mapInArrow(run, f"{id_col} {kind}, ids array<bigint>")

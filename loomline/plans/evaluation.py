@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import text as T
-from ..operators import quality, scoring
+from ..operators import quality, scoring, tokens
 from ..tables import table
 from .curation import _ROUTED
 from .registry import query
@@ -165,8 +165,7 @@ def subsequence_weights(spark, d):
 @query()
 def document_ngram_ids(spark, d):
     """The distinct ids of all n-grams, n from 1 to 4, of each text's bytes: base 256 holds four of them in a BIGINT."""
-    rows = table(spark, d, "documents").withColumn("bytes", T.utf8_bytes(F.coalesce("text", F.lit(""))))
-    return rows.select("doc_id", T.ngram_ids(F.col("bytes"), 256).alias("ids"))
+    return tokens.byte_ngram_ids(table(spark, d, "documents"))
 
 
 @query("SELECT conv_id, turn, role, role <> 'assistant' AS masked, CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END AS target FROM conversations")
