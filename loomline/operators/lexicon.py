@@ -55,6 +55,11 @@ def word_sizes(counts: DataFrame) -> DataFrame:
     return written(counts.groupBy("word").agg(F.count("*").alias("n"), F.sum("c").alias("total")), "word-sizes")
 
 
+def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, total): the occurrences of each word in all texts, counted by text in its task before they are shuffled."""
+    return docs.select(F.inline(_counted(F.lower(text)))).groupBy("word").agg(F.sum("c").alias("total"))
+
+
 def unigram_model(sizes: DataFrame) -> DataFrame:
     """(word, logp): log share of a word among all, of ``word_sizes``."""
     return sizes.select("word", F.ln(F.col("total") / sizes.agg(F.sum("total")).scalar()).alias("logp"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -79,29 +80,34 @@ def duplicate_lines(text: Column, separator: str = "\n") -> tuple[Column, Column
     return T.ratio(F.size(lines) - F.size(once), F.size(lines)), T.ratio(size(lines) - size(once), size(lines))
 
 
-def _character_repetition(n: int):
+def top_share(text: str, n: int, places: np.ndarray) -> float:
     """The share of the top n-grams of characters; their hashes are sums of mixed code points, each by the multiplier of its place."""
-    places = np.random.default_rng(n).integers(1, 2**64, n, dtype=np.uint64) | np.uint64(1)
-
-    def share(text: object) -> float:
-        codes = np.frombuffer((text if isinstance(text, str) else "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        size = len(codes) - n + 1
-        if size < 1:
-            return 0.0
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # SplitMix64
-            codes = (codes + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(factor)
-            codes ^= codes >> np.uint64(shift)
-        hashes = np.zeros(size, np.uint64)
-        for i in range(n):
-            hashes += codes[i : i + size] * places[i]
-        hashes.sort()
-        counts = np.diff(np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1], True]))
-        top = min(math.isqrt(len(counts)), int((counts > 1).sum()))
-        return float(np.sort(counts)[len(counts) - top :].sum()) / size
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = len(codes) - n + 1
+    if size < 1:
+        return 0.0
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # SplitMix64
+        codes = (codes + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(factor)
+        codes ^= codes >> np.uint64(shift)
+    hashes = np.zeros(size, np.uint64)
+    for i in range(n):
+        hashes += codes[i : i + size] * places[i]
+    hashes.sort()
+    counts = np.diff(np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1], True]))
+    top = min(math.isqrt(len(counts)), int((counts > 1).sum()))
+    return float(np.sort(counts)[len(counts) - top :].sum()) / size
+
+
+def multipliers(n: int) -> np.ndarray:
+    return np.random.default_rng(n).integers(1, 2**64, n, dtype=np.uint64) | np.uint64(1)
+
+
+def _character_repetition(n: int):
+    places = multipliers(n)
 
     @F.pandas_udf("double")
     def ratios(texts: pd.Series) -> pd.Series:
-        return texts.map(share).astype("float64")
+        return texts.map(lambda t: top_share(t if isinstance(t, str) else "", n, places)).astype("float64")
 
     return ratios
 
@@ -324,33 +330,43 @@ class Web:
 
 DOCUMENT = Web(min_words=10, max_words=2000, max_word_repetition=0.2, max_special=0.275, min_stop_words=0.35, min_punctuation_words=-1, min_punctuation=0.03, min_common_words=0.9)
 _SPECIAL = T.PUNCTUATION + "0123456789"
-_MARKS = re.escape(T.PUNCTUATION)
-
-
-def web_check(text: str, stop_words: frozenset, flagged_words: frozenset, common_words: frozenset, p: Web = Web()) -> str | None:
-    """The first check that a text fails, in the reference's order; None if it passes all."""
-    words = [w for w in (x.lower().strip(_SPECIAL + " ") for x in re.split("[ \n\t]", text)) if w]
-    if not p.min_words <= len(words) <= p.max_words:
-        return "number_words"
-    counts = sorted(Counter(text[i : i + p.character_length] for i in range(len(text) - p.character_length + 1)).values(), reverse=True)
-    top = min(math.isqrt(len(counts)), sum(c > 1 for c in counts))
-    if counts and sum(counts[:top]) / sum(counts) > p.max_character_repetition:
-        return "character_repetition"
-    counts = Counter(tuple(words[i : i + p.word_length]) for i in range(len(words) - p.word_length + 1)).values()
-    if counts and sum(c for c in counts if c > 1) / sum(counts) > p.max_word_repetition:
-        return "word_repetition"
-    if text and sum(c in _SPECIAL for c in text) / len(text) > p.max_special:
-        return "special_characters"
-    share = lambda listed: sum(w in listed for w in words) / max(1, len(words))
-    if share(stop_words) < p.min_stop_words:
-        return "stop_words"
-    if share(flagged_words) > p.max_flagged:
-        return "flagged_words"
-    tokens = re.findall(f"[\\w']+|[{_MARKS}]", text)
-    short = 0 < len(tokens) < p.min_punctuation_words
-    if not short and sum(t in T.PUNCTUATION for t in tokens) / max(1, len(tokens)) < p.min_punctuation:
-        return "punctuation"
-    return "common_words" if share(common_words) < p.min_common_words else None
+_BLANKS, _TOKENS = re.compile("[ \n\t]"), re.compile(f"[\\w']+|[{re.escape(T.PUNCTUATION)}]")
+_places = functools.cache(multipliers)
+
+
+#: A web text's checks in the reference's order, and in that of their cost: whether a text fails doesn't depend on it.
+CHECKS = ("number_words", "character_repetition", "word_repetition", "special_characters", "stop_words", "flagged_words", "punctuation", "common_words")
+BY_COST = ("number_words", "stop_words", "flagged_words", "common_words", "special_characters", "punctuation", "word_repetition", "character_repetition")
+
+
+def web_check(text: str, stop_words: frozenset, flagged_words: frozenset, common_words: frozenset, p: Web = Web(), order: tuple[str, ...] = CHECKS) -> str | None:
+    """The first check of ``order`` that a text fails; None if it passes all."""
+    words = [w for w in (x.strip(_SPECIAL + " ") for x in _BLANKS.split(text.lower())) if w]
+    share = lambda listed: sum(map(listed.__contains__, words)) / max(1, len(words))
+
+    def fails(check: str) -> bool:
+        if check == "number_words":
+            return not p.min_words <= len(words) <= p.max_words
+        if check == "character_repetition":
+            return top_share(text, p.character_length, _places(p.character_length)) > p.max_character_repetition
+        if check == "word_repetition":
+            grams = list(zip(*(words[i:] for i in range(p.word_length)), strict=False))
+            if len(set(grams)) == len(grams):
+                return p.max_word_repetition < 0
+            return sum(c for c in Counter(grams).values() if c > 1) / len(grams) > p.max_word_repetition
+        if check == "special_characters":
+            return text != "" and sum(map(text.count, _SPECIAL)) / len(text) > p.max_special
+        if check == "stop_words":
+            return share(stop_words) < p.min_stop_words
+        if check == "flagged_words":
+            return share(flagged_words) > p.max_flagged
+        if check == "common_words":
+            return share(common_words) < p.min_common_words
+        tokens = _TOKENS.findall(text)
+        short = 0 < len(tokens) < p.min_punctuation_words
+        return not short and sum(map(T.PUNCTUATION.__contains__, tokens)) / max(1, len(tokens)) < p.min_punctuation
+
+    return next((check for check in order if fails(check)), None)
 
 
 def web_document_filter(docs: DataFrame, stop_words: list[str], flagged_words: list[str], common_words: list[str], text: str = "text", images: str | None = None, node: Web = Web(), document: Web = DOCUMENT, separator: str = "\n\n", keep: str = "END", min_images: int = 1, max_images: int = 30) -> DataFrame:
@@ -366,7 +382,7 @@ def web_document_filter(docs: DataFrame, stop_words: list[str], flagged_words: l
         for texts in parts:
             out = []
             for t in texts:
-                kept = separator.join(x for x in (t or "").split(separator) if x == keep or web_check(x, *lists, node) is None)
+                kept = separator.join(x for x in (t or "").split(separator) if x == keep or web_check(x, *lists, node, BY_COST) is None)
                 out.append((kept, web_check(kept, *lists, document)))
             yield pd.DataFrame(out, columns=["text", "failed"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup, html, quality
+from ..operators import dedup, html, lexicon, quality
 from ..sources.shared import written
 from ..tables import table
 from .registry import query
@@ -279,8 +279,8 @@ def node_filter(spark, d):
 def web_document_filter(spark, d):
     """All checks of web paragraphs and documents; the stop words and common words are the corpus's most frequent ones, a bounded list."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    counts = docs.select(F.explode(T.words(F.col("text"))).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(65_536)
-    common = [r.w for r in counts.collect()]
+    counts = lexicon.frequencies(docs).orderBy(F.desc("total"), "word").limit(65_536)
+    common = [r.word for r in counts.collect()]
     return quality.web_document_filter(docs, common[:100], T.SPAM_WORDS, common, separator="\n")
 
 
