@@ -13,7 +13,9 @@ each block (smallest MD5 on ties), which is a template.  A line joins the one th
 agrees with it in most positions, in ``SIMILARITY`` of them at least (then the
 commonest, then the smallest MD5), and the positions that differ are variable fields as
 well.  ``_missed`` then compares the lines of each block that this left in different
-templates, so that no link of a leaf is lost.
+templates, so that no link of a leaf is lost.  Two lines are told apart by their
+sketches of 16 bytes (``_sketched``) where these show that they differ in too many positions; only
+pairs that it can't tell apart are written and compared by their texts.
 
 A template recurs if it occurs in two or more documents.  Lines that end among the
 leading tokens have no position to compare and are short enough to come up by
@@ -49,8 +51,8 @@ from .scratch import discard, materialise
 LEADING = 4
 #: Share of positions in which lines of a template agree with the one they join, as a fraction.
 SIMILARITY = (4, 5)
-#: Pairs a line that the lines of a block may make before it is cut further.
-PARTNERS = 32
+#: Pairs of sketches a line that the lines of a block may make before it is cut further.
+PARTNERS = 2048
 #: Lines of a block that one task compares with those outside of its largest template.
 CHUNK = 4096
 #: Leaves (8 bytes each) that are broadcast, at most.
@@ -109,14 +111,43 @@ def _allowed(tokens: Column) -> Column:
     return F.floor(tokens * (whole - part) / whole)
 
 
+def _sketched(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``sketch``: 128 bits of the tokens behind the leading ones, and how many positions may differ.
+
+    Up to 64 tokens have a bit in each of two words, more one bit of the 128 in turn.
+    A token that differs changes one place of 64 or one bit at most, so lines whose
+    sketches differ in more are not linked.
+    """
+    out = _once(rows, _toks=F.split("line", " "))
+    out = _once(out, _may=_allowed(F.size("_toks")).cast("int"), _hashes=F.transform(F.slice("_toks", F.lit(LEADING + 1), F.size("_toks")), lambda t: F.xxhash64(t))).drop("_toks")
+    out = _once(out, _few=F.size("_hashes") <= 64)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def word(j):
+        def bit(h, i):
+            mine = F.when(F.col("_few"), F.shiftright(h, j)).when(F.shiftright(i, 6).bitwiseAND(one.cast("int")) == j, h).otherwise(none)
+            return F.call_function("shiftleft", mine.bitwiseAND(one), i.bitwiseAND(F.lit(63)))
+
+        return F.aggregate(F.transform("_hashes", bit), none, lambda x, y: x.bitwiseXOR(y)).alias(f"w{j}")
+
+    return out.select(*rows.columns, F.struct(F.col("_may").alias("may"), F.col("_few").alias("few"), *[word(j) for j in range(2)]).alias("sketch"))
+
+
+def _alike(a: str, b: str) -> Column:
+    """Whether sketches leave it open that their lines agree in SIMILARITY of their positions."""
+    x, y = (F.col(f"{a}.w{j}").bitwiseXOR(F.col(f"{b}.w{j}")) for j in range(2))
+    places, bits = F.bit_count(x.bitwiseOR(y)), F.bit_count(x) + F.bit_count(y)
+    return F.when(F.col(f"{a}.few"), places).otherwise(bits) <= F.col(f"{a}.may")
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
-    """(digest, n, block): the blocks of positions after the leading ones; a single empty one where all may differ."""
-    rows = _once(rows.select("leaf", "digest", "n", "line"), toks=F.split("line", " "))
+    """(digest, n, sketch, block): the blocks of positions after the leading ones; a single empty one where all may differ."""
+    rows = _once(rows.select("leaf", "digest", "n", "sketch", "line"), toks=F.split("line", " "))
     rows = _once(rows, rest=F.size("toks") - LEADING, k=_allowed(F.size("toks")) + 1)
     start = lambda i: F.floor(i * F.col("rest") / F.col("k")).cast("int")
     cut = lambda i: F.xxhash64("leaf", i, F.slice("toks", start(i) + LEADING + 1, start(i + 1) - start(i)))
     some = F.transform(F.sequence(F.lit(0), (F.col("k") - 1).cast("int")), cut)
-    return rows.select("digest", "n", F.explode(F.when(F.col("rest") < F.col("k"), F.array(F.xxhash64("leaf", F.lit(-1)))).otherwise(some)).alias("block"))
+    return rows.select("digest", "n", "sketch", F.explode(F.when(F.col("rest") < F.col("k"), F.array(F.xxhash64("leaf", F.lit(-1)))).otherwise(some)).alias("block"))
 
 
 def _near(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -132,7 +163,7 @@ def _near(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def _cut(rows: DataFrame, held: DataFrame) -> DataFrame:
-    """``rows`` (digest, component, block, path), each cut into one more block of its remaining positions than may differ.
+    """``rows`` (digest, sketch, component, block, path), each cut into one more block of its remaining positions than may differ.
 
     ``path`` numbers the blocks taken so far; a block's positions are gone from those that remain.  ``left`` counts these.
     """
@@ -147,21 +178,21 @@ def _cut(rows: DataFrame, held: DataFrame) -> DataFrame:
         key = F.xxhash64("block", i, F.slice("free", start("free", i) + 1, length))
         return F.struct(key.alias("block"), F.concat("path", F.array(i)).alias("path"), (F.size("free") - length - F.col("may")).alias("left"))
 
-    return rows.select("digest", "component", F.inline(F.transform(F.sequence(F.lit(0), F.col("may")), part)))
+    return rows.select("digest", "sketch", "component", F.inline(F.transform(F.sequence(F.lit(0), F.col("may")), part)))
 
 
 def _missed(held: DataFrame, united: DataFrame) -> DataFrame:
     """(a, b): links of lines in different components that ``united`` (node, component) leaves; ``held`` as in ``_parents``.
 
     The first block is the leaf.  Lines of a block are compared if they are of
-    different components.  Where that makes over PARTNERS pairs a line, the block is
+    different components, by their sketches within the join.  Where that makes over PARTNERS pairs a line, the block is
     cut by the positions outside of it: lines that are linked differ in so few of
     these that, cut into one more block than that, they share one of them too.  Once
     no more positions are left than may differ, all lines of a block are linked.
     """
     rows = held.join(united.select(F.col("node").alias("digest"), "component"), "digest", "left")
     tokens = F.size(F.split("line", " "))
-    rows = rows.select("digest", F.coalesce("component", "digest").alias("component"), F.col("leaf").alias("block"), F.array().cast("array<int>").alias("path"), (tokens - LEADING - _allowed(tokens)).cast("int").alias("left"))
+    rows = rows.select("digest", "sketch", F.coalesce("component", "digest").alias("component"), F.col("leaf").alias("block"), F.array().cast("array<int>").alias("path"), (tokens - LEADING - _allowed(tokens)).cast("int").alias("left"))
     found, done, level = [], [], 0
     while True:
         rows = materialise(rows, f"templates-missed-{level}")
@@ -177,11 +208,12 @@ def _missed(held: DataFrame, united: DataFrame) -> DataFrame:
             break
         met = attach_groups(rows, groups.withColumn("deals", F.ceil(F.col("members") / CHUNK).cast("int")), "block", "members", total, F.col("digest"))
         linked = met.filter("kind = 'linked' and digest <> hub").groupBy("block", "component").agg(F.min(F.struct("digest", "hub")).alias("p")).select("p.digest", F.col("p.hub").alias("other"))
-        mine = met.filter("kind = 'compared'").select("block", "digest", "component", "largest", F.pmod(F.xxhash64("digest"), "deals").cast("int").alias("deal"))
-        others = met.filter("kind = 'compared' and component <> largest").select("block", F.col("digest").alias("other"), F.col("component").alias("with"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
-        pairs = mine.join(others, ["block", "deal"]).filter("component <> with and (component = largest or digest < other)").select("digest", "other")
+        mine = met.filter("kind = 'compared'").select("block", "digest", "sketch", "component", "largest", F.pmod(F.xxhash64("digest"), "deals").cast("int").alias("deal"))
+        others = met.filter("kind = 'compared' and component <> largest").select("block", F.col("digest").alias("other"), F.col("sketch").alias("others"), F.col("component").alias("with"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+        apart = F.expr("component <> with and (component = largest or digest < other)")
+        pairs = mine.join(others, ["block", "deal"]).filter(apart & _alike("sketch", "others")).select("digest", "other")
         found.append(materialise(linked.unionByName(pairs).distinct(), f"templates-apart-{level}"))
-        rows, level = _cut(met.filter("kind = 'cut'").select("digest", "component", "block", "path"), held), level + 1
+        rows, level = _cut(met.filter("kind = 'cut'").select("digest", "sketch", "component", "block", "path"), held), level + 1
     if not found:
         discard(*done)
         return held.select(F.col("digest").alias("a"), F.col("digest").alias("b")).limit(0)
@@ -194,11 +226,12 @@ def _missed(held: DataFrame, united: DataFrame) -> DataFrame:
 
 
 def _parents(held: DataFrame) -> DataFrame:
-    """(digest, parent, template) of the lines that join a commoner one; ``held``: (leaf, digest, line, lo, hi, n)."""
+    """(digest, parent, template) of the lines that join a commoner one; ``held``: (leaf, digest, line, sketch, lo, hi, n)."""
     keyed = materialise(_blocks(held), "templates-blocks")
-    hubs = keyed.groupBy("block").agg(F.min(F.struct((-F.col("n")).alias("m"), "digest")).alias("hub"), F.count("*").alias("members"))
-    met = attach_groups(keyed.select("digest", "block"), hubs.filter("members > 1"), "block", "members", keyed.count(), F.col("digest"))
-    pairs = materialise(met.select("digest", F.col("hub.digest").alias("other")).filter("other <> digest").distinct(), "templates-pairs")
+    hubs = keyed.groupBy("block").agg(F.min(F.struct((-F.col("n")).alias("m"), "digest", "sketch")).alias("hub"), F.count("*").alias("members"))
+    met = attach_groups(keyed.select("digest", "sketch", "block"), hubs.filter("members > 1"), "block", "members", keyed.count(), F.col("digest"))
+    met = met.filter((F.col("hub.digest") != F.col("digest")) & _alike("sketch", "hub.sketch"))
+    pairs = materialise(met.select("digest", F.col("hub.digest").alias("other")).distinct(), "templates-pairs")
     near = _near(pairs, held)
     fields = F.array_join(F.zip_with("a", "agree", lambda x, same: F.when(same, x).otherwise(F.lit("<*>"))), " ")
     best = near.groupBy("digest").agg(F.min(F.struct((-F.col("same")).alias("s"), (-F.col("others_n")).alias("m"), F.col("other").alias("o"), fields.alias("f"))).alias("best"))
@@ -224,7 +257,7 @@ def templates(lines: DataFrame) -> DataFrame:
     several = leaves.filter("n_lines > 1").select("leaf")
     several = F.broadcast(several) if several.count() <= MAX_BROADCAST else several
     held = _spans(long.select("leaf", "line", "doc_id").join(several, "leaf", "left_semi"), "leaf", "line")
-    held = materialise(held.withColumn("digest", _digest("line")), "templates-compared")
+    held = materialise(_sketched(held.withColumn("digest", _digest("line"))), "templates-compared")
     parents = _parents(held)
     links = parents.select(F.col("digest").alias("a"), F.col("parent").alias("b"))
     united = components(links, "templates-united")
