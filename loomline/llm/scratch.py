@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import discard, shuffles_deleted
+
+__all__ = ["discard", "materialise", "scratch_path", "shared_dir"]
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -38,17 +42,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and read it again.
 
     This cuts the lineage without a local checkpoint: losing an executor costs
-    nothing that has been written.
+    nothing that has been written.  The shuffle files go with the write.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_deleted(df.sparkSession):
+        df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._scratch = path
     return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete materialised tables that nothing reads any more: all that came of them has been written."""
-    for table in tables:
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._scratch)
-        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path.getParent(), True)
